@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import nearest, percentiles, splits
+from tickweave.llm import nearest, packing, percentiles, splits
+from tickweave.runtime import stored
 from tickweave.sources.tables import table
 
 
@@ -37,7 +38,17 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return fills.join(dealt.select("trade_date", "split"), "trade_date", "left").select("fill_id", "trade_date", "split")
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits}
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container for each container size."""
+    return packing.pack(stored(packing.token_counts(table(spark, d, "documents")), "tokens"), packing.capacities(table(spark, d, "pack_specs")))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and their fill."""
+    return packing.fill_report(p6_packing(spark, d), packing.capacities(table(spark, d, "pack_specs")))
+
+
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p6_packing": p6_packing, "p6_report": p6_report}
 
 _PERCENTS = ", ".join(map(str, percentiles.PERCENTS))
 
