@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import nearest, packing, percentiles, splits
+from tickweave.llm import leaks, nearest, packing, percentiles, splits
 from tickweave.runtime import stored
 from tickweave.sources.tables import table
 
@@ -48,7 +48,12 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packing(spark, d), packing.capacities(table(spark, d, "pack_specs")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p6_packing": p6_packing, "p6_report": p6_report}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items in them."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found}
 
 _PERCENTS = ", ".join(map(str, percentiles.PERCENTS))
 
