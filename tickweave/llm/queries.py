@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickweave.llm import leaks, nearest, packing, percentiles, splits
+from tickweave.llm import leaks, levels, nearest, packing, percentiles, splits
 from tickweave.runtime import stored
 from tickweave.sources.tables import table
 
@@ -53,7 +54,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of the English documents of 400 characters and more; formulas are learnt from all documents."""
+    docs = table(spark, d, "documents")
+    graded = levels.reading_levels(docs, table(spark, d, "level_labels"))
+    return graded.join(docs.where("lang = 'en' and n_chars >= 400").select("doc_id"), "doc_id").select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their mean grade by source and level."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    graded = levels.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+    return docs.join(graded, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("grade"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
 
 _PERCENTS = ", ".join(map(str, percentiles.PERCENTS))
 
