@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickweave.plans import problems
+from tickweave.plans import features, problems
 
-MODULES = (problems,)
+MODULES = (problems, features)
 FLAGSHIP = "p1_found"
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
