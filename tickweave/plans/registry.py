@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickweave.plans import features, problems
+from tickweave.plans import features, labels, problems
 
-MODULES = (problems, features)
-FLAGSHIP = "p1_found"
+MODULES = (problems, features, labels)
+FLAGSHIP = "ic_daily"
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
