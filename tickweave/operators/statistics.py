@@ -61,11 +61,15 @@ def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str
 def weighted_moments(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """Weighted mean, population sd, skewness and excess kurtosis, from two passes so that large means do not cancel."""
     w, x = F.col(weight), F.col(value)
-    first = df.where(x.isNotNull() & (w > 0)).groupBy(*by).agg((F.sum(w * x) / F.sum(w)).alias("mean"), F.sum(w).alias("weight"))
-    d = df.where(x.isNotNull() & (w > 0)).join(first, list(by)).withColumn("_d", x - F.col("mean"))
-    m = d.groupBy(*by, "mean", "weight").agg(*(F.sum(w * F.pow("_d", F.lit(float(k)))).alias(f"_m{k}") for k in (2, 3, 4)))
-    sd = F.sqrt(F.col("_m2") / F.col("weight"))
-    return m.select(*by, "mean", sd.alias("sd"), F.try_divide(F.col("_m3") / F.col("weight"), F.pow(sd, F.lit(3.0))).alias("skew"), (F.try_divide(F.col("_m4") / F.col("weight"), F.pow(sd, F.lit(4.0))) - 3).alias("kurtosis"))
+    d = df.where(x.isNotNull() & (w > 0)).select(*by, w.alias("_w"), x.alias("_x"))
+    first = d.groupBy(*(F.col(k).alias(f"_{k}") for k in by)).agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"), F.sum("_w").alias("_total"))
+    on = F.lit(True)
+    for k in by:  # null is a group
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    d = d.join(first, on).withColumn("_d", F.col("_x") - F.col("mean"))
+    m = d.groupBy(*by, "mean", "_total").agg(*((F.sum(F.col("_w") * F.pow("_d", F.lit(float(k)))) / F.first("_total")).alias(f"_m{k}") for k in (2, 3, 4)))
+    sd = F.sqrt("_m2")
+    return m.select(*by, "mean", sd.alias("sd"), F.try_divide(F.col("_m3"), F.pow(sd, F.lit(3.0))).alias("skew"), (F.try_divide(F.col("_m4"), F.pow(sd, F.lit(4.0))) - 3).alias("kurtosis"))
 
 
 def survival(df: DataFrame, by: Sequence[str], duration: str, event: str, weight: str) -> DataFrame:
