@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickweave.plans import features, fills, labels, problems
+from tickweave.plans import execution, features, fills, labels, problems
 
-MODULES = (problems, features, labels, fills)
+MODULES = (problems, features, labels, fills, execution)
 FLAGSHIP = "ic_daily"
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
