@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.operators.asof import asof, following
+from tickweave.operators.asof import asof
 from tickweave.operators.labels import AGE
 from tickweave.operators.lens import KEYS, ORDER
 
@@ -38,54 +38,62 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     or does not follow its predecessor legally, or if the rows end too early; rows after the fill do not matter.
     """
     marks = [0, *decisions, FINAL]
-    t = tasks.select(*KEYS, "task").distinct()
-    for s in marks:
-        t = t.withColumn("t", F.col("task") + s * 1_000_000)
-        t = asof(t, q.withColumn("good", _good()), KEYS, ["rn", "p", "qstate", "good"], order=ORDER[1:], prefix=f"s{s}_")
-        t = following(t, q, KEYS, ["rn"], 2, order=ORDER[1:], prefix=f"r{s}_")
-        why = F.when(F.col(f"s{s}_t").isNull(), "no_source").when(F.col("t") - F.col(f"s{s}_t") > AGE, "stale_source").when(~F.col(f"s{s}_good"), "invalid_source")
-        t = t.withColumn(f"why{s}", why).withColumnRenamed(f"r{s}_rn", f"at{s}").drop(f"r{s}_t", f"s{s}_good", "t")
-    o = orders(t, offsets).withColumns({f"limit{s}": F.col(f"s{s}_p") - F.col("side") * F.col("offset") for s in marks[:-1]})
+    t = tasks.select(*KEYS, "task").distinct().withColumn("mark", F.explode(F.array(*(F.lit(s) for s in marks))))
+    t = t.withColumn("t", F.col("task") + F.col("mark").cast("bigint") * 1_000_000)
+    t = asof(t, q.withColumn("good", _good()), KEYS, ["rn", "p", "qstate", "good"], order=ORDER[1:], prefix="s_")
+    t = t.withColumn("why", F.when(F.col("s_t").isNull(), "no_source").when(F.col("t") - F.col("s_t") > AGE, "stale_source").when(~F.col("s_good"), "invalid_source"))
+    of = lambda c, s: F.max(F.when(F.col("mark") == s, F.col(c)))
+    t = t.groupBy(*KEYS, "task").agg(*(of(c, s).alias(f"{n}{s}") for s in marks for c, n in (("s_rn", "rn"), ("s_p", "p"), ("s_qstate", "state"), ("why", "why"))))
+    t = t.join(q.groupBy(*KEYS).agg(F.max("rn").alias("top")), list(KEYS), "left")
+    second = lambda s: F.coalesce(f"rn{s}", F.lit(0)) + 2
+    t = t.withColumns({f"at{s}": F.when(second(s) <= F.col("top"), second(s)) for s in marks})
+    o = orders(t, offsets).withColumns({f"limit{s}": F.col(f"p{s}") - F.col("side") * F.col("offset") for s in marks[:-1]})
     rows = q.select(*KEYS, F.col("rn").alias("row"), "t", "p", "b", "a", "qb", "qa", "dv", (_good() & F.col("step") & F.col("edge_volume")).alias("legal"))
-    last = F.coalesce(f"at{FINAL}", F.col("s0_rn") + 10_000)
-    span = o.where("why0 is null").withColumn("_b", F.explode(F.sequence(F.expr("s0_rn div 64"), (last / 64).cast("bigint"))))
+    last = F.coalesce(f"at{FINAL}", "top")
+    span = o.where("why0 is null").withColumn("_b", F.explode(F.sequence(F.expr("rn0 div 64"), (last / 64).cast("bigint"))))
     r = rows.withColumn("_b", F.expr("row div 64"))
-    path = span.join(r, [*KEYS, "_b"]).where((F.col("row") > F.col("s0_rn")) & (F.col("row") <= last))
+    path = span.join(r, [*KEYS, "_b"]).where((F.col("row") > F.col("rn0")) & (F.col("row") <= last))
     stages = list(zip(marks[:-1], marks[1:]))
-    first = {f"hit{s}": F.min(F.when((F.col("row") >= F.col(f"at{s}")) & (F.col("row") <= F.col(f"at{e}")) & hit(f"limit{s}"), F.col("row"))) for s, e in stages}
+    first = {f"hit{s}": F.min(F.when((F.col("row") >= F.col(f"at{s}")) & (F.col("row") <= F.coalesce(f"at{e}", "top")) & hit(f"limit{s}"), F.col("row"))) for s, e in stages}
     key = [*KEYS, "task", "side", "offset"]
-    seen = path.groupBy(*key).agg(*(c.alias(n) for n, c in first.items()), F.min(F.when(~F.col("legal"), F.col("row"))).alias("broken"))
+    seen = path.groupBy(*key).agg(*(c.alias(n) for n, c in first.items()), F.min(F.when(~F.col("legal"), F.col("t"))).alias("broken"))
     x = o.join(seen, key, "left")
     # The first stage that ends the order, in order of time: a hit, a decision against it, at last the clock.
-    fill, stage, kind, price, reached = None, None, None, None, None
+    fill, stage, kind, price = None, None, None, None
 
-    def add(cond: Column, at: Column, name: Column, how: str, level: Column, upto: int):
-        nonlocal fill, stage, kind, price, reached
+    def add(cond: Column, at: Column, name: Column, how: str, level: Column):
+        nonlocal fill, stage, kind, price
         pick = lambda old, new: F.when(cond, new) if old is None else old.when(cond, new)
-        fill, stage, kind, price, reached = pick(fill, at), pick(stage, name), pick(kind, F.lit(how)), pick(price, level), pick(reached, F.lit(upto))
+        fill, stage, kind, price = pick(fill, at), pick(stage, name), pick(kind, F.lit(how)), pick(price, level)
 
     missing = F.lit(float("nan")).cast("double")
     same = F.lit("initial")
     for n, (s, e) in enumerate(stages):
         name = F.lit("initial") if s == 0 else F.when(F.col(f"limit{s}") == F.col(f"limit{marks[n - 1]}"), same).otherwise(F.lit("signal"))
-        add(F.col(f"hit{s}").isNotNull(), F.col(f"hit{s}"), name, "limit", F.col(f"limit{s}"), s)
+        add(F.col(f"hit{s}").isNotNull(), F.col(f"hit{s}"), name, "limit", F.col(f"limit{s}"))
         same = name
         if e != FINAL:
-            add(F.col("side") * F.col(f"s{e}_qstate") > 0, F.col(f"at{e}"), F.lit("signal"), "market", missing, e)
-    add(F.col(f"at{FINAL}").isNotNull(), F.col(f"at{FINAL}"), F.lit("deadline"), "market", missing, FINAL)
-    x = x.withColumns({"fill_row": fill, "stage": stage, "kind": kind, "_price": price, "reached": reached})
+            add(F.col("side") * F.col(f"state{e}") > 0, F.col(f"at{e}"), F.lit("signal"), "market", missing)
+    add(F.col(f"at{FINAL}").isNotNull(), F.col(f"at{FINAL}"), F.lit("deadline"), "market", missing)
+    x = x.withColumns({"fill_row": fill, "stage": stage, "kind": kind, "_price": price})
     market = q.select(*KEYS, F.col("rn").alias("fill_row"), F.col("t").alias("fill_t"), F.col("a").alias("_ask"), F.col("b").alias("_bid"))
     x = x.join(market, [*KEYS, "fill_row"], "left")
+    # What ends the order badly, at twice its time, clocks one later than rows: the first of these before the fill (a bad row at the fill too).
+    ends = {"broken_path": F.col("broken") * 2}
+    against = F.lit(False)
+    for s in marks[1:]:  # a market order under way is not looked at again
+        ends["signal" if s != FINAL else "deadline", s] = F.when(F.col(f"why{s}").isNotNull() & ~F.coalesce(against, F.lit(False)), (F.col("task") + s * 1_000_000) * 2 + 1)
+        against = against | F.coalesce(F.col("side") * F.col(f"state{s}") > 0, F.lit(False))
+    first_end = F.least(*ends.values())
+    x = x.withColumn("_end", F.when(first_end <= F.coalesce(F.col("fill_t") * 2, F.lit(1 << 62)), first_end))
     reason = F.when(F.col("why0").isNotNull(), F.concat(F.lit("initial_"), "why0"))
-    reason = reason.when(F.col("fill_row").isNull() & F.col("broken").isNull(), "insufficient_arrival_tail")
-    reason = reason.when(F.col("broken") <= F.coalesce("fill_row", F.lit(1 << 40)), "broken_path")
-    for s in marks[1:]:
-        gone = F.col("fill_t") < F.col("task") + s * 1_000_000
-        reason = reason.when(F.col(f"why{s}").isNotNull() & ~gone, F.concat(F.lit("signal_" if s != FINAL else "deadline_"), f"why{s}"))
+    for name, when in ends.items():
+        reason = reason.when(F.col("_end") == when, F.lit(name) if isinstance(name, str) else F.concat(F.lit(f"{name[0]}_"), f"why{name[1]}"))
+    reason = reason.when(F.col("fill_row").isNull(), "insufficient_arrival_tail")
     ok = F.col("reason").isNull()
     paid = F.when(F.col("kind") == "limit", F.col("_price")).otherwise(F.when(F.col("side") == 1, F.col("_ask")).otherwise(F.col("_bid")))
     x = x.withColumn("reason", reason).withColumn("price", F.when(ok, paid))
-    cost = F.col("side") * (F.col("price") - F.col("s0_p")) / F.col("s0_p") * 1e4
+    cost = F.col("side") * (F.col("price") - F.col("p0")) / F.col("p0") * 1e4
     return x.select(*key, F.when(ok, "filled").otherwise("invalid").alias("status"), "reason", *(F.when(ok, F.col(c)).alias(c) for c in ("stage", "kind", "fill_t")), "price", cost.alias("cost_bp"))
 
 

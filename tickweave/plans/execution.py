@@ -26,7 +26,7 @@ def _sql(decisions: tuple[int, ...], offsets: tuple[int, ...]) -> str:
     top = f"(SELECT {K}, max(rn) AS top FROM q GROUP BY ALL)"
     arr = ", ".join(f"CASE WHEN coalesce(rn{s}, 0) + 2 <= top THEN coalesce(rn{s}, 0) + 2 END AS at{s}, p{s} - side * off AS limit{s}" for s in marks)
     stages = list(zip(marks[:-1], marks[1:]))
-    hits = ", ".join(f"min(r.rn) FILTER (WHERE r.rn BETWEEN at{s} AND at{e} AND CASE WHEN side = 1 THEN a <= limit{s} OR (dv > 0 AND r.p < limit{s}) ELSE b >= limit{s} OR (dv > 0 AND r.p > limit{s}) END) AS hit{s}" for s, e in stages)
+    hits = ", ".join(f"min(r.rn) FILTER (WHERE r.rn BETWEEN at{s} AND coalesce(at{e}, top) AND CASE WHEN side = 1 THEN a <= limit{s} OR (dv > 0 AND r.p < limit{s}) ELSE b >= limit{s} OR (dv > 0 AND r.p > limit{s}) END) AS hit{s}" for s, e in stages)
     fill, stage, kind, price, prev = [], [], [], [], "'initial'"
     for n, (s, e) in enumerate(stages):
         prev = "'initial'" if s == 0 else f"CASE WHEN limit{s} = limit{marks[n - 1]} THEN {prev} ELSE 'signal' END"
@@ -36,17 +36,23 @@ def _sql(decisions: tuple[int, ...], offsets: tuple[int, ...]) -> str:
                 lst.append(f"WHEN side * q{e} > 0 THEN {v}")
     for lst, v in ((fill, "at10"), (stage, "'deadline'"), (kind, "'market'"), (price, "NULL")):
         lst.append(f"WHEN at10 IS NOT NULL THEN {v}")
-    late = " ".join(f"WHEN why{s} IS NOT NULL AND NOT coalesce(z.t < task + {s * 1000000}, false) THEN '{'deadline' if s == 10 else 'signal'}_' || why{s}" for s in marks[1:])
+    ends = [("'broken_path'", "broken * 2")]
+    for n, m in enumerate(marks[1:]):
+        against = " OR ".join(["false", *(f"coalesce(side * q{e} > 0, false)" for e in marks[1 : n + 1])])
+        ends.append((f"'{'deadline' if m == 10 else 'signal'}_' || why{m}", f"CASE WHEN why{m} IS NOT NULL AND NOT ({against}) THEN (task + {m * 1000000}) * 2 + 1 END"))
+    first_end = f"least({', '.join(e for _, e in ends)})"
+    late = " ".join(f"WHEN fin = {e} THEN {n}" for n, e in ends)
     case = lambda x: f"CASE {' '.join(x)} END"
     return f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task FROM tasks), {LASTS}{src},
     m AS (SELECT {K}, task, side, off, {cols}, top FROM s0 {' '.join(f'JOIN s{s} {using}' for s in marks[1:])} LEFT JOIN {top} USING ({K}), (VALUES (1), (-1)) v(side), (VALUES {', '.join(f'({k})' for k in offsets)}) w(off)),
     a AS (SELECT *, {arr} FROM m),
-    h AS (SELECT {', '.join('x.' + k for k in KEYS)}, task, side, off, {hits}, min(r.rn) FILTER (WHERE NOT ({GOOD.replace('valid', 'r.valid')} AND r.step AND r.edge_volume)) AS broken
-        FROM a x JOIN q r ON {ON.replace('y.', 'r.')} AND r.rn > x.rn0 AND r.rn <= coalesce(at10, rn0 + 10000) WHERE why0 IS NULL GROUP BY ALL),
+    h AS (SELECT {', '.join('x.' + k for k in KEYS)}, task, side, off, {hits}, min(r.t) FILTER (WHERE NOT ({GOOD.replace('valid', 'r.valid')} AND r.step AND r.edge_volume)) AS broken
+        FROM a x JOIN q r ON {ON.replace('y.', 'r.')} AND r.rn > x.rn0 AND r.rn <= coalesce(at10, top) WHERE why0 IS NULL GROUP BY ALL),
     f AS (SELECT a.*, h.* EXCLUDE ({K}, task, side, off), {case(fill)} AS fill_row, {case(stage)} AS stage, {case(kind)} AS kind, {case(price)} AS lim FROM a LEFT JOIN h USING ({K}, task, side, off)),
-    z AS (SELECT f.*, z.t AS fill_t, z.a AS ask, z.b AS bid, CASE WHEN why0 IS NOT NULL THEN 'initial_' || why0 WHEN fill_row IS NULL AND broken IS NULL THEN 'insufficient_arrival_tail' WHEN broken <= coalesce(fill_row, 1099511627776) THEN 'broken_path' {late} END AS reason
+    z AS (SELECT f.*, z.t AS fill_t, z.a AS ask, z.b AS bid, CASE WHEN {first_end} <= coalesce(z.t * 2, 4611686018427387904) THEN {first_end} END AS fin
         FROM f LEFT JOIN q z ON {' AND '.join(f'f.{k} = z.{k}' for k in KEYS)} AND f.fill_row = z.rn),
-    e AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN kind = 'limit' THEN lim WHEN side = 1 THEN ask ELSE bid END END AS price FROM z)
+    y AS (SELECT *, CASE WHEN why0 IS NOT NULL THEN 'initial_' || why0 {late} WHEN fill_row IS NULL THEN 'insufficient_arrival_tail' END AS reason FROM z),
+    e AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN kind = 'limit' THEN lim WHEN side = 1 THEN ask ELSE bid END END AS price FROM y)
     SELECT {K}, task, side, off AS "offset", CASE WHEN reason IS NULL THEN 'filled' ELSE 'invalid' END AS status, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN kind END AS kind, CASE WHEN reason IS NULL THEN fill_t END AS fill_t, price, {R('side * (price - p0) / p0 * 1e4')} AS cost_bp FROM e"""
 
 
