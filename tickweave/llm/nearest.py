@@ -47,7 +47,7 @@ class LearnedIndex:
 
     def lower_bound(self, q: np.ndarray) -> np.ndarray:
         """Position of the first key >= q: predicted, then searched for in the window that the error bound leaves."""
-        piece = np.maximum(np.searchsorted(self.first, q, side="right") - 1, 0)
+        piece = np.maximum(np.searchsorted(self.first, q, side="left") - 1, 0)
         lo, hi = self.lo[piece], self.hi[piece]
         guess = lo + np.rint(self.slope[piece] * (q - self.first[piece]).astype(float)).astype(np.int64)
         a = np.clip(guess - self.error - 2, lo, hi)
