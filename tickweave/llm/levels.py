@@ -32,7 +32,7 @@ _GREETING = re.compile(r"^\s*(?:[A-Z][\w.]*(?:\s[\w.]+){0,2},\s+(?:[a-z]+,\s+)?)
 _GROUP = re.compile(r"[aeiouyäöü]+")
 _HIATUS = re.compile(r"ia(?!ge)|io(?!u)|iu|(?<!p)eo(?!u)|(?<!q)ua(?!r)|uou|yi|(?<!q)ue[nt]|eing|creat|scie|(?<=[^aeiou])ea$")
 _KEPT = re.compile(r"(?:[^aeiouy]le|[td]ed|(?:[sxz]|[cs]h|[cg])es)$")
-_TION = re.compile(r"[tcsg]i(?:on|al|ous|an|en|ent|a)")
+_TION = re.compile(r"(?<!s)[tcsg]i(?:on|al|ous|an|en|ent|a)")
 
 
 def syllables(word: str) -> int:
