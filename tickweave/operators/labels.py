@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.operators.asof import asof, following
+from tickweave.operators.asof import asof
 from tickweave.operators.lens import KEYS, ORDER
 
 AGE = 500_000
@@ -38,31 +38,34 @@ def schedule(sessions: DataFrame, plan: Schedule = Schedule()) -> DataFrame:
     return s.withColumn("t", F.col("task") + F.col("observation"))
 
 
-def origins(tasks: DataFrame, q: DataFrame) -> DataFrame:
+def origins(tasks: DataFrame, q: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Tasks with their source row (the last one up to the decision) and their arrival row (the second one after it), with statuses.
 
     Source status: NO_SOURCE, STALE_SOURCE (older than half a second), INVALID_INPUT (no valid price), ok. Arrival status follows the source's;
-    MISSING_OR_GAPPED_ARRIVAL where there is no second row, its price is not valid or it lies beyond a break.
+    MISSING_OR_GAPPED_ARRIVAL where there is no second row, its price is not valid or it lies beyond a break. Columns of ``carry`` come along
+    from the source row as ``s_<name>``.
     """
     values = ["rn", "snap_id", "p", "seg_price", "valid_price"]
-    x = asof(tasks, q, KEYS, values, order=ORDER[1:], prefix="s_")
-    x = following(x, q, KEYS, values, 2, order=ORDER[1:], prefix="a_")
+    x = asof(tasks, q, KEYS, [*values, *carry], order=ORDER[1:], prefix="s_").withColumn("_second", F.coalesce("s_rn", F.lit(0)) + 2)
+    x = x.join(q.select(*KEYS, F.col("rn").alias("_second"), "t", *(v for v in values if v != "rn")).toDF(*KEYS, "_second", *(f"a_{v}" for v in ("t", *values[1:]))), [*KEYS, "_second"], "left").drop("_second")
     source = F.when(F.col("s_t").isNull(), "NO_SOURCE").when(F.col("t") - F.col("s_t") > AGE, "STALE_SOURCE").when(~F.col("s_valid_price"), "INVALID_INPUT").otherwise("ok")
     x = x.withColumn("source_status", source)
     arrives = F.coalesce(F.col("a_valid_price") & (F.col("a_seg_price") == F.col("s_seg_price")), F.lit(False))
     return x.withColumn("arrival_status", F.when(F.col("source_status") != "ok", F.col("source_status")).when(arrives, "ok").otherwise("MISSING_OR_GAPPED_ARRIVAL"))
 
 
-def labels(tasks: DataFrame, q: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
+def labels(tasks: DataFrame, q: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4, 5), origin: DataFrame | None = None) -> DataFrame:
     """(keys, task, observation, anchor, horizon, y, status, late, y_incremental, incremental_status), in ticks.
 
     Anchor ``decision`` starts at the decision and its source row, ``arrival`` at the arrival row. The end is the first row ``horizon`` seconds
     after the start or later. Status: INVALID_ORIGIN, NO_FUTURE, LATE_FUTURE (over half a second late), GAPPED_OR_INVALID_FUTURE, ok. The
-    incremental label is the difference to the horizon a second before; both must be ok.
+    incremental label is the difference to the horizon a second before; both must be ok. ``origin`` is the result of ``origins`` where
+    it has been made already; its columns besides those of rows come along.
     """
-    o = origins(tasks, q)
+    o = origins(tasks, q) if origin is None else origin
+    more = [c for c in o.columns if c not in (*KEYS, "task", "observation", "t", "source_status", "arrival_status") and not c.startswith("a_") and c not in ("s_t", "s_rn", "s_snap_id", "s_p", "s_seg_price", "s_valid_price")]
     start = lambda name, status, t, pre: F.struct(F.lit(name).alias("anchor"), (F.col(status) == "ok").alias("usable"), F.col(t).alias("start"), F.col(f"{pre}p").alias("p0"), F.col(f"{pre}seg_price").alias("seg0"))
-    o = o.select(*KEYS, "task", "observation", F.explode(F.array(start("decision", "source_status", "t", "s_"), start("arrival", "arrival_status", "a_t", "a_"))).alias("x")).select(*KEYS, "task", "observation", "x.*")
+    o = o.select(*KEYS, "task", "observation", *more, F.explode(F.array(start("decision", "source_status", "t", "s_"), start("arrival", "arrival_status", "a_t", "a_"))).alias("x")).select(*KEYS, "task", "observation", *more, "x.*")
     o = o.withColumn("horizon", F.explode(F.array(*(F.lit(int(u)) for u in horizons)))).withColumn("t", F.col("start") + F.col("horizon").cast("bigint") * 1_000_000)
     x = asof(o, q, KEYS, ["p", "seg_price", "valid_price"], forward=True, order=ORDER[1:], prefix="e_")
     late = F.when(F.col("usable"), (F.col("e_t") - F.col("t")) / 1e6)
@@ -73,7 +76,7 @@ def labels(tasks: DataFrame, q: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4
     had = F.coalesce(F.lag("status").over(_by_horizon()) == "ok", F.col("horizon") == min(horizons))
     x = x.withColumn("incremental_status", F.when(F.col("status") != "ok", F.col("status")).when(had, "ok").otherwise("INVALID_PREVIOUS_ENDPOINT"))
     x = x.withColumn("y_incremental", F.when(F.col("incremental_status") == "ok", F.col("y") - F.coalesce(before, F.lit(0.0))))
-    return x.select(*KEYS, "task", "observation", "anchor", "horizon", "y", "status", "late", "y_incremental", "incremental_status")
+    return x.select(*KEYS, "task", "observation", *more, "anchor", "horizon", "y", "status", "late", "y_incremental", "incremental_status")
 
 
 def _by_horizon():

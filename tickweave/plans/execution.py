@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators import replay as rp
 from tickweave.operators.lens import KEYS, quotes_sql
-from tickweave.plans.features import rows
+from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import out
 from tickweave.plans.labels import LASTS, ON, TASKS, tasks
 from tickweave.plans.oracle import rounded_sql as R
@@ -16,6 +16,11 @@ K = ", ".join(KEYS)
 GOOD = "(valid_price AND valid_book AND valid_queue AND valid_volume)"
 
 
+def path(spark: SparkSession, d: str) -> DataFrame:
+    """What the replay reads of the lens, written once."""
+    return kept(rows(spark, d), "p", "b", "a", "qb", "qa", "dv", "qstate", "step", "edge_volume", "valid_price", "valid_book", "valid_queue", "valid_volume")
+
+
 def _sql(decisions: tuple[int, ...], offsets: tuple[int, ...]) -> str:
     """Step by step over all rows of each order: what stands before each row, and the first row that ends the order."""
     marks = [0, *decisions, 10]
@@ -58,7 +63,7 @@ def _sql(decisions: tuple[int, ...], offsets: tuple[int, ...]) -> str:
 
 def _replay(decisions: tuple[int, ...], offsets: tuple[int, ...]):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return out(rp.replay(tasks(spark, d), rows(spark, d), decisions, offsets))
+        return out(rp.replay(tasks(spark, d), path(spark, d), decisions, offsets))
 
     run.__doc__ = f"Orders with decisions at {decisions} s and passive offsets {offsets}."
     return run
@@ -76,7 +81,7 @@ def exec_market(spark: SparkSession, d: str) -> DataFrame:
 
 def exec_fill_mix(spark: SparkSession, d: str) -> DataFrame:
     """Mean cost and orders by decision schedule, stage and kind."""
-    t, q = tasks(spark, d), rows(spark, d)
+    t, q = tasks(spark, d), path(spark, d)
     x = None
     for name, dec in (("C3", (3,)), ("C36", (3, 6))):
         one = rp.replay(t, q, dec, (0,)).where("status = 'filled'").withColumn("policy", F.lit(name))

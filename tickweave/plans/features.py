@@ -10,6 +10,7 @@ from tickweave.operators import factors
 from tickweave.operators.factors import PRIMITIVE
 from tickweave.operators.lens import GROUPS, JOINT, quotes, quotes_sql
 from tickweave.plans.oracle import ROUND, aggregate_sql, rounded_sql, windowed_sql
+from tickweave.runtime import stored
 from tickweave.sources.tables import table
 
 H = 5
@@ -19,6 +20,11 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return quotes(table(spark, d, "snapshots"), table(spark, d, "sessions"), table(spark, d, "contracts"))
 
 
+def kept(q: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of the row lens as a written table, for plans that read the lens more than once."""
+    return stored(q.select("Contract", "trade_date", "session", "snap_id", "source_row", "t", "rn", *columns), "lens")
+
+
 def rounded(df: DataFrame, digits: int = ROUND) -> DataFrame:
     """snap_id and the other columns, doubles rounded as the SQL rounds them."""
     keep = [(c, t) for c, t in df.dtypes if c not in ("Contract", "trade_date", "session", "t")]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tickweave.operators import asof as joins
 from tickweave.operators import factors, labels, statistics
 from tickweave.operators.lens import KEYS, ORDER, quotes_sql
-from tickweave.plans.features import rounded, rows
+from tickweave.functions.catalog import WINDOWED
+from tickweave.plans.features import kept, rows
 from tickweave.plans.oracle import rounded_sql, windowed_sql
 from tickweave.sources.tables import table
 
@@ -74,17 +75,24 @@ def task_origins(spark: SparkSession, d: str) -> DataFrame:
 
 def label_grid(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative and incremental labels of both anchors over 1 to 5 s."""
-    x = labels.labels(tasks(spark, d), rows(spark, d), HORIZONS)
+    x = labels.labels(tasks(spark, d), kept(rows(spark, d), "p", "seg_price", "valid_price"), HORIZONS)
     return x.withColumn("late", F.expr(rounded_sql("late")))
 
 
+def with_factors(spark: SparkSession, d: str, keys: list[tuple[str, str, str]], h: int = 5) -> tuple[DataFrame, list[str]]:
+    """The lens with rounded factors in it, written once, and their names: the as-of join then carries them along."""
+    names = [f"{f}_{s}_h{h}s" for _, f, s in keys]
+    q = factors.add_formulas(rows(spark, d), {n: (g, WINDOWED[g, f, s][0], h) for n, (g, f, s) in zip(names, keys)})
+    q = q.withColumns({n: F.expr(rounded_sql(n)) for n in names})
+    return kept(q, "p", "seg_price", "valid_price", *names), names
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """trade_date, factor, anchor, horizon, x, y: one row per task, factor and label."""
-    q, t = rows(spark, d), tasks(spark, d)
-    f = rounded(factors.window_factors(q, FACTORS, (5,), status=False)).unpivot(["snap_id"], ["F05_Momentum_h5s", "C01_PriceRV_h5s"], "factor", "x")
-    o = labels.origins(t, q).where("source_status = 'ok'").select(*KEYS, "task", "observation", F.col("s_snap_id").alias("snap_id"))
-    y = labels.labels(t, q, HORIZONS).select(*KEYS, "task", "observation", "anchor", "horizon", "y")
-    return o.join(f, "snap_id").join(y, [*KEYS, "task", "observation"])
+    q, names = with_factors(spark, d, FACTORS)
+    o = labels.origins(tasks(spark, d), q, names).where("source_status = 'ok'")
+    y = labels.labels(None, q, HORIZONS, o)
+    return y.unpivot(["trade_date", "anchor", "horizon", "y"], [f"s_{n}" for n in names], "factor", "x").withColumn("factor", F.expr("substring(factor, 3)"))
 
 
 def ic_daily(spark: SparkSession, d: str) -> DataFrame:

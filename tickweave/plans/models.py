@@ -9,7 +9,7 @@ from tickweave.operators import factors, labels, models
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import rounded, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import LABELS, LASTS, ORIGINS, TASKS, tasks
+from tickweave.plans.labels import LABELS, LASTS, ORIGINS, TASKS, tasks, with_factors
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
 from tickweave.runtime import stored
@@ -22,11 +22,11 @@ FROZEN = models.Model(FEATURES, 1.0, [0.0, 2.0, 0.0], [5.0, 2.0, 3.0], [[0.2, 0.
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
     """trade_date, keys, features at the source row, and y: the sign of the price change over 1 s after the decision."""
-    q, t = rows(spark, d), tasks(spark, d)
-    f = rounded(factors.window_factors(q, _KEYS, (5,), status=False))
-    o = labels.origins(t, q).where("source_status = 'ok'").select(*KEYS, "task", "observation", F.col("s_snap_id").alias("snap_id"))
-    y = labels.labels(t, q, (1,)).where("anchor = 'decision' and status = 'ok'").select(*KEYS, "task", "observation", F.signum("y").cast("int").alias("y"))
-    return o.join(f, "snap_id").join(y, [*KEYS, "task", "observation"]).dropna(subset=FEATURES)
+    q, names = with_factors(spark, d, _KEYS)
+    o = labels.origins(tasks(spark, d), q, names).where("source_status = 'ok'")
+    x = labels.labels(None, q, (1,), o).where("anchor = 'decision' and status = 'ok'")
+    x = x.select(*KEYS, "task", "observation", *(F.col(f"s_{n}").alias(n) for n in names), F.signum("y").cast("int").alias("y"))
+    return x.dropna(subset=FEATURES)
 
 
 _EX = f"""WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, fac AS ({windowed_sql(_KEYS, 5)}),

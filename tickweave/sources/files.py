@@ -100,7 +100,12 @@ def publish(df: DataFrame, path: str, by: Sequence[str] = (), about: dict | None
 
 def manifest(spark: SparkSession, path: str) -> dict:
     """The manifest beside a published table."""
-    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/_manifest.json").collect()))
+    p, fs = _fs(spark, f"{path}/_manifest.json")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
