@@ -154,6 +154,8 @@ def judge(p: dict[str, np.ndarray], v: np.ndarray, sizes: list[np.ndarray], tick
     for x in sizes:
         sized |= ~np.isnan(x) & (x != _last(x, group))
     goes = {"LastPrice": traded, "BidPrice1": traded | sized, "AskPrice1": traded | sized, "Volume": changed["LastPrice"] & ~(np.nan_to_num(scores["LastPrice"]) >= 8)}
+    # A trade outside the quotes: one of last price, bid and ask is not of its time.
+    away = np.cumsum(traded & (np.nan_to_num(outside) > 0))
     for f, x in (*t.items(), ("Volume", clean)):
         run, have = _runs(x, group)
         if not len(have):
@@ -167,6 +169,7 @@ def judge(p: dict[str, np.ndarray], v: np.ndarray, sizes: list[np.ndarray], tick
         total = np.cumsum(goes[f].astype(int))
         tail = have[np.r_[first[1:], len(r)] - 1]
         active = total[tail] - total[have[first]]
+        beyond = away[tail] - away[have[first]]
         if f != "Volume":
             same = goes[f] & ~np.isnan(x) & ~np.isnan(_last(x, group)) & ~changed[f]
             act = goes[f] & ~np.isnan(x) & ~np.isnan(_last(x, group))
@@ -178,7 +181,7 @@ def judge(p: dict[str, np.ndarray], v: np.ndarray, sizes: list[np.ndarray], tick
         stuck = (rows >= least) & (active >= busy)
         if stuck.any():
             at = np.flatnonzero(stuck[r - r[0]] & (later > 0))
-            found.append(("stuck", f, have[at], None, rows[r[at] - r[0]], active[r[at] - r[0]]))
+            found.append(("stuck", f, have[at], beyond[r[at] - r[0]].astype(float), rows[r[at] - r[0]], active[r[at] - r[0]]))
     return found, stats
 
 
@@ -235,7 +238,7 @@ def spike_evidence(snapshots: DataFrame, contracts: DataFrame) -> DataFrame:
     return map_groups(rows, KEYS, ("t", "source_row", "snap_id"), _scan, OUT)
 
 
-def implausible_values(snapshots: DataFrame, contracts: DataFrame, *, ratio: float = 3.2, alone: float = 4.0, odds: float = 17.0) -> DataFrame:
+def implausible_values(snapshots: DataFrame, contracts: DataFrame, *, ratio: float = 3.2, alone: float = 4.0, odds: float = 15.0, quote_odds: float = 22.0) -> DataFrame:
     """(snap_id, field, rule) of stored values which a contract's market cannot have shown.
 
     Within each session rows are ordered by ``Datetime``, ``source_row``, ``snap_id``. Rules:
@@ -256,6 +259,6 @@ def implausible_values(snapshots: DataFrame, contracts: DataFrame, *, ratio: flo
     keep = (
         (F.col("kind") == "hard")
         | ((F.col("kind") == "spike") & (F.col("score") > F.when(F.col("rows") == 1, F.lit(alone)).otherwise(F.lit(ratio)) * F.coalesce("scale", F.lit(1.0))))
-        | ((F.col("kind") == "stuck") & ((F.col("field") == "Volume") | (-F.col("active") * F.log("rest") > odds)))
+        | ((F.col("kind") == "stuck") & ((F.col("field") == "Volume") | (2 * F.least("score", F.lit(10.0)) - F.col("active") * F.log("rest") > F.when(F.col("field") == "LastPrice", odds).otherwise(quote_odds))))
     )
     return judged.where(keep).groupBy("snap_id", "field").agg(F.min("kind").alias("rule"))
