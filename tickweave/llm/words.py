@@ -12,7 +12,7 @@ LOOKALIKE = {
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
-_LOOKALIKE = str.maketrans(LOOKALIKE)
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e]+")
 
 #: Notes in brackets of any kind (of up to 160 characters), markup, and separate lines: page marks, calls with or without a name.
 _NOTE = re.compile(r"\([^()\n]{0,160}\)|\[[^\[\]\n]{0,160}\]|<[^<>\n]{0,160}>|&[a-z]{2,8};", re.I)
@@ -20,23 +20,39 @@ _LINE = re.compile(
     r"^[ \t]*(?:[—–-]+[ \t]*(?:\d+|[^\n.]{0,60}[!?])?[ \t]*[—–-]*|\[?(?:page|p\.)[ \t]*\d+\]?|[^\n:.]{2,60}:[^\n:]{0,60}[!?])[ \t]*\r?$",
     re.M | re.I,
 )
+_CUT = re.compile(r"-[ \t]*\r?\n")
 _JOIN = re.compile(r"(?<=[^\W\d])-[ \t]*\r?\n\s*(?=[^\W\d])")
 WORD = re.compile(r"[a-z0-9]+")
 
 
+class Runs(dict):
+    """Runs of other characters than printable ASCII, as a reader takes them; forgets all when it has seen very many."""
+
+    def __missing__(self, run: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        x = unicodedata.normalize("NFKD", "".join(LOOKALIKE.get(c, c) for c in run))
+        x = "".join(c for c in x if not unicodedata.combining(c) and unicodedata.category(c) not in ("Cf", "Cc"))
+        if len(run) <= 64:
+            self[run] = x
+        return x
+
+
+_LATIN = Runs()
+
+
 def plain(text: str) -> str:
     """Look-alike and compatibility characters as their Latin ones, marks and invisible characters removed."""
-    if text.isascii():
-        return text
-    text = unicodedata.normalize("NFKD", text.translate(_LOOKALIKE))
-    return "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\r\t")
+    return _ODD.sub(lambda m: _LATIN[m[0]], text)
 
 
 def spoken(text: str) -> str:
     """``plain`` text without notes in brackets, markup, page marks and calls on lines of their own; words cut at line ends joined."""
     text = plain(text)
     if "\n" in text:
-        text = _JOIN.sub("", _LINE.sub(" ", text))
+        text = _LINE.sub(" ", text)
+        if _CUT.search(text):
+            text = _JOIN.sub("", text)
     return _NOTE.sub(" ", text)
 
 
