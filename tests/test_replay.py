@@ -10,7 +10,7 @@ from tickweave.operators.lens import KEYS, quotes
 from tickweave.operators.replay import choose_action, market_orders, orders, replay
 
 
-def loop(data, task, side, offset, decisions):
+def loop(data, task, side, offset, decisions, early):
     """One order, event by event: rows before clocks at one time, a standing limit before an arriving command."""
     t = [r["t"] for r in data]
     good = lambda r: r["valid_price"] and r["valid_book"] and r["valid_queue"] and r["valid_volume"]
@@ -24,8 +24,8 @@ def loop(data, task, side, offset, decisions):
     if bad:
         return "initial_" + bad
     p0 = data[i]["p"]
-    standing, coming = None, (arrive(task), "limit", p0 - side * offset, "initial")
-    clocks = [(task + s * 1_000_000, s) for s in (*decisions, 10)]
+    standing, queue = None, [(arrive(task), "limit", p0 - side * offset, "initial")]
+    clocks = [(task + s * 1_000_000, s) for s in (*early, *decisions, 10)]
     events = sorted([(t[k], 0, k) for k in range(i + 1, len(t))] + [(c, 1, s) for c, s in clocks])
 
     def match(r):
@@ -39,9 +39,8 @@ def loop(data, task, side, offset, decisions):
                 return "broken_path"
             if standing and match(r):
                 return ("limit", standing[1], standing[0], now)
-            if coming and coming[0] == k:
-                _, what, level, stage = coming
-                coming = None
+            while queue and queue[0][0] == k:
+                _, what, level, stage = queue.pop(0)
                 if what == "market":
                     return ("market", stage, r["a"] if side == 1 else r["b"], now)
                 standing = (level, stage)
@@ -49,35 +48,39 @@ def loop(data, task, side, offset, decisions):
                     return ("limit", stage, level, now)
         else:
             i, bad = source(now)
-            if coming and coming[1] == "market":
+            if any(c[1] == "market" for c in queue):
+                continue
+            if k in early:
+                if not bad and side * data[i]["qstate"] > 0:
+                    queue.append((arrive(now), "market", None, "signal"))
                 continue
             if bad:
                 return ("deadline_" if k == 10 else "signal_") + bad
             if k == 10:
-                coming = (arrive(now), "market", None, "deadline")
+                queue.append((arrive(now), "market", None, "deadline"))
             elif side * data[i]["qstate"] > 0:
-                coming = (arrive(now), "market", None, "signal")
+                queue.append((arrive(now), "market", None, "signal"))
             else:
                 level = data[i]["p"] - side * offset
                 if not standing or standing[0] != level:
-                    coming = (arrive(now), "limit", level, "signal")
+                    queue.append((arrive(now), "limit", level, "signal"))
     return "insufficient_arrival_tail"
 
 
-@pytest.mark.parametrize("decisions", [(3,), (3, 6, 9)])
-def test_replay_equals_the_event_loop(spark, decisions):
+@pytest.mark.parametrize("decisions,early", [((3,), ()), ((3, 6, 9), ()), ((3,), (1,)), ((3,), (2,))])
+def test_replay_equals_the_event_loop(spark, decisions, early):
     raw = [r for s in range(4) for r in walk(200, seed=20 + s, step=0.45, session=f"09{s}0", first=s * 100_000)]
     sess = [(s, "A", "2026-01-05", f"09{s}0", raw[0][4].replace(minute=30, second=0, microsecond=0), 80, None) for s in range(4)]
     snaps, sessions, contracts = frames(spark, raw, sess)
     q = quotes(snaps, sessions, contracts).cache()
     tasks = schedule(sessions, Schedule(2.0, 2.0, (0.0,)))
-    got = replay(tasks, q, decisions, (0, 2)).collect()
+    got = replay(tasks, q, decisions, (0, 2), early).collect()
     by = {}
     for r in q.orderBy("rn").collect():
         by.setdefault(r.session, []).append(r.asDict())
     filled = set()
     for o in got:
-        want = loop(by[o.session], o.task, o.side, o.offset, decisions)
+        want = loop(by[o.session], o.task, o.side, o.offset, decisions, early)
         if isinstance(want, str):
             assert (o.status, o.reason) == ("invalid", want), (o, want)
         else:

@@ -25,19 +25,22 @@ def orders(tasks: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
     return x.withColumn("offset", F.explode(F.array(*(F.lit(int(k)) for k in offsets))))
 
 
-def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offsets: Sequence[int] = (0,)) -> DataFrame:
+def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offsets: Sequence[int] = (0,), early: Sequence[int] = ()) -> DataFrame:
     """(keys, task, side, offset, status, reason, stage, kind, fill_t, price, cost_bp) of orders that start as limits at the last price.
 
     ``tasks`` is (keys, task) in microseconds since the open. The limit stands ``offset`` ticks on the passive side of the last price at the
     task. At each of ``decisions`` seconds the state of the queue at the source row is the signal: against the order (side x signal above 0)
     it becomes a market order, else a limit at the then last price less the offset; an unchanged limit stays. At 10 s what is left becomes
-    a market order. A command arrives at the second row strictly after it is given; until and including that row the old limit stands. A
+    a market order. At seconds of ``early``, before the first decision, a signal against the order makes it a market order too, any other or a
+    missing source leaves it as it is. A command arrives at the second row strictly after it is given; until and including that row the old limit stands. A
     fill before the arrival takes precedence. Market orders take the opposite quote.
 
     An order is invalid if a source is missing, older than half a second or not valid, if a row from the task to its fill is not valid
     or does not follow its predecessor legally, or if the rows end too early; rows after the fill do not matter.
     """
-    marks = [0, *decisions, FINAL]
+    marks = [0, *early, *decisions, FINAL]
+    if marks != sorted(set(marks)):
+        raise ValueError("early checks come before decisions, and decisions before the end, in order of time")
     t = tasks.select(*KEYS, "task").distinct().withColumn("mark", F.explode(F.array(*(F.lit(s) for s in marks))))
     t = t.withColumn("t", F.col("task") + F.col("mark").cast("bigint") * 1_000_000)
     t = asof(t, q.withColumn("good", _good()), KEYS, ["rn", "p", "qstate", "good"], order=ORDER[1:], prefix="s_")
@@ -47,7 +50,9 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     t = t.join(q.groupBy(*KEYS).agg(F.max("rn").alias("top")), list(KEYS), "left")
     second = lambda s: F.coalesce(f"rn{s}", F.lit(0)) + 2
     t = t.withColumns({f"at{s}": F.when(second(s) <= F.col("top"), second(s)) for s in marks})
-    o = orders(t, offsets).withColumns({f"limit{s}": F.col(f"p{s}") - F.col("side") * F.col("offset") for s in marks[:-1]})
+    for s in early:  # a source that can't be used is no signal
+        t = t.withColumn(f"state{s}", F.when(F.col(f"why{s}").isNull(), F.col(f"state{s}")))
+    o = orders(t, offsets).withColumns({f"limit{s}": F.col(f"p{0 if s in early else s}") - F.col("side") * F.col("offset") for s in marks[:-1]})
     rows = q.select(*KEYS, F.col("rn").alias("row"), "t", "p", "b", "a", "qb", "qa", "dv", (_good() & F.col("step") & F.col("edge_volume")).alias("legal"))
     last = F.coalesce(f"at{FINAL}", "top")
     span = o.where("why0 is null").withColumn("_b", F.explode(F.sequence(F.expr("rn0 div 64"), (last / 64).cast("bigint"))))
@@ -82,7 +87,8 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     ends = {"broken_path": F.col("broken") * 2}
     against = F.lit(False)
     for s in marks[1:]:  # a market order under way is not looked at again
-        ends["signal" if s != FINAL else "deadline", s] = F.when(F.col(f"why{s}").isNotNull() & ~F.coalesce(against, F.lit(False)), (F.col("task") + s * 1_000_000) * 2 + 1)
+        if s not in early:
+            ends["signal" if s != FINAL else "deadline", s] = F.when(F.col(f"why{s}").isNotNull() & ~F.coalesce(against, F.lit(False)), (F.col("task") + s * 1_000_000) * 2 + 1)
         against = against | F.coalesce(F.col("side") * F.col(f"state{s}") > 0, F.lit(False))
     first_end = F.least(*ends.values())
     x = x.withColumn("_end", F.when(first_end <= F.coalesce(F.col("fill_t") * 2, F.lit(1 << 62)), first_end))

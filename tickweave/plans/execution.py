@@ -89,7 +89,12 @@ def exec_fill_mix(spark: SparkSession, d: str) -> DataFrame:
     return out(x.groupBy("policy", "stage", "kind").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-QUERIES |= {"exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
+def exec_early(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that may turn into market orders at 1 s already."""
+    return out(rp.replay(tasks(spark, d), path(spark, d), (3,), (0,), (1,)))
+
+
+QUERIES |= {"exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
 SQL["exec_market"] = f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task, task AS t FROM tasks), {LASTS}, s AS (SELECT x.*, y.rn, y.p AS p0 FROM tk x ASOF JOIN lasts y ON {ON} AND x.t >= y.t WHERE x.t - y.t <= 500000 AND {GOOD.replace('valid', 'y.valid')})
     SELECT {', '.join('s.' + k for k in KEYS)}, task, side, CASE WHEN side = 1 THEN n2.a ELSE n2.b END AS price, {R('side * (CASE WHEN side = 1 THEN n2.a ELSE n2.b END - p0) / p0 * 1e4')} AS cost_bp FROM s JOIN q n1 ON {' AND '.join(f's.{k} = n1.{k}' for k in KEYS)} AND n1.rn = s.rn + 1 JOIN q n2 ON {' AND '.join(f's.{k} = n2.{k}' for k in KEYS)} AND n2.rn = s.rn + 2, (VALUES (1), (-1)) v(side)
     WHERE {GOOD.replace('valid', 'n1.valid')} AND n1.step AND n1.edge_volume AND {GOOD.replace('valid', 'n2.valid')} AND n2.step AND n2.edge_volume"""
