@@ -69,6 +69,8 @@ def test_missing_values_copies_and_empty(spark):
     rows += [(5000, *copy[1:]), (5001, None, *copy[2:]), (5002, *copy[1:4], None, *copy[5:])]
     assert flags(spark, rows) == {(30, "LastPrice"), (5000, "LastPrice")}
     s, _, c = frames(spark, rows)
+    nulls = frames(spark, [(None, *r[1:]) for r in rows[:3]] + [(*r[:1], None, *r[2:]) for r in rows[:3]] + [(*r[:2], None, None, *r[4:11], None, None, *r[13:]) for r in rows])[0]
+    assert {r.snap_id for r in implausible_values(nulls, c).collect()} == {30, 5000}  # of rows without a feed number each is judged alone
     assert implausible_values(s.limit(0), c).count() == 0
     assert implausible_values(s, c.limit(0)).count() >= 2  # without a tick size the smallest move stands in
 

@@ -202,7 +202,7 @@ def _scan(table: pa.Table, lo: int, hi: int) -> pa.Table:
     found, stats = judge(p, as_float("Volume")[keep], [as_float(f)[keep] for f in ("BidVolume1", "AskVolume1")], as_float("tick")[keep], group)
     first = np.searchsorted(owner, np.arange(len(keep)), side="left")
     count = np.diff(np.r_[first, n])
-    contract, snap = table.column("Contract").combine_chunks(), table.column("snap_id").to_numpy()
+    contract, snap = table.column("Contract").combine_chunks(), table.column("snap_id").combine_chunks()
     parts: dict[str, list] = {k: [] for k in ("at", "kind", "field", "score", "rows", "active")}
 
     def add(at, kind, field, score, rows, active) -> None:
@@ -225,7 +225,7 @@ def _scan(table: pa.Table, lo: int, hi: int) -> pa.Table:
             add(first[[at]], "scale" if not math.isnan(q) else "rests", field, [0 if math.isnan(q) else q], [same_rows], [active])
     at = np.concatenate(parts["at"]) if parts["at"] else np.empty(0, int)
     return pa.table({
-        "Contract": contract.take(pa.array(at, pa.int64())), "kind": pa.array(parts["kind"], pa.string()), "field": pa.array(parts["field"], pa.string()), "snap_id": pa.array(snap[at], pa.int64()),
+        "Contract": contract.take(pa.array(at, pa.int64())), "kind": pa.array(parts["kind"], pa.string()), "field": pa.array(parts["field"], pa.string()), "snap_id": snap.take(pa.array(at, pa.int64())),
         "score": pa.array(np.concatenate(parts["score"]) if len(at) else [], pa.float64()), "rows": pa.array(np.concatenate(parts["rows"]) if len(at) else [], pa.int32()), "active": pa.array(np.concatenate(parts["active"]) if len(at) else [], pa.int32()),
     })
 
