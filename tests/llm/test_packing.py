@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tickweave.llm.packing import TOKENIZER, PATTERN, Shelf, fill_report, pack, plan, token_counts
+from tickweave.llm.packing import PATTERN, TOKENIZER, Shelf, count_tokens, fill_report, pack, plan, token_counts
 
 
 @pytest.mark.parametrize("capacity,n,seed", [(64, 3000, 0), (512, 5000, 1), (2048, 4000, 2)])
@@ -69,3 +69,13 @@ def test_token_counts_round_trip(spark):
     for i, t in enumerate(texts):
         ids = coder.encode_ordinary(t or "")
         assert got[i] == len(ids) and coder.decode(ids) == (t or "")
+
+
+def test_long_white_space():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(TOKENIZER, "rb"))}
+    coder = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for t in ("a" + " " * 3000 + "b", "\n" * 2500, "x\n" + " " * 1500 + "\ny " + "\t" * 1001, " " * 1200 + "?"):
+        assert count_tokens(coder, t) == len(coder.encode_ordinary(t))
+    assert count_tokens(coder, "a" + " " * 1_000_000 + "b") > 10 and count_tokens(coder, "ab" * 400_000) > 10

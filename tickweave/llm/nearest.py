@@ -63,7 +63,7 @@ def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str],
     """(query_id, event_id, offset) of the event nearest to each query, at most ``tolerance`` microseconds away.
 
     ``queries`` has ``keys``, query_id and t, ``events`` has ``keys``, event_id and t (bigint microseconds; ids bigint). At equal
-    distance the earlier event wins, then the smaller event_id. Rows with a null key or t pair with nothing; repeated queries each
+    distance the earlier event wins, then the smaller event_id. Rows with a null key, id or t pair with nothing; repeated queries each
     come out; queries without an event within tolerance do not. Other columns are ignored.
 
     A shard is an entity and a stretch of ``shard`` microseconds; events within ``tolerance`` of its edge are in both shards, so that
@@ -73,10 +73,10 @@ def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str],
     keys = list(keys)
     if not 0 <= tolerance < shard:
         raise ValueError("tolerance must be below the length of a shard")
-    whole = " and ".join(f"`{k}` is not null" for k in (*keys, "t"))
+    whole = lambda i: " and ".join(f"`{k}` is not null" for k in (*keys, "t", i))
     by = lambda t: F.floor(t / F.lit(float(shard))).cast("bigint")
-    e = events.where(whole).select(*keys, "t", F.col("event_id").alias("id"), F.lit(0).cast("tinyint").alias("kind"), F.explode(F.array_distinct(F.array(by(F.col("t") - tolerance), by(F.col("t") + tolerance)))).alias("shard"))
-    q = queries.where(whole).select(*keys, "t", F.col("query_id").alias("id"), F.lit(1).cast("tinyint").alias("kind"), by(F.col("t")).alias("shard"))
+    e = events.where(whole("event_id")).select(*keys, "t", F.col("event_id").alias("id"), F.lit(0).cast("tinyint").alias("kind"), F.explode(F.array_distinct(F.array(by(F.col("t") - tolerance), by(F.col("t") + tolerance)))).alias("shard"))
+    q = queries.where(whole("query_id")).select(*keys, "t", F.col("query_id").alias("id"), F.lit(1).cast("tinyint").alias("kind"), by(F.col("t")).alias("shard"))
     group = [*keys, "shard"]
 
     def match(table: pa.Table, lo: int, hi: int) -> pa.Table | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -17,10 +18,24 @@ from tickweave.runtime import stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern takes it, so long that matching it would exhaust the matcher's stack.
+BLANK = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 #: Most intervals of a plan that are sent to every task; beyond it they are joined.
 SENT = 2_000_000
 
 
+def count_tokens(coder, text: str | None) -> int:
+    """Tokens of a whole text. A long run of white space is a piece of its own but for its last character, which belongs to what follows."""
+    if not text:
+        return 0
+    total, at = 0, 0
+    for m in BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(coder.encode_ordinary(text[at : m.start()])) + len(coder._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(coder.encode_ordinary(text[at:]))
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, tokens): the length of each whole text in tokens of a rank file; null and empty texts have 0."""
 
@@ -31,7 +46,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            lengths = [len(coder.encode_ordinary(x)) if x else 0 for x in batch.column(1).to_pylist()]
+            lengths = [count_tokens(coder, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], ["doc_id", "tokens"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "doc_id bigint, tokens bigint")

@@ -32,11 +32,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.broken_models(table(spark, d, "models"), splits.date_groups(table(spark, d, "date_links")))
 
 
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every date, by the rows that fills and decisions have on it."""
+    dates = [table(spark, d, t).select(splits.plain_date("trade_date").alias("trade_date")) for t in ("fills", "decisions")]
+    return splits.grouped_splits(dates[0].unionAll(dates[1]), "trade_date", splits.date_groups(table(spark, d, "date_links"))).select("trade_date", "split")
+
+
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     """The split of every fill; rows without a date have none."""
     fills = table(spark, d, "fills").select("fill_id", splits.plain_date("trade_date").alias("trade_date"))
-    dealt = splits.grouped_splits(fills, "trade_date", splits.date_groups(table(spark, d, "date_links")))
-    return fills.join(dealt.select("trade_date", "split"), "trade_date", "left").select("fill_id", "trade_date", "split")
+    return fills.join(_dealt(spark, d), "trade_date", "left").select("fill_id", "trade_date", "split")
+
+
+def p4_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every decision, the same for a date as that of its fills."""
+    rows = table(spark, d, "decisions").select("decision_id", splits.plain_date("trade_date").alias("trade_date"))
+    return rows.join(_dealt(spark, d), "trade_date", "left").select("decision_id", "trade_date", "split")
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +79,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(graded, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("grade"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p4_decisions": p4_decisions, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
 
 _PERCENTS = ", ".join(map(str, percentiles.PERCENTS))
 
