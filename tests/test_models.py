@@ -71,3 +71,10 @@ def test_folds_and_prior(spark):
     assert p[1] == pytest.approx(0.5, abs=1e-5) and p[-1] == pytest.approx(0.5, abs=1e-5) and 0 < p[0] < 1e-5
     c = {r.threshold: r for r in m.threshold_coverage(spark.createDataFrame([("x", 1, 0.1, 0.3, 0.6), ("x", -1, 0.2, 0.3, 0.5), ("y", -1, 0.45, 0.3, 0.25)], "day string, y int, p_down double, p_flat double, p_up double"), "day", (0.4, 0.55)).collect()}
     assert c[0.4].signals == 3 and c[0.4].accuracy == pytest.approx(0.75) and c[0.55].signals == 1
+
+
+def test_explained_share(spark):
+    df, x, _, days = data(spark)
+    z = df.withColumns({"mix": F.col("a") * 2 - F.col("b"), "one": F.lit(1.0)})
+    assert m.explained(z, ["a", "b"], "mix", "day") == pytest.approx(1.0, abs=1e-6) and m.explained(z, ["a"], "c", "day") < 0.05
+    assert np.isnan(m.explained(z, ["a"], "one", "day")) and len(days) == len(x)

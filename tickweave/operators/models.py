@@ -220,6 +220,27 @@ def design(df: DataFrame, features: Sequence[str], day: str, most_vif: float = 5
     return {"status": "OK" if ok else "COLLINEAR", "vif": vif, "condition": float(np.sqrt(values[-1] / values[0])), "pair": pair}
 
 
+def explained(df: DataFrame, core: Sequence[str], feature: str, day: str) -> float:
+    """Share of a feature's date-weighted variance that a linear fit on the core explains, from summed products; nan if it does not vary."""
+    cols = [*core, feature]
+    clean = day_weighted(df.select(*cols, F.col(day).alias("_day")).dropna(), "_day", "_w")
+    k = len(cols) + 1
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        x = np.column_stack([np.ones(b.num_rows), _matrix(b, cols)])
+        return (x.T @ (x * b.column("_w").to_numpy()[:, None])).ravel()
+
+    g = summed(clean, part)
+    if not len(g):
+        return float("nan")
+    g = g.reshape(k, k)
+    total = g[-1, -1] - g[0, -1] ** 2
+    if total <= 1e-12:
+        return float("nan")
+    b = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
+    return float(min(1.0, max(0.0, 1 - (g[-1, -1] - b @ g[:-1, -1]) / total)))
+
+
 def pool(df: DataFrame, features: Sequence[str], least: float = 0.9) -> DataFrame:
     """(feature, coverage, status) with LOW_COVERAGE_OR_CONSTANT for features that too few rows have or that do not vary."""
     f = list(features)

@@ -145,6 +145,30 @@ def block_interval(daily: DataFrame, by: Sequence[str], day: str, metric: str, r
     return d.groupBy(*by).agg(F.avg("_m").alias("mean")).join(bounds, list(by))
 
 
+def block_ratio(daily: DataFrame, by: Sequence[str], day: str, top: str, bottom: str, repeats: int = 1000, block: int = 5, seed: int = 20260928) -> DataFrame:
+    """(by..., ratio, low, high): a ratio of sums over days with its block resamples, from the days' own sums."""
+    days = sorted(r[0] for r in daily.select(day).where(F.col(day).isNotNull()).distinct().collect())
+    draws = block_draws(daily.sparkSession, days, repeats, block, seed)
+    d = daily.select(*by, F.col(day).alias("day"), F.col(top).alias("_a"), F.col(bottom).alias("_b"))
+    each = d.join(draws, "day").groupBy(*by, "repeat").agg(F.try_divide(F.sum(F.col("_a") * F.col("times")), F.sum(F.col("_b") * F.col("times"))).alias("_r"))
+    bounds = each.groupBy(*by).agg(F.expr("percentile(_r, 0.025)").alias("low"), F.expr("percentile(_r, 0.975)").alias("high"))
+    return d.groupBy(*by).agg(F.try_divide(F.sum("_a"), F.sum("_b")).alias("ratio")).join(bounds, list(by))
+
+
+def retention(df: DataFrame, by: Sequence[str], duration: str, clocks: Sequence[float]) -> DataFrame:
+    """(by..., clock, open, share): rows still open after each clock. Each row is counted once per group, not once per clock and row pair."""
+    n = df.where(F.col(duration).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), *(F.count_if(F.col(duration) > float(c)).alias(f"_c{i}") for i, c in enumerate(clocks)))
+    each = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("clock"), F.col(f"_c{i}").alias("open")) for i, c in enumerate(clocks))))
+    return n.select(*by, "_n", each.alias("x")).select(*by, "x.clock", "x.open", (F.col("x.open") / F.col("_n")).alias("share"))
+
+
+def forward_choice(daily: DataFrame, option: str, day: str, metric: str, train: int) -> DataFrame:
+    """(option, train, test): the option of least mean over the first ``train`` days (ties by name), with its mean over those and over the later days."""
+    rank = daily.select(day).distinct().withColumn("_k", F.row_number().over(Window.orderBy(day)))
+    x = daily.join(F.broadcast(rank), day).groupBy(option).agg(F.avg(F.when(F.col("_k") <= train, F.col(metric))).alias("train"), F.avg(F.when(F.col("_k") > train, F.col(metric))).alias("test"))
+    return x.where("train is not null").orderBy("train", option).limit(1)
+
+
 def circular_blocks(daily: DataFrame, by: Sequence[str], day: str, metric: str, block: int = 5) -> DataFrame:
     """(by..., start, mean): the mean of every circular block of days."""
     w = Window.partitionBy(*by).orderBy(day)

@@ -21,8 +21,9 @@ def path(spark: SparkSession, d: str) -> DataFrame:
     return kept(rows(spark, d), "p", "b", "a", "qb", "qa", "dv", "qstate", "step", "edge_volume", "valid_price", "valid_book", "valid_queue", "valid_volume")
 
 
-def _sql(decisions: tuple[int, ...], offsets: tuple[int, ...]) -> str:
+def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool = False) -> str:
     """Step by step over all rows of each order: what stands before each row, and the first row that ends the order."""
+    cost = "side * (price - p0) / p0 * 1e4"
     marks = [0, *decisions, 10]
     src = "".join(f""", s{s} AS (SELECT {', '.join('x.' + k for k in KEYS)}, x.task, y.rn, y.p, y.qstate, y.t AS st, CASE WHEN y.t IS NULL THEN 'no_source' WHEN x.task + {s * 1000000} - y.t > 500000 THEN 'stale_source' WHEN NOT {GOOD.replace('valid', 'y.valid')} THEN 'invalid_source' END AS why
         FROM (SELECT *, task + {s * 1000000} AS t FROM tk) x ASOF LEFT JOIN lasts y ON {ON} AND x.t >= y.t)""" for s in marks)
@@ -58,7 +59,7 @@ def _sql(decisions: tuple[int, ...], offsets: tuple[int, ...]) -> str:
         FROM f LEFT JOIN q z ON {' AND '.join(f'f.{k} = z.{k}' for k in KEYS)} AND f.fill_row = z.rn),
     y AS (SELECT *, CASE WHEN why0 IS NOT NULL THEN 'initial_' || why0 {late} WHEN fill_row IS NULL THEN 'insufficient_arrival_tail' END AS reason FROM z),
     e AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN kind = 'limit' THEN lim WHEN side = 1 THEN ask ELSE bid END END AS price FROM y)
-    SELECT {K}, task, side, off AS "offset", CASE WHEN reason IS NULL THEN 'filled' ELSE 'invalid' END AS status, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN kind END AS kind, CASE WHEN reason IS NULL THEN fill_t END AS fill_t, price, {R('side * (price - p0) / p0 * 1e4')} AS cost_bp FROM e"""
+    SELECT {K}, task, side, off AS "offset", CASE WHEN reason IS NULL THEN 'filled' ELSE 'invalid' END AS status, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN kind END AS kind, CASE WHEN reason IS NULL THEN fill_t END AS fill_t, price, {cost if whole else R(cost)} AS cost_bp FROM e"""
 
 
 def _replay(decisions: tuple[int, ...], offsets: tuple[int, ...]):
@@ -71,7 +72,7 @@ def _replay(decisions: tuple[int, ...], offsets: tuple[int, ...]):
 
 SPECS = {"exec_two_stage": ((3,), (0,)), "exec_offset_sweep": ((3,), (0, 1, 2, 5)), "exec_repeated": ((3, 6, 9), (1,))}
 QUERIES = {n: _replay(*s) for n, s in SPECS.items()}
-SQL = {n: _sql(*s) for n, s in SPECS.items()}
+SQL = {n: replay_sql(*s) for n, s in SPECS.items()}
 
 
 def exec_market(spark: SparkSession, d: str) -> DataFrame:
@@ -98,5 +99,5 @@ QUERIES |= {"exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix
 SQL["exec_market"] = f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task, task AS t FROM tasks), {LASTS}, s AS (SELECT x.*, y.rn, y.p AS p0 FROM tk x ASOF JOIN lasts y ON {ON} AND x.t >= y.t WHERE x.t - y.t <= 500000 AND {GOOD.replace('valid', 'y.valid')})
     SELECT {', '.join('s.' + k for k in KEYS)}, task, side, CASE WHEN side = 1 THEN n2.a ELSE n2.b END AS price, {R('side * (CASE WHEN side = 1 THEN n2.a ELSE n2.b END - p0) / p0 * 1e4')} AS cost_bp FROM s JOIN q n1 ON {' AND '.join(f's.{k} = n1.{k}' for k in KEYS)} AND n1.rn = s.rn + 1 JOIN q n2 ON {' AND '.join(f's.{k} = n2.{k}' for k in KEYS)} AND n2.rn = s.rn + 2, (VALUES (1), (-1)) v(side)
     WHERE {GOOD.replace('valid', 'n1.valid')} AND n1.step AND n1.edge_volume AND {GOOD.replace('valid', 'n2.valid')} AND n2.step AND n2.edge_volume"""
-_mix = lambda n, dec: f"SELECT '{n}' AS policy, * FROM ({_sql(dec, (0,))})"
+_mix = lambda n, dec: f"SELECT '{n}' AS policy, * FROM ({replay_sql(dec, (0,), True)})"
 SQL["exec_fill_mix"] = f"SELECT policy, stage, kind, count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp FROM (({_mix('C3', (3,))}) UNION ALL ({_mix('C36', (3, 6))})) WHERE status = 'filled' GROUP BY 1, 2, 3"
