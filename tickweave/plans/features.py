@@ -106,7 +106,7 @@ def _ages_sql() -> str:
         last = f"max(CASE WHEN {e} THEN t END) OVER (PARTITION BY Contract, trade_date, session, seg_{g} ORDER BY rn)"
         began = f"min(CASE WHEN valid_{g} THEN t END) OVER (PARTITION BY Contract, trade_date, session, seg_{g})"
         v = f"valid_{g}"
-        out.append(f"{rounded_sql(f"CASE WHEN {v} THEN (t - {last}) / 1e6 END")} AS {p}, {rounded_sql(f"CASE WHEN {v} THEN (t - coalesce({last}, {began})) / 1e6 END")} AS {p}LowerBound, CASE WHEN {v} THEN CASE WHEN {last} IS NULL THEN 1.0 ELSE 0.0 END END AS {p}LeftCensored, CASE WHEN NOT {v} THEN 'INVALID_INPUT' WHEN {last} IS NULL THEN 'LEFT_CENSORED' ELSE 'ok' END AS {p}__status")
+        out.append(f"{rounded_sql(f"CASE WHEN {v} THEN (t - {last}) / 1e6 END")} AS {p}, {rounded_sql(f"CASE WHEN {v} THEN (t - coalesce({last}, {began})) / 1e6 END")} AS {p}LowerBound, CASE WHEN {v} THEN CASE WHEN {last} IS NULL THEN 1e0 ELSE 0e0 END END AS {p}LeftCensored, CASE WHEN NOT {v} THEN 'INVALID_INPUT' WHEN {last} IS NULL THEN 'LEFT_CENSORED' ELSE 'ok' END AS {p}__status")
     return f"WITH {quotes_sql()} SELECT *, {rounded_sql('B07_BidAge - B07_AskAge')} AS B07_AgeDifference FROM (SELECT snap_id, {', '.join(out)} FROM q)"
 
 
@@ -174,8 +174,8 @@ for _g in (*GROUPS, *JOINT):
         WHERE j.t BETWEEN i.t - {H * 1000000} AND i.t GROUP BY 1),
     o AS (SELECT snap_id AS id, coalesce(sum(dt) FILTER (WHERE edge_{_g}) OVER w, 0.0) AS oc, min(t) FILTER (WHERE valid_{_g}) OVER w / 1e6 AS delay, count(*) FILTER (WHERE valid_{_g} AND NOT edge_{_g}) OVER w - 1 AS gaps,
         (t - min(t) FILTER (WHERE valid_{_g}) OVER (PARTITION BY Contract, trade_date, session, seg_{_g})) / 1e6 AS age FROM q WINDOW w AS (PARTITION BY Contract, trade_date, session ORDER BY rn))
-    SELECT snap_id, {rounded_sql(f'cov')} AS {_p}Coverage{_h}, CAST(coalesce(n, 0) AS DOUBLE) AS {_p}Count{_h}, CASE WHEN cov > 0 AND cov >= {0.8 * H} THEN 0.0 ELSE 1.0 END AS {_p}Warmup{_h}, {rounded_sql(f'cov / {H}')} AS {_p}CoverageRatio{_h},
-        {rounded_sql(f'CASE WHEN valid_{_g} THEN t / 1e6 - cov END')} AS {_p}StartSeconds{_h}, {rounded_sql(f'CASE WHEN valid_{_g} THEN t / 1e6 END')} AS {_p}EndSeconds{_h}, CAST(coalesce(n - 1, 0) AS DOUBLE) AS {_p}IncrementCount{_h}, {rounded_sql(f'gap')} AS {_p}MaxInterval{_h}, CASE WHEN whole THEN 0.0 ELSE 1.0 END AS {_p}GapFlag{_h},
+    SELECT snap_id, {rounded_sql(f'cov')} AS {_p}Coverage{_h}, CAST(coalesce(n, 0) AS DOUBLE) AS {_p}Count{_h}, CASE WHEN cov > 0 AND cov >= {0.8 * H} THEN 0e0 ELSE 1e0 END AS {_p}Warmup{_h}, {rounded_sql(f'cov / {H}')} AS {_p}CoverageRatio{_h},
+        {rounded_sql(f'CASE WHEN valid_{_g} THEN t / 1e6 - cov END')} AS {_p}StartSeconds{_h}, {rounded_sql(f'CASE WHEN valid_{_g} THEN t / 1e6 END')} AS {_p}EndSeconds{_h}, CAST(coalesce(n - 1, 0) AS DOUBLE) AS {_p}IncrementCount{_h}, {rounded_sql(f'gap')} AS {_p}MaxInterval{_h}, CASE WHEN whole THEN 0e0 ELSE 1e0 END AS {_p}GapFlag{_h},
         {rounded_sql(f'CASE WHEN valid_{_g} THEN age END')} AS {_p}SegmentAge, {rounded_sql(f'oc')} AS {_p}OpeningCoverage, {rounded_sql(f'delay')} AS {_p}StartDelay, CAST(greatest(gaps, 0) AS DOUBLE) AS {_p}GapCount, {rounded_sql(f'CASE WHEN t > 0 THEN oc / (t / 1e6) END')} AS {_p}OpeningCoverageRatio
     FROM q LEFT JOIN w ON w.id = snap_id LEFT JOIN m ON m.id = snap_id LEFT JOIN o ON o.id = snap_id"""
 

@@ -148,7 +148,7 @@ def tolerance_selection(spark, d):
     """Strategies within a tolerance of the best, ordered by cost in cents, length and name."""
     m = st.two_level_mean(orders(spark, d), "trade_date", ["strategy"], ["cost"]).where("cost is not null and strategy is not null").select("strategy", "cost")
     near = m.join(F.broadcast(m.agg(F.min("cost").alias("least"))), F.col("cost") <= F.col("least") + 0.5)
-    return out(near.withColumn("place", F.row_number().over(Window.orderBy(F.round("cost", 2), F.length("strategy"), "strategy"))).select("strategy", "cost", "place"))
+    return out(near.withColumn("place", F.row_number().over(Window.orderBy(F.round("cost", 2), F.length("strategy"), "strategy")).cast("bigint")).select("strategy", "cost", "place"))
 
 
 @query(f"WITH {_O}, {_D} SELECT strategy, trade_date AS left_out, {R('(sum(cost) OVER w - cost) / nullif(count(cost) OVER w - 1, 0)')} AS without FROM d WHERE cost IS NOT NULL WINDOW w AS (PARTITION BY strategy)")
@@ -192,7 +192,7 @@ def weighted_histogram(spark, d):
     return out(st.histogram(weighted(spark, d), ["strategy"], "cost", "weight", -10.0, 1.0, 20))
 
 
-@query(f"""WITH {_O}, x AS (SELECT strategy, elapsed AS time, sum(1.0) AS n, sum(CASE WHEN fill_kind = 'limit' THEN 1.0 ELSE 0.0 END) AS died FROM o WHERE elapsed IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY strategy ORDER BY time DESC) AS at_risk FROM x),
+@query(f"""WITH {_O}, x AS (SELECT strategy, elapsed AS time, sum(1e0) AS n, sum(CASE WHEN fill_kind = 'limit' THEN 1e0 ELSE 0e0 END) AS died FROM o WHERE elapsed IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY strategy ORDER BY time DESC) AS at_risk FROM x),
     e AS (SELECT * FROM r WHERE died > 0) SELECT strategy, time, at_risk, died, {R('CASE WHEN bool_or(died >= at_risk - 1e-12) OVER w THEN 0.0 ELSE exp(sum(CASE WHEN died < at_risk - 1e-12 THEN ln(1 - died / at_risk) ELSE 0 END) OVER w) END')} AS survival FROM e WINDOW w AS (PARTITION BY strategy ORDER BY time)""")
 def survival_curve(spark, d):
     """Kaplan-Meier curve of the time to a limit fill; market fills are censored."""

@@ -18,7 +18,7 @@ HORIZONS = (1, 2, 3, 4, 5)
 FACTORS = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
 K = ", ".join(KEYS)
 
-TASKS = f"""tasks AS (SELECT {K}, task, observation, task + observation AS t FROM (SELECT {K}, unnest(generate_series(10000000, session_seconds * 1000000 - 1, 10000000)) AS task FROM sessions), (VALUES (1000000), (3000000)) v(observation))"""
+TASKS = f"""tasks AS (SELECT {K}, task, observation, task + observation AS t FROM (SELECT {K}, unnest(generate_series(10000000, session_seconds * 1000000 - 1, 10000000)) AS task FROM sessions), (VALUES (1000000::BIGINT), (3000000::BIGINT)) v(observation))"""
 LASTS = f"""lasts AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY {K}, t ORDER BY rn DESC) = 1), firsts AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY {K}, t ORDER BY rn) = 1)"""
 ON = " AND ".join(f"x.{k} = y.{k}" for k in KEYS)
 ORIGINS = f"""src AS (SELECT x.*, y.rn AS s_rn, y.t AS s_t, y.snap_id AS s_snap_id, y.p AS s_p, y.seg_price AS s_seg, y.valid_price AS s_valid FROM tasks x ASOF LEFT JOIN lasts y ON {ON} AND x.t >= y.t),

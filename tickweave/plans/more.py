@@ -80,5 +80,5 @@ def _hist_sql() -> str:
 _M = WINDOWED["price", "M01", "MADeviation"][0]
 SQL = {
     "hist_percentile": _hist_sql(),
-    "factor_mean_gap": f"""WITH {quotes_sql()}, {_window('s', 'price', _M, 5, 'm')}, {_window('l', 'price', _M, 10, 'm')} SELECT snap_id, {rounded_sql('l.m - s.m')} AS M06_MeanGap_h10s_short5s, CASE WHEN valid_price THEN CASE WHEN s.c0 = l.c0 THEN 1.0 ELSE 0.0 END END AS M06_SameWindow_h10s_short5s FROM q LEFT JOIN s ON s.id = snap_id LEFT JOIN l ON l.id = snap_id""",
+    "factor_mean_gap": f"""WITH {quotes_sql()}, {_window('s', 'price', _M, 5, 'm')}, {_window('l', 'price', _M, 10, 'm')} SELECT snap_id, {rounded_sql('l.m - s.m')} AS M06_MeanGap_h10s_short5s, CASE WHEN valid_price THEN CASE WHEN s.c0 = l.c0 THEN 1e0 ELSE 0e0 END END AS M06_SameWindow_h10s_short5s FROM q LEFT JOIN s ON s.id = snap_id LEFT JOIN l ON l.id = snap_id""",
 }
