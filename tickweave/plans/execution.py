@@ -21,16 +21,16 @@ def path(spark: SparkSession, d: str) -> DataFrame:
     return kept(rows(spark, d), "p", "b", "a", "qb", "qa", "dv", "qstate", "step", "edge_volume", "valid_price", "valid_book", "valid_queue", "valid_volume")
 
 
-def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool = False) -> str:
+def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool = False, early: tuple[int, ...] = ()) -> str:
     """Step by step over all rows of each order: what stands before each row, and the first row that ends the order."""
     cost = "side * (price - p0) / p0 * 1e4"
-    marks = [0, *decisions, 10]
+    marks = [0, *early, *decisions, 10]
     src = "".join(f""", s{s} AS (SELECT {', '.join('x.' + k for k in KEYS)}, x.task, y.rn, y.p, y.qstate, y.t AS st, CASE WHEN y.t IS NULL THEN 'no_source' WHEN x.task + {s * 1000000} - y.t > 500000 THEN 'stale_source' WHEN NOT {GOOD.replace('valid', 'y.valid')} THEN 'invalid_source' END AS why
         FROM (SELECT *, task + {s * 1000000} AS t FROM tk) x ASOF LEFT JOIN lasts y ON {ON} AND x.t >= y.t)""" for s in marks)
     using = f"USING ({K}, task)"
-    cols = ", ".join(f"s{s}.rn AS rn{s}, s{s}.p AS p{s}, s{s}.qstate AS q{s}, s{s}.why AS why{s}" for s in marks)
+    cols = ", ".join(f"s{s}.rn AS rn{s}, s{s}.p AS p{s}, {f'CASE WHEN s{s}.why IS NULL THEN s{s}.qstate END' if s in early else f's{s}.qstate'} AS q{s}, s{s}.why AS why{s}" for s in marks)
     top = f"(SELECT {K}, max(rn) AS top FROM q GROUP BY ALL)"
-    arr = ", ".join(f"CASE WHEN coalesce(rn{s}, 0) + 2 <= top THEN coalesce(rn{s}, 0) + 2 END AS at{s}, p{s} - side * off AS limit{s}" for s in marks)
+    arr = ", ".join(f"CASE WHEN coalesce(rn{s}, 0) + 2 <= top THEN coalesce(rn{s}, 0) + 2 END AS at{s}, p{0 if s in early else s} - side * off AS limit{s}" for s in marks)
     stages = list(zip(marks[:-1], marks[1:]))
     hits = ", ".join(f"min(r.rn) FILTER (WHERE r.rn BETWEEN at{s} AND coalesce(at{e}, top) AND CASE WHEN side = 1 THEN a <= limit{s} OR (dv > 0 AND r.p < limit{s}) ELSE b >= limit{s} OR (dv > 0 AND r.p > limit{s}) END) AS hit{s}" for s, e in stages)
     fill, stage, kind, price, prev = [], [], [], [], "'initial'"
@@ -45,7 +45,8 @@ def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool
     ends = [("'broken_path'", "broken * 2")]
     for n, m in enumerate(marks[1:]):
         against = " OR ".join(["false", *(f"coalesce(side * q{e} > 0, false)" for e in marks[1 : n + 1])])
-        ends.append((f"'{'deadline' if m == 10 else 'signal'}_' || why{m}", f"CASE WHEN why{m} IS NOT NULL AND NOT ({against}) THEN (task + {m * 1000000}) * 2 + 1 END"))
+        if m not in early:
+            ends.append((f"'{'deadline' if m == 10 else 'signal'}_' || why{m}", f"CASE WHEN why{m} IS NOT NULL AND NOT ({against}) THEN (task + {m * 1000000}) * 2 + 1 END"))
     first_end = f"least({', '.join(e for _, e in ends)})"
     late = " ".join(f"WHEN fin = {e} THEN {n}" for n, e in ends)
     case = lambda x: f"CASE {' '.join(x)} END"
@@ -96,6 +97,7 @@ def exec_early(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
+SQL["exec_early"] = replay_sql((3,), (0,), early=(1,))
 SQL["exec_market"] = f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task, task AS t FROM tasks), {LASTS}, s AS (SELECT x.*, y.rn, y.p AS p0 FROM tk x ASOF JOIN lasts y ON {ON} AND x.t >= y.t WHERE x.t - y.t <= 500000 AND {GOOD.replace('valid', 'y.valid')})
     SELECT {', '.join('s.' + k for k in KEYS)}, task, side, CASE WHEN side = 1 THEN n2.a ELSE n2.b END AS price, {R('side * (CASE WHEN side = 1 THEN n2.a ELSE n2.b END - p0) / p0 * 1e4')} AS cost_bp FROM s JOIN q n1 ON {' AND '.join(f's.{k} = n1.{k}' for k in KEYS)} AND n1.rn = s.rn + 1 JOIN q n2 ON {' AND '.join(f's.{k} = n2.{k}' for k in KEYS)} AND n2.rn = s.rn + 2, (VALUES (1), (-1)) v(side)
     WHERE {GOOD.replace('valid', 'n1.valid')} AND n1.step AND n1.edge_volume AND {GOOD.replace('valid', 'n2.valid')} AND n2.step AND n2.edge_volume"""

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions.catalog import AGES, ROW, SEGMENTS, WINDOWED
-from tickweave.operators import labels, models, replay
+from tickweave.operators import factors, labels, models, replay
 from tickweave.operators import statistics as st
 from tickweave.operators.asof import asof
 from tickweave.operators.lens import KEYS, ORDER
 from tickweave.plans.execution import SPECS, path, replay_sql
+from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import _D, _O, MAIN, orders, out
 from tickweave.plans.labels import _ALL, tasks, with_factors
 from tickweave.plans.models import _S, FROZEN, examples
 from tickweave.plans.oracle import rounded_sql as R
+from tickweave.plans.oracle import windowed_sql
 
 CLOCKS = (0.5, 1.0, 2.0, 3.0, 5.0, 10.0)
 K = ", ".join(KEYS)
@@ -111,12 +113,18 @@ def cost_parts(spark: SparkSession, d: str) -> DataFrame:
     return out(x.groupBy("stage", "side").agg(F.count("*").alias("orders"), bp("x3_p - x0_p").alias("drift"), bp("price - x3_p").alias("after"), F.avg("cost_bp").alias("cost_bp")))
 
 
+def both_histories(spark: SparkSession, d: str, keys: list[tuple[str, str, str]]) -> tuple[DataFrame, tuple[list[str], list[str]]]:
+    """The lens with factors over 5 and 10 s in it, from one pass of windows."""
+    names = tuple([f"{f}_{s}_h{h}s" for _, f, s in keys] for h in (5, 10))
+    q = factors.add_formulas(rows(spark, d), {n: (g, WINDOWED[g, f, s][0], h) for ns, h in zip(names, (5, 10)) for n, (g, f, s) in zip(ns, keys)})
+    q = q.withColumns({n: F.expr(R(n)) for ns in names for n in ns})
+    return kept(q, "p", "seg_price", "valid_price", *names[0], *names[1]), names
+
+
 def window_compression(spark: SparkSession, d: str) -> DataFrame:
     """A factor over a short and a long history: correlation of both with the label and with each other, equal over dates."""
-    keys = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
-    q, short = with_factors(spark, d, keys, 5)
-    q2, long = with_factors(spark, d, keys, 10)
-    q = q.join(q2.select("snap_id", *long), "snap_id")
+    keys = _PAIR
+    q, (short, long) = both_histories(spark, d, keys)
     o = labels.origins(tasks(spark, d), q, [*short, *long]).where("source_status = 'ok'")
     y = labels.labels(None, q, (1,), o).where("anchor = 'decision' and status = 'ok'")
     pair = F.explode(F.array(*(F.struct(F.lit(f"{f}_{s}").alias("factor"), F.col(f"s_{a}").alias("a"), F.col(f"s_{b}").alias("b")) for (_, f, s), a, b in zip(keys, short, long))))
@@ -142,6 +150,8 @@ _FILLED = f"SELECT * FROM ({replay_sql(*SPECS['exec_offset_sweep'], True)}) WHER
 _TWO = f"SELECT * FROM ({replay_sql(*SPECS['exec_two_stage'], True)}) WHERE status = 'filled'"
 _POINT = lambda s: f"(SELECT x.*, y.p, y.qstate, y.qb, y.qa FROM (SELECT *, task + {s * 1000000} AS t FROM tk) x ASOF LEFT JOIN lasts y ON x.Contract = y.Contract AND x.trade_date = y.trade_date AND x.session = y.session AND x.t >= y.t)"
 _HEAD = _ALL.split(", src AS")[0] + f", tk AS (SELECT DISTINCT {K}, task FROM tasks)"
+_PAIR = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
+_corr = lambda u, v: f"CASE WHEN count(*) >= 20 AND min({u}) < max({u}) AND min({v}) < max({v}) THEN greatest(least(covar_pop({u}, {v}) / nullif(stddev_pop({u}) * stddev_pop({v}), 0), 1.0), -1.0) END"
 SQL = {
     "landmark_retention": f"WITH {_O} SELECT strategy, clock, count(*) FILTER (WHERE elapsed > clock) AS open, {R('count(*) FILTER (WHERE elapsed > clock) / count(*)')} AS share FROM o, (SELECT CAST(unnest([{', '.join(map(str, CLOCKS))}]) AS DOUBLE) AS clock) WHERE elapsed IS NOT NULL GROUP BY 1, 2",
     "forward_selection": f"WITH {_O}, {_D}, s AS (SELECT * FROM d WHERE strategy LIKE 'sweep%'), k AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM (SELECT DISTINCT trade_date FROM s)), g AS (SELECT strategy, avg(cost) FILTER (WHERE k <= 8) AS train, avg(cost) FILTER (WHERE k > 8) AS test FROM s JOIN k USING (trade_date) GROUP BY 1) SELECT strategy, {R('train')} AS train, {R('test')} AS test FROM g WHERE train IS NOT NULL ORDER BY g.train, strategy LIMIT 1",
@@ -150,5 +160,9 @@ SQL = {
     "three_action": f"{_S} SELECT side, {R('threshold')} AS threshold, CASE WHEN side * c > 0 THEN 'market' WHEN side * c < 0 AND side * (p_down - p_up) >= threshold THEN 'passive' ELSE 'lastprice' END AS action, count(*) AS tasks FROM pr, (VALUES (1), (-1)) a(side), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) b(threshold) GROUP BY 1, threshold, 3",
     "branch_gather": f"{_HEAD} SELECT side, wanted, count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp FROM (SELECT r.*, CASE WHEN side * s.qstate < 0 THEN 1 ELSE 0 END AS wanted FROM ({_FILLED}) r JOIN {_POINT(0)} s USING ({K}, task)) WHERE \"offset\" = wanted GROUP BY 1, 2",
     "offset_heat": f"{_HEAD} SELECT side, CAST(least(floor(((qb - qa) / (qb + qa) + 1) * 5), 9) AS INTEGER) AS bin, \"offset\", count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp FROM ({_FILLED}) r JOIN {_POINT(0)} s USING ({K}, task) GROUP BY 1, 2, 3",
+    "window_compression": f"""{_ALL.split(', fac AS')[0]}, f5 AS ({windowed_sql(_PAIR, 5)}), f10 AS ({windowed_sql(_PAIR, 10)}), w AS ({' UNION ALL '.join(f"SELECT snap_id, '{f}_{s}' AS factor, {f}_{s}_h5s AS a, {f}_{s}_h10s AS b FROM f5 JOIN f10 USING (snap_id)" for _, f, s in _PAIR)}),
+        x AS (SELECT o.trade_date, factor, a, b, y FROM o JOIN w ON w.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok' AND anchor = 'decision' AND horizon = 1 AND laby.status = 'ok' AND a IS NOT NULL AND b IS NOT NULL),
+        g AS (SELECT trade_date, factor, {_corr('a', 'y')} AS short, {_corr('b', 'y')} AS long, {_corr('a', 'b')} AS common FROM x GROUP BY 1, 2)
+        SELECT factor, {R('avg(short)')} AS short, {R('avg(long)')} AS long, {R('avg(common)')} AS common, count(*) FILTER (WHERE abs(short) >= abs(long)) AS short_days, count(*) AS days FROM g GROUP BY 1""",
     "cost_parts": f"{_HEAD} SELECT stage, side, count(*) AS orders, {R('avg(side * (s3.p - s0.p) / s0.p * 1e4)')} AS drift, {R('avg(side * (price - s3.p) / s0.p * 1e4)')} AS after, {R('avg(cost_bp)')} AS cost_bp FROM ({_TWO}) r JOIN {_POINT(0)} s0 USING ({K}, task) JOIN {_POINT(3)} s3 USING ({K}, task) WHERE kind = 'market' GROUP BY 1, 2",
 }
