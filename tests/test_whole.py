@@ -1,0 +1,42 @@
+"""Queries over every task: all of them are there, and at the sampled tasks they equal what the SQL checks."""
+
+import pytest
+
+from tests.data import frames, walk
+from tickweave.plans import registry
+
+SAMPLED = "task % 10000000 = 0"
+BY_OBSERVATION = ("schedule_grid", "asof_backward", "asof_forward", "nth_future", "interval_counts", "task_origins")
+BY_TASK = ("factor_bounded", "exec_two_stage", "exec_repeated", "exec_early", "exec_market")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("whole"))
+    for name, df in zip(("snapshots", "sessions", "contracts"), frames(spark, walk(220, seed=5))):
+        df.write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+def lines(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+@pytest.mark.parametrize("name", [*BY_OBSERVATION, *BY_TASK])
+def test_whole(spark, folder, name):
+    x, part = registry.QUERIES[f"{name}_whole"](spark, folder).cache(), registry.QUERIES[name](spark, folder)
+    at = x.where(SAMPLED)
+    if name in BY_OBSERVATION:
+        assert {r.observation for r in x.select("observation").distinct().collect()} == {s * 1_000_000 for s in (1, 2, 3, 4, 5)}
+        at = at.where("observation in (1000000, 3000000)")
+    assert lines(at) == lines(part)
+    seen = {r.task // 1_000_000 for r in x.select("task").distinct().collect()}
+    if name in ("schedule_grid", "asof_backward", "asof_forward", "nth_future", "task_origins", "exec_two_stage", "exec_repeated", "exec_early"):
+        assert seen == set(range(10, 120))
+    else:
+        assert len(seen) > 40  # the sample has 11
+
+
+def test_every_schedule_query_has_a_whole_one():
+    for name in ("label_grid", "ic_daily", "ic_summary", "model_fit", "softmax_score", "confusion_metrics", "coverage_curve", "class_prior", "exec_offset_sweep", "exec_fill_mix", "offset_heat", "cost_parts", "branch_gather", "trailing_accuracy", "horizon_accuracy", "three_action", "window_compression"):
+        assert f"{name}_whole" in registry.QUERIES

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import replay as rp
+from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import LASTS, ON, TASKS, tasks
+from tickweave.plans.labels import LASTS, ON, PLAN, TASKS, tasks, whole
 from tickweave.plans.oracle import rounded_sql as R
 
 K = ", ".join(KEYS)
@@ -63,27 +64,27 @@ def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool
     SELECT {K}, task, side, off AS "offset", CASE WHEN reason IS NULL THEN 'filled' ELSE 'invalid' END AS status, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN kind END AS kind, CASE WHEN reason IS NULL THEN fill_t END AS fill_t, price, {cost if whole else R(cost)} AS cost_bp FROM e"""
 
 
-def _replay(decisions: tuple[int, ...], offsets: tuple[int, ...]):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return out(rp.replay(tasks(spark, d), path(spark, d), decisions, offsets))
+def _replay(name: str, decisions: tuple[int, ...], offsets: tuple[int, ...]):
+    def run(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+        return out(rp.replay(tasks(spark, d, plan), path(spark, d), decisions, offsets))
 
-    run.__doc__ = f"Orders with decisions at {decisions} s and passive offsets {offsets}."
+    run.__name__, run.__doc__ = name, f"Orders with decisions at {decisions} s and passive offsets {offsets}."
     return run
 
 
 SPECS = {"exec_two_stage": ((3,), (0,)), "exec_offset_sweep": ((3,), (0, 1, 2, 5)), "exec_repeated": ((3, 6, 9), (1,))}
-QUERIES = {n: _replay(*s) for n, s in SPECS.items()}
+QUERIES = {n: _replay(n, *s) for n, s in SPECS.items()}
 SQL = {n: replay_sql(*s) for n, s in SPECS.items()}
 
 
-def exec_market(spark: SparkSession, d: str) -> DataFrame:
+def exec_market(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Market orders of every task and side."""
-    return out(rp.market_orders(tasks(spark, d), rows(spark, d)))
+    return out(rp.market_orders(tasks(spark, d, plan), rows(spark, d)))
 
 
-def exec_fill_mix(spark: SparkSession, d: str) -> DataFrame:
+def exec_fill_mix(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Mean cost and orders by decision schedule, stage and kind."""
-    t, q = tasks(spark, d), path(spark, d)
+    t, q = tasks(spark, d, plan), path(spark, d)
     x = None
     for name, dec in (("C3", (3,)), ("C36", (3, 6))):
         one = rp.replay(t, q, dec, (0,)).where("status = 'filled'").withColumn("policy", F.lit(name))
@@ -91,12 +92,13 @@ def exec_fill_mix(spark: SparkSession, d: str) -> DataFrame:
     return out(x.groupBy("policy", "stage", "kind").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-def exec_early(spark: SparkSession, d: str) -> DataFrame:
+def exec_early(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Orders that may turn into market orders at 1 s already."""
-    return out(rp.replay(tasks(spark, d), path(spark, d), (3,), (0,), (1,)))
+    return out(rp.replay(tasks(spark, d, plan), path(spark, d), (3,), (0,), (1,)))
 
 
 QUERIES |= {"exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
+QUERIES |= whole(*QUERIES.values())
 SQL["exec_early"] = replay_sql((3,), (0,), early=(1,))
 SQL["exec_market"] = f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task, task AS t FROM tasks), {LASTS}, s AS (SELECT x.*, y.rn, y.p AS p0 FROM tk x ASOF JOIN lasts y ON {ON} AND x.t >= y.t WHERE x.t - y.t <= 500000 AND {GOOD.replace('valid', 'y.valid')})
     SELECT {', '.join('s.' + k for k in KEYS)}, task, side, CASE WHEN side = 1 THEN n2.a ELSE n2.b END AS price, {R('side * (CASE WHEN side = 1 THEN n2.a ELSE n2.b END - p0) / p0 * 1e4')} AS cost_bp FROM s JOIN q n1 ON {' AND '.join(f's.{k} = n1.{k}' for k in KEYS)} AND n1.rn = s.rn + 1 JOIN q n2 ON {' AND '.join(f's.{k} = n2.{k}' for k in KEYS)} AND n2.rn = s.rn + 2, (VALUES (1), (-1)) v(side)

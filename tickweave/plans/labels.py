@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import asof as joins
 from tickweave.operators import factors, labels, statistics
+from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, ORDER, quotes_sql
 from tickweave.functions.catalog import WINDOWED
 from tickweave.plans.features import kept, rows
 from tickweave.plans.oracle import rounded_sql, windowed_sql
 from tickweave.sources.tables import table
 
-PLAN = labels.Schedule()
+#: The sample of tasks that the SQL checks, and every task: each second from 10 s, 1 to 5 s of observation.
+PLAN = Schedule()
+WHOLE = Schedule(10.0, 1.0, (1.0, 2.0, 3.0, 4.0, 5.0))
 HORIZONS = (1, 2, 3, 4, 5)
 FACTORS = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
 K = ", ".join(KEYS)
@@ -33,49 +38,62 @@ LABELS = f"""anch AS (SELECT {K}, task, observation, 'decision' AS anchor, sourc
     laby AS (SELECT *, CASE WHEN status = 'ok' THEN e_p - p0 END AS y, CASE WHEN usable THEN (e_t - t) / 1e6 END AS late FROM lab)"""
 
 
-def tasks(spark: SparkSession, d: str) -> DataFrame:
-    return labels.schedule(table(spark, d, "sessions"), PLAN)
+def tasks(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    return labels.schedule(table(spark, d, "sessions"), plan)
+
+
+def whole(*queries: Callable[..., DataFrame], **more: object) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """``<name>_whole`` for each query: the same over every task. No SQL: the queries' own names have it, over the sample."""
+
+    def over(f):
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return f(spark, d, plan=WHOLE, **more)
+
+        run.__name__, run.__doc__ = f"{f.__name__}_whole", f"{f.__doc__} Over every task."
+        return run
+
+    return {f"{f.__name__}_whole": over(f) for f in queries}
 
 
-def schedule_grid(spark: SparkSession, d: str) -> DataFrame:
+def schedule_grid(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Nominal tasks and decision times."""
-    return tasks(spark, d)
+    return tasks(spark, d, plan)
 
 
-def asof_backward(spark: SparkSession, d: str) -> DataFrame:
+def asof_backward(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Each task's source row and its age."""
-    x = joins.asof(tasks(spark, d), rows(spark, d), KEYS, ["snap_id"], order=ORDER[1:], prefix="s_")
+    x = joins.asof(tasks(spark, d, plan), rows(spark, d), KEYS, ["snap_id"], order=ORDER[1:], prefix="s_")
     return x.select(*KEYS, "task", "observation", F.col("s_snap_id").alias("snap_id"), (F.col("t") - F.col("s_t")).alias("age"))
 
 
-def asof_forward(spark: SparkSession, d: str) -> DataFrame:
+def asof_forward(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """The first row at or after each task, at most half a second later."""
-    x = joins.asof(tasks(spark, d), rows(spark, d), KEYS, ["snap_id"], forward=True, order=ORDER[1:], prefix="s_")
+    x = joins.asof(tasks(spark, d, plan), rows(spark, d), KEYS, ["snap_id"], forward=True, order=ORDER[1:], prefix="s_")
     ok = F.col("s_t") - F.col("t") <= 500_000
     return x.select(*KEYS, "task", "observation", F.when(ok, F.col("s_snap_id")).alias("snap_id"), F.when(ok, F.col("s_t") - F.col("t")).alias("late"))
 
 
-def nth_future(spark: SparkSession, d: str) -> DataFrame:
+def nth_future(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """The second row strictly after each task."""
-    return joins.following(tasks(spark, d), rows(spark, d), KEYS, ["snap_id"], 2, order=ORDER[1:], prefix="n_").select(*KEYS, "task", "observation", F.col("n_snap_id").alias("snap_id"))
+    return joins.following(tasks(spark, d, plan), rows(spark, d), KEYS, ["snap_id"], 2, order=ORDER[1:], prefix="n_").select(*KEYS, "task", "observation", F.col("n_snap_id").alias("snap_id"))
 
 
-def interval_counts(spark: SparkSession, d: str) -> DataFrame:
+def interval_counts(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Rows and traded volume within 3 s after each task, by range join."""
-    spans = tasks(spark, d).select(*KEYS, "task", "observation", F.col("t").alias("lo"), (F.col("t") + 3_000_000).alias("hi"))
+    spans = tasks(spark, d, plan).select(*KEYS, "task", "observation", F.col("t").alias("lo"), (F.col("t") + 3_000_000).alias("hi"))
     x = joins.interval_rows(spans, rows(spark, d).select(*KEYS, "t", "v"), KEYS, lo="lo", hi="hi")
     return x.groupBy(*KEYS, "task", "observation").agg(F.count("*").alias("rows"), (F.max("v") - F.min("v")).alias("volume"))
 
 
-def task_origins(spark: SparkSession, d: str) -> DataFrame:
+def task_origins(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Source and arrival rows of tasks with their statuses."""
-    x = labels.origins(tasks(spark, d), rows(spark, d))
+    x = labels.origins(tasks(spark, d, plan), rows(spark, d))
     return x.select(*KEYS, "task", "observation", F.col("s_snap_id").alias("source"), "source_status", F.when(F.col("arrival_status") == "ok", F.col("a_snap_id")).alias("arrival"), "arrival_status")
 
 
-def label_grid(spark: SparkSession, d: str) -> DataFrame:
+def label_grid(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Cumulative and incremental labels of both anchors over 1 to 5 s."""
-    x = labels.labels(tasks(spark, d), kept(rows(spark, d), "p", "seg_price", "valid_price"), HORIZONS)
+    x = labels.labels(tasks(spark, d, plan), kept(rows(spark, d), "p", "seg_price", "valid_price"), HORIZONS)
     return x.withColumn("late", F.expr(rounded_sql("late")))
 
 
@@ -87,23 +105,23 @@ def with_factors(spark: SparkSession, d: str, keys: list[tuple[str, str, str]],
     return kept(q, "p", "seg_price", "valid_price", *names), names
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """trade_date, factor, anchor, horizon, x, y: one row per task, factor and label."""
     q, names = with_factors(spark, d, FACTORS)
-    o = labels.origins(tasks(spark, d), q, names).where("source_status = 'ok'")
+    o = labels.origins(tasks(spark, d, plan), q, names).where("source_status = 'ok'")
     y = labels.labels(None, q, HORIZONS, o)
     return y.unpivot(["trade_date", "anchor", "horizon", "y"], [f"s_{n}" for n in names], "factor", "x").withColumn("factor", F.expr("substring(factor, 3)"))
 
 
-def ic_daily(spark: SparkSession, d: str) -> DataFrame:
+def ic_daily(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Pearson and rank correlation of factors and labels per date."""
-    x = statistics.information(_pairs(spark, d), ["trade_date", "factor", "anchor", "horizon"])
+    x = statistics.information(_pairs(spark, d, plan), ["trade_date", "factor", "anchor", "horizon"])
     return x.select("trade_date", "factor", "anchor", "horizon", "n", "status", *(F.expr(rounded_sql(c)).alias(c) for c in ("ic", "rank_ic")))
 
 
-def ic_summary(spark: SparkSession, d: str) -> DataFrame:
+def ic_summary(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Summary over dates."""
-    daily = statistics.information(_pairs(spark, d), ["trade_date", "factor", "anchor", "horizon"])
+    daily = statistics.information(_pairs(spark, d, plan), ["trade_date", "factor", "anchor", "horizon"])
     x = statistics.information_summary(daily, ["factor", "anchor", "horizon"])
     return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
@@ -120,6 +138,7 @@ PAIRS = f"""fac AS ({windowed_sql(FACTORS, 5)}),
 _ALL = f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, {PAIRS}"
 
 QUERIES = {f.__name__: f for f in (schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins, label_grid, ic_daily, ic_summary)}
+QUERIES |= whole(schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins, label_grid, ic_daily, ic_summary)
 SQL = {
     "schedule_grid": f"WITH {TASKS} SELECT * FROM tasks",
     "asof_backward": f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS} SELECT {K}, task, observation, s_snap_id AS snap_id, t - s_t AS age FROM src",

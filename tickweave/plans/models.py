@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import factors, labels, models
+from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import rounded, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import LABELS, LASTS, ORIGINS, TASKS, tasks, with_factors
+from tickweave.plans.labels import LABELS, LASTS, ORIGINS, PLAN, TASKS, tasks, whole, with_factors
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
 from tickweave.runtime import stored
@@ -20,10 +21,10 @@ _KEYS = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV"), ("price", "M
 FROZEN = models.Model(FEATURES, 1.0, [0.0, 2.0, 0.0], [5.0, 2.0, 3.0], [[0.2, 0.1, 0.5], [0.1, -0.3, -0.1], [-0.3, 0.2, -0.4]], [0.1, -0.2, 0.1])
 
 
-def examples(spark: SparkSession, d: str) -> DataFrame:
+def examples(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """trade_date, keys, features at the source row, and y: the sign of the price change over 1 s after the decision."""
     q, names = with_factors(spark, d, _KEYS)
-    o = labels.origins(tasks(spark, d), q, names).where("source_status = 'ok'")
+    o = labels.origins(tasks(spark, d, plan), q, names).where("source_status = 'ok'")
     x = labels.labels(None, q, (1,), o).where("anchor = 'decision' and status = 'ok'")
     x = x.select(*KEYS, "task", "observation", *(F.col(f"s_{n}").alias(n) for n in names), F.signum("y").cast("int").alias("y"))
     return x.dropna(subset=FEATURES)
@@ -38,25 +39,25 @@ _S = f"""{_EX}, zz AS (SELECT *, {_Z[0]} AS z0, {_Z[1]} AS z1, {_Z[2]} AS z2 FRO
     pr AS (SELECT *, CASE WHEN p_down >= p_flat AND p_down >= p_up THEN -1 WHEN p_flat >= p_up THEN 0 ELSE 1 END AS c, -ln(greatest(CASE y WHEN -1 THEN p_down WHEN 0 THEN p_flat ELSE p_up END, 1e-15)) AS l FROM sc)"""
 
 
-def softmax_score(spark: SparkSession, d: str) -> DataFrame:
+def softmax_score(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Probabilities of a frozen model."""
-    x = examples(spark, d).withColumns(models.scores(FROZEN)).withColumn("predicted", models.predicted())
+    x = examples(spark, d, plan).withColumns(models.scores(FROZEN)).withColumn("predicted", models.predicted())
     return out(x.select(*KEYS, "task", "observation", "y", "p_down", "p_flat", "p_up", "predicted"))
 
 
-def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
+def confusion_metrics(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Accuracy, losses, recall and precision per date."""
-    return out(models.metrics(examples(spark, d).withColumns(models.scores(FROZEN)), ["trade_date"]))
+    return out(models.metrics(examples(spark, d, plan).withColumns(models.scores(FROZEN)), ["trade_date"]))
 
 
-def coverage_curve(spark: SparkSession, d: str) -> DataFrame:
+def coverage_curve(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Signals and accuracy by confidence threshold."""
-    return out(models.threshold_coverage(examples(spark, d).withColumns(models.scores(FROZEN)), "trade_date", (0.3, 0.4, 0.5)))
+    return out(models.threshold_coverage(examples(spark, d, plan).withColumns(models.scores(FROZEN)), "trade_date", (0.3, 0.4, 0.5)))
 
 
-def class_prior(spark: SparkSession, d: str) -> DataFrame:
+def class_prior(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Date-weighted class shares."""
-    return out(models.class_prior(examples(spark, d), "trade_date"))
+    return out(models.class_prior(examples(spark, d, plan), "trade_date"))
 
 
 def feature_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +66,9 @@ def feature_pool(spark: SparkSession, d: str) -> DataFrame:
     return out(models.pool(rounded(factors.window_factors(q, _KEYS, (5,), status=False)), FEATURES))
 
 
-def model_fit(spark: SparkSession, d: str) -> DataFrame:
+def model_fit(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Coefficients fitted on the first two thirds of the dates."""
-    x = stored(examples(spark, d), "examples")
+    x = stored(examples(spark, d, plan), "examples")
     days = sorted(r[0] for r in x.select("trade_date").distinct().collect())
     m = models.fit(x.where(F.col("trade_date").isin(days[: len(days) * 2 // 3])), FEATURES, "y", "trade_date")
     rows_ = [(k, f, float(b)) for k, c, i in zip((-1, 0, 1), m.coef, m.intercept) for f, b in [*zip(m.features, c), ("intercept", i)]]
@@ -75,6 +76,7 @@ def model_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (softmax_score, confusion_metrics, coverage_curve, class_prior, feature_pool, model_fit)}
+QUERIES |= whole(softmax_score, confusion_metrics, coverage_curve, class_prior, model_fit)
 _rec = lambda k, n: f"{R(f'sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y = {k} THEN 1.0 ELSE 0 END), 0)')} AS {n}_recall, {R(f'sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN c = {k} THEN 1.0 ELSE 0 END), 0)')} AS {n}_precision"
 _raw = lambda k: f"sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y = {k} THEN 1.0 ELSE 0 END), 0)"
 _brier = "(p_down - CASE WHEN y = -1 THEN 1 ELSE 0 END) ** 2 + (p_flat - CASE WHEN y = 0 THEN 1 ELSE 0 END) ** 2 + (p_up - CASE WHEN y = 1 THEN 1 ELSE 0 END) ** 2"

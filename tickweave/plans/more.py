@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tickweave.functions.catalog import WINDOWED
 from tickweave.operators import derived, sequences
 from tickweave.operators.factors import PRIMITIVE
+from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import rounded, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import TASKS, tasks
+from tickweave.plans.labels import PLAN, TASKS, tasks, whole
 from tickweave.plans.oracle import aggregate_sql, rounded_sql
 
 
@@ -45,12 +46,13 @@ def mean_gap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(derived.mean_gap(rows(spark, d)))
 
 
-def bounded(spark: SparkSession, d: str) -> DataFrame:
+def bounded(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Factors of each task's own three seconds."""
-    return out(derived.bounded_factors(rows(spark, d), tasks(spark, d)))
+    return out(derived.bounded_factors(rows(spark, d), tasks(spark, d, plan)))
 
 
 QUERIES = {"hist_percentile": hist_percentile, "queue_recovery": queue_recovery, "lag_corr": lag_corr, "factor_directional": directional, "factor_directional_more": directional_more, "factor_mean_gap": mean_gap, "factor_bounded": bounded}
+QUERIES["factor_bounded_whole"] = whole(bounded)["bounded_whole"]
 
 
 def _window(name: str, group: str, formula: str, h: int, value: str) -> str:

@@ -9,11 +9,12 @@ from tickweave.functions.catalog import AGES, ROW, SEGMENTS, WINDOWED
 from tickweave.operators import factors, labels, models, replay
 from tickweave.operators import statistics as st
 from tickweave.operators.asof import asof
+from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, ORDER
 from tickweave.plans.execution import SPECS, path, replay_sql
 from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import _D, _O, MAIN, orders, out
-from tickweave.plans.labels import _ALL, tasks, with_factors
+from tickweave.plans.labels import _ALL, PLAN, tasks, whole, with_factors
 from tickweave.plans.models import _S, FROZEN, examples
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
@@ -59,43 +60,43 @@ def sign_flips(spark: SparkSession, d: str) -> DataFrame:
     return out(st.holm(spark.createDataFrame(rows, "strategy string, p double"), "p"))
 
 
-def trailing_accuracy(spark: SparkSession, d: str) -> DataFrame:
+def trailing_accuracy(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Accuracy over the trailing half minute of nominal time, equal over dates."""
-    x = examples(spark, d).withColumns(models.scores(FROZEN)).withColumn("hit", F.when(models.predicted() == F.col("y"), 1.0).otherwise(0.0))
+    x = examples(spark, d, plan).withColumns(models.scores(FROZEN)).withColumn("hit", F.when(models.predicted() == F.col("y"), 1.0).otherwise(0.0))
     sec = x.groupBy("trade_date", (F.col("task") / 1_000_000).cast("bigint").alias("second")).agg(F.sum("hit").alias("h"), F.count("*").alias("n"))
     w = Window.partitionBy("trade_date").orderBy("second").rangeBetween(-29, 0)
     r = sec.select("trade_date", "second", (F.sum("h").over(w) / F.sum("n").over(w)).alias("accuracy"))
     return out(r.groupBy("second").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("days")))
 
 
-def horizon_accuracy(spark: SparkSession, d: str) -> DataFrame:
+def horizon_accuracy(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """How often a factor's sign meets the label's at each horizon, equal over dates: frozen signals at horizons they were not made for."""
     q, _ = with_factors(spark, d, [("price", "F05", "Momentum")])
-    o = labels.origins(tasks(spark, d), q, ["F05_Momentum_h5s"]).where("source_status = 'ok'")
+    o = labels.origins(tasks(spark, d, plan), q, ["F05_Momentum_h5s"]).where("source_status = 'ok'")
     y = labels.labels(None, q, (1, 2, 3, 4, 5), o).where("status = 'ok' and s_F05_Momentum_h5s <> 0")
     daily = y.groupBy("trade_date", "anchor", "horizon").agg(F.avg(F.when(F.signum("y") == F.signum("s_F05_Momentum_h5s"), 1.0).otherwise(0.0)).alias("accuracy"))
     return out(daily.groupBy("anchor", "horizon").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("days")))
 
 
-def three_action(spark: SparkSession, d: str) -> DataFrame:
+def three_action(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """The action per side and threshold from frozen probabilities, and how often each is taken."""
-    x = examples(spark, d).withColumns(models.scores(FROZEN)).withColumn("signal", models.predicted()).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    x = examples(spark, d, plan).withColumns(models.scores(FROZEN)).withColumn("signal", models.predicted()).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
     parts = [x.withColumns({"threshold": F.lit(t), "action": replay.choose_action(F.col("side"), F.col("signal"), F.col("p_down"), F.col("p_up"), t)}) for t in (0.0, 0.1, 0.2)]
     return out(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("side", "threshold", "action").agg(F.count("*").alias("tasks")))
 
 
-def branch_gather(spark: SparkSession, d: str) -> DataFrame:
+def branch_gather(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Mean cost where each order takes, of two replayed branches, the one its queue's side picks: passive by a tick with it, at the last price against it."""
-    t, q = tasks(spark, d), path(spark, d)
+    t, q = tasks(spark, d, plan), path(spark, d)
     r = replay.replay(t, q, (3,), (0, 1)).where("status = 'filled'")
     s = asof(t.select(*KEYS, "task", F.col("task").alias("t")).distinct(), q, KEYS, ["qstate"], order=ORDER[1:], prefix="s_")
     x = r.join(s.select(*KEYS, "task", "s_qstate"), [*KEYS, "task"]).withColumn("wanted", F.when(F.col("side") * F.col("s_qstate") < 0, 1).otherwise(0)).where("offset = wanted")
     return out(x.groupBy("side", "wanted").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-def offset_heat(spark: SparkSession, d: str) -> DataFrame:
+def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Mean cost by bin of the queue imbalance at the task and passive offset."""
-    t, q = tasks(spark, d), path(spark, d)
+    t, q = tasks(spark, d, plan), path(spark, d)
     r = replay.replay(t, q, (3,), (0, 1, 2, 5)).where("status = 'filled'")
     s = asof(t.select(*KEYS, "task", F.col("task").alias("t")).distinct(), q, KEYS, ["qb", "qa"], order=ORDER[1:], prefix="s_")
     qi = (F.col("s_qb") - F.col("s_qa")) / (F.col("s_qb") + F.col("s_qa"))
@@ -103,9 +104,9 @@ def offset_heat(spark: SparkSession, d: str) -> DataFrame:
     return out(x.groupBy("side", "bin", "offset").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-def cost_parts(spark: SparkSession, d: str) -> DataFrame:
+def cost_parts(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Cost of market fills split at the decision: drift before it, delay and spread after it. The parts add up."""
-    t, q = tasks(spark, d), path(spark, d)
+    t, q = tasks(spark, d, plan), path(spark, d)
     r = replay.replay(t, q, (3,), (0,)).where("status = 'filled' and kind = 'market'")
     at = lambda s: asof(t.select(*KEYS, "task", (F.col("task") + s * 1_000_000).alias("t")).distinct(), q, KEYS, ["p"], order=ORDER[1:], prefix=f"x{s}_").select(*KEYS, "task", f"x{s}_p")
     x = r.join(at(0), [*KEYS, "task"]).join(at(3), [*KEYS, "task"])
@@ -121,11 +122,11 @@ def both_histories(spark: SparkSession, d: str, keys: list[tuple[str, str, str]]
     return kept(q, "p", "seg_price", "valid_price", *names[0], *names[1]), names
 
 
-def window_compression(spark: SparkSession, d: str) -> DataFrame:
+def window_compression(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """A factor over a short and a long history: correlation of both with the label and with each other, equal over dates."""
     keys = _PAIR
     q, (short, long) = both_histories(spark, d, keys)
-    o = labels.origins(tasks(spark, d), q, [*short, *long]).where("source_status = 'ok'")
+    o = labels.origins(tasks(spark, d, plan), q, [*short, *long]).where("source_status = 'ok'")
     y = labels.labels(None, q, (1,), o).where("anchor = 'decision' and status = 'ok'")
     pair = F.explode(F.array(*(F.struct(F.lit(f"{f}_{s}").alias("factor"), F.col(f"s_{a}").alias("a"), F.col(f"s_{b}").alias("b")) for (_, f, s), a, b in zip(keys, short, long))))
     x = y.select("trade_date", "y", pair.alias("x")).select("trade_date", "y", "x.*").where("a is not null and b is not null")
@@ -145,6 +146,7 @@ def factor_registry(spark: SparkSession, d: str, histories: tuple[int, ...] = (5
 
 
 QUERIES = {f.__name__: f for f in (landmark_retention, retention_interval, forward_selection, switch_gate, sign_flips, trailing_accuracy, horizon_accuracy, three_action, branch_gather, offset_heat, cost_parts, window_compression, factor_registry)}
+QUERIES |= whole(trailing_accuracy, horizon_accuracy, three_action, branch_gather, offset_heat, cost_parts, window_compression)
 
 _FILLED = f"SELECT * FROM ({replay_sql(*SPECS['exec_offset_sweep'], True)}) WHERE status = 'filled'"
 _TWO = f"SELECT * FROM ({replay_sql(*SPECS['exec_two_stage'], True)}) WHERE status = 'filled'"
