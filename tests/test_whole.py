@@ -40,3 +40,23 @@ def test_whole(spark, folder, name):
 def test_every_schedule_query_has_a_whole_one():
     for name in ("label_grid", "ic_daily", "ic_summary", "model_fit", "softmax_score", "confusion_metrics", "coverage_curve", "class_prior", "exec_offset_sweep", "exec_fill_mix", "offset_heat", "cost_parts", "branch_gather", "trailing_accuracy", "horizon_accuracy", "three_action", "window_compression"):
         assert f"{name}_whole" in registry.QUERIES
+
+
+def test_sweep_has_every_offset(spark, folder):
+    """Orders of the whole sweep against the event loop, and the heat map's offsets."""
+    from tests.test_replay import loop
+    from tickweave.plans.features import rows
+
+    x = registry.QUERIES["exec_offset_sweep_whole"](spark, folder).collect()
+    assert len(x) == 110 * 2 * 61 and {r.offset for r in x} == set(range(61))
+    data = [r.asDict() for r in rows(spark, folder).orderBy("rn").collect()]
+    filled = 0
+    for o in x:
+        want = loop(data, o.task, o.side, o.offset, (3,), ())
+        if isinstance(want, str):
+            assert (o.status, o.reason) == ("invalid", want), (o, want)
+        else:
+            assert (o.status, o.kind, o.stage, o.price, o.fill_t) == ("filled", *want), (o, want)
+            filled += 1
+    assert filled > 500
+    assert {r.offset for r in registry.QUERIES["offset_heat_whole"](spark, folder).select("offset").collect()} == {r.offset for r in x if r.status == "filled"}

@@ -17,13 +17,14 @@ def asof(points: DataFrame, rows: DataFrame, keys: Sequence[str], values: Sequen
     keys, order = list(keys), list(order)
     payload = [at, *(v for v in values if v != at)]
     r = rows.select(*keys, F.col(at).alias("_at"), *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*payload).alias("_row"))
-    p = points.select(*keys, F.col(at).alias("_at"), F.struct(*points.columns).alias("_point"))
+    p = points.select(*keys, F.col(at).alias("_at"), F.struct(*(c for c in points.columns if c not in keys)).alias("_point"))
     both = r.unionByName(p, allowMissingColumns=True).withColumn("_kind", F.when(F.col("_row").isNull(), 1).otherwise(0))
     time = [F.col("_at").desc() if forward else F.col("_at"), F.col("_kind")]
     ties = [F.col(f"_o{i}").desc() if forward else F.col(f"_o{i}") for i in range(len(order))]
     w = Window.partitionBy(*keys).orderBy(*time, *ties).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_point is not null")
-    return found.select("_point.*", *(F.col(f"_row.{c}").alias(f"{prefix}{c}") for c in payload))
+    own = [c if c in keys else f"_point.{c}" for c in points.columns]  # the keys keep their partitioning
+    return found.select(*own, *(F.col(f"_row.{c}").alias(f"{prefix}{c}") for c in payload))
 
 
 def following(points: DataFrame, rows: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, *, at: str = "t", number: str = "rn", order: Sequence[str] = (), prefix: str = "") -> DataFrame:

@@ -52,12 +52,14 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     t = t.withColumns({f"at{s}": F.when(second(s) <= F.col("top"), second(s)) for s in marks})
     for s in early:  # a source that can't be used is no signal
         t = t.withColumn(f"state{s}", F.when(F.col(f"why{s}").isNull(), F.col(f"state{s}")))
-    o = orders(t, offsets).withColumns({f"limit{s}": F.col(f"p{0 if s in early else s}") - F.col("side") * F.col("offset") for s in marks[:-1]})
+    limits = {f"limit{s}": F.col(f"p{0 if s in early else s}") - F.col("side") * F.col("offset") for s in marks[:-1]}
+    o = orders(t, offsets).withColumns(limits)
     rows = q.select(*KEYS, F.col("rn").alias("row"), "t", "p", "b", "a", "qb", "qa", "dv", (_good() & F.col("step") & F.col("edge_volume")).alias("legal"))
     last = F.coalesce(f"at{FINAL}", "top")
-    span = o.where("why0 is null").withColumn("_b", F.explode(F.sequence(F.expr("rn0 div 64"), (last / 64).cast("bigint"))))
+    span = t.where("why0 is null").withColumn("_b", F.explode(F.sequence(F.expr("rn0 div 64"), (last / 64).cast("bigint"))))
     r = rows.withColumn("_b", F.expr("row div 64"))
     path = span.join(r, [*KEYS, "_b"]).where((F.col("row") > F.col("rn0")) & (F.col("row") <= last))
+    path = orders(path, offsets).withColumns(limits)  # a task's rows are looked up once for all its orders
     stages = list(zip(marks[:-1], marks[1:]))
     first = {f"hit{s}": F.min(F.when((F.col("row") >= F.col(f"at{s}")) & (F.col("row") <= F.coalesce(f"at{e}", "top")) & hit(f"limit{s}"), F.col("row"))) for s, e in stages}
     key = [*KEYS, "task", "side", "offset"]

@@ -11,7 +11,7 @@ from tickweave.operators import statistics as st
 from tickweave.operators.asof import asof
 from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, ORDER
-from tickweave.plans.execution import SPECS, path, replay_sql
+from tickweave.plans.execution import OFFSETS, SPECS, path, replay_sql
 from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import _D, _O, MAIN, orders, out
 from tickweave.plans.labels import _ALL, PLAN, tasks, whole, with_factors
@@ -94,10 +94,10 @@ def branch_gather(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFra
     return out(x.groupBy("side", "wanted").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN, offsets: tuple[int, ...] = (0, 1, 2, 5)) -> DataFrame:
     """Mean cost by bin of the queue imbalance at the task and passive offset."""
     t, q = tasks(spark, d, plan), path(spark, d)
-    r = replay.replay(t, q, (3,), (0, 1, 2, 5)).where("status = 'filled'")
+    r = replay.replay(t, q, (3,), offsets).where("status = 'filled'")
     s = asof(t.select(*KEYS, "task", F.col("task").alias("t")).distinct(), q, KEYS, ["qb", "qa"], order=ORDER[1:], prefix="s_")
     qi = (F.col("s_qb") - F.col("s_qa")) / (F.col("s_qb") + F.col("s_qa"))
     x = r.join(s.select(*KEYS, "task", F.least(F.floor((qi + 1) * 5), F.lit(9)).cast("int").alias("bin")), [*KEYS, "task"])
@@ -146,7 +146,7 @@ def factor_registry(spark: SparkSession, d: str, histories: tuple[int, ...] = (5
 
 
 QUERIES = {f.__name__: f for f in (landmark_retention, retention_interval, forward_selection, switch_gate, sign_flips, trailing_accuracy, horizon_accuracy, three_action, branch_gather, offset_heat, cost_parts, window_compression, factor_registry)}
-QUERIES |= whole(trailing_accuracy, horizon_accuracy, three_action, branch_gather, offset_heat, cost_parts, window_compression)
+QUERIES |= whole(trailing_accuracy, horizon_accuracy, three_action, branch_gather, cost_parts, window_compression) | whole(offset_heat, offsets=OFFSETS)
 
 _FILLED = f"SELECT * FROM ({replay_sql(*SPECS['exec_offset_sweep'], True)}) WHERE status = 'filled'"
 _TWO = f"SELECT * FROM ({replay_sql(*SPECS['exec_two_stage'], True)}) WHERE status = 'filled'"
