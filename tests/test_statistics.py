@@ -103,3 +103,29 @@ def test_contracts_and_small_helpers(spark):
     assert math.isclose(st.leave_one_out(spark.createDataFrame([("g", "a", 1.0), ("g", "b", 3.0)], "g string, d string, m double"), ["g"], "d", "m").where("left_out = 'a'").first().without, 3.0)
 
 
+
+
+def test_sign_flip_takes_every_day():
+    g = np.random.default_rng(4)
+    for n in (1, 2, 15, 18):
+        v = g.normal(0.3, 1, n)
+        patterns = 2.0 * ((np.arange(2**n)[:, None] >> np.arange(n)) & 1) - 1
+        assert st.sign_flip(v) == np.mean(np.abs(patterns @ v) >= abs(v.sum()) - 1e-12)
+    assert st.sign_flip(np.ones(40)) == 2 / 2**40
+    assert st.sign_flip([1.0, -1.0]) == 1.0
+    # 28 days of equal size: a binomial tail
+    assert st.sign_flip([1.0] * 20 + [-1.0] * 8) == pytest.approx(2 * sum(math.comb(28, k) for k in range(20, 29)) / 2**28)
+    with pytest.raises(ValueError):
+        st.sign_flip(np.ones(41))
+
+
+def test_sign_flips_query_uses_every_date(spark, tmp_path, monkeypatch):
+    from tickweave.plans import research
+
+    g = np.random.default_rng(5)
+    cost = {(s, d): float(g.normal(0.2 * (s == "M"), 1)) for s in ("M", research.MAIN[-1] if research.MAIN[-1] != "M" else research.MAIN[0]) for d in range(20)}
+    other = next(s for s, _ in cost if s != "M")
+    orders = spark.createDataFrame([(f"2026-01-{d + 1:02d}", s, c) for (s, d), c in cost.items()], "trade_date string, strategy string, cost double")
+    monkeypatch.setattr(research, "orders", lambda spark, d: orders)
+    (r,) = research.sign_flips(spark, str(tmp_path)).collect()
+    assert r.strategy == other and r.p == pytest.approx(st.sign_flip([cost["M", d] - cost[other, d] for d in range(20)]))

@@ -51,13 +51,13 @@ def switch_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sign_flips(spark: SparkSession, d: str) -> DataFrame:
-    """Exact sign-flip p value of each strategy's saving on the market order, over its last 12 dates, with Holm's adjustment. Dates are few by nature."""
+    """Exact sign-flip p value of each strategy's saving on the market order, over all its dates, with Holm's adjustment. Dates are few by nature."""
     daily = orders(spark, d).where(F.col("strategy").isin(*MAIN)).groupBy("trade_date", "strategy").agg(F.avg("cost").alias("cost"))
     m = daily.where("strategy = 'M'").select("trade_date", F.col("cost").alias("m"))
-    x = daily.where("strategy <> 'M'").join(m, "trade_date").where("m - cost is not null").withColumn("k", F.row_number().over(Window.partitionBy("strategy").orderBy(F.col("trade_date").desc()))).where("k <= 12")
-    lists = x.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("m") - F.col("cost")).alias("v")))).alias("v")).collect()
+    x = daily.where("strategy <> 'M'").join(m, "trade_date").where("m - cost is not null")
+    lists = x.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("trade_date", (F.col("m") - F.col("cost")).alias("v")))).alias("v")).collect()
     rows = [(r["strategy"], st.sign_flip([v["v"] for v in r["v"]])) for r in lists]
-    return out(st.holm(spark.createDataFrame(rows, "strategy string, p double"), "p"))
+    return st.holm(spark.createDataFrame(rows, "strategy string, p double"), "p")  # not rounded: the least p is 2 of 2^dates
 
 
 def trailing_accuracy(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
