@@ -109,3 +109,24 @@ def test_variants_follow_their_parents(spark):
     assert ok > 20
     assert derived.more_variants(q, sequences.history_percentiles(q)).count() == q.count()
     assert derived.mean_gap(q).count() == q.count()
+
+
+@pytest.mark.parametrize("most", [1200, 3000])
+def test_long_sessions_in_parts(spark, most):
+    """A session of many rows a second, handed over in parts, has the values of the whole."""
+    g = np.random.default_rng(8)
+    rows, v, p = [], 1000, 500
+    for i in range(9_000):  # 200 rows a second: the halo's 1,000 rows are 5 s
+        p, v = p + int(g.random() > 0.995) - int(g.random() > 0.995), v + int(g.integers(0, 4))
+        rows.append(snap(i, 0.1 + i * 0.005, (p + int(g.integers(0, 2))) * 0.2, p * 0.2, (p + 1 + int(g.random() > 0.8)) * 0.2, float(g.integers(5, 30)), float(g.integers(5, 30)), v))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        q = quotes(*frames(spark, rows)).cache()
+        for f in (sequences.history_percentiles, sequences.queue_recovery, sequences.lagged_flow):
+            a, b = ({r.snap_id: r[5:] for r in f(q, most=m).collect()} for m in (1_000_000, most))
+            assert a.keys() == b.keys() and len(a) == 9_000
+            x, y = (np.array([s[k] for k in sorted(s)], dtype=float) for s in (a, b))
+            np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-9)
+            assert np.isfinite(x).any(axis=0).sum() >= 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -25,37 +25,48 @@ def _numbers(table: pa.Table, names) -> dict[str, np.ndarray]:
     return {n: table.column(n).to_numpy(zero_copy_only=False).astype(float) if pa.types.is_floating(table.column(n).type) else table.column(n).to_numpy(zero_copy_only=False) for n in names}
 
 
-def history_percentiles(q: DataFrame, h: int = 5) -> DataFrame:
+def history_percentiles(q: DataFrame, h: int = 5, most: int = 40_000) -> DataFrame:
     """(keys, snap_id, t, R04_*): a row's spread, depth, volume rate and price variation against the session's history so far.
 
     History is the state before each legal step, weighted by the step's duration; the percentile counts ties half. Difference, log ratio or
-    ratio to the weighted mean beside it; null where the row has no value or there is no history.
+    ratio to the weighted mean beside it; null where the row has no value or there is no history. A session in parts hands on the weight of
+    each value of its past.
     """
     x = add_formulas(q, {"vr": ("volume", WINDOWED["volume", "D01", "VolumeRate"][0], h), "rv": ("price", WINDOWED["price", "C01", "PriceRV"][0], h)})
     x = x.select(*KEYS, *ORDER, "dt", F.when(F.col("valid_book"), F.col("spread")).alias("spread"), F.when(F.col("valid_queue"), F.col("depth")).alias("depth"), "vr", "rv", "edge_book", "edge_queue", "edge_volume", "edge_price")
     states = (("Spread", "spread", "edge_book", "Difference", ""), ("Depth", "depth", "edge_queue", "LogRatio", ""), ("VolumeRate", "vr", "edge_volume", "Ratio", f"_h{h}s"), ("PriceRV", "rv", "edge_price", "Ratio", f"_h{h}s"))
 
-    def scan(table: pa.Table, lo: int, hi: int) -> pa.Table:
+    none = np.zeros(0), np.zeros(0)
+
+    def scan(table: pa.Table, lo: int, hi: int, state: dict) -> pa.Table:
         c = _numbers(table, ("dt", "spread", "depth", "vr", "rv", "edge_book", "edge_queue", "edge_volume", "edge_price"))
         out = {f"R04_{n}{k}{s}": np.full(table.num_rows, np.nan) for n, _, _, how, s in states for k in (how, "Percentile")}
         edges = _starts(table)
         for a, b in zip(edges, edges[1:]):
+            new = lo if a == 0 else 0  # the first row whose step is not in the history handed on
             for n, v, e, how, s in states:
                 x, step = c[v][a:b], np.flatnonzero(c[e][a:b].astype(bool))
-                step = step[(step > 0)]
+                step = step[(step > 0) & (step >= new)]
                 past, w = x[step - 1], c["dt"][a:b][step]
                 ok = ~np.isnan(past)
                 past, w, step = past[ok], w[ok], step[ok]
-                if not len(step):
+                old, weight = state.get(n, none) if new else none
+                if hi < table.num_rows:  # the session goes on
+                    kept = step < hi
+                    values, at = np.unique(np.r_[old, past[kept]], return_inverse=True)
+                    state[n] = values, np.bincount(at, np.r_[weight, w[kept]], len(values))
+                if not len(step) and not len(old):
                     continue
                 upto = np.searchsorted(step, np.arange(b - a), side="right")
-                total = np.r_[0, np.cumsum(w)][upto]
-                mean = np.divide(np.r_[0, np.cumsum(w * past)][upto], total, out=np.full(b - a, np.nan), where=total > 0)
+                total = (np.r_[0, np.cumsum(w)] + weight.sum())[upto]
+                mean = np.divide((np.r_[0, np.cumsum(w * past)] + weight @ old)[upto], total, out=np.full(b - a, np.nan), where=total > 0)
+                heavy = np.r_[0, np.cumsum(weight)]
+                before = (heavy[np.searchsorted(old, x, side="left")] + heavy[np.searchsorted(old, x, side="right")]) / 2
                 for p in range(0, b - a, 512):  # blocks of rows, so that a long session does not need a square of memory
                     rows = slice(p, min(p + 512, b - a))
                     seen = np.arange(len(step))[None, :] < upto[rows, None]
                     below = (past[None, :] < x[rows, None]) + 0.5 * (past[None, :] == x[rows, None])
-                    share = np.divide((below * seen) @ w, total[rows], out=np.full(rows.stop - p, np.nan), where=total[rows] > 0)
+                    share = np.divide((below * seen) @ w + before[rows], total[rows], out=np.full(rows.stop - p, np.nan), where=total[rows] > 0)
                     out[f"R04_{n}Percentile{s}"][a + p : a + rows.stop] = np.where(np.isnan(x[rows]), np.nan, share)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     value = x - mean if how == "Difference" else np.where(mean > 0, x / mean, np.nan)
@@ -65,14 +76,14 @@ def history_percentiles(q: DataFrame, h: int = 5) -> DataFrame:
         return pa.table(cols).slice(lo, hi - lo)
 
     names = [f"R04_{n}{k}{s}" for n, _, _, how, s in states for k in (how, "Percentile")]
-    return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]))
+    return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most, carry=True)
 
 
-def queue_recovery(q: DataFrame) -> DataFrame:
+def queue_recovery(q: DataFrame, most: int = 400_000) -> DataFrame:
     """(keys, snap_id, t, B09_*_h10s): how queues recover from drops of a tenth or more at an unchanged quote, over the last 10 s.
 
     A drop holds its side for 2 s (a break in the rows frees it). It is mature once a row 2 s later is seen; then it either left its quote,
-    or recovered some share of the drop. Means need three events.
+    or recovered some share of the drop. Means need three events. A session in parts hands on its drops, as each decides where the next may be.
     """
     sides = ("Bid", "Ask")
     counts = ("MatureCount", "SameCount", "ExitCount", "SuccessCount", "ImmatureCount", "GappedCount", "UnrecoveredCount")
@@ -80,12 +91,12 @@ def queue_recovery(q: DataFrame) -> DataFrame:
     names = [f"B09_{s}{k}_h10s" for s in sides for k in (*counts, *means)]
     x = q.select(*KEYS, *ORDER, "qb", "qa", "b", "a", "edge_ofi", "valid_ofi", "seg_ofi")
 
-    def events(t, q_, p, edge, seg):
+    def events(t, q_, p, edge, seg, new, known_drops):
         out, free = [], -np.inf
-        for i in range(len(t)):
+        for i in range(1, len(t)):  # a first row has no drop
             if not edge[i]:
                 free = -np.inf
-            elif t[i] >= free and p[i] == p[i - 1] and q_[i - 1] > q_[i] and (q_[i - 1] - q_[i]) / q_[i - 1] >= 0.1 - 1e-12:
+            elif i in known_drops if i < new else t[i] >= free and p[i] == p[i - 1] and q_[i - 1] > q_[i] and (q_[i - 1] - q_[i]) / q_[i - 1] >= 0.1 - 1e-12:
                 free = t[i] + HOLD
                 end = int(np.searchsorted(t, t[i] + HOLD, side="left"))
                 known = end < len(t)
@@ -100,15 +111,18 @@ def queue_recovery(q: DataFrame) -> DataFrame:
                 out.append((i, end if known else len(t), gapped, left, share, success))
         return out
 
-    def scan(table: pa.Table, lo: int, hi: int) -> pa.Table:
+    def scan(table: pa.Table, lo: int, hi: int, state: dict) -> pa.Table:
         c = _numbers(table, ("t", "qb", "qa", "b", "a", "edge_ofi", "valid_ofi", "seg_ofi"))
         out = {n: np.full(table.num_rows, np.nan) for n in names}
         edges = _starts(table)
         for a, z in zip(edges, edges[1:]):
             t, edge, valid, seg = (c[k][a:z] for k in ("t", "edge_ofi", "valid_ofi", "seg_ofi"))
             for side, qn, pn in zip(sides, ("qb", "qa"), ("b", "a")):
-                ev = events(t, c[qn][a:z], c[pn][a:z], edge, seg)
+                new = lo if a == 0 else 0
+                ev = events(t, c[qn][a:z], c[pn][a:z], edge, seg, new, {new - k for k in state.get(side, ())} if new else ())
                 at = np.array([e[0] for e in ev], dtype=int)
+                if hi < table.num_rows:  # the session goes on; places count back from where it does
+                    state[side] = [hi - k for k in at.tolist() if k < hi]
                 for i in np.flatnonzero(valid):
                     s = int(np.searchsorted(t, t[i] - SPAN, side="left"))
                     while seg[s] != seg[i] or not valid[s]:
@@ -140,11 +154,11 @@ def queue_recovery(q: DataFrame) -> DataFrame:
         cols = {k: table.column(k) for k in (*KEYS, "snap_id", "t")} | {k: pa.array(v, from_pandas=True) for k, v in out.items()}
         return pa.table(cols).slice(lo, hi - lo)
 
-    r = map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]))
+    r = map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most, back=SPAN + HOLD, carry=True)
     return r.withColumns({f"B09_{k}Difference_h10s": F.col(f"B09_Bid{k}_h10s") - F.col(f"B09_Ask{k}_h10s") for k in ("Recovery", "FullShare", "SuccessTime")})
 
 
-def lagged_flow(q: DataFrame) -> DataFrame:
+def lagged_flow(q: DataFrame, most: int = 400_000) -> DataFrame:
     """(keys, snap_id, t, D09_Lag*): correlation over 10 s of order flow per depth and second with the price's speed over the 2 s after it.
 
     Only pairs whose end has been seen count; eight at least, weighted by the step's duration.
@@ -186,4 +200,4 @@ def lagged_flow(q: DataFrame) -> DataFrame:
         cols = {k: table.column(k) for k in (*KEYS, "snap_id", "t")} | {k: pa.array(v, from_pandas=True) for k, v in out.items()}
         return pa.table(cols).slice(lo, hi - lo)
 
-    return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]))
+    return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most, back=SPAN + HOLD)

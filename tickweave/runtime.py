@@ -85,25 +85,31 @@ def map_groups(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    fn: Callable[[pa.Table, int, int], pa.Table | None],
+    fn: Callable[..., pa.Table | None],
     schema: str,
     *,
     halo: int = 1000,
     most: int = 400_000,
+    back: int | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """Run ``fn(table, lo, hi)`` over rows sorted by ``keys`` and ``order``, whole groups at a time, many groups in a call.
 
     One shuffle on ``keys``; the JVM sorts (and spills), Python streams Arrow batches and holds about ``most`` rows. A group longer
     than that is handed over in parts which overlap by ``halo`` rows on either side: ``fn`` reports only rows lo <= i < hi.
+    With ``back`` a part starts a row before that distance of ``order``'s first column from its first row to report, however many rows that is.
+    With ``carry`` a further argument is a dict of the group at the table's start, empty where a group begins: what ``fn`` puts there in a part
+    with hi < num_rows is there in the group's next part.
     """
     keys, order = list(keys), list(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows, skip = 0, 0
+        state: dict = {}
 
         def give(table: pa.Table, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-            out = fn(table, lo, hi)
+            out = fn(table, lo, hi, state) if carry else fn(table, lo, hi)
             if out is not None and out.num_rows:
                 yield from out.combine_chunks().to_batches(max_chunksize=100_000)
 
@@ -118,10 +124,14 @@ def map_groups(
             if end > 0:
                 yield from give(table.slice(0, end), skip, end)
                 table, skip = table.slice(end), 0
+                state.clear()
             elif rows >= most:
                 end = rows - halo
                 yield from give(table, skip, end)
                 first = max(0, end - halo)
+                if back is not None:
+                    at = table.column(order[0]).to_numpy(zero_copy_only=False)
+                    first = max(0, int(at.searchsorted(at[end] - back)) - 1)
                 table, skip = table.slice(first), end - first
             held, rows = table.combine_chunks().to_batches(), table.num_rows
         if rows:
