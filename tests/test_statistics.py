@@ -129,3 +129,36 @@ def test_sign_flips_query_uses_every_date(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(research, "orders", lambda spark, d: orders)
     (r,) = research.sign_flips(spark, str(tmp_path)).collect()
     assert r.strategy == other and r.p == pytest.approx(st.sign_flip([cost["M", d] - cost[other, d] for d in range(20)]))
+
+
+def test_cube_equals_the_long_form(spark):
+    g = np.random.default_rng(9)
+    data, long = [], []
+    for task in range(60):
+        for o in (1, 2):
+            x = [None if g.random() < 0.1 else float(v) for v in (g.normal(), g.integers(0, 3), 7.0)]
+            y = [None if g.random() < 0.1 else float(v) for v in g.integers(-3, 4, 8)]
+            data.append(("d", f"u{task}", o, x, y))
+    full = {(u, j, c): 0 for _, u, *_ in data for j in range(3) for c in range(4)}
+    for _, u, _, x, y in data:
+        for j in range(3):
+            for c in range(4):
+                full[u, j, c] += x[j] is not None and None not in y[2 * c : 2 * c + 2]
+    kinds = [(a, k) for a in ("decision", "arrival") for k in ("cumulative", "incremental")]
+    for _, u, o, x, y in data:
+        for j in range(3):
+            for c in range(4):
+                for h in (0, 1):
+                    v = y[2 * c + h]
+                    for target in ("signed", "absolute"):
+                        for cohort in ("own", "common"):
+                            if cohort == "own" or full[u, j, c] == 2:
+                                long.append((f"f{j}", o, *kinds[c], target, cohort, h + 1, x[j], v if v is None or target == "signed" else abs(v)))
+    by = ["factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
+    want = st.information(spark.createDataFrame(long, "factor string, observation bigint, anchor string, label string, target string, cohort string, horizon int, x double, y double"), by)
+    wide = spark.createDataFrame(data, "trade_date string, unit string, observation bigint, x array<double>, y array<double>")
+    got = st.information_cube(wide, ["f0", "f1", "f2"], (1, 2), 2, block=2)
+    a, b = ({tuple(r[k] for k in by): (r.n, r.status, r.ic, r.rank_ic) for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and len(a) == 3 * 2 * 4 * 2 * 2 * 2
+    for k in a:
+        assert a[k][:2] == b[k][:2] and a[k][2:] == pytest.approx(b[k][2:], abs=1e-9), k

@@ -41,6 +41,77 @@ def information(pairs: DataFrame, by: Sequence[str], least: int = 20) -> DataFra
     return ranked.groupBy(*by).agg(c["n"].alias("n"), c["ic"].alias("ic"), r["ic"].alias("rank_ic"), c["status"].alias("status"))
 
 
+def pair_matrix(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, ic, rank_ic, status) of every column of ``x`` with every column of ``y``, over the rows where both have a value; status by ``STATUS``."""
+    import pandas as pd
+
+    def alike(mask: np.ndarray) -> list[np.ndarray]:
+        _, group = np.unique(np.packbits(mask, axis=0), axis=1, return_inverse=True)
+        return [np.flatnonzero(group.ravel() == g) for g in range(group.max() + 1)] if mask.shape[1] else []
+
+    def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a - a.mean(axis=0), b - b.mean(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.clip((a.T @ b) / np.outer(np.linalg.norm(a, axis=0), np.linalg.norm(b, axis=0)), -1, 1)
+
+    fx, fy = ~np.isnan(x), ~np.isnan(y)
+    n = fx.astype(float).T @ fy.astype(float)
+    ic, rank, status = np.full(n.shape, np.nan), np.full(n.shape, np.nan), np.ones(n.shape, dtype=int)
+    for xs in alike(fx):
+        for ys in alike(fy):
+            rows, at = fx[:, xs[0]] & fy[:, ys[0]], np.ix_(xs, ys)
+            if rows.sum() < least:
+                continue
+            a, b = x[rows][:, xs], y[rows][:, ys]
+            state = np.where(np.ptp(b, axis=0) == 0, 3, 0)[None, :].repeat(len(xs), axis=0)
+            state[np.ptp(a, axis=0) == 0] = 2
+            status[at] = state
+            ic[at] = np.where(state == 0, cosine(a, b), np.nan)
+            rank[at] = np.where(state == 0, cosine(pd.DataFrame(a).rank().to_numpy(), pd.DataFrame(b).rank().to_numpy()), np.nan)
+    return n.astype(np.int64), ic, rank, status
+
+
+STATUS = ("ok", "NOT_ENOUGH_PAIRS", "CONSTANT_FACTOR", "CONSTANT_LABEL")
+
+
+def information_cube(wide: DataFrame, factors: Sequence[str], horizons: Sequence[int], observations: int, day: str = "trade_date", block: int = 16, least: int = 20) -> DataFrame:
+    """(day, factor, observation, anchor, label, target, cohort, horizon, n, status, ic, rank_ic) of every factor and label.
+
+    ``wide`` has day, unit (the task's identity), observation, x (array: the factors' values) and y (array of the labels: anchor decision and
+    arrival, of each the cumulative and the incremental ones, of each the horizons). Target: the label or its size. Cohort ``own``: the rows where
+    both have a value; ``common``: those of the tasks where the factor and all horizons have one in all ``observations`` cases. A group is a day and ``block`` factors.
+    """
+    factors, horizons = list(factors), [int(h) for h in horizons]
+    kinds = [(a, k) for a in ("decision", "arrival") for k in ("cumulative", "incremental")]
+    blocks = -(-len(factors) // block)
+    d = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("x", F.slice("x", F.col("block") * block + 1, block))
+
+    def cube(pdf):
+        import pandas as pd
+
+        names = factors[int(pdf["block"].iloc[0]) * block :][:block]
+        x = np.array([list(v) for v in pdf["x"]], dtype=float).reshape(len(pdf), -1)
+        y = np.array([list(v) for v in pdf["y"]], dtype=float).reshape(len(pdf), -1)
+        unit = pd.factorize(pdf["unit"])[0]
+        case = pdf["observation"].to_numpy()
+        out = []
+        for c, (anchor, kind) in enumerate(kinds):
+            part = y[:, c * len(horizons) : (c + 1) * len(horizons)]
+            whole = ~np.isnan(part).any(axis=1)
+            full = np.stack([np.bincount(unit, whole & ~np.isnan(x[:, j])) for j in range(x.shape[1])], axis=1) == observations
+            for o in np.unique(case):
+                rows = case == o
+                for cohort, xx in (("own", x[rows]), ("common", np.where(full[unit[rows]], x[rows], np.nan))):
+                    for target, yy in (("signed", part[rows]), ("absolute", np.abs(part[rows]))):
+                        n, ic, rank, status = pair_matrix(xx, yy, least)
+                        out.append(pd.DataFrame({day: pdf[day].iloc[0], "factor": np.repeat(names, len(horizons)), "observation": o, "anchor": anchor, "label": kind, "target": target, "cohort": cohort, "horizon": np.tile(horizons, len(names)), "n": n.ravel(), "status": np.array(STATUS)[status.ravel()], "ic": ic.ravel(), "rank_ic": rank.ravel()}))
+        # as objects: what has no value is null, not NaN
+        r = pd.concat(out, ignore_index=True)
+        return r.assign(**{k: r[k].astype(object).where(r[k].notna(), None) for k in ("ic", "rank_ic")})
+
+    return d.groupBy(day, "block").applyInPandas(cube, f"{day} string, factor string, observation bigint, anchor string, label string, target string, cohort string, horizon int, n bigint, status string, ic double, rank_ic double")
+
+
 def information_summary(daily: DataFrame, by: Sequence[str]) -> DataFrame:
     """Over days: mean, median, spread, p10, ratio and signs of ic and rank_ic, valid days and days of each status."""
     z = lambda c: F.count_if(F.col(c) > 1e-12)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import asof as joins
-from tickweave.operators import factors, labels, statistics
+from tickweave.operators import derived, factors, labels, sequences, statistics
 from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, ORDER, quotes_sql
 from tickweave.functions.catalog import WINDOWED
@@ -20,6 +20,7 @@ from tickweave.sources.tables import table
 PLAN = Schedule()
 WHOLE = Schedule(10.0, 1.0, (1.0, 2.0, 3.0, 4.0, 5.0))
 HORIZONS = (1, 2, 3, 4, 5)
+ALL_HORIZONS = tuple(range(1, 31))
 FACTORS = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
 K = ", ".join(KEYS)
 
@@ -91,9 +92,9 @@ def task_origins(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFram
     return x.select(*KEYS, "task", "observation", F.col("s_snap_id").alias("source"), "source_status", F.when(F.col("arrival_status") == "ok", F.col("a_snap_id")).alias("arrival"), "arrival_status")
 
 
-def label_grid(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
-    """Cumulative and incremental labels of both anchors over 1 to 5 s."""
-    x = labels.labels(tasks(spark, d, plan), kept(rows(spark, d), "p", "seg_price", "valid_price"), HORIZONS)
+def label_grid(spark: SparkSession, d: str, plan: Schedule = PLAN, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Cumulative and incremental labels of both anchors over each horizon."""
+    x = labels.labels(tasks(spark, d, plan), kept(rows(spark, d), "p", "seg_price", "valid_price"), horizons)
     return x.withColumn("late", F.expr(rounded_sql("late")))
 
 
@@ -126,6 +127,51 @@ def ic_summary(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
 
+CUBE = ["factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
+
+
+def catalogue(q: DataFrame, histories: tuple[int, ...] = (5, 10)) -> tuple[DataFrame, list[str]]:
+    """(keys, id, factors) of every factor by a hash of its row, and their names; what tells only of a window's quality (R06) is no factor."""
+    q = q.withColumn("snap_id", F.xxhash64(*KEYS, "rn"))  # snapshot ids may be null
+    key = [*KEYS, "snap_id", "t"]
+    x = factors.window_factors(q, WINDOWED, histories, status=False)
+    more = [factors.row_factors(q), factors.age_factors(q), factors.segment_factors(q), factors.opening_factors(q)]
+    more += [f(q, h) for h in histories for f in (factors.mean_state_factors, sequences.history_percentiles)]
+    more += [sequences.queue_recovery(q), sequences.lagged_flow(q), derived.variants(q), derived.more_variants(q, sequences.history_percentiles(q)), derived.mean_gap(q)]
+    for y in more:
+        on = [c for c in key if c in y.columns]
+        x = x.join(y.drop(*(c for c in y.columns if c.endswith("__status") or c in x.columns and c not in on)), on)
+    names = [c for c in x.columns if c not in key]
+    return x.drop("t").withColumnRenamed("snap_id", "id"), names
+
+
+def _cube(spark: SparkSession, d: str) -> DataFrame:
+    lens = rows(spark, d)
+    q = kept(lens, "p", "seg_price", "valid_price")
+    f, names = catalogue(lens)
+    o = labels.origins(tasks(spark, d, WHOLE), q)
+    key = [*KEYS, "task", "observation"]
+    y = labels.labels(None, q, ALL_HORIZONS, o)
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("anchor") == "decision", 0).otherwise(1).alias("a"), "horizon", F.col(c).alias("v")))), lambda s: s["v"])
+    y = y.groupBy(*key).agg(of("y").alias("c"), of("y_incremental").alias("i"))
+    n = len(ALL_HORIZONS)
+    y = y.select(*key, F.concat(F.slice("c", 1, n), F.slice("i", 1, n), F.slice("c", n + 1, n), F.slice("i", n + 1, n)).alias("y"))
+    x = f.select(*KEYS, "id", F.array(*(F.expr(rounded_sql(f"`{c}`")).cast("double") for c in names)).alias("x"))
+    x = o.where("source_status = 'ok'").select(*key, F.xxhash64(*KEYS, "s_rn").alias("id")).join(x, [*KEYS, "id"]).join(y, key)
+    return statistics.information_cube(x.select("trade_date", F.concat_ws("#", *KEYS, F.col("task").cast("string")).alias("unit"), "observation", "x", "y"), names, ALL_HORIZONS, len(WHOLE.observations))
+
+
+def ic_daily_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation per date of every catalogued factor (histories 5 and 10 s) with every label over 1 to 30 s, by observation, anchor, label type, target and cohort. No SQL."""
+    return _cube(spark, d).withColumns({c: F.expr(rounded_sql(c)) for c in ("ic", "rank_ic")})
+
+
+def ic_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Summary over dates of every factor and label."""
+    x = statistics.information_summary(_cube(spark, d), CUBE)
+    return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
+
+
 PAIRS = f"""fac AS ({windowed_sql(FACTORS, 5)}),
     lng AS (SELECT snap_id, 'F05_Momentum_h5s' AS factor, F05_Momentum_h5s AS x FROM fac UNION ALL SELECT snap_id, 'C01_PriceRV_h5s', C01_PriceRV_h5s FROM fac),
     prs AS (SELECT o.trade_date, factor, anchor, horizon, x, y FROM o JOIN lng ON lng.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok' AND x IS NOT NULL),
@@ -138,7 +184,8 @@ PAIRS = f"""fac AS ({windowed_sql(FACTORS, 5)}),
 _ALL = f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, {PAIRS}"
 
 QUERIES = {f.__name__: f for f in (schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins, label_grid, ic_daily, ic_summary)}
-QUERIES |= whole(schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins, label_grid, ic_daily, ic_summary)
+QUERIES |= whole(schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins)
+QUERIES |= whole(label_grid, horizons=ALL_HORIZONS) | {f.__name__: f for f in (ic_daily_whole, ic_summary_whole)}
 SQL = {
     "schedule_grid": f"WITH {TASKS} SELECT * FROM tasks",
     "asof_backward": f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS} SELECT {K}, task, observation, s_snap_id AS snap_id, t - s_t AS age FROM src",
