@@ -48,3 +48,13 @@ def test_held_out_accuracy(spark):
 def test_cuts():
     assert levels.fit_cuts(np.array([1.0, 2, 8, 9, 20, 30]), np.array([1, 1, 2, 2, 3, 4])) == (5.0, 14.25, 25.0)
     assert levels.fit_cuts(np.array([]), np.array([])) == levels.CUTS and levels.fit_cuts(np.array([3.0]), np.array([2])) == pytest.approx(levels.CUTS)
+
+
+def test_opening_formulas_are_learnt(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    said = "I rise to support this item. "
+    docs = [(i, f"{said}Sentence {letters[i % 26] * (2 + i // 26)} comes next. And {letters[i % 26] * (3 + i // 26)} goes on.") for i in range(40)]
+    docs += [(100 + i, "We meet here today. The same speech is printed again.") for i in range(40)]
+    graded = levels.sentence_grades(spark.createDataFrame(docs, "doc_id long, text string"))
+    _, number, _, _ = levels.grade_sentences([said], levels.Lexicon())
+    assert [r.s for r in levels.formulas(graded).collect()] == [number.view(np.int64)[0]]

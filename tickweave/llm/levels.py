@@ -121,13 +121,17 @@ def sentence_grades(documents: DataFrame) -> DataFrame:
 
 
 def formulas(graded: DataFrame, share: float = 0.005, least: int = 3) -> DataFrame:
-    """(s): sentences that follow many different ones: as many as ``share`` of the documents, ``least`` at least.
+    """(s): sentences that follow, or come before, many different ones: as many as ``share`` of the documents, ``least`` at least.
 
-    Copies of a document have the same sentences before, so that repeats make no formula. At most (sentences per document) / ``share`` rows.
+    Copies of a document have the same sentences around, so that repeats make no formula; what opens every document counts by what comes
+    after it. At most twice (sentences per document) / ``share`` rows.
     """
-    pairs = graded.select(F.explode(F.arrays_zip("s", F.concat(F.array(F.lit(0).cast("bigint")), "s").alias("p"))).alias("x")).select("x.s", F.col("x.p").alias("p")).where("s is not null").distinct()
+    none = F.array(F.lit(0).cast("bigint"))
+    zipped = F.arrays_zip("s", F.concat(none, "s").alias("p"), F.concat(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), none).alias("f"))
+    each = graded.select(F.explode(zipped).alias("x")).select("x.s", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x.p").alias("o")), F.struct(F.lit(1).alias("side"), F.col("x.f").alias("o")))).alias("y"))
+    pairs = each.where("s is not null").select("s", "y.side", "y.o").distinct()
     n = graded.count()
-    return pairs.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, share * n)).select("s")
+    return pairs.groupBy("s", "side").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, share * n)).select("s").distinct()
 
 
 def own_grades(graded: DataFrame, known: Sequence[int]) -> DataFrame:
