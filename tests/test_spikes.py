@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tests.data import frames, snap
 from tickweave.operators.spikes import implausible_values
@@ -85,3 +86,33 @@ def test_many_sessions_equal_one_by_one(spark):
     assert flags(spark, rows) == want
 
 
+
+
+@pytest.mark.parametrize("most", [60, 150])
+def test_parts_of_a_session_give_the_same_rows(spark, most):
+    rows = []
+    for k in range(3):
+        m = market(seed=10 + k, n=700, first=k * 10_000)
+        g = np.random.default_rng(k)
+        for i in g.integers(0, 700, 12):
+            m[i][int(g.integers(2, 5))] += float(g.integers(-90, 90)) * 0.2
+        for i in range(150, 420):  # longer than any part
+            m[i][2] = m[149][2]
+        for i in range(450, 480):
+            m[i][7] = m[449][7]
+        m[1][7] *= 90
+        m[699][7] *= 90
+        for i in range(300, 310):
+            m[i][2] = None
+        b = build(m, session=str(k))
+        rows += b + [(5000 + k * 10_000 + j, *b[j][1:]) for j in range(200, 260)]
+    s, _, c = frames(spark, rows)
+    s = s.repartition(1)
+    want = {tuple(r) for r in implausible_values(s, c).collect()}
+    assert {r for _, _, r in want} == {"hard", "spike", "stuck", "edge"} - ({"edge"} if not any(r == "edge" for _, _, r in want) else set())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert {tuple(r) for r in implausible_values(s, c, most=most).collect()} == want
+        assert {tuple(r) for r in implausible_values(s, c.limit(0), most=most).collect()} == {tuple(r) for r in implausible_values(s, c.limit(0)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

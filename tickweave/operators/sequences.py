@@ -76,7 +76,7 @@ def history_percentiles(q: DataFrame, h: int = 5, most: int = 40_000) -> DataFra
         return pa.table(cols).slice(lo, hi - lo)
 
     names = [f"R04_{n}{k}{s}" for n, _, _, how, s in states for k in (how, "Percentile")]
-    return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most, carry=True)
+    return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most)
 
 
 def queue_recovery(q: DataFrame, most: int = 400_000) -> DataFrame:
@@ -154,7 +154,7 @@ def queue_recovery(q: DataFrame, most: int = 400_000) -> DataFrame:
         cols = {k: table.column(k) for k in (*KEYS, "snap_id", "t")} | {k: pa.array(v, from_pandas=True) for k, v in out.items()}
         return pa.table(cols).slice(lo, hi - lo)
 
-    r = map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most, back=SPAN + HOLD, carry=True)
+    r = map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most, back=SPAN + HOLD)
     return r.withColumns({f"B09_{k}Difference_h10s": F.col(f"B09_Bid{k}_h10s") - F.col(f"B09_Ask{k}_h10s") for k in ("Recovery", "FullShare", "SuccessTime")})
 
 
@@ -166,7 +166,7 @@ def lagged_flow(q: DataFrame, most: int = 400_000) -> DataFrame:
     names = ["D09_LagOFICorr_h10s_lag2s", "D09_LagPairCount_h10s_lag2s", "D09_LagAlignmentMax_h10s_lag2s"]
     x = q.select(*KEYS, *ORDER, "p", "ofi", "depth", "l_depth", "dt", "edge_full", "valid_full", "seg_full")
 
-    def scan(table: pa.Table, lo: int, hi: int) -> pa.Table:
+    def scan(table: pa.Table, lo: int, hi: int, state: dict) -> pa.Table:
         c = _numbers(table, ("t", "p", "ofi", "depth", "l_depth", "dt", "edge_full", "valid_full", "seg_full"))
         out = {n: np.full(table.num_rows, np.nan) for n in names}
         edges = _starts(table)

@@ -16,10 +16,12 @@ from pyspark.sql.column import Column
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = sc._conf.get("tickweave.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tickweave-')}"
         sc._conf.set("tickweave.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -33,23 +35,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table below the shared folder and read it back; the table outlives any executor and goes at exit."""
+    """Write ``df`` as a Parquet table below the shared folder and read it back; the table outlives any executor and goes with ``release`` or at exit."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"tickweave-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
-    def drop() -> None:
+
+@atexit.register
+def release(keep: int = 0) -> None:
+    """Drop the stored tables but the first ``keep`` of them: for callers that run many queries, once the results have been read."""
+    while len(_TABLES) > keep:
+        spark, path = _TABLES.pop()
         try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the session has gone, and with it the folder's use
             pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def real(name: str | Column) -> Column:
     """A numeric column as double with stored NaN turned into null: both mean "no value"."""
@@ -81,35 +89,22 @@ def same_key(table: pa.Table, keys: Sequence[str]):
     return same
 
 
-def map_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    fn: Callable[..., pa.Table | None],
-    schema: str,
-    *,
-    halo: int = 1000,
-    most: int = 400_000,
-    back: int | None = None,
-    carry: bool = False,
-) -> DataFrame:
-    """Run ``fn(table, lo, hi)`` over rows sorted by ``keys`` and ``order``, whole groups at a time, many groups in a call.
-
-    One shuffle on ``keys``; the JVM sorts (and spills), Python streams Arrow batches and holds about ``most`` rows. A group longer
-    than that is handed over in parts which overlap by ``halo`` rows on either side: ``fn`` reports only rows lo <= i < hi.
-    With ``back`` a part starts a row before that distance of ``order``'s first column from its first row to report, however many rows that is.
-    With ``carry`` a further argument is a dict of the group at the table's start, empty where a group begins: what ``fn`` puts there in a part
-    with hi < num_rows is there in the group's next part.
+def map_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[..., tuple[pa.Table | None, int]], schema: str, *, most: int = 400_000, placed: bool = False) -> DataFrame:
+    """Run ``fn(table, more, state)`` over rows sorted by ``keys`` and ``order``: whole groups at a time, many in a call.
+
+    One shuffle on ``keys`` (none if the rows are ``placed`` by them already); the JVM sorts (and spills), Python streams Arrow batches. A
+    group longer than ``most`` rows comes in parts: ``more`` says that the table is one group which goes on. ``fn`` returns the rows to
+    give out and the number of the first row that it wants to see again in the next part; ``state`` is a dict of its own that lasts as long
+    as the group. It is for ``fn`` to give the same rows however a group is cut.
     """
     keys, order = list(keys), list(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows, skip = 0, 0
+        rows = 0
         state: dict = {}
 
-        def give(table: pa.Table, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-            out = fn(table, lo, hi, state) if carry else fn(table, lo, hi)
+        def give(out: pa.Table | None) -> Iterator[pa.RecordBatch]:
             if out is not None and out.num_rows:
                 yield from out.combine_chunks().to_batches(max_chunksize=100_000)
 
@@ -119,22 +114,42 @@ def map_groups(
             if rows < most // 4:
                 continue
             table = pa.Table.from_batches(held)
-            starts = (~same_key(table, keys)).nonzero()[0]
-            end = int(starts[-1])
+            end = int((~same_key(table, keys)).nonzero()[0][-1])
             if end > 0:
-                yield from give(table.slice(0, end), skip, end)
-                table, skip = table.slice(end), 0
+                yield from give(fn(table.slice(0, end), False, state)[0])
+                table = table.slice(end)
                 state.clear()
-            elif rows >= most:
-                end = rows - halo
-                yield from give(table, skip, end)
-                first = max(0, end - halo)
-                if back is not None:
-                    at = table.column(order[0]).to_numpy(zero_copy_only=False)
-                    first = max(0, int(at.searchsorted(at[end] - back)) - 1)
-                table, skip = table.slice(first), end - first
+            if table.num_rows >= most:
+                out, first = fn(table, True, state)
+                yield from give(out)
+                table = table.slice(min(first, table.num_rows - 1))
             held, rows = table.combine_chunks().to_batches(), table.num_rows
         if rows:
-            yield from give(pa.Table.from_batches(held), skip, rows)
+            yield from give(fn(pa.Table.from_batches(held), False, state)[0])
+
+    return (df if placed else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[..., pa.Table | None], schema: str, *, back: int = 0, ahead: int = 0, most: int = 400_000) -> DataFrame:
+    """``map_parts`` for a ``fn(table, lo, hi, state)`` that gives out rows lo <= i < hi and looks at most ``back`` and ``ahead`` away in ``order[0]``.
+
+    Parts are cut by that distance, not by a number of rows: a part holds every row of the group within ``ahead`` after its last row to give
+    out, the rows within ``back`` before its first one and a row more, so that results do not depend on ``most``. What does depend on the
+    whole past goes into ``state``, with rows below ``hi`` counted.
+    """
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    def part(table: pa.Table, more: bool, state: dict) -> tuple[pa.Table | None, int]:
+        lo, n = state.pop("lo", 0), table.num_rows
+        if not more:
+            return fn(table, lo, n, state), n
+        at = table.column(order[0]).to_numpy(zero_copy_only=False)
+        hi = int(at.searchsorted(at[-1] - ahead, side="left"))
+        if hi <= lo:
+            state["lo"] = lo
+            return None, 0
+        out = fn(table, lo, hi, state)
+        first = max(0, int(at.searchsorted(at[hi] - back, side="left")) - 1)
+        state["lo"] = hi - first
+        return out, first
+
+    return map_parts(df, keys, order, part, schema, most=most)
