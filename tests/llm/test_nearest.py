@@ -51,3 +51,18 @@ def test_decisions_of_any_spelling(spark):
     snaps = spark.createDataFrame([(i, "A1", "2026-01-05", "0930", at(s)) for i, s in ((10, 5.0), (11, 5.5), (12, 7.6), (13, 5.5), (14, 7.6))], "snap_id long, Contract string, trade_date string, session string, Datetime timestamp")
     got = {r.decision_id: r.snap_id for r in decision_snapshots(dec, ses, snaps).collect()}
     assert got == {1: 10, 2: 11, 6: 12, 8: 10}  # half a second away counts; the earlier of two, then the smaller id
+
+
+@pytest.mark.parametrize("most", [40, 200])
+def test_parts_of_a_shard_give_the_same_pairs(spark, most):
+    r = random.Random(most)
+    events = [(i, "a", r.choice([0, 700, 700, r.randrange(2000)])) for i in range(500)] + [(8000, "b", 10)]
+    queries = [(i, "a", r.randrange(2000)) for i in range(700)] + [(1000 + i, "b", 11 + i % 5) for i in range(400)]  # one event, then 400 queries
+    e = spark.createDataFrame(events, "event_id long, k string, t long")
+    q = spark.createDataFrame(queries, "query_id long, k string, t long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(x.query_id, x.event_id) for x in nearest_in_time(q, e, ["k"], 7, shard=5000, most=most).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(queries, events, 7) and sum(i >= 1000 for i, _ in got) == 400

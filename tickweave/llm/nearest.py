@@ -59,7 +59,7 @@ class LearnedIndex:
         return a
 
 
-def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str], tolerance: int, shard: int = 60_000_000) -> DataFrame:
+def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str], tolerance: int, shard: int = 60_000_000, most: int = 1_000_000) -> DataFrame:
     """(query_id, event_id, offset) of the event nearest to each query, at most ``tolerance`` microseconds away.
 
     ``queries`` has ``keys``, query_id and t, ``events`` has ``keys``, event_id and t (bigint microseconds; ids bigint). At equal
@@ -68,7 +68,8 @@ def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str],
 
     A shard is an entity and a stretch of ``shard`` microseconds; events within ``tolerance`` of its edge are in both shards, so that
     every pair lies within one. One shuffle of both tables on the shard, which spreads hot entities over time; the JVM sorts, and each
-    Arrow batch of whole shards is looked up through a ``LearnedIndex``.
+    Arrow batch of whole shards is looked up through a ``LearnedIndex``. A shard of more than ``most`` rows comes in parts that hold all
+    rows within ``tolerance`` of those they answer, so that the result is the same however many rows a shard has.
     """
     keys = list(keys)
     if not 0 <= tolerance < shard:
@@ -79,7 +80,7 @@ def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str],
     q = queries.where(whole("query_id")).select(*keys, "t", F.col("query_id").alias("id"), F.lit(1).cast("tinyint").alias("kind"), by(F.col("t")).alias("shard"))
     group = [*keys, "shard"]
 
-    def match(table: pa.Table, lo: int, hi: int) -> pa.Table | None:
+    def match(table: pa.Table, lo: int, hi: int, state: dict) -> pa.Table | None:
         kind = table.column("kind").to_numpy()
         ev, qu = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         qu = qu[(qu >= lo) & (qu < hi)]
@@ -103,7 +104,7 @@ def nearest_in_time(queries: DataFrame, events: DataFrame, keys: Sequence[str],
         ok = np.minimum(dl, dr) <= tolerance
         return pa.table({"query_id": ids[qu][ok], "event_id": ids[ev[best[ok]]], "offset": (t[ev[best]] - t[qu])[ok]})
 
-    return map_groups(e.unionByName(q), group, ("t", "kind", "id"), match, "query_id bigint, event_id bigint, offset bigint", halo=250_000, most=1_000_000)
+    return map_groups(e.unionByName(q), group, ("t", "kind", "id"), match, "query_id bigint, event_id bigint, offset bigint", back=tolerance, ahead=tolerance, most=most)
 
 
 def decision_snapshots(decisions: DataFrame, sessions: DataFrame, snapshots: DataFrame, tolerance: int = 500_000) -> DataFrame:
