@@ -162,3 +162,16 @@ def test_cube_equals_the_long_form(spark):
     assert a.keys() == b.keys() and len(a) == 3 * 2 * 4 * 2 * 2 * 2
     for k in a:
         assert a[k][:2] == b[k][:2] and a[k][2:] == pytest.approx(b[k][2:], abs=1e-9), k
+
+
+def test_running_totals_with_null_groups_and_hot_ones(spark):
+    from tickweave.operators.totals import running_totals
+
+    r = np.random.default_rng(4)
+    rows = [(None if k == 3 else f"g{k}", int(i), float(v)) for i, (k, v) in enumerate(zip(r.integers(0, 4, 900) // r.integers(1, 3, 900), r.integers(0, 9, 900)))]
+    out = running_totals(spark.createDataFrame(rows, "g string, i long, v double").repartition(6), ["g"], ["i"], "v").collect()
+    assert len(out) == 900
+    for x in out:
+        mine = [v for g, i, v in rows if g == x.g]
+        assert x.total_all == sum(mine) and x.total == sum(v for g, i, v in rows if g == x.g and i <= x.i)
+    assert running_totals(spark.createDataFrame([], "g string, i long, v double"), ["g"], ["i"], "v").count() == 0
