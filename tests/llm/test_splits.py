@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tickweave.llm.splits import broken_models, date_groups, grouped_splits, plain_date, spanning_forest
+from tickweave.llm.splits import SHARES, broken_models, deal, date_groups, grouped_splits, plain_date, spanning_forest
 
 
 def components(edges):
@@ -72,3 +72,28 @@ def test_splits_keep_groups_and_shares(spark):
     again = {x.key: x.split for x in grouped_splits(spark.createDataFrame(rows, "key string").repartition(7).withColumn("split", F.lit("clash")), "key", members).collect()}
     assert again == split
     assert grouped_splits(spark.createDataFrame([], "key string"), "key", members).count() == 0
+
+
+def test_dealing_keeps_shares_with_few_uneven_roots():
+    r = random.Random(9)
+    for n in (12, 30, 200, 5000):
+        sizes = sorted((int(r.lognormvariate(6, 1.2)) + 1 for _ in range(n)), reverse=True)
+        bands = [(s, sizes.count(s), s * sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        got = [0, 0, 0]
+        for (s, k, _), upto in zip(bands, deal(bands, list(SHARES.values()))):
+            assert upto[-1] == k and upto == sorted(upto)
+            for i, (a, b) in enumerate(zip([0, *upto], upto)):
+                got[i] += (b - a) * s
+        worst = max(abs(g / sum(sizes) - w) for g, w in zip(got, SHARES.values()))
+        assert worst <= {12: 0.1, 30: 0.01, 200: 0.001, 5000: 0.0001}[n]
+
+
+def test_giant_component_and_hub(spark):
+    links = [("hub", f"n{i}") for i in range(400)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(300)]
+    forest, members = spanning_forest(spark.createDataFrame(links, "a string, b string"))
+    assert forest.count() == len(links) and members.select("root").distinct().count() == 2
+    rows = spark.createDataFrame([(f"n{i}",) for i in range(400)] + [(f"x{i}",) for i in range(600)], "key string")
+    out = grouped_splits(rows, "key", members).collect()
+    assert len({x.split for x in out if x.key.startswith("n")}) == 1 and len(out) == 1000
+    n = Counter(x.split for x in out)
+    assert n["train"] == 800 and n["validation"] == 100 and n["test"] == 100

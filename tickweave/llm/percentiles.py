@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.totals import running_totals
+from tickweave.operators.totals import running_totals
 from tickweave.runtime import real
 
 PERCENTS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -35,9 +35,7 @@ def percentiles(counts: DataFrame, by: Sequence[str], measures: Mapping[str, flo
     Exact on the bins: |value - true percentile| <= step / 2. Groups without values have no rows.
     """
     by = list(by)
-    # Groups may be null: a text key that keeps null apart from every text.
-    keyed = counts.withColumn("_g", F.concat_ws("\u0001", F.col("measure"), *(F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for k in by)))
-    totals = running_totals(keyed, ["_g"], ["bin"], "n", "cum")
+    totals = running_totals(counts, [*by, "measure"], ["bin"], "n", "cum")
     # A row is the answer to every percent whose rank lies in (cum - n, cum].
     hits = totals.select(*by, "measure", "bin", "cum", "n", "cum_all", F.explode(F.filter(F.array(*(F.lit(float(p)) for p in percents)), lambda p: (F.greatest(F.ceil(p * F.col("cum_all")), F.lit(1)) <= F.col("cum")) & (F.greatest(F.ceil(p * F.col("cum_all")), F.lit(1)) > F.col("cum") - F.col("n")))).alias("percent"))
     step = F.create_map(*(x for m, s in measures.items() for x in (F.lit(m), F.lit(float(s)))))

@@ -33,9 +33,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, d: str) -> DataFrame:
-    """The split of every date, by the rows that fills and decisions have on it."""
-    dates = [table(spark, d, t).select(splits.plain_date("trade_date").alias("trade_date")) for t in ("fills", "decisions")]
-    return splits.grouped_splits(dates[0].unionAll(dates[1]), "trade_date", splits.date_groups(table(spark, d, "date_links"))).select("trade_date", "split")
+    """The split of every date, by the rows that fills and decisions have on it: each table's rows weigh a million together."""
+    parts = []
+    for t in ("fills", "decisions"):
+        x = table(spark, d, t).select(splits.plain_date("trade_date").alias("trade_date")).where("trade_date is not null")
+        parts.append(x.withColumn("weight", F.lit(1e6 / max(x.count(), 1))))
+    return splits.grouped_splits(parts[0].unionAll(parts[1]), "trade_date", splits.date_groups(table(spark, d, "date_links")), weight="weight").select("trade_date", "split")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +53,15 @@ def p4_decisions(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(_dealt(spark, d), "trade_date", "left").select("decision_id", "trade_date", "split")
 
 
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and shares of the splits, of fills and of decisions."""
+    dealt, parts = _dealt(spark, d), []
+    for t in ("fills", "decisions"):
+        rows = table(spark, d, t).select(splits.plain_date("trade_date").alias("trade_date"))
+        parts.append(splits.shares_report(rows, "trade_date", dealt).select(F.lit(t).alias("table"), "split", "rows", F.round("share", 6).alias("share")))
+    return parts[0].unionByName(parts[1])
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's container for each container size."""
     return packing.pack(stored(packing.token_counts(table(spark, d, "documents")), "tokens"), packing.capacities(table(spark, d, "pack_specs")))
@@ -79,7 +91,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(graded, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("grade"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p4_decisions": p4_decisions, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p4_decisions": p4_decisions, "p4_shares": p4_shares, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
 
 _PERCENTS = ", ".join(map(str, percentiles.PERCENTS))
 
@@ -99,7 +111,28 @@ def _percentile_sql(by: str) -> str:
 _DATE = lambda c: f"""CASE WHEN regexp_matches(trim({c}), '^\\d{{8}}$') THEN strftime(strptime(trim({c}), '%Y%m%d'), '%Y-%m-%d')
     ELSE strftime(strptime(replace(trim({c}), '/', '-'), '%Y-%m-%d'), '%Y-%m-%d') END"""
 
+# Roots by the closure of the links, then one recursion over size bands, the largest first; a, b: claims left of train and validation.
+_DEAL = f"""
+    WITH RECURSIVE l AS (SELECT {_DATE("trade_date")} AS a, {_DATE("linked_date")} AS b FROM date_links WHERE linked_date IS NOT NULL AND trade_date IS NOT NULL),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+    k AS (SELECT {_DATE("trade_date")} AS d, sum(w) AS n FROM (SELECT trade_date, 1e6 / (SELECT count(trade_date) FROM fills) AS w FROM fills UNION ALL SELECT trade_date, 1e6 / (SELECT count(trade_date) FROM decisions) FROM decisions) WHERE trade_date IS NOT NULL GROUP BY 1),
+    g AS (SELECT d, n, least(d, coalesce((SELECT min(b) FROM reach JOIN k j ON j.d = reach.b WHERE reach.a = k.d), d)) AS root FROM k),
+    s AS (SELECT root, greatest(round(sum(n)), 1.0) AS size FROM g GROUP BY 1),
+    r AS (SELECT *, CAST(floor(log2(size) * {splits.BANDS}) AS INTEGER) AS band FROM s),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5(root || '|42'), root) AS place FROM r),
+    bd AS (SELECT *, row_number() OVER (ORDER BY band DESC) AS i FROM (SELECT band, count(*) AS n, sum(size) AS size FROM r GROUP BY 1)),
+    cl AS (SELECT i, band, n, size / n AS m, 0.8 * size AS a, 0.1 * size AS b FROM bd WHERE i = 1
+        UNION ALL SELECT bd.i, bd.band, bd.n, bd.size / bd.n, a - u * m + 0.8 * bd.size, b - v * m + 0.1 * bd.size
+        FROM (SELECT *, least(n, greatest(0, ceil(greatest(a, 0) / m - 0.5))) AS u, least(n, greatest(0, ceil((greatest(a, 0) + greatest(b, 0)) / m - 0.5))) - least(n, greatest(0, ceil(greatest(a, 0) / m - 0.5))) AS v FROM cl) x JOIN bd ON bd.i = x.i + 1),
+    ct AS (SELECT band, least(n, greatest(0, ceil(greatest(a, 0) / m - 0.5))) AS u, least(n, greatest(0, ceil((greatest(a, 0) + greatest(b, 0)) / m - 0.5))) AS w FROM cl),
+    dealt AS (SELECT g.d, CASE WHEN place <= u THEN 'train' WHEN place <= w THEN 'validation' ELSE 'test' END AS split FROM g JOIN r2 USING (root) JOIN ct USING (band))"""
+_SHARE = lambda t: f"SELECT '{t}' AS \"table\", split, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {t} JOIN dealt ON dealt.d = {_DATE(t + '.trade_date')} GROUP BY split"
+
 SQL = {
+    "p4_splits": f"{_DEAL} SELECT fill_id, {_DATE('fills.trade_date')} AS trade_date, split FROM fills LEFT JOIN dealt ON dealt.d = {_DATE('fills.trade_date')}",
+    "p4_decisions": f"{_DEAL} SELECT decision_id, {_DATE('decisions.trade_date')} AS trade_date, split FROM decisions LEFT JOIN dealt ON dealt.d = {_DATE('decisions.trade_date')}",
+    "p4_shares": f"{_DEAL} {_SHARE('fills')} UNION ALL {_SHARE('decisions')}",
     "p2_found": r"""
         WITH q AS (
             SELECT d.decision_id, o.Contract, o.trade_date, o.session,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.llm.totals import running_totals
+from tickweave.operators.totals import running_totals
 from tickweave.runtime import cut, stored
 
+SALTS = 16
+#: Size bands per doubling of a root's records: sizes of a band differ by about a hundredth, small sizes have bands of their own.
+BANDS = 64
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -48,7 +52,10 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             up = up.select("c", "p")
             if not moved:
                 break
-        members = cut(members.join(up.withColumnRenamed("c", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        # A giant component is one root: its members are dealt over salts, so that no task gets them all.
+        salted = up.select(F.col("c").alias("root"), "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+        members = members.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        members = cut(members.join(salted, ["root", "_s"], "left").select("node", F.coalesce("p", "root").alias("root")))
         e = e.join(up.select(F.col("c").alias("x"), F.col("p").alias("px")), "x").join(up.select(F.col("c").alias("y"), F.col("p").alias("py")), "y").where("px <> py")
         e = cut(e.groupBy(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).agg(F.min("w").alias("w")))
     forest = members.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
@@ -62,27 +69,58 @@ def date_groups(links: DataFrame) -> DataFrame:
     return spanning_forest(links.select(plain_date("trade_date").alias("a"), plain_date("linked_date").alias("b")))[1]
 
 
-def grouped_splits(rows: DataFrame, key: str, members: DataFrame, shares: Mapping[str, float] = SHARES, seed: int = 42) -> DataFrame:
-    """(key, root, rows, split): the split of every key, such that keys of one root share it.
+def deal(bands: Sequence[tuple[int, int, float]], shares: Sequence[float]) -> list[list[int]]:
+    """For each (band, roots, records), the largest band first: the number of its roots that come to each split and those before it.
+
+    Systematic: every split has a claim of records, its share of all that has been dealt less what it got. The records of a band are laid
+    end to end and cut by the claims; a root goes where its middle lies. What a split got too much or too little of is settled in the bands below.
+    """
+    debt, out = [0.0] * len(shares), []
+    total = sum(shares)
+    for _, n, size in bands:
+        each = size / n
+        claims = [d + s / total * size for d, s in zip(debt, shares)]
+        line, upto = 0.0, []
+        for c in claims[:-1]:
+            line += max(c, 0.0)
+            upto.append(min(n, max(0, math.ceil(line / each - 0.5))))
+        upto.append(n)
+        got = [b - a for a, b in zip([0, *upto], upto)]
+        debt = [c - g * each for c, g in zip(claims, got)]
+        out.append(upto)
+    return out
+
+
+def grouped_splits(rows: DataFrame, key: str, members: DataFrame, shares: Mapping[str, float] = SHARES, seed: int = 42, weight: str | None = None) -> DataFrame:
+    """(key, root, rows, split): the split of every key, such that keys of one root share it. A root is named by its least key.
 
     ``rows`` has a row per record with ``key`` (not null rows count), ``members`` (node, root) ties keys; a key without a tie is its own root.
-    Roots are stratified by size band (the power of two of their records), ordered within a band by hash and dealt systematically: the
-    k-th takes the split into whose share the k-th point of the golden-ratio sequence falls, which holds the shares in every stretch.
+    Roots are stratified by size band, ordered within a band by the MD5 of name and seed, and dealt systematically from the largest band
+    down (``deal``): shares are counted in records, or in units of ``weight`` where tables of different sizes are to count alike, and off by
+    no more than about the smallest roots.
+
+    A band's roots are ranked by partition offsets, not in one task; only (band, roots, records) reach the driver, at most ``BANDS`` rows per
+    doubling, some 3,000 for any number of roots.
     """
-    total = sum(shares.values())
-    sizes = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.count("*").alias("rows"))
-    keys = stored(sizes.join(members, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rows"), "keys")
-    roots = keys.groupBy("root").agg(F.sum("rows").alias("size"))
-    roots = roots.withColumn("band", F.floor(F.log2(F.col("size").cast("double"))).cast("int")).withColumn("_h", F.xxhash64(F.col("root"), F.lit(seed))).withColumn("_one", F.lit(1).cast("bigint"))
-    dealt = running_totals(roots, ["band"], ["_h", "root"], "_one", "k")
-    point = F.col("k") * F.lit(0.6180339887498949) + F.col("band") * F.lit(0.3819660112501051)
-    point = point - F.floor(point)
-    split, upto = None, 0.0
-    for name, share in shares.items():
-        upto += share / total
-        split = F.when(point < upto, name) if split is None else split.when(point < upto, name)
-    dealt = dealt.select("root", split.otherwise(list(shares)[-1]).alias("split"))
-    return keys.join(dealt, "root").select(F.col("node").alias(key), "root", "rows", "split")
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.count("*").alias("rows"), F.sum(F.col(weight) if weight else F.lit(1)).cast("double").alias("_w"))
+    keys = stored(sizes.join(members, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rows", "_w"), "keys")
+    roots = keys.groupBy("root").agg(F.greatest(F.round(F.sum("_w")), F.lit(1.0)).alias("size"), F.min("node").alias("name"))
+    roots = roots.withColumns({"band": F.floor(F.log2("size") * BANDS).cast("int"), "_h": F.md5(F.concat(F.col("name").cast("string"), F.lit(f"|{seed}")).cast("binary")), "_one": F.lit(1).cast("bigint")})
+    ranked = stored(running_totals(roots, ["band"], ["_h", "name"], "_one", "k"), "roots")
+    bands = [tuple(r) for r in ranked.groupBy("band").agg(F.count("*"), F.sum("size")).orderBy(F.desc("band")).collect()]
+    upto = [(b[0], u) for b, u in zip(bands, deal(bands, list(shares.values())))]
+    cuts = F.broadcast(rows.sparkSession.createDataFrame(upto, "band int, upto array<bigint>"))  # as few rows as there are bands
+    split = F.lit(list(shares)[-1])
+    for i, name in reversed(list(enumerate(shares))):
+        split = F.when(F.col("k") <= F.col("upto")[i], name).otherwise(split)
+    dealt = ranked.join(cuts, "band").select("root", "name", split.alias("split"))
+    return keys.join(dealt, "root").select(F.col("node").alias(key), F.col("name").alias("root"), "rows", "split")
+
+
+def shares_report(rows: DataFrame, key: str, dealt: DataFrame) -> DataFrame:
+    """(split, rows, share): what each split got of the records of ``rows`` that have a key."""
+    x = rows.groupBy(key).agg(F.count("*").alias("n")).join(dealt.select(key, "split"), key).groupBy("split").agg(F.sum("n").alias("rows"))
+    return x.select("split", "rows", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share"))
 
 
 def broken_models(models: DataFrame, members: DataFrame) -> DataFrame:
