@@ -1,9 +1,8 @@
-"""Evaluation passages inside a corpus: winnowed fingerprints find candidates, word alignment extends them over slips and interruptions."""
+"""Evaluation passages inside a corpus: winnowed fingerprints are joined with those of the items, word alignment extends the hits over slips and interruptions."""
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.words import WORD, fold, spoken
+from tickweave.runtime import stored
 
-GRAM, WINDOW, LEAST = 5, 3, 18
-#: Most test items that are sent to the tasks at a time; more go in blocks.
-BLOCK = 20_000
+GRAM, WINDOW, LEAST = 5, 2, 18
+#: Words shared by so many different items belong to a formula.
+COMMON = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,20 +34,26 @@ def word_ids(text: str | None, ids: Ids) -> list[int]:
     return [ids[w] for w in WORD.findall(spoken(text).lower())] if text else []
 
 
+def grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` consecutive words."""
+    h = np.full(max(len(ids) - n + 1, 0), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h = (h ^ ids[j : j + len(h)]) * _MIX
+            h ^= h >> np.uint64(29)
+    return h
+
+
 def winnow(ids: np.ndarray, doc: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the fingerprints of documents laid end to end; ``doc`` is the ascending document number of each word.
 
     Of every ``window`` consecutive hashes of ``gram`` words of a document the least is kept, the last one of equals, and of a document with
-    fewer the least of all. Two documents that share gram + window - 1 words in a row share a fingerprint there.
+    fewer the least of all. Of gram + window - 1 words in a row, one gram is kept at least.
     """
-    n = len(ids) - gram + 1
-    if n < 1:
+    h = grams(ids, gram)
+    n = len(h)
+    if not n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(gram):
-            h = (h ^ ids[j : j + n]) * _MIX
-            h ^= h >> np.uint64(29)
     at = np.flatnonzero(doc[:n] == doc[gram - 1 : gram - 1 + n])
     h, d = h[at], doc[at]
     first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.empty(0, int)
@@ -94,109 +100,126 @@ def reach(a: list[int], i: int, b: list[int], j: int, step: int, gap: int = 16)
     return far
 
 
-class Items:
-    """Test items as word numbers, their fingerprints, and which of their words belong to formulas (runs of words in several items)."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        ids = Ids()
-        self.words = {i: w for i, t in rows if (w := word_ids(t, ids))}
-        self.short = {i: w for i, w in self.words.items() if len(w) < GRAM + WINDOW - 1}
-        self.names = np.array(sorted(set(self.words) - set(self.short)), dtype=np.int64)
-        flat = [np.array(self.words[i], np.uint64) for i in self.names]
-        size = np.array([len(x) for x in flat], dtype=np.int64)
-        self.size = size
-        doc = np.repeat(np.arange(len(flat)), size)
-        start = np.cumsum(size) - size
-        ids_ = np.concatenate(flat) if flat else np.empty(0, np.uint64)
-        pos, h = winnow(ids_, doc)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.item = h[order], doc[pos[order]] if len(pos) else pos
-        self.pos = pos[order] - start[self.item] if len(pos) else pos
-        _, every = winnow(ids_, doc, GRAM, 1)
-        at, _ = winnow(ids_, doc, GRAM, 1)
-        owners: dict[int, set] = defaultdict(set)
-        for x, k in zip(every.tolist(), at.tolist()):
-            owners[x].add(int(doc[k]))
-        formula = np.zeros(len(ids_), bool)
-        for x, k in zip(every.tolist(), at.tolist()):
-            if len(owners[x]) > 1:
-                formula[k : k + GRAM] = True
-        self.formula = [formula[a : a + n] for a, n in zip(start, size)]
-
-
-def find(texts: list[str | None], items: Items, least: int = LEAST, beyond: int = 6) -> list[tuple[int, int, int]]:
-    """(index, item_id, words) of the documents among ``texts`` that hold an item: the longest run of its words."""
-    out = []
+_IDS = Ids()
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
+
+
+def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers of all texts end to end, words of each)."""
     words = [word_ids(t, _IDS) for t in texts]
     size = np.array([len(w) for w in words], dtype=np.int64)
-    start = np.cumsum(size) - size
-    flat = np.fromiter((x for w in words for x in w), dtype=np.uint64, count=int(size.sum()))
-    for i, w in items.short.items():
-        for k, d in enumerate(words):
-            if w[0] in d and any(d[x : x + len(w)] == w for x in range(len(d) - len(w) + 1)):
-                out.append((k, i, len(w)))
-    if not len(flat) or not len(items.hashes):
-        return out
-    doc = np.repeat(np.arange(len(words)), size)
-    pos, h = winnow(flat, doc)
-    lo, hi = np.searchsorted(items.hashes, h, "left"), np.searchsorted(items.hashes, h, "right")
-    n = hi - lo
-    hit = np.repeat(pos, n)
-    ref = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-    if not len(hit):
-        return out
-    d, it, ip = doc[hit], items.item[ref], items.pos[ref]
-    order = np.lexsort((hit, it, d))
-    hit, d, it, ip = hit[order], d[order], it[order], ip[order]
-    # A cluster is what one run can explain: hits of one document and item without a wide gap. Lone formulas span too few words.
-    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (np.diff(hit) > 3 * least)])
-    span = np.maximum.reduceat(ip, new) - np.minimum.reduceat(ip, new) + GRAM
-    enough = span >= np.minimum(least, items.size[it[new]]) - 2 * (WINDOW - 1) - 3
-    best: dict[tuple[int, int], int] = {}
-    for a, b in zip(new[enough], np.r_[new[1:], len(hit)].astype(int)[enough]):
-        k, item = int(d[a]), int(it[a])
-        theirs = items.words[int(items.names[item])]
-        mine, offset, seen = words[k], int(start[k]), (-1, -1)
-        for x, y in zip(hit[a:b].tolist(), ip[a:b].tolist()):
-            x -= offset
-            if seen[0] >= x and seen[1] >= y:
-                continue
-            ahead, behind = reach(mine, x, theirs, y, 1), reach(mine, x, theirs, y, -1)
-            seen = ahead
-            run = ahead[1] - behind[1] + 1
-            own = run - int(items.formula[item][behind[1] : ahead[1] + 1].sum())
-            if run >= len(theirs) - 1 or (run >= least and own >= beyond):
-                best[k, item] = max(best.get((k, item), 0), run)
-    return out + [(k, int(items.names[item]), run) for (k, item), run in best.items()]
+    return np.fromiter((x for w in words for x in w), dtype=np.uint64, count=int(size.sum())), size
 
 
-_IDS = Ids()
+def item_grams(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, members, seeds) of test items.
+
+    texts (item, words, formula): the different items, each under the least of its ids, with the places where grams of formulas begin.
+    members (item, item_id): every id. seeds (h, item, pos): all grams of ``GRAM`` words but those of formulas, which ``COMMON`` or more
+    different items hold, so that one gram leads to few items; an item of formulas only keeps all of its grams. An item of less than
+    GRAM + WINDOW - 1 words is one gram of all its words. Items without any word are left out.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = np.array(word_ids(text, _IDS), np.uint64)
+                if len(w):
+                    n = GRAM if len(w) >= GRAM + WINDOW - 1 else len(w)
+                    out.append((item, n, w.view(np.int64), grams(w, n).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in (2, 3))], ["item_id", "n", "words", "g"])
+
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
+    each = stored(rows.mapInArrow(scan, "item_id bigint, n int, words array<bigint>, g array<bigint>"), "items")
+    texts = each.groupBy("words").agg(F.min("item_id").alias("item"), F.first("n").alias("n"), F.first("g").alias("g"))
+    members = each.join(texts.select("words", "item"), "words").select("item", "item_id").distinct()
+    every = texts.select("item", "n", F.posexplode("g").alias("pos", "h"))
+    many = every.where(F.col("n") == GRAM).groupBy("h").agg(F.count_distinct("item").alias("held")).where(F.col("held") >= COMMON)
+    marked = stored(every.join(many, "h", "left").withColumn("common", F.col("held").isNotNull() & (F.col("n") == GRAM)), "grams")
+    formula = marked.groupBy("item").agg(F.sort_array(F.collect_list(F.when(F.col("common"), F.col("pos")))).alias("formula"), F.every("common").alias("all"))
+    seeds = marked.join(formula.where("all").select("item", "all"), "item", "left").where(~F.col("common") | F.col("all").isNotNull()).select("h", "item", "pos")
+    return texts.join(formula.select("item", "formula"), "item").select("item", "words", "formula"), members, seeds
+
+
+def fingerprints(documents: DataFrame, short: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, h, at): winnowed grams of each document, and all grams of the lengths in ``short`` words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                flat, size = _flat(part.column(1).to_pylist())
+                doc = np.repeat(np.arange(part.num_rows), size)
+                found = [winnow(flat, doc)]
+                for n in short:
+                    h = grams(flat, n)
+                    ok = np.flatnonzero(doc[: len(h)] == doc[n - 1 : n - 1 + len(h)]) if len(h) else np.empty(0, int)
+                    found.append((ok, h[ok]))
+                at = np.concatenate([f[0] for f in found])
+                order = np.argsort(at, kind="stable")
+                at, h = at[order], np.concatenate([f[1] for f in found])[order]
+                count = np.bincount(doc[at], minlength=part.num_rows) if part.num_rows else np.empty(0, int)
+                place = at - (np.cumsum(size) - size)[doc[at]] if len(at) else at
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(h.view(np.int64), count), _lists(place.astype(np.int32), count)], ["doc_id", "h", "at"])
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(scan, "doc_id bigint, h array<bigint>, at array<int>")
+
+
+def longest(mine: list[int], theirs: list[int], formula: list[int], hits: list[tuple[int, int]], least: int = LEAST, beyond: int = 6) -> int:
+    """Words of the longest run of an item in a document that is a case, 0 if none: extended from each hit (place in document, in item)."""
+    plain = np.ones(len(theirs), bool)
+    for k in formula:
+        plain[k : k + GRAM] = False
+    best, seen = 0, (-1, -1)
+    for x, y in sorted(hits):
+        if (seen[0] >= x and seen[1] >= y) or x >= len(mine) or mine[x] != theirs[y]:
+            continue
+        ahead, behind = reach(mine, x, theirs, y, 1), reach(mine, x, theirs, y, -1)
+        seen = ahead
+        run = ahead[1] - behind[1] + 1
+        if run >= (len(theirs) - 1 if len(theirs) >= GRAM + WINDOW - 1 else len(theirs)) or (run >= least and plain[behind[1] : ahead[1] + 1].sum() >= beyond):
+            best = max(best, run)
+    return best
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block: int = BLOCK, least: int = LEAST) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, words) of every document that holds an item whole, or at least ``least`` of its words in a row.
 
     Words are compared without case, punctuation, layout, look-alike or invisible characters and scanning errors; single words changed, left
-    out, doubled or put in, and interruptions, do not end a run. A run of formulas (words in several items) alone doesn't count: six words
-    must be others. Fingerprints guarantee that seven words in a row without a slip are found; ``words`` is the length of the longest run
-    in the item. Null and empty texts hold nothing; repeated documents and items each come out; other columns are ignored.
-
-    The corpus is read once per block of ``block`` items (their words and fingerprints go to every task, so their size is bounded), and
-    nothing is shuffled: an item in a third of the corpus costs no more than any other.
+    out, doubled or put in, and interruptions, do not end a run. A run of formulas alone doesn't count: six words must be others. ``words``
+    is the length of the longest run in the item. A run is found if six of its words in a row are without a slip and outside formulas;
+    items of up to five words only if they occur exactly. Null and empty texts hold nothing; rows without an id are left out; of
+    repeated ids the longest run counts; equal items are looked up once and each come out; other columns are ignored.
+
+    Plan: one pass over the corpus winnows it, its fingerprints are joined with the grams of the items (which Spark broadcasts while they
+    are small; only hits are shuffled then, both sides beyond that), hits are gathered by document and item, and the texts of documents with hits are read
+    again and aligned. A gram leads to less than ``COMMON`` different items, so that a formula in every document makes no hits.
     """
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-rows.count() // block))
-    found = None
-    for b in range(blocks):
-        index = Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
-
-        def scan(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                    hits = find(part.column(1).to_pylist(), index, least)
-                    at = pa.array([h[0] for h in hits], pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int32())], ["doc_id", "item_id", "words"])
-
-        one = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, "doc_id bigint, item_id bigint, words int")
-        found = one if found is None else found.unionByName(one)
-    return found
+    texts, members, seeds = item_grams(items)
+    seeds = stored(seeds, "seeds")  # a written table has a known size
+    short = tuple(r[0] for r in texts.select(F.size("words").alias("n")).where(F.col("n") < GRAM + WINDOW - 1).distinct().collect())  # five lengths at most
+    each = fingerprints(documents, short).select("doc_id", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+    hits = stored(each.join(seeds, "h").groupBy("doc_id", "item").agg(F.collect_set(F.struct("at", "pos")).alias("hits")), "hits")
+    again = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = again.join(hits, "doc_id").join(texts, "item").select("doc_id", "item", "text", "words", "formula", F.col("hits.at").alias("at"), F.col("hits.pos").alias("pos"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, names, runs = [], [], []
+            known: tuple[str | None, list[int]] = (None, [])
+            for k in range(batch.num_rows):
+                r = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
+                if r["text"] != known[0]:
+                    known = (r["text"], word_ids(r["text"], _IDS))
+                theirs = np.array(r["words"], np.int64).view(np.uint64).tolist()
+                if run := longest(known[1], theirs, r["formula"], list(zip(r["at"], r["pos"])), least):
+                    docs.append(r["doc_id"])
+                    names.append(r["item"])
+                    runs.append(run)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.int64()), pa.array(runs, pa.int32())], ["doc_id", "item", "words"])
+
+    found = pairs.mapInArrow(extend, "doc_id bigint, item bigint, words int")
+    return found.join(members, "item").groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
