@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 from tests.data import OPEN, frames, snap
-from tickweave.operators.grid import als_fill, regular_grid, supported
+from tickweave.operators.grid import HALF, estimated, held_out_errors, regular_grid, scaled, solved, source_factors, start, supported, time_sums
 
 
 def test_observed_cells_are_exact_and_gaps_filled_or_marked(spark):
@@ -12,7 +13,7 @@ def test_observed_cells_are_exact_and_gaps_filled_or_marked(spark):
     assert len(out) == 120
     assert out["0930", 3].LastPrice == 777.0 and out["0930", 3].LastPrice_status == "observed"
     assert [k for (n, k), r in sorted(out.items()) if n == "0930" and r.LastPrice_status != "observed"] == [10, 11, 40]
-    assert out["0930", 10].LastPrice_status == "filled" and abs(out["0930", 10].LastPrice - 100.4) < 100
+    assert out["0930", 10].LastPrice_status == "filled" and 99.8 < out["0930", 10].LastPrice < 101.0
     assert all(r.LastPrice_status == "unsupported" and r.LastPrice is None for (n, _), r in out.items() if n == "1000")
 
 
@@ -28,21 +29,57 @@ def test_empty_tables(spark):
     assert regular_grid(s, sess).where("LastPrice_status = 'unsupported'").count() == 120
 
 
-def test_factorisation_beats_the_row_mean_on_held_out_cells():
+def test_fill_comes_near_a_smooth_path(spark):
+    rows = [snap(i, i + 0.25, float(100 + 3 * np.sin(i / 9)), qb=float(20 + i % 3)) for i in range(118) if i not in (50, 51, 52, 80)]
+    s, sess, _ = frames(spark, rows)
+    out = {r.period_second: r for r in regular_grid(s, sess).collect()}
+    for k in (50, 51, 52, 80):
+        assert out[k].LastPrice_status == "filled" and abs(out[k].LastPrice - (100 + 3 * np.sin(k / 9))) < 0.4 and 19 < out[k].BidVolume1 < 23
+    rows = [snap(i, i + 0.25, 50.0) for i in range(118) if i != 30]
+    assert {r.period_second: r.LastPrice for r in regular_grid(frames(spark, rows)[0], sess).collect()}[30] == pytest.approx(50)
+
+
+def test_fill_does_not_depend_on_how_sources_are_laid_out(spark):
+    rows, ses = [], []
+    for c in range(70):
+        name = f"{900 + c}"
+        ses.append((c, "A", "2026-01-05", name, OPEN, 60, None))
+        g = np.random.default_rng(c)
+        path = 100 + np.cumsum(g.normal(0, 0.2, 60))
+        rows += [snap(c * 100 + i, i + 0.25, float(path[i]), qb=float(g.integers(1, 30)), session=name) for i in range(60) if g.random() > 0.15]
+    s, sess, _ = frames(spark, rows, ses)
+    out = []
+    for k in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", k)
+        try:
+            out.append({(r.session, r.period_second): (r.LastPrice_status, r.LastPrice) for r in regular_grid(s.repartition(k), sess).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(out[0]) == 4200 and {k: v[0] for k, v in out[0].items()} == {k: v[0] for k, v in out[1].items()}
+    assert all(v[1] == pytest.approx(out[1][k][1], abs=1e-6) for k, v in out[0].items() if v[1] is not None)
+    errors = {r.field: r for r in held_out_errors(s, sess, share=4).collect()}
+    assert errors["LastPrice"].cells > 200 and errors["BidVolume1"].als < 0.9 * errors["BidVolume1"].linear and errors["LastPrice"].als < 1.1 * errors["LastPrice"].linear
+
+
+def test_alternating_least_squares_lowers_the_error_and_recovers_low_rank():
     g = np.random.default_rng(0)
-    t = np.arange(80)
-    full = np.outer(g.normal(1, 0.3, 20), np.sin(t / 9)) + np.outer(g.normal(0, 1, 20), t / 40) + g.normal(0, 0.02, (20, 80))
-    hide = g.random(full.shape) < 0.2
-    x = np.where(hide, np.nan, full)
-    est = als_fill(x)
-    rmse = np.sqrt(np.mean((est - full)[hide] ** 2))
-    base = np.sqrt(np.mean((np.nanmean(x, axis=1, keepdims=True) - full)[hide] ** 2))
-    assert rmse < 0.35 * base
+    t = 2 * HALF + 1
+    full = g.normal(0, 1, (3000, 2)) @ g.normal(0, 1, (2, t))
+    x = np.where(g.random(full.shape) < 0.3, np.nan, full + g.normal(0, 0.05, full.shape))
+    v, noise = start(4)
+    source = np.repeat(np.arange(150), 20)
+    for _ in range(25):
+        v, noise = solved(time_sums(x[:1000], source[:1000], v, noise) + time_sums(x[1000:], source[1000:] - 50, v, noise), v)
+    u = source_factors(x, source, v, noise)[0]
+    rmse = np.sqrt(np.mean((u @ v.T - full)[np.isnan(x)] ** 2))
+    assert noise < 0.01 and rmse < 0.1 * np.sqrt(np.mean(full**2))
 
 
 def test_support():
-    seen = np.zeros((2, 40), bool)
-    seen[0, [0, 1, 2]] = True
+    seen = np.zeros(40, bool)
+    seen[[0, 1, 2]] = True
     ok = supported(seen, reach=5)
-    assert ok[0, 7] and not ok[0, 8] and not ok[1].any()
-    assert np.isnan(als_fill(np.full((2, 5), np.nan))).all()
+    assert ok[7] and not ok[8] and not supported(np.zeros(5, bool)).any()
+    x = np.full(30, 7.0)
+    x[[3, 20]] = np.nan
+    assert np.allclose(estimated(x, np.array([3, 20]), *start(4)), 7) and scaled(np.full(3, np.nan))[1:] == (0.0, 1.0)
