@@ -1,5 +1,6 @@
 import base64
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -24,7 +25,37 @@ def test_plan_uses_all_and_is_tight(capacity, n, seed):
 def test_exact_complements():
     s = Shelf(np.bincount([3, 5, 7, 11, 11], minlength=30))
     assert s.fill(7) == (7,) and s.fill(22) == (11, 11) and s.fill(15) == (7, 5, 3) or s.fill(15) is not None
-    assert s.fill(6) is None and s.fill(33) is None and s.pair(10) == (7, 3) and Shelf(np.bincount([4, 4, 4])).fill(12) == (4, 4, 4)
+    assert s.fill(6) is None and s.fill(33) is None and s.pair(10) == (7, 3) and Shelf(np.bincount([4, 4, 4], minlength=13)).fill(12) == (4, 4, 4)
+
+
+def test_index_finds_what_there_is_while_lengths_run_out():
+    g = np.random.default_rng(7)
+    for _ in range(40):
+        left = np.bincount(g.integers(1, 30, int(g.integers(1, 14))), minlength=61)
+        s = Shelf(left)
+        while left.sum():
+            gap = int(g.integers(1, 61))
+            items = np.repeat(np.arange(61), left).tolist()
+            want = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(items, k))
+            got = s.fill(gap)
+            assert (got is not None) == want and (got is None or sum(got) == gap)
+            for x in got or (items[int(g.integers(len(items)))],):
+                s.left[x] -= 1
+                left[x] -= 1
+            assert (left >= 0).all() and (s.left == left).all()
+
+
+def test_hot_lengths_and_small_buckets(spark, monkeypatch):
+    from tickweave.llm import packing
+
+    sizes = [(i, 7) for i in range(500)] + [(1000 + i, 3 + i % 5) for i in range(400)]
+    want = Counter((r.spec_id, r.container_id) for r in run(spark, sizes, {1: 50, 2: 20}).collect())
+    monkeypatch.setattr(packing, "BUCKET", 3)
+    out = run(spark, sizes, {1: 50, 2: 20}).collect()
+    room = Counter()
+    for r in out:
+        room[r.spec_id, r.container_id] += r.tokens
+    assert len(out) == 1800 and set(room) == set(want) and all(v <= {1: 50, 2: 20}[k] for (k, _), v in room.items())
 
 
 def run(spark, sizes, specs):
