@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.data import OPEN, frames, snap
-from tickweave.operators.grid import HALF, estimated, held_out_errors, regular_grid, scaled, solved, source_factors, start, supported, time_sums
+from tickweave.operators.grid import HALF, Laid, estimated, held_out_errors, regular_grid, solved, source_factors, start, time_sums
 
 
 def test_observed_cells_are_exact_and_gaps_filled_or_marked(spark):
@@ -76,10 +77,14 @@ def test_alternating_least_squares_lowers_the_error_and_recovers_low_rank():
 
 
 def test_support():
-    seen = np.zeros(40, bool)
-    seen[[0, 1, 2]] = True
-    ok = supported(seen, reach=5)
-    assert ok[7] and not ok[8] and not supported(np.zeros(5, bool)).any()
-    x = np.full(30, 7.0)
-    x[[3, 20]] = np.nan
-    assert np.allclose(estimated(x, np.array([3, 20]), *start(4)), 7) and scaled(np.full(3, np.nan))[1:] == (0.0, 1.0)
+    cell = pa.list_(pa.struct([("second", pa.int32()), ("f", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([40, 5, 30], pa.int32()), pa.array([[(0, 1.0), (1, 2.0), (2, 3.0)], [], [(k, 7.0) for k in range(30) if k not in (3, 20)]], cell)], ["seconds", "cells"])
+    for b, shift in ((batch, 0), (batch.slice(2), 2)):
+        laid = Laid(b, "f")
+        ok, at, source = laid.supported(5), *laid.places()
+        assert source.tolist() == np.repeat(np.arange(3 - shift), [40, 5, 30][shift:]).tolist()
+        if not shift:
+            assert ok[at[7]] and not ok[at[8]] and not ok[at[40:45]].any() and laid.centre.tolist() == [2, 0, 7]
+        gaps = at[np.isnan(laid.x[at]) & ok[at] & (source == 2 - shift)]
+        assert len(gaps) == 2 and np.allclose(estimated(laid, gaps, np.full(2, 2 - shift), *start(4)), 7)
+        assert sum(len(w) for w, _ in laid.pieces()) <= sum(-(-n // 5) for n in laid.n)

@@ -20,23 +20,71 @@ CLIP = 3.0
 CHUNK = 20_000
 
 
-def stretches(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(len(at), 2 HALF + 1): the values of a source around each of its seconds ``at``, nan beyond its ends."""
-    pad = np.full(HALF, np.nan)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, z, pad]), 2 * HALF + 1)[at]
-
+def _middles(v: np.ndarray, source: np.ndarray, n: int) -> np.ndarray:
+    """Median of each source's values; 0 where it has none."""
+    v = v[np.lexsort((v, source))]
+    count = np.bincount(source, minlength=n)
+    first = np.cumsum(count) - count
+    have = count > 0
+    out = np.zeros(n)
+    out[have] = (v[(first + (count - 1) // 2)[have]] + v[(first + count // 2)[have]]) / 2
+    return out
+
+
+class Laid:
+    """One field of some sources, laid end to end by second with ``HALF`` empty seconds around each.
+
+    ``x``: the values, nan where there is none; ``base``: where each source's second 0 lies; ``z``: values about their source's median in
+    units of its spread, both of which faulty values hardly move, ``CLIP`` at most.
+    """
 
-def scaled(x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """A source's values about their median in units of their spread, both of which faulty values hardly move; (values, centre, scale)."""
-    have = x[~np.isnan(x)]
-    if not len(have):
-        return x, 0.0, 1.0
-    centre = float(np.median(have))
-    off = np.abs(have - centre)
-    middle = float(np.median(off))
-    scale = float(np.mean(np.minimum(off, 12 * middle) if middle > 0 else off))
-    scale = scale if scale > 0 and np.isfinite(scale) else 1.0
-    return np.clip((x - centre) / scale, -CLIP, CLIP), centre, scale
+    def __init__(self, batch: pa.RecordBatch, field: str):
+        cells = batch.column("cells")
+        self.n = batch.column("seconds").to_numpy().astype(np.int64)
+        edge = cells.offsets.to_numpy().astype(np.int64)
+        rows = cells.values.slice(edge[0], edge[-1] - edge[0])
+        v = rows.field(field).to_numpy(zero_copy_only=False)
+        source = np.repeat(np.arange(len(self.n)), np.diff(edge))
+        self.base = np.cumsum(self.n + HALF) - self.n
+        at = self.base[source] + rows.field("second").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.x = np.full(int((self.n + HALF).sum()) + HALF, np.nan)
+        self.x[at] = v
+        self.centre = _middles(v, source, len(self.n))
+        off = np.abs(v - self.centre[source])
+        middle = _middles(off, source, len(self.n))
+        spread = np.bincount(source, np.where(middle[source] > 0, np.minimum(off, 12 * middle[source]), off), len(self.n)) / np.maximum(np.bincount(source, minlength=len(self.n)), 1)
+        self.scale = np.where((spread > 0) & np.isfinite(spread), spread, 1.0)
+        self.readings = np.bincount(source, minlength=len(self.n))
+        self.z = np.full(len(self.x), np.nan)
+        self.z[at] = np.clip((v - self.centre[source]) / self.scale[source], -CLIP, CLIP)
+
+    def places(self, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(places, sources) of every ``step``-th second of each source."""
+        count = -(-self.n // step)
+        source = np.repeat(np.arange(len(self.n)), count)
+        return self.base[source] + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)), source
+
+    def stretches(self, at: np.ndarray) -> np.ndarray:
+        """(len(at), 2 HALF + 1): what lies around each place."""
+        return np.lib.stride_tricks.sliding_window_view(self.z, 2 * HALF + 1)[at - HALF]
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(stretches, sources) that the factors are fitted to, whole sources, about ``CHUNK`` stretches at a time."""
+        at, source = self.places(STRIDE)
+        cut = np.unique(np.searchsorted(source, source[::CHUNK])) if len(source) else np.empty(0, int)
+        for a, b in zip(cut, np.r_[cut[1:], len(source)]):
+            w = self.stretches(at[a:b])
+            some = ~np.isnan(w).all(axis=1)
+            if some.any():
+                yield w[some], source[a:b][some]
+
+    def supported(self, reach: int, least: int = 3) -> np.ndarray:
+        """By place: the source has ``least`` readings, one of them within ``reach`` seconds."""
+        total = np.cumsum(np.r_[0, ~np.isnan(self.x)])
+        at, source = self.places()
+        ok = np.zeros(len(self.x), bool)
+        ok[at] = (total[at + reach + 1] > total[at - reach]) & (self.readings[source] >= least)
+        return ok
 
 
 def source_factors(x: np.ndarray, source: np.ndarray, v: np.ndarray, noise: float, weight: float = 10.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,16 +144,8 @@ def fitted(sources: DataFrame, fields: Sequence[str], rank: int = 8, rounds: int
         def part(batch: pa.RecordBatch, now: dict = now) -> np.ndarray:
             total = np.zeros((len(fields), size))
             for k, f in enumerate(fields):
-                held, rows = [], 0
-                for i, x in enumerate(series(batch, f), 1):
-                    w = stretches(scaled(x)[0], np.arange(0, len(x), STRIDE))
-                    w = w[~np.isnan(w).all(axis=1)]
-                    if len(w):
-                        held.append(w)
-                        rows += len(w)
-                    if rows and (rows >= CHUNK or i == batch.num_rows):
-                        total[k] += time_sums(np.concatenate(held), np.repeat(np.arange(len(held)), [len(w) for w in held]), *now[f])
-                        held, rows = [], 0
+                for w, source in Laid(batch, f).pieces():
+                    total[k] += time_sums(w, np.unique(source, return_inverse=True)[1], *now[f])
             return total.ravel()
 
         sums = summed(sources, part)
@@ -114,38 +154,19 @@ def fitted(sources: DataFrame, fields: Sequence[str], rank: int = 8, rounds: int
     return now
 
 
-def series(batch: pa.RecordBatch, field: str) -> Iterator[np.ndarray]:
-    """Of each source its values by second, nan where there is none."""
-    cells = batch.column("cells")
-    edge, rows = cells.offsets.to_numpy(), cells.values
-    second, value = rows.field("second").to_numpy(zero_copy_only=False), rows.field(field).to_numpy(zero_copy_only=False)
-    for n, a, b in zip(batch.column("seconds").to_numpy().tolist(), edge[:-1].tolist(), edge[1:].tolist()):
-        x = np.full(n, np.nan)
-        x[second[a:b].astype(np.int64)] = value[a:b]
-        yield x
-
-
-def estimated(x: np.ndarray, at: np.ndarray, v: np.ndarray, noise: float) -> np.ndarray:
-    """Values of a source at its seconds ``at`` from what was observed around them."""
-    z, centre, scale = scaled(x)
-    every = stretches(z, np.arange(0, len(z), STRIDE))
-    every = every[~np.isnan(every).all(axis=1)]
-    own = float(source_factors(every, np.zeros(len(every), np.int64), v, noise)[2][0]) if len(every) else noise
-    out = np.empty(len(at))
+def estimated(laid: Laid, at: np.ndarray, source: np.ndarray, v: np.ndarray, noise: float) -> np.ndarray:
+    """Values at the places ``at`` of ``source`` from what was observed around them."""
+    own = np.full(len(laid.n), noise)
+    for w, s in laid.pieces():
+        names, s = np.unique(s, return_inverse=True)
+        own[names] = source_factors(w, s, v, noise)[2]
+    out, r = np.empty(len(at)), v.shape[1]
+    outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), r * r)
     for k in range(0, len(at), CHUNK):
-        w = stretches(z, at[k : k + CHUNK])
-        m, r = (~np.isnan(w)).astype(float), v.shape[1]
-        a = (m @ (v[:, :, None] * v[:, None, :]).reshape(len(v), r * r)).reshape(-1, r, r) + own * np.eye(r)
+        w = laid.stretches(at[k : k + CHUNK])
+        a = ((~np.isnan(w)).astype(float) @ outer).reshape(-1, r, r) + own[source[k : k + CHUNK]][:, None, None] * np.eye(r)
         out[k : k + CHUNK] = np.linalg.solve(a, (np.nan_to_num(w) @ v)[:, :, None])[:, :, 0] @ v[HALF]
-    return out * scale + centre
-
-
-def supported(seen: np.ndarray, reach: int = HALF, least: int = 3) -> np.ndarray:
-    """Seconds that may be filled: their source has ``least`` readings, one of them within ``reach`` seconds."""
-    total = np.cumsum(np.r_[0, seen])
-    at = np.arange(len(seen))
-    near = total[np.minimum(at + reach + 1, len(seen))] > total[np.maximum(at - reach, 0)]
-    return near & (total[-1] >= least)
+    return out * laid.scale[source] + laid.centre[source]
 
 
 def grid_sources(readings: DataFrame, schedule: DataFrame, fields: Sequence[str], positive: Sequence[str]) -> DataFrame:
@@ -199,25 +220,21 @@ def regular_grid(
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(["observed", "filled", "unsupported"])
         for batch in batches:
-            held, rows = [], 0
-            for i, values in enumerate(zip(*(series(batch, f) for f in fields))):
-                one = {}
-                for f, x in zip(fields, values):
-                    seen = ~np.isnan(x)
-                    state = np.where(seen, 0, np.where(supported(seen, reach), 1, 2))
-                    gaps = np.flatnonzero(state == 1)
-                    x[gaps] = estimated(x, gaps, *now[f]) if len(gaps) else x[gaps]
-                    one[f] = x, state
-                held.append((i, one))
-                rows += len(x)
-                if rows >= 100_000 or i == batch.num_rows - 1:
-                    which = pa.array(np.repeat([h[0] for h in held], [len(h[1][fields[0]][0]) for h in held]))
-                    out = [batch.column(k).take(which) for k in KEYS]
-                    out.append(pa.array(np.concatenate([np.arange(len(h[1][fields[0]][0]), dtype=np.int32) for h in held])))
-                    for f in fields:
-                        out += [pa.array(np.concatenate([h[1][f][0] for h in held]), from_pandas=True), names.take(pa.array(np.concatenate([h[1][f][1] for h in held])))]
-                    yield pa.RecordBatch.from_arrays(out, [*KEYS, "period_second", *(n for f in fields for n in (f, f"{f}_status"))])
-                    held, rows = [], 0
+            cols: dict = {}
+            for f in fields:
+                laid = Laid(batch, f)
+                at, source = laid.places()
+                seen = ~np.isnan(laid.x[at])
+                state = np.where(seen, 0, np.where(laid.supported(reach)[at], 1, 2))
+                gaps = state == 1
+                x = laid.x[at]
+                x[gaps] = estimated(laid, at[gaps], source[gaps], *now[f])
+                if not cols:
+                    cols = {k: batch.column(k).take(pa.array(source)) for k in KEYS}
+                    cols["period_second"] = pa.array((at - laid.base[source]).astype(np.int32))
+                cols |= {f: pa.array(x, from_pandas=True), f"{f}_status": names.take(pa.array(state))}
+            out = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            yield from (out.slice(i, 100_000) for i in range(0, out.num_rows, 100_000))
 
     schema = ", ".join([*(f"{k} string" for k in KEYS), "period_second int", *(f"`{f}` double, `{f}_status` string" for f in fields)])
     return sources.mapInArrow(fill, schema)
@@ -241,16 +258,16 @@ def held_out_errors(readings: DataFrame, schedule: DataFrame, fields: Sequence[s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = np.zeros((len(fields), 5))
-            truth = pa.RecordBatch.from_arrays([batch.column("seconds"), batch.column("all")], ["seconds", "cells"])
+            whole = pa.RecordBatch.from_arrays([batch.column("seconds"), batch.column("all")], ["seconds", "cells"])
             for k, f in enumerate(fields):
-                for x, y in zip(series(batch, f), series(truth, f)):
-                    have = np.flatnonzero(~np.isnan(x))
-                    at = np.flatnonzero(np.isnan(x) & ~np.isnan(y))
-                    if len(have) < 3 or not len(at):
-                        continue
-                    _, centre, scale = scaled(x)
-                    ways = (estimated(x, at, *now[f]), np.interp(at, have, x[have]), x[have[np.maximum(np.searchsorted(have, at) - 1, 0)]], np.full(len(at), centre))
-                    sums[k] += [len(at), *(np.minimum(np.abs(w - y[at]) / scale, most).sum() for w in ways)]
+                left, truth = Laid(batch, f), Laid(whole, f)
+                at, source = left.places()
+                hid = np.isnan(left.x[at]) & ~np.isnan(truth.x[at]) & (left.readings[source] >= 3)
+                at, source = at[hid], source[hid]
+                have = np.flatnonzero(~np.isnan(left.x))
+                before = have[np.maximum(np.searchsorted(have, at) - 1, 0)]  # five readings lie on either side
+                ways = (estimated(left, at, source, *now[f]), np.interp(at, have, left.x[have]), left.x[before], left.centre[source])
+                sums[k] = [len(at), *(np.minimum(np.abs(w - truth.x[at]) / left.scale[source], most).sum() for w in ways)]
             yield pa.RecordBatch.from_arrays([pa.array(fields), *(pa.array(sums[:, j]) for j in range(5))], ["field", "cells", "als", "linear", "last", "median"])
 
     parts = both.mapInArrow(score, "field string, cells double, als double, linear double, last double, median double")
