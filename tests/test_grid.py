@@ -86,5 +86,5 @@ def test_support():
         if not shift:
             assert ok[at[7]] and not ok[at[8]] and not ok[at[40:45]].any() and laid.centre.tolist() == [2, 0, 7]
         gaps = at[np.isnan(laid.x[at]) & ok[at] & (source == 2 - shift)]
-        assert len(gaps) == 2 and np.allclose(estimated(laid, gaps, np.full(2, 2 - shift), *start(4)), 7)
+        assert len(gaps) == 2 and np.allclose(estimated(laid, gaps, np.full(2, 2 - shift), *start(4), np.zeros(3)), 7)
         assert sum(len(w) for w, _ in laid.pieces()) <= sum(-(-n // 5) for n in laid.n)

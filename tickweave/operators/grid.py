@@ -154,18 +154,68 @@ def fitted(sources: DataFrame, fields: Sequence[str], rank: int = 8, rounds: int
     return now
 
 
-def estimated(laid: Laid, at: np.ndarray, source: np.ndarray, v: np.ndarray, noise: float) -> np.ndarray:
+def centres(w: np.ndarray, noise: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(by the factors, by interpolation, seconds to the nearest reading) of the middle of stretches of known noise; the middle itself is not looked at."""
+    r = v.shape[1]
+    outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), r * r)
+    seen = ~np.isnan(w)
+    seen[:, HALF] = False
+    z = np.where(seen, w, 0.0)
+    a = (seen.astype(float) @ outer).reshape(-1, r, r) + noise[:, None, None] * np.eye(r)
+    als = np.linalg.solve(a, (z @ v)[:, :, None])[:, :, 0] @ v[HALF]
+    row, at = np.arange(len(w)), np.arange(2 * HALF + 1)
+    left, right = np.where(seen & (at < HALF), at, -1).max(axis=1), np.where(seen & (at > HALF), at, 3 * HALF).min(axis=1)
+    l, r_ = z[row, np.maximum(left, 0)], z[row, np.minimum(right, 2 * HALF)]
+    both = (left >= 0) & (right <= 2 * HALF)
+    line = np.where(both, l + (r_ - l) * (HALF - left) / np.maximum(right - left, 1), np.where(left >= 0, l, r_))
+    near = np.minimum(np.where(left >= 0, HALF - left, HALF), np.where(right <= 2 * HALF, right - HALF, HALF))
+    return als, np.where((left >= 0) | (right <= 2 * HALF), line, als), near
+
+
+#: The shares of interpolation in an estimate that are tried, for gaps whose nearest reading is 1, 2, 3 or more seconds away.
+SHARES, REACHES = np.linspace(0, 1, 21), 3
+
+
+def leaned(sources: DataFrame, now: dict[str, tuple[np.ndarray, float]]) -> dict[str, np.ndarray]:
+    """Per field how much an estimate leans on the line between its neighbours, by the distance of the nearest reading.
+
+    The share of least summed error on the middles of all stretches that were observed, each hidden with up to two seconds on either side. One pass; a
+    hundred numbers reach the driver. A field whose readings hardly hang together gets 0, one that moves in small steps more.
+    """
+    fields = list(now)
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros((len(fields), REACHES, len(SHARES)))
+        for i, f in enumerate(fields):
+            v, noise = now[f]
+            for w, source in Laid(batch, f).pieces():
+                source = np.unique(source, return_inverse=True)[1]
+                own = source_factors(w, source, v, noise)[2][source]
+                known = ~np.isnan(w[:, HALF])
+                w, own = w[known], own[known]
+                for k in range(REACHES):
+                    hid = w.copy()
+                    hid[:, HALF - k : HALF + k + 1] = np.nan
+                    als, line, near = centres(hid, own, v)
+                    ok = near < HALF
+                    total[i, k] += np.abs((w[:, HALF] - als)[ok, None] - (line - als)[ok, None] * SHARES).sum(axis=0)
+        return total.ravel()
+
+    sums = summed(sources, part)
+    best = sums.reshape(len(fields), REACHES, -1).argmin(axis=2) if len(sums) else np.zeros((len(fields), REACHES), int)
+    return {f: SHARES[b] for f, b in zip(fields, best)}
+
+
+def estimated(laid: Laid, at: np.ndarray, source: np.ndarray, v: np.ndarray, noise: float, lean: np.ndarray) -> np.ndarray:
     """Values at the places ``at`` of ``source`` from what was observed around them."""
     own = np.full(len(laid.n), noise)
     for w, s in laid.pieces():
         names, s = np.unique(s, return_inverse=True)
         own[names] = source_factors(w, s, v, noise)[2]
-    out, r = np.empty(len(at)), v.shape[1]
-    outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), r * r)
+    out = np.empty(len(at))
     for k in range(0, len(at), CHUNK):
-        w = laid.stretches(at[k : k + CHUNK])
-        a = ((~np.isnan(w)).astype(float) @ outer).reshape(-1, r, r) + own[source[k : k + CHUNK]][:, None, None] * np.eye(r)
-        out[k : k + CHUNK] = np.linalg.solve(a, (np.nan_to_num(w) @ v)[:, :, None])[:, :, 0] @ v[HALF]
+        als, line, near = centres(laid.stretches(at[k : k + CHUNK]), own[source[k : k + CHUNK]], v)
+        out[k : k + CHUNK] = als + (line - als) * lean[np.clip(near - 1, 0, REACHES - 1)]
     return out * laid.scale[source] + laid.centre[source]
 
 
@@ -202,7 +252,8 @@ def regular_grid(
 
     The reading of a second is the last usable one in it (by ``Datetime``, then ``snap_id``); usable means that all ``fields`` have a value
     (no null, no NaN) and those of ``positive`` are above 0. Status ``observed``: the stored value, exact. ``filled``: estimated by the
-    factors of the source's stretch around the second (``fitted``). ``unsupported``: the source has under three readings or none within
+    factors of the source's stretch around the second (``fitted``), leaning on the line between its neighbours as far as that helped on
+    hidden readings (``leaned``). ``unsupported``: the source has under three readings or none within
     ``reach`` seconds (``HALF`` at most), the value is null. Sessions without readings come out unsupported; readings outside any session's
     seconds, or with a null key or time, are left out; sessions with a null key, open time or length give no rows; repeated schedule rows
     count once; extra columns are ignored.
@@ -216,6 +267,7 @@ def regular_grid(
         raise ValueError(f"reach is {HALF} at most")
     sources = stored(grid_sources(readings, schedule, fields, positive), "sources")
     now = fitted(sources.select("seconds", "cells"), fields, rank, rounds)
+    lean = leaned(sources.select("seconds", "cells"), now)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(["observed", "filled", "unsupported"])
@@ -228,7 +280,7 @@ def regular_grid(
                 state = np.where(seen, 0, np.where(laid.supported(reach)[at], 1, 2))
                 gaps = state == 1
                 x = laid.x[at]
-                x[gaps] = estimated(laid, at[gaps], source[gaps], *now[f])
+                x[gaps] = estimated(laid, at[gaps], source[gaps], *now[f], lean[f])
                 if not cols:
                     cols = {k: batch.column(k).take(pa.array(source)) for k in KEYS}
                     cols["period_second"] = pa.array((at - laid.base[source]).astype(np.int32))
@@ -254,6 +306,7 @@ def held_out_errors(readings: DataFrame, schedule: DataFrame, fields: Sequence[s
     marks = F.transform(marks, lambda m, i: m & (i >= 5) & (i < n - 5))
     both = stored(every.select(*KEYS, "seconds", F.col("cells").alias("all"), marks.alias("hidden")).withColumn("cells", F.filter("all", lambda x, i: ~F.element_at("hidden", i + 1))), "held")
     now = fitted(both.select("seconds", "cells"), fields, rank, rounds)
+    lean = leaned(both.select("seconds", "cells"), now)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +319,7 @@ def held_out_errors(readings: DataFrame, schedule: DataFrame, fields: Sequence[s
                 at, source = at[hid], source[hid]
                 have = np.flatnonzero(~np.isnan(left.x))
                 before = have[np.maximum(np.searchsorted(have, at) - 1, 0)]  # five readings lie on either side
-                ways = (estimated(left, at, source, *now[f]), np.interp(at, have, left.x[have]), left.x[before], left.centre[source])
+                ways = (estimated(left, at, source, *now[f], lean[f]), np.interp(at, have, left.x[have]), left.x[before], left.centre[source])
                 sums[k] = [len(at), *(np.minimum(np.abs(w - truth.x[at]) / left.scale[source], most).sum() for w in ways)]
             yield pa.RecordBatch.from_arrays([pa.array(fields), *(pa.array(sums[:, j]) for j in range(5))], ["field", "cells", "als", "linear", "last", "median"])
 
