@@ -50,22 +50,22 @@ def apply_variants(x: DataFrame, specs: dict[str, tuple[tuple[str, ...], str]],
             bad = F.when(F.col(p).isNull(), term) if bad is None else bad.when(F.col(p).isNull(), term)
         out[n] = F.when(bad.isNull(), F.expr(formula.format(h=h)))
         out[f"{n}__status"] = F.coalesce(bad, F.lit("ok"))
-    return x.select("snap_id", *(c.alias(n) for n, c in out.items()))
+    return x.select(*KEYS, "snap_id", *(c.alias(n) for n, c in out.items()))
 
 
 def variants(q: DataFrame, h: int = 5) -> DataFrame:
     """Directional variants of windowed and row factors over ``h`` seconds."""
     need = {p.format(h=h) for inputs, _ in VARIANTS.values() for p in inputs}
     keys = [k for k in WINDOWED if f"{k[1]}_{k[2]}_h{h}s" in need]
-    x = factors.window_factors(q, keys, (h,)).join(factors.row_factors(q).select("snap_id", *(c for f, s in ROW for c in (f"{f}_{s}", f"{f}_{s}__status") if f"{f}_{s}" in need)), "snap_id")
+    x = factors.window_factors(q, keys, (h,)).join(factors.row_factors(q).select(*KEYS, "snap_id", *(c for f, s in ROW for c in (f"{f}_{s}", f"{f}_{s}__status") if f"{f}_{s}" in need)), [*KEYS, "snap_id"])
     return apply_variants(x, VARIANTS, h)
 
 
 def more_variants(q: DataFrame, percentiles: DataFrame, h: int = 5) -> DataFrame:
     """Directional variants of ages, mean states, history percentiles and segment changes."""
-    x = factors.row_factors(q).select("snap_id", "F01_QI", "F01_QI__status", "A05_QIState", "A05_QIState__status")
-    for t in (factors.age_factors(q).select("snap_id", "A05_StateAge", "A05_StateAge__status"), factors.mean_state_factors(q, h).select("snap_id", f"M07_MeanState_h{h}s_g5s", f"M07_MeanStateAge_h{h}s_g5s"), percentiles.select("snap_id", f"R04_VolumeRatePercentile_h{h}s"), factors.segment_factors(q).select("snap_id", "D03_VolumeRateImbalance_lag2s", "D03_VolumeRateImbalance_lag5s")):
-        x = x.join(t, "snap_id")
+    x = factors.row_factors(q).select(*KEYS, "snap_id", "F01_QI", "F01_QI__status", "A05_QIState", "A05_QIState__status")
+    for t in (factors.age_factors(q).select(*KEYS, "snap_id", "A05_StateAge", "A05_StateAge__status"), factors.mean_state_factors(q, h).select(*KEYS, "snap_id", f"M07_MeanState_h{h}s_g5s", f"M07_MeanStateAge_h{h}s_g5s"), percentiles.select(*KEYS, "snap_id", f"R04_VolumeRatePercentile_h{h}s"), factors.segment_factors(q).select(*KEYS, "snap_id", "D03_VolumeRateImbalance_lag2s", "D03_VolumeRateImbalance_lag5s")):
+        x = x.join(t, [*KEYS, "snap_id"])
     return apply_variants(x, MORE, h)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators.asof import asof
@@ -18,9 +18,9 @@ AGE = 500_000
 class Schedule:
     """Clock ticks anchored to the open: every ``step`` from the first at or after ``cold`` seconds, with observation cases."""
 
-    cold: float = 5.0
-    step: float = 10.0
-    observations: tuple[float, ...] = (1.0, 3.0)
+    cold: float = 10.0
+    step: float = 1.0
+    observations: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0, 5.0)
 
     def __post_init__(self) -> None:
         if not 0 <= self.cold or self.step <= 0:
@@ -54,32 +54,62 @@ def origins(tasks: DataFrame, q: DataFrame, carry: Sequence[str] = ()) -> DataFr
     return x.withColumn("arrival_status", F.when(F.col("source_status") != "ok", F.col("source_status")).when(arrives, "ok").otherwise("MISSING_OR_GAPPED_ARRIVAL"))
 
 
-def labels(tasks: DataFrame, q: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4, 5), origin: DataFrame | None = None) -> DataFrame:
+SECOND = 1_000_000
+
+
+def label_arrays(origin: DataFrame, q: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """(keys, task, observation, ..., decision, arrival): per case the labels of both anchors, as arrays in order of horizon.
+
+    An element is (horizon, y, status, late, y_incremental, incremental_status), see ``labels``. Cases share their starts (a decision time, an
+    arrival row): ends are looked up once for each different start, gathered beside it, and joined back, so that no case is sorted with the rows.
+    """
+    horizons = sorted(int(u) for u in horizons)
+    own = ("t", "source_status", "arrival_status", "s_t", "s_rn", "s_snap_id", "s_p", "s_seg_price", "s_valid_price")
+    more = [c for c in origin.columns if c not in (*KEYS, "task", "observation", *own) and not c.startswith("a_")]
+    starts = origin.select(*KEYS, F.explode(F.array("t", "a_t")).alias("start")).where("start is not null").distinct()
+    points = starts.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("t", F.col("start") + F.col("horizon").cast("bigint") * SECOND)
+    ends = asof(points, q, KEYS, ["p", "seg_price", "valid_price"], forward=True, order=ORDER[1:], prefix="e_")
+    ends = ends.groupBy(*KEYS, "start").agg(F.sort_array(F.collect_list(F.struct("horizon", "e_t", "e_p", "e_seg_price", "e_valid_price"))).alias("ends"))
+    x = origin.select(*KEYS, "task", "observation", *more, *(F.col(c) for c in own if c not in (*more, "s_snap_id", "s_rn", "s_valid_price", "s_t")), "a_t", "a_p", "a_seg_price")
+    for name, at in (("decision", "t"), ("arrival", "a_t")):
+        x = x.join(ends.select(*KEYS, F.col("start").alias(at), F.col("ends").alias(f"_{name}")), [*KEYS, at], "left")
+    none = F.array(*(F.expr(f"struct({u} as horizon, cast(null as bigint) as e_t, cast(null as double) as e_p, cast(null as bigint) as e_seg_price, cast(null as boolean) as e_valid_price)") for u in horizons))
+
+    def labelled(name: str, usable: Column, start: Column, p0: Column, seg0: Column) -> Column:
+        def one(e: Column) -> Column:
+            late = e["e_t"] - start - e["horizon"].cast("bigint") * SECOND
+            good = F.coalesce(e["e_valid_price"] & (e["e_seg_price"] == seg0), F.lit(False))
+            status = F.when(~usable, "INVALID_ORIGIN").when(e["e_t"].isNull(), "NO_FUTURE").when(late > AGE, "LATE_FUTURE").when(~good, "GAPPED_OR_INVALID_FUTURE").otherwise("ok")
+            return F.struct(e["horizon"].alias("horizon"), status.alias("status"), F.when(status == "ok", e["e_p"] - p0).alias("y"), F.when(usable, late / 1e6).alias("late"))
+
+        return F.transform(F.coalesce(f"_{name}", none), one).alias(name)
+
+    x = x.withColumns({
+        "_d": labelled("decision", F.col("source_status") == "ok", F.col("t"), F.col("s_p"), F.col("s_seg_price")),
+        "_a": labelled("arrival", F.col("arrival_status") == "ok", F.col("a_t"), F.col("a_p"), F.col("a_seg_price")),
+    })
+
+    def stepped(c: str) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            before = F.get(F.col(c), i - 1)
+            state = F.when(e["status"] != "ok", e["status"]).when((i == 0) | (before["status"] == "ok"), "ok").otherwise("INVALID_PREVIOUS_ENDPOINT")
+            step = F.when(state == "ok", e["y"] - F.coalesce(before["y"], F.lit(0.0)))
+            return F.struct(e["horizon"].alias("horizon"), e["y"].alias("y"), e["status"].alias("status"), e["late"].alias("late"), step.alias("y_incremental"), state.alias("incremental_status"))
+
+        return F.transform(c, one)
+
+    return x.select(*KEYS, "task", "observation", *more, stepped("_d").alias("decision"), stepped("_a").alias("arrival"))
+
+
+def labels(tasks: DataFrame | None, q: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4, 5), origin: DataFrame | None = None) -> DataFrame:
     """(keys, task, observation, anchor, horizon, y, status, late, y_incremental, incremental_status), in ticks.
 
     Anchor ``decision`` starts at the decision and its source row, ``arrival`` at the arrival row. The end is the first row ``horizon`` seconds
     after the start or later. Status: INVALID_ORIGIN, NO_FUTURE, LATE_FUTURE (over half a second late), GAPPED_OR_INVALID_FUTURE, ok. The
-    incremental label is the difference to the horizon a second before; both must be ok. ``origin`` is the result of ``origins`` where
+    incremental label is the difference to the horizon before; both must be ok. ``origin`` is the result of ``origins`` where
     it has been made already; its columns besides those of rows come along.
     """
-    o = origins(tasks, q) if origin is None else origin
-    more = [c for c in o.columns if c not in (*KEYS, "task", "observation", "t", "source_status", "arrival_status") and not c.startswith("a_") and c not in ("s_t", "s_rn", "s_snap_id", "s_p", "s_seg_price", "s_valid_price")]
-    start = lambda name, status, t, pre: F.struct(F.lit(name).alias("anchor"), (F.col(status) == "ok").alias("usable"), F.col(t).alias("start"), F.col(f"{pre}p").alias("p0"), F.col(f"{pre}seg_price").alias("seg0"))
-    o = o.select(*KEYS, "task", "observation", *more, F.explode(F.array(start("decision", "source_status", "t", "s_"), start("arrival", "arrival_status", "a_t", "a_"))).alias("x")).select(*KEYS, "task", "observation", *more, "x.*")
-    o = o.withColumn("horizon", F.explode(F.array(*(F.lit(int(u)) for u in horizons)))).withColumn("t", F.col("start") + F.col("horizon").cast("bigint") * 1_000_000)
-    x = asof(o, q, KEYS, ["p", "seg_price", "valid_price"], forward=True, order=ORDER[1:], prefix="e_")
-    late = F.when(F.col("usable"), (F.col("e_t") - F.col("t")) / 1e6)
-    good = F.coalesce(F.col("e_valid_price") & (F.col("e_seg_price") == F.col("seg0")), F.lit(False))
-    status = F.when(~F.col("usable"), "INVALID_ORIGIN").when(F.col("e_t").isNull(), "NO_FUTURE").when(F.col("e_t") - F.col("t") > AGE, "LATE_FUTURE").when(~good, "GAPPED_OR_INVALID_FUTURE").otherwise("ok")
-    x = x.withColumn("status", status).withColumn("y", F.when(F.col("status") == "ok", F.col("e_p") - F.col("p0"))).withColumn("late", late)
-    before = F.lag("y").over(_by_horizon())
-    had = F.coalesce(F.lag("status").over(_by_horizon()) == "ok", F.col("horizon") == min(horizons))
-    x = x.withColumn("incremental_status", F.when(F.col("status") != "ok", F.col("status")).when(had, "ok").otherwise("INVALID_PREVIOUS_ENDPOINT"))
-    x = x.withColumn("y_incremental", F.when(F.col("incremental_status") == "ok", F.col("y") - F.coalesce(before, F.lit(0.0))))
-    return x.select(*KEYS, "task", "observation", *more, "anchor", "horizon", "y", "status", "late", "y_incremental", "incremental_status")
-
-
-def _by_horizon():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*KEYS, "task", "observation", "anchor").orderBy("horizon")
+    x = label_arrays(origins(tasks, q) if origin is None else origin, q, horizons)
+    more = [c for c in x.columns if c not in ("decision", "arrival")]
+    both = F.explode(F.array(*(F.struct(F.lit(a).alias("anchor"), F.col(a).alias("each")) for a in ("decision", "arrival"))))
+    return x.select(*more, both.alias("x")).select(*more, "x.anchor", F.explode("x.each").alias("e")).select(*more, "anchor", "e.horizon", "e.y", "e.status", "e.late", "e.y_incremental", "e.incremental_status")

@@ -74,42 +74,57 @@ def pair_matrix(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarr
 STATUS = ("ok", "NOT_ENOUGH_PAIRS", "CONSTANT_FACTOR", "CONSTANT_LABEL")
 
 
-def information_cube(wide: DataFrame, factors: Sequence[str], horizons: Sequence[int], observations: int, day: str = "trade_date", block: int = 16, least: int = 20) -> DataFrame:
-    """(day, factor, observation, anchor, label, target, cohort, horizon, n, status, ic, rank_ic) of every factor and label.
+KINDS, TARGETS, COHORTS = ("cumulative", "incremental"), ("signed", "absolute"), ("own", "common")
 
-    ``wide`` has day, unit (the task's identity), observation, x (array: the factors' values) and y (array of the labels: anchor decision and
-    arrival, of each the cumulative and the incremental ones, of each the horizons). Target: the label or its size. Cohort ``own``: the rows where
-    both have a value; ``common``: those of the tasks where the factor and all horizons have one in all ``observations`` cases. A group is a day and ``block`` factors.
+
+def information_cube(wide: DataFrame, factors: Sequence[str], horizons: Sequence[int], observations: int, unit: Sequence[str], block: int = 16, least: int = 20, kinds: Sequence[str] = KINDS, targets: Sequence[str] = TARGETS, cohorts: Sequence[str] = COHORTS) -> DataFrame:
+    """(unit..., factor, observation, anchor, label, target, cohort, horizon, n, status, ic, rank_ic) of every factor and label.
+
+    ``wide`` has the columns of ``unit`` (text: what is correlated by itself, such as a contract's day), task, observation, x (array: the
+    factors' values) and y (array of the labels: anchor decision and arrival, of each the ``kinds``, of each the horizons). Target: the label or
+    its size. Cohort ``own``: the rows where both have a value; ``common``: those of the tasks where the factor and all horizons have one in all
+    ``observations`` cases. A group is a unit and ``block`` factors: it has a row per task and case of one unit, bounded by the unit's clock.
     """
-    factors, horizons = list(factors), [int(h) for h in horizons]
-    kinds = [(a, k) for a in ("decision", "arrival") for k in ("cumulative", "incremental")]
+    import pyarrow as pa
+
+    factors, horizons, unit = list(factors), [int(h) for h in horizons], list(unit)
+    groups = [(a, k) for a in ("decision", "arrival") for k in kinds]
     blocks = -(-len(factors) // block)
-    d = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("x", F.slice("x", F.col("block") * block + 1, block))
-
-    def cube(pdf):
-        import pandas as pd
-
-        names = factors[int(pdf["block"].iloc[0]) * block :][:block]
-        x = np.array([list(v) for v in pdf["x"]], dtype=float).reshape(len(pdf), -1)
-        y = np.array([list(v) for v in pdf["y"]], dtype=float).reshape(len(pdf), -1)
-        unit = pd.factorize(pdf["unit"])[0]
-        case = pdf["observation"].to_numpy()
-        out = []
-        for c, (anchor, kind) in enumerate(kinds):
+    d = wide.select(*unit, "task", "observation", "x", "y").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("x", F.slice("x", F.col("block") * block + 1, block))
+
+    def numbers(c: pa.ChunkedArray, n: int) -> np.ndarray:
+        return c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+    def cube(table: pa.Table) -> pa.Table:
+        names = factors[table.column("block")[0].as_py() * block :][:block]
+        x, y = numbers(table.column("x"), table.num_rows), numbers(table.column("y"), table.num_rows)
+        task = np.unique(table.column("task").to_numpy(), return_inverse=True)[1]
+        case = table.column("observation").to_numpy()
+        parts: dict[str, list] = {c: [] for c in ("observation", "anchor", "label", "target", "cohort", "n", "status", "ic", "rank_ic")}
+        for c, (anchor, kind) in enumerate(groups):
             part = y[:, c * len(horizons) : (c + 1) * len(horizons)]
-            whole = ~np.isnan(part).any(axis=1)
-            full = np.stack([np.bincount(unit, whole & ~np.isnan(x[:, j])) for j in range(x.shape[1])], axis=1) == observations
+            if "common" in cohorts:
+                whole = ~np.isnan(part).any(axis=1)
+                full = np.stack([np.bincount(task, whole & ~np.isnan(x[:, j])) for j in range(x.shape[1])], axis=1) == observations
             for o in np.unique(case):
                 rows = case == o
-                for cohort, xx in (("own", x[rows]), ("common", np.where(full[unit[rows]], x[rows], np.nan))):
-                    for target, yy in (("signed", part[rows]), ("absolute", np.abs(part[rows]))):
-                        n, ic, rank, status = pair_matrix(xx, yy, least)
-                        out.append(pd.DataFrame({day: pdf[day].iloc[0], "factor": np.repeat(names, len(horizons)), "observation": o, "anchor": anchor, "label": kind, "target": target, "cohort": cohort, "horizon": np.tile(horizons, len(names)), "n": n.ravel(), "status": np.array(STATUS)[status.ravel()], "ic": ic.ravel(), "rank_ic": rank.ravel()}))
-        # as objects: what has no value is null, not NaN
-        r = pd.concat(out, ignore_index=True)
-        return r.assign(**{k: r[k].astype(object).where(r[k].notna(), None) for k in ("ic", "rank_ic")})
-
-    return d.groupBy(day, "block").applyInPandas(cube, f"{day} string, factor string, observation bigint, anchor string, label string, target string, cohort string, horizon int, n bigint, status string, ic double, rank_ic double")
+                for cohort in cohorts:
+                    xx = x[rows] if cohort == "own" else np.where(full[task[rows]], x[rows], np.nan)
+                    for target in targets:
+                        n, ic, rank, status = pair_matrix(xx, part[rows] if target == "signed" else np.abs(part[rows]), least)
+                        for k, v in zip(parts, (o, anchor, kind, target, cohort)):
+                            parts[k].append(np.full(n.size, v))
+                        for k, v in zip(("n", "status", "ic", "rank_ic"), (n, np.array(STATUS)[status], ic, rank)):
+                            parts[k].append(v.ravel())
+        each = len(parts["n"])
+        out = {k: pa.array([table.column(k)[0].as_py()] * (each * len(names) * len(horizons)), pa.string()) for k in unit}
+        out |= {"factor": pa.array(np.tile(np.repeat(names, len(horizons)), each)), "horizon": pa.array(np.tile(np.array(horizons, np.int32), len(names) * each))}
+        for k, v in parts.items():  # what has no value is null, not NaN
+            out[k] = pa.array(np.concatenate(v), from_pandas=k in ("ic", "rank_ic"))
+        return pa.table(out).select([*unit, "factor", "observation", "anchor", "label", "target", "cohort", "horizon", "n", "status", "ic", "rank_ic"])
+
+    schema = ", ".join([*(f"`{k}` string" for k in unit), "factor string, observation bigint, anchor string, label string, target string, cohort string, horizon int, n bigint, status string, ic double, rank_ic double"])
+    return d.groupBy(*unit, "block").applyInArrow(cube, schema)
 
 
 def information_summary(daily: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import LASTS, ON, PLAN, TASKS, tasks, whole
+from tickweave.plans.labels import LASTS, ON, PLAN, TASKS, tasks
 from tickweave.plans.oracle import rounded_sql as R
 
 K = ", ".join(KEYS)
@@ -72,7 +72,9 @@ def _replay(name: str, decisions: tuple[int, ...], offsets: tuple[int, ...]):
     return run
 
 
-SPECS = {"exec_two_stage": ((3,), (0,)), "exec_offset_sweep": ((3,), (0, 1, 2, 5)), "exec_repeated": ((3, 6, 9), (1,))}
+#: Every passive offset of the sweep, in ticks.
+OFFSETS = tuple(range(61))
+SPECS = {"exec_two_stage": ((3,), (0,)), "exec_offset_sweep": ((3,), OFFSETS), "exec_repeated": ((3, 6, 9), (1,))}
 QUERIES = {n: _replay(n, *s) for n, s in SPECS.items()}
 SQL = {n: replay_sql(*s) for n, s in SPECS.items()}
 
@@ -98,10 +100,6 @@ def exec_early(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
 
 
 QUERIES |= {"exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
-#: Every passive offset of the sweep, in ticks.
-OFFSETS = tuple(range(61))
-QUERIES |= whole(*QUERIES.values())
-QUERIES |= whole(_replay("exec_offset_sweep", (3,), OFFSETS))
 SQL["exec_early"] = replay_sql((3,), (0,), early=(1,))
 SQL["exec_market"] = f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task, task AS t FROM tasks), {LASTS}, s AS (SELECT x.*, y.rn, y.p AS p0 FROM tk x ASOF JOIN lasts y ON {ON} AND x.t >= y.t WHERE x.t - y.t <= 500000 AND {GOOD.replace('valid', 'y.valid')})
     SELECT {', '.join('s.' + k for k in KEYS)}, task, side, CASE WHEN side = 1 THEN n2.a ELSE n2.b END AS price, {R('side * (CASE WHEN side = 1 THEN n2.a ELSE n2.b END - p0) / p0 * 1e4')} AS cost_bp FROM s JOIN q n1 ON {' AND '.join(f's.{k} = n1.{k}' for k in KEYS)} AND n1.rn = s.rn + 1 JOIN q n2 ON {' AND '.join(f's.{k} = n2.{k}' for k in KEYS)} AND n2.rn = s.rn + 2, (VALUES (1), (-1)) v(side)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import asof as joins
@@ -14,17 +12,16 @@ from tickweave.operators.lens import KEYS, ORDER, quotes_sql
 from tickweave.functions.catalog import WINDOWED
 from tickweave.plans.features import kept, rows
 from tickweave.plans.oracle import rounded_sql, windowed_sql
+from tickweave.runtime import stored
 from tickweave.sources.tables import table
 
-#: The sample of tasks that the SQL checks, and every task: each second from 10 s, 1 to 5 s of observation.
+#: Every task: each second from 10 s, 1 to 5 s of observation.
 PLAN = Schedule()
-WHOLE = Schedule(10.0, 1.0, (1.0, 2.0, 3.0, 4.0, 5.0))
-HORIZONS = (1, 2, 3, 4, 5)
-ALL_HORIZONS = tuple(range(1, 31))
+HORIZONS = tuple(range(1, 31))
 FACTORS = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
 K = ", ".join(KEYS)
 
-TASKS = f"""tasks AS (SELECT {K}, task, observation, task + observation AS t FROM (SELECT {K}, unnest(generate_series(10000000, session_seconds * 1000000 - 1, 10000000)) AS task FROM sessions), (VALUES (1000000::BIGINT), (3000000::BIGINT)) v(observation))"""
+TASKS = f"""tasks AS (SELECT {K}, task, observation, task + observation AS t FROM (SELECT {K}, unnest(generate_series(10000000, session_seconds * 1000000 - 1, 1000000)) AS task FROM sessions), (SELECT unnest(generate_series(1000000, 5000000, 1000000)) AS observation))"""
 LASTS = f"""lasts AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY {K}, t ORDER BY rn DESC) = 1), firsts AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY {K}, t ORDER BY rn) = 1)"""
 ON = " AND ".join(f"x.{k} = y.{k}" for k in KEYS)
 ORIGINS = f"""src AS (SELECT x.*, y.rn AS s_rn, y.t AS s_t, y.snap_id AS s_snap_id, y.p AS s_p, y.seg_price AS s_seg, y.valid_price AS s_valid FROM tasks x ASOF LEFT JOIN lasts y ON {ON} AND x.t >= y.t),
@@ -33,7 +30,7 @@ ORIGINS = f"""src AS (SELECT x.*, y.rn AS s_rn, y.t AS s_t, y.snap_id AS s_snap_
         FROM src x LEFT JOIN q y ON {ON} AND y.rn = coalesce(s_rn, 0) + 2),
     o AS (SELECT *, CASE WHEN source_status <> 'ok' THEN source_status WHEN arrives THEN 'ok' ELSE 'MISSING_OR_GAPPED_ARRIVAL' END AS arrival_status FROM org)"""
 LABELS = f"""anch AS (SELECT {K}, task, observation, 'decision' AS anchor, source_status = 'ok' AS usable, t AS start, s_p AS p0, s_seg AS seg0 FROM o UNION ALL SELECT {K}, task, observation, 'arrival', arrival_status = 'ok', a_t, a_p, a_seg FROM o),
-    hz AS (SELECT *, start + horizon * 1000000 AS t FROM anch, (VALUES (1), (2), (3), (4), (5)) v(horizon)),
+    hz AS (SELECT *, start + horizon * 1000000 AS t FROM anch, (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS horizon)),
     ends AS (SELECT x.*, y.t AS e_t, y.p AS e_p, y.seg_price AS e_seg, y.valid_price AS e_valid FROM hz x ASOF LEFT JOIN firsts y ON {ON} AND x.t <= y.t),
     lab AS (SELECT *, CASE WHEN NOT usable THEN 'INVALID_ORIGIN' WHEN e_t IS NULL THEN 'NO_FUTURE' WHEN e_t - t > 500000 THEN 'LATE_FUTURE' WHEN NOT coalesce(e_valid AND e_seg = seg0, false) THEN 'GAPPED_OR_INVALID_FUTURE' ELSE 'ok' END AS status FROM ends),
     laby AS (SELECT *, CASE WHEN status = 'ok' THEN e_p - p0 END AS y, CASE WHEN usable THEN (e_t - t) / 1e6 END AS late FROM lab)"""
@@ -43,19 +40,6 @@ def tasks(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     return labels.schedule(table(spark, d, "sessions"), plan)
 
 
-def whole(*queries: Callable[..., DataFrame], **more: object) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """``<name>_whole`` for each query: the same over every task. No SQL: the queries' own names have it, over the sample."""
-
-    def over(f):
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            return f(spark, d, plan=WHOLE, **more)
-
-        run.__name__, run.__doc__ = f"{f.__name__}_whole", f"{f.__doc__} Over every task."
-        return run
-
-    return {f"{f.__name__}_whole": over(f) for f in queries}
-
-
 def schedule_grid(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Nominal tasks and decision times."""
     return tasks(spark, d, plan)
@@ -106,86 +90,93 @@ def with_factors(spark: SparkSession, d: str, keys: list[tuple[str, str, str]],
     return kept(q, "p", "seg_price", "valid_price", *names), names
 
 
-def _pairs(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
-    """trade_date, factor, anchor, horizon, x, y: one row per task, factor and label."""
+#: What is correlated by itself: prices of different contracts are in different ticks.
+UNIT = ["Contract", "trade_date"]
+
+
+def _wide(o: DataFrame, q: DataFrame, x: Column, incremental: bool) -> DataFrame:
+    """(keys, task, observation, x, y) for ``information_cube``: factors ``x`` of the source row and both anchors' labels."""
+    of = lambda a, v: F.transform(a, lambda e: e[v])
+    y = [of(a, v) for a in ("decision", "arrival") for v in ("y", *(("y_incremental",) if incremental else ()))]
+    return labels.label_arrays(o, q, HORIZONS).select(*KEYS, "task", "observation", x.alias("x"), F.concat(*y).alias("y"))
+
+
+def _daily(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     q, names = with_factors(spark, d, FACTORS)
     o = labels.origins(tasks(spark, d, plan), q, names).where("source_status = 'ok'")
-    y = labels.labels(None, q, HORIZONS, o)
-    return y.unpivot(["trade_date", "anchor", "horizon", "y"], [f"s_{n}" for n in names], "factor", "x").withColumn("factor", F.expr("substring(factor, 3)"))
+    wide = _wide(o, q, F.array(*(f"s_{n}" for n in names)), False)
+    x = statistics.information_cube(wide, names, HORIZONS, len(plan.observations), UNIT, kinds=("cumulative",), targets=("signed",), cohorts=("own",))
+    return x.drop("label", "target", "cohort")
 
 
 def ic_daily(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
-    """Pearson and rank correlation of factors and labels per date."""
-    x = statistics.information(_pairs(spark, d, plan), ["trade_date", "factor", "anchor", "horizon"])
-    return x.select("trade_date", "factor", "anchor", "horizon", "n", "status", *(F.expr(rounded_sql(c)).alias(c) for c in ("ic", "rank_ic")))
+    """Pearson and rank correlation of factors and labels over 1 to 30 s per contract, date and observation."""
+    return _daily(spark, d, plan).withColumns({c: F.expr(rounded_sql(c)) for c in ("ic", "rank_ic")})
 
 
 def ic_summary(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Summary over dates."""
-    daily = statistics.information(_pairs(spark, d, plan), ["trade_date", "factor", "anchor", "horizon"])
-    x = statistics.information_summary(daily, ["factor", "anchor", "horizon"])
+    x = statistics.information_summary(_daily(spark, d, plan), ["Contract", "factor", "observation", "anchor", "horizon"])
     return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
 
-CUBE = ["factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
+CUBE = ["Contract", "factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
 
 
 def catalogue(q: DataFrame, histories: tuple[int, ...] = (5, 10)) -> tuple[DataFrame, list[str]]:
-    """(keys, id, factors) of every factor by a hash of its row, and their names; what tells only of a window's quality (R06) is no factor."""
+    """(keys, id, x) of every factor by a hash of its row, and their names; what tells only of a window's quality (R06) is no factor.
+
+    Each family is written by itself as an array of its factors, so that no plan holds them all.
+    """
     q = q.withColumn("snap_id", F.xxhash64(*KEYS, "rn"))  # snapshot ids may be null
     key = [*KEYS, "snap_id", "t"]
-    x = factors.window_factors(q, WINDOWED, histories, status=False)
-    more = [factors.row_factors(q), factors.age_factors(q), factors.segment_factors(q), factors.opening_factors(q)]
+    more = [factors.window_factors(q, [k for k in WINDOWED if k[0] == g], histories, status=False) for g in sorted({k[0] for k in WINDOWED})]
+    more += [factors.row_factors(q), factors.age_factors(q), factors.segment_factors(q), factors.opening_factors(q)]
     more += [f(q, h) for h in histories for f in (factors.mean_state_factors, sequences.history_percentiles)]
     more += [sequences.queue_recovery(q), sequences.lagged_flow(q), derived.variants(q), derived.more_variants(q, sequences.history_percentiles(q)), derived.mean_gap(q)]
+    x, names = None, []
     for y in more:
-        on = [c for c in key if c in y.columns]
-        x = x.join(y.drop(*(c for c in y.columns if c.endswith("__status") or c in x.columns and c not in on)), on)
-    names = [c for c in x.columns if c not in key]
-    return x.drop("t").withColumnRenamed("snap_id", "id"), names
+        own = [c for c in y.columns if c not in key and not c.endswith("__status") and c not in names]
+        part = stored(y.select(*KEYS, "snap_id", F.array(*(F.expr(rounded_sql(f"`{c}`")).cast("double") for c in own)).alias(f"x{len(names)}")), "family")
+        x = part if x is None else x.join(part, [*KEYS, "snap_id"])
+        names += own
+    return x.select(*KEYS, F.col("snap_id").alias("id"), F.concat(*(c for c in x.columns if c not in key)).alias("x")), names
 
 
 def _cube(spark: SparkSession, d: str) -> DataFrame:
-    lens = rows(spark, d)
-    q = kept(lens, "p", "seg_price", "valid_price")
+    lens = stored(rows(spark, d), "whole")
+    q = lens.select(*KEYS, *ORDER, "rn", "p", "seg_price", "valid_price")
     f, names = catalogue(lens)
-    o = labels.origins(tasks(spark, d, WHOLE), q)
-    key = [*KEYS, "task", "observation"]
-    y = labels.labels(None, q, ALL_HORIZONS, o)
-    of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("anchor") == "decision", 0).otherwise(1).alias("a"), "horizon", F.col(c).alias("v")))), lambda s: s["v"])
-    y = y.groupBy(*key).agg(of("y").alias("c"), of("y_incremental").alias("i"))
-    n = len(ALL_HORIZONS)
-    y = y.select(*key, F.concat(F.slice("c", 1, n), F.slice("i", 1, n), F.slice("c", n + 1, n), F.slice("i", n + 1, n)).alias("y"))
-    x = f.select(*KEYS, "id", F.array(*(F.expr(rounded_sql(f"`{c}`")).cast("double") for c in names)).alias("x"))
-    x = o.where("source_status = 'ok'").select(*key, F.xxhash64(*KEYS, "s_rn").alias("id")).join(x, [*KEYS, "id"]).join(y, key)
-    return statistics.information_cube(x.select("trade_date", F.concat_ws("#", *KEYS, F.col("task").cast("string")).alias("unit"), "observation", "x", "y"), names, ALL_HORIZONS, len(WHOLE.observations))
-
-
-def ic_daily_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation per date of every catalogued factor (histories 5 and 10 s) with every label over 1 to 30 s, by observation, anchor, label type, target and cohort. No SQL."""
+    o = labels.origins(tasks(spark, d), q).where("source_status = 'ok'").withColumn("id", F.xxhash64(*KEYS, "s_rn"))
+    wide = _wide(o.join(stored(f, "catalogue"), [*KEYS, "id"]), q, F.col("x"), True)
+    return statistics.information_cube(wide, names, HORIZONS, len(PLAN.observations), UNIT)
+
+
+def ic_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation per contract and date of every catalogued factor (histories 5 and 10 s) with every label over 1 to 30 s, by observation, anchor, label type, target and cohort. No SQL."""
     return _cube(spark, d).withColumns({c: F.expr(rounded_sql(c)) for c in ("ic", "rank_ic")})
 
 
-def ic_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+def ic_cube_summary(spark: SparkSession, d: str) -> DataFrame:
     """Summary over dates of every factor and label."""
     x = statistics.information_summary(_cube(spark, d), CUBE)
     return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
 
+_BY = "Contract, trade_date, factor, observation, anchor, horizon"
 PAIRS = f"""fac AS ({windowed_sql(FACTORS, 5)}),
     lng AS (SELECT snap_id, 'F05_Momentum_h5s' AS factor, F05_Momentum_h5s AS x FROM fac UNION ALL SELECT snap_id, 'C01_PriceRV_h5s', C01_PriceRV_h5s FROM fac),
-    prs AS (SELECT o.trade_date, factor, anchor, horizon, x, y FROM o JOIN lng ON lng.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok' AND x IS NOT NULL),
-    bth AS (SELECT *, rank() OVER (PARTITION BY trade_date, factor, anchor, horizon ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, factor, anchor, horizon, x) - 1) / 2.0 AS rx,
-        rank() OVER (PARTITION BY trade_date, factor, anchor, horizon ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, factor, anchor, horizon, y) - 1) / 2.0 AS ry FROM prs WHERE x IS NOT NULL AND y IS NOT NULL),
-    grp AS (SELECT DISTINCT o.trade_date, factor, anchor, horizon FROM o JOIN lng ON lng.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok'),
-    agg AS (SELECT trade_date, factor, anchor, horizon, count(*) AS n, min(x) = max(x) AS cx, min(y) = max(y) AS cy, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS c, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS r FROM bth GROUP BY ALL),
-    ic AS (SELECT trade_date, factor, anchor, horizon, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 20 THEN 'NOT_ENOUGH_PAIRS' WHEN cx THEN 'CONSTANT_FACTOR' WHEN cy THEN 'CONSTANT_LABEL' ELSE 'ok' END AS status,
-        CASE WHEN n >= 20 AND NOT cx AND NOT cy THEN greatest(least(c, 1.0), -1.0) END AS ic, CASE WHEN n >= 20 AND NOT cx AND NOT cy THEN greatest(least(r, 1.0), -1.0) END AS rank_ic FROM grp LEFT JOIN agg USING (trade_date, factor, anchor, horizon))"""
+    prs AS (SELECT o.Contract, o.trade_date, factor, observation, anchor, horizon, x, y FROM o JOIN lng ON lng.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok'),
+    bth AS (SELECT *, rank() OVER (PARTITION BY {_BY} ORDER BY x) + (count(*) OVER (PARTITION BY {_BY}, x) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY {_BY} ORDER BY y) + (count(*) OVER (PARTITION BY {_BY}, y) - 1) / 2.0 AS ry FROM prs WHERE x IS NOT NULL AND y IS NOT NULL),
+    grp AS (SELECT DISTINCT {_BY} FROM prs),
+    agg AS (SELECT {_BY}, count(*) AS n, min(x) = max(x) AS cx, min(y) = max(y) AS cy, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS c, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS r FROM bth GROUP BY ALL),
+    ic AS (SELECT {_BY}, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 20 THEN 'NOT_ENOUGH_PAIRS' WHEN cx THEN 'CONSTANT_FACTOR' WHEN cy THEN 'CONSTANT_LABEL' ELSE 'ok' END AS status,
+        CASE WHEN n >= 20 AND NOT cx AND NOT cy THEN greatest(least(c, 1.0), -1.0) END AS ic, CASE WHEN n >= 20 AND NOT cx AND NOT cy THEN greatest(least(r, 1.0), -1.0) END AS rank_ic FROM grp LEFT JOIN agg USING ({_BY}))"""
 _ALL = f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, {PAIRS}"
 
 QUERIES = {f.__name__: f for f in (schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins, label_grid, ic_daily, ic_summary)}
-QUERIES |= whole(schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins)
-QUERIES |= whole(label_grid, horizons=ALL_HORIZONS) | {f.__name__: f for f in (ic_daily_whole, ic_summary_whole)}
+QUERIES |= {f.__name__: f for f in (ic_cube, ic_cube_summary)}
 SQL = {
     "schedule_grid": f"WITH {TASKS} SELECT * FROM tasks",
     "asof_backward": f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS} SELECT {K}, task, observation, s_snap_id AS snap_id, t - s_t AS age FROM src",
@@ -195,7 +186,7 @@ SQL = {
     "task_origins": f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS} SELECT {K}, task, observation, s_snap_id AS source, source_status, CASE WHEN arrival_status = 'ok' THEN a_snap_id END AS arrival, arrival_status FROM o",
     "label_grid": f"""WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, inc AS (SELECT *, CASE WHEN status <> 'ok' THEN status WHEN horizon = 1 OR lag(status) OVER w = 'ok' THEN 'ok' ELSE 'INVALID_PREVIOUS_ENDPOINT' END AS incremental_status, lag(y) OVER w AS ly
         FROM laby WINDOW w AS (PARTITION BY {K}, task, observation, anchor ORDER BY horizon)) SELECT {K}, task, observation, anchor, horizon, y, status, {rounded_sql('late')} AS late, CASE WHEN incremental_status = 'ok' THEN y - coalesce(ly, 0) END AS y_incremental, incremental_status FROM inc""",
-    "ic_daily": f"{_ALL} SELECT trade_date, factor, anchor, horizon, n, status, {rounded_sql('ic')} AS ic, {rounded_sql('rank_ic')} AS rank_ic FROM ic",
-    "ic_summary": f"""{_ALL} SELECT factor, anchor, horizon, {", ".join(f"{rounded_sql(f'avg({c})')} AS {c}_mean, {rounded_sql(f'quantile_cont({c}, 0.5)')} AS {c}_median, {rounded_sql(f'stddev_samp({c})')} AS {c}_std, {rounded_sql(f'quantile_cont({c}, 0.1)')} AS {c}_p10, {rounded_sql(f'avg({c}) / nullif(stddev_samp({c}), 0)')} AS {c}_ir, count(*) FILTER (WHERE {c} > 1e-12) AS {c}_positive_days, count(*) FILTER (WHERE {c} < -1e-12) AS {c}_negative_days" for c in ("ic", "rank_ic"))},
-        count(ic) AS days, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS days_{s.lower()}" for s in ("NOT_ENOUGH_PAIRS", "CONSTANT_FACTOR", "CONSTANT_LABEL"))} FROM ic GROUP BY 1, 2, 3""",
+    "ic_daily": f"{_ALL} SELECT {_BY}, n, status, {rounded_sql('ic')} AS ic, {rounded_sql('rank_ic')} AS rank_ic FROM ic",
+    "ic_summary": f"""{_ALL} SELECT Contract, factor, observation, anchor, horizon, {", ".join(f"{rounded_sql(f'avg({c})')} AS {c}_mean, {rounded_sql(f'quantile_cont({c}, 0.5)')} AS {c}_median, {rounded_sql(f'stddev_samp({c})')} AS {c}_std, {rounded_sql(f'quantile_cont({c}, 0.1)')} AS {c}_p10, {rounded_sql(f'avg({c}) / nullif(stddev_samp({c}), 0)')} AS {c}_ir, count(*) FILTER (WHERE {c} > 1e-12) AS {c}_positive_days, count(*) FILTER (WHERE {c} < -1e-12) AS {c}_negative_days" for c in ("ic", "rank_ic"))},
+        count(ic) AS days, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS days_{s.lower()}" for s in ("NOT_ENOUGH_PAIRS", "CONSTANT_FACTOR", "CONSTANT_LABEL"))} FROM ic GROUP BY 1, 2, 3, 4, 5""",
 }

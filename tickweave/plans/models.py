@@ -10,7 +10,7 @@ from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import rounded, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import LABELS, LASTS, ORIGINS, PLAN, TASKS, tasks, whole, with_factors
+from tickweave.plans.labels import LABELS, LASTS, ORIGINS, PLAN, TASKS, tasks, with_factors
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
 from tickweave.runtime import stored
@@ -76,7 +76,6 @@ def model_fit(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (softmax_score, confusion_metrics, coverage_curve, class_prior, feature_pool, model_fit)}
-QUERIES |= whole(softmax_score, confusion_metrics, coverage_curve, class_prior, model_fit)
 _rec = lambda k, n: f"{R(f'sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y = {k} THEN 1.0 ELSE 0 END), 0)')} AS {n}_recall, {R(f'sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN c = {k} THEN 1.0 ELSE 0 END), 0)')} AS {n}_precision"
 _raw = lambda k: f"sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y = {k} THEN 1.0 ELSE 0 END), 0)"
 _brier = "(p_down - CASE WHEN y = -1 THEN 1 ELSE 0 END) ** 2 + (p_flat - CASE WHEN y = 0 THEN 1 ELSE 0 END) ** 2 + (p_up - CASE WHEN y = 1 THEN 1 ELSE 0 END) ** 2"

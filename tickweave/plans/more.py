@@ -11,7 +11,7 @@ from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import rounded, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import PLAN, TASKS, tasks, whole
+from tickweave.plans.labels import PLAN, TASKS, tasks
 from tickweave.plans.oracle import aggregate_sql, rounded_sql
 
 
@@ -52,7 +52,6 @@ def bounded(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
 
 
 QUERIES = {"hist_percentile": hist_percentile, "queue_recovery": queue_recovery, "lag_corr": lag_corr, "factor_directional": directional, "factor_directional_more": directional_more, "factor_mean_gap": mean_gap, "factor_bounded": bounded}
-QUERIES["factor_bounded_whole"] = whole(bounded)["bounded_whole"]
 
 
 def _window(name: str, group: str, formula: str, h: int, value: str) -> str:

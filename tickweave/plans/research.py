@@ -14,7 +14,7 @@ from tickweave.operators.lens import KEYS, ORDER
 from tickweave.plans.execution import OFFSETS, SPECS, path, replay_sql
 from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import _D, _O, MAIN, orders, out
-from tickweave.plans.labels import _ALL, PLAN, tasks, whole, with_factors
+from tickweave.plans.labels import _ALL, HORIZONS, PLAN, tasks, with_factors
 from tickweave.plans.models import _S, FROZEN, examples
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
@@ -73,7 +73,7 @@ def horizon_accuracy(spark: SparkSession, d: str, plan: Schedule = PLAN) -> Data
     """How often a factor's sign meets the label's at each horizon, equal over dates: frozen signals at horizons they were not made for."""
     q, _ = with_factors(spark, d, [("price", "F05", "Momentum")])
     o = labels.origins(tasks(spark, d, plan), q, ["F05_Momentum_h5s"]).where("source_status = 'ok'")
-    y = labels.labels(None, q, (1, 2, 3, 4, 5), o).where("status = 'ok' and s_F05_Momentum_h5s <> 0")
+    y = labels.labels(None, q, HORIZONS, o).where("status = 'ok' and s_F05_Momentum_h5s <> 0")
     daily = y.groupBy("trade_date", "anchor", "horizon").agg(F.avg(F.when(F.signum("y") == F.signum("s_F05_Momentum_h5s"), 1.0).otherwise(0.0)).alias("accuracy"))
     return out(daily.groupBy("anchor", "horizon").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("days")))
 
@@ -94,7 +94,7 @@ def branch_gather(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFra
     return out(x.groupBy("side", "wanted").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN, offsets: tuple[int, ...] = (0, 1, 2, 5)) -> DataFrame:
+def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN, offsets: tuple[int, ...] = OFFSETS) -> DataFrame:
     """Mean cost by bin of the queue imbalance at the task and passive offset."""
     t, q = tasks(spark, d, plan), path(spark, d)
     r = replay.replay(t, q, (3,), offsets).where("status = 'filled'")
@@ -146,7 +146,6 @@ def factor_registry(spark: SparkSession, d: str, histories: tuple[int, ...] = (5
 
 
 QUERIES = {f.__name__: f for f in (landmark_retention, retention_interval, forward_selection, switch_gate, sign_flips, trailing_accuracy, horizon_accuracy, three_action, branch_gather, offset_heat, cost_parts, window_compression, factor_registry)}
-QUERIES |= whole(trailing_accuracy, horizon_accuracy, three_action, branch_gather, cost_parts, window_compression) | whole(offset_heat, offsets=OFFSETS)
 
 _FILLED = f"SELECT * FROM ({replay_sql(*SPECS['exec_offset_sweep'], True)}) WHERE status = 'filled'"
 _TWO = f"SELECT * FROM ({replay_sql(*SPECS['exec_two_stage'], True)}) WHERE status = 'filled'"
