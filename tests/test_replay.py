@@ -10,7 +10,7 @@ from tickweave.operators.lens import KEYS, quotes
 from tickweave.operators.replay import choose_action, market_orders, orders, replay
 
 
-def loop(data, task, side, offset, decisions, early):
+def loop(data, task, side, offset, decisions, early, later=None, initial=True):
     """One order, event by event: rows before clocks at one time, a standing limit before an arriving command."""
     t = [r["t"] for r in data]
     good = lambda r: r["valid_price"] and r["valid_book"] and r["valid_queue"] and r["valid_volume"]
@@ -24,7 +24,8 @@ def loop(data, task, side, offset, decisions, early):
     if bad:
         return "initial_" + bad
     p0 = data[i]["p"]
-    standing, queue = None, [(arrive(task), "limit", p0 - side * offset, "initial")]
+    later = offset if later is None else later
+    standing, queue = None, [(arrive(task), "limit", p0 - side * offset, "initial")] if initial else []
     clocks = [(task + s * 1_000_000, s) for s in (*early, *decisions, 10)]
     events = sorted([(t[k], 0, k) for k in range(i + 1, len(t))] + [(c, 1, s) for c, s in clocks])
 
@@ -61,32 +62,34 @@ def loop(data, task, side, offset, decisions, early):
             elif side * data[i]["qstate"] > 0:
                 queue.append((arrive(now), "market", None, "signal"))
             else:
-                level = data[i]["p"] - side * offset
+                level = data[i]["p"] - side * later
                 if not standing or standing[0] != level:
                     queue.append((arrive(now), "limit", level, "signal"))
     return "insufficient_arrival_tail"
 
 
-@pytest.mark.parametrize("decisions,early", [((3,), ()), ((3, 6, 9), ()), ((3,), (1,)), ((3,), (2,))])
-def test_replay_equals_the_event_loop(spark, decisions, early):
+@pytest.mark.parametrize("decisions,early,offsets,initial", [((3,), (), (0, 2), True), ((3, 6, 9), (), (0, 2), True), ((3,), (1,), (0, 2), True), ((3,), (2,), (0, 2), True), ((), (), (0, 1), True), ((3,), (), (0,), False), ((3,), (), tuple((k, 4) for k in range(12)), True), ((3,), (), tuple((4, k) for k in range(12)), True)])
+def test_replay_equals_the_event_loop(spark, decisions, early, offsets, initial):
     raw = [r for s in range(4) for r in walk(200, seed=20 + s, step=0.45, session=f"09{s}0", first=s * 100_000)]
     sess = [(s, "A", "2026-01-05", f"09{s}0", raw[0][4].replace(minute=30, second=0, microsecond=0), 80, None) for s in range(4)]
     snaps, sessions, contracts = frames(spark, raw, sess)
     q = quotes(snaps, sessions, contracts).cache()
     tasks = schedule(sessions, Schedule(2.0, 2.0, (0.0,)))
-    got = replay(tasks, q, decisions, (0, 2), early).collect()
+    got = replay(tasks, q, decisions, offsets, early, initial).collect()
     by = {}
     for r in q.orderBy("rn").collect():
         by.setdefault(r.session, []).append(r.asDict())
     filled = set()
     for o in got:
-        want = loop(by[o.session], o.task, o.side, o.offset, decisions, early)
+        want = loop(by[o.session], o.task, o.side, o.offset, decisions, early, o.signal_offset, initial)
         if isinstance(want, str):
             assert (o.status, o.reason) == ("invalid", want), (o, want)
         else:
             assert (o.status, o.kind, o.stage, o.price, o.fill_t) == ("filled", *want), (o, want)
             filled.add((o.kind, o.stage))
-    assert len(got) > 300 and {("limit", "initial"), ("limit", "signal"), ("market", "signal")} <= filled
+    assert len(got) == 4 * 39 * 2 * len(offsets) and ({("limit", "initial")} if initial else {("limit", "signal")}) <= filled
+    if decisions:
+        assert {("limit", "signal"), ("market", "signal")} <= filled
 
 
 def test_orders_and_market(spark):

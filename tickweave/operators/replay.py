@@ -14,26 +14,58 @@ from tickweave.operators.lens import KEYS, ORDER
 FINAL = 10
 
 
-def hit(limit: str, side: str = "side") -> Column:
-    """A row reaches a limit: the opposite quote is there, or volume traded strictly beyond it."""
-    return F.expr(f"CASE WHEN {side} = 1 THEN a <= {limit} OR (dv > 0 AND p < {limit}) ELSE b >= {limit} OR (dv > 0 AND p > {limit}) END")
+def reached(side: int) -> Column:
+    """What a row brings within reach, as side x price: limits whose side x price is that or more are hit. Null if it brings nothing.
+
+    A limit is hit by the opposite quote at it, or by volume that traded strictly beyond it.
+    """
+    return F.least(*(F.col(c) * side for c in ("a" if side == 1 else "b",)), F.when(F.col("dv") > 0, F.col("p") * side + 1))
+
+
+def orders(tasks: DataFrame, offsets: Sequence[int | tuple[int, int]] = (0,)) -> DataFrame:
+    """Both sides and every passive offset (ticks) of each task (keys, task); of a pair the second is that of later limits."""
+    pairs = [(int(k), int(k)) if isinstance(k, int) else (int(k[0]), int(k[1])) for k in offsets]
+    each = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(a).alias("offset"), F.lit(b).alias("signal_offset")) for s in (1, -1) for a, b in pairs))
+    return tasks.withColumn("_order", F.explode(each)).select(*tasks.columns, "_order.*")
+
+
+def _records(path: Column, side: int, lo: Column, hi: Column) -> Column:
+    """Rows from ``lo`` to ``hi`` that bring more within reach than every one before: (row, t, reach), the reach falling."""
+    field = "buy" if side == 1 else "sell"
+    part = F.transform(F.filter(path, lambda r: (r["row"] >= lo) & (r["row"] <= hi) & r[field].isNotNull()), lambda r: F.struct(r["row"].alias("row"), r["t"].alias("t"), r[field].alias("reach")))
+    none = F.expr("cast(array() as array<struct<row:int,t:bigint,reach:double>>)")
+    return F.aggregate(part, none, lambda seen, r: F.when((F.size(seen) == 0) | (r["reach"] < F.element_at(seen, -1)["reach"]), F.concat(seen, F.array(r))).otherwise(seen))
 
 
-def orders(tasks: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
-    """Both sides and every passive offset (ticks) of each task (keys, task)."""
-    x = tasks.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    return x.withColumn("offset", F.explode(F.array(*(F.lit(int(k)) for k in offsets))))
+def paths(t: DataFrame, q: DataFrame, marks: Sequence[int]) -> DataFrame:
+    """(keys, task, ...) of tasks with a usable start: per stage and side the records of the path, per command the row where it arrives.
+
+    Each task's rows up to the arrival of its last command are looked up once (a join on blocks of row numbers) and gathered in order: they
+    are what some ten seconds hold. All orders of the task are answered by the few records, whatever their limits.
+    """
+    rows = q.select(*KEYS, F.col("rn").alias("row"), "t", "a", "b", reached(1).alias("buy"), reached(-1).alias("sell"), (_good() & F.col("step") & F.col("edge_volume")).alias("legal"))
+    last = F.coalesce(f"at{FINAL}", "top")
+    span = t.where("why0 is null").withColumn("_last", last).withColumn("_b", F.explode(F.sequence(F.expr("rn0 div 64"), (last / 64).cast("bigint"))))
+    near = span.select(*KEYS, "task", "rn0", "_last", "_b", *(f"at{s}" for s in marks)).join(rows.withColumn("_b", F.expr("row div 64")), [*KEYS, "_b"]).where("row > rn0 and row <= _last")
+    path = near.groupBy(*KEYS, "task", "rn0", *(f"at{s}" for s in marks), "_last").agg(F.sort_array(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), "t", "a", "b", "buy", "sell", "legal"))).alias("path"))
+    out = [F.array_min(F.transform(F.filter("path", lambda r: ~r["legal"]), lambda r: r["t"])).alias("broken")]
+    for s, e in zip(marks[:-1], marks[1:]):
+        out += [_records(F.col("path"), side, F.col(f"at{s}"), F.coalesce(f"at{e}", "_last")).alias(f"rec{s}_{'buy' if side == 1 else 'sell'}") for side in (1, -1)]
+    for s in marks[1:]:
+        out.append(F.get("path", (F.col(f"at{s}") - F.col("rn0") - 1).cast("int")).alias(f"row{s}"))
+    return path.select(*KEYS, "task", *out)
 
 
-def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offsets: Sequence[int] = (0,), early: Sequence[int] = ()) -> DataFrame:
-    """(keys, task, side, offset, status, reason, stage, kind, fill_t, price, cost_bp) of orders that start as limits at the last price.
+def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offsets: Sequence[int | tuple[int, int]] = (0,), early: Sequence[int] = (), initial: bool = True) -> DataFrame:
+    """(keys, task, side, offset, signal_offset, status, reason, stage, kind, fill_t, price, cost_bp) of orders that start as limits at the last price.
 
     ``tasks`` is (keys, task) in microseconds since the open. The limit stands ``offset`` ticks on the passive side of the last price at the
-    task. At each of ``decisions`` seconds the state of the queue at the source row is the signal: against the order (side x signal above 0)
-    it becomes a market order, else a limit at the then last price less the offset; an unchanged limit stays. At 10 s what is left becomes
-    a market order. At seconds of ``early``, before the first decision, a signal against the order makes it a market order too, any other or a
-    missing source leaves it as it is. A command arrives at the second row strictly after it is given; until and including that row the old limit stands. A
-    fill before the arrival takes precedence. Market orders take the opposite quote.
+    task; without ``initial`` there is none before the first decision. At each of ``decisions`` seconds the state of the queue at the source row
+    is the signal: against the order (side x signal above 0) it becomes a market order, else a limit at the then last price less
+    ``signal_offset``; an unchanged limit stays. At 10 s what is left becomes a market order. At seconds of ``early``, before the first
+    decision, a signal against the order makes it a market order too, any other or a missing source leaves it as it is. A command arrives at
+    the second row strictly after it is given; until and including that row the old limit stands. A fill before the arrival takes
+    precedence. Market orders take the opposite quote.
 
     An order is invalid if a source is missing, older than half a second or not valid, if a row from the task to its fill is not valid
     or does not follow its predecessor legally, or if the rows end too early; rows after the fill do not matter.
@@ -41,6 +73,8 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     marks = [0, *early, *decisions, FINAL]
     if marks != sorted(set(marks)):
         raise ValueError("early checks come before decisions, and decisions before the end, in order of time")
+    if early and not initial:
+        raise ValueError("early checks need an initial order")
     t = tasks.select(*KEYS, "task").distinct().withColumn("mark", F.explode(F.array(*(F.lit(s) for s in marks))))
     t = t.withColumn("t", F.col("task") + F.col("mark").cast("bigint") * 1_000_000)
     t = asof(t, q.withColumn("good", _good()), KEYS, ["rn", "p", "qstate", "good"], order=ORDER[1:], prefix="s_")
@@ -52,39 +86,42 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     t = t.withColumns({f"at{s}": F.when(second(s) <= F.col("top"), second(s)) for s in marks})
     for s in early:  # a source that can't be used is no signal
         t = t.withColumn(f"state{s}", F.when(F.col(f"why{s}").isNull(), F.col(f"state{s}")))
-    limits = {f"limit{s}": F.col(f"p{0 if s in early else s}") - F.col("side") * F.col("offset") for s in marks[:-1]}
-    o = orders(t, offsets).withColumns(limits)
-    rows = q.select(*KEYS, F.col("rn").alias("row"), "t", "p", "b", "a", "qb", "qa", "dv", (_good() & F.col("step") & F.col("edge_volume")).alias("legal"))
-    last = F.coalesce(f"at{FINAL}", "top")
-    span = t.where("why0 is null").withColumn("_b", F.explode(F.sequence(F.expr("rn0 div 64"), (last / 64).cast("bigint"))))
-    r = rows.withColumn("_b", F.expr("row div 64"))
-    path = span.join(r, [*KEYS, "_b"]).where((F.col("row") > F.col("rn0")) & (F.col("row") <= last))
-    path = orders(path, offsets).withColumns(limits)  # a task's rows are looked up once for all its orders
+    t = t.join(paths(t, q, marks), [*KEYS, "task"], "left")
+    x = orders(t, offsets)
+    first = lambda s: s == 0 or s in early  # noqa: E731 - the initial limit stands
+    limits = {f"limit{s}": F.col(f"p{0 if first(s) else s}") - F.col("side") * F.col("offset" if first(s) else "signal_offset") for s in marks[:-1]}
+    x = x.withColumns(limits)
     stages = list(zip(marks[:-1], marks[1:]))
-    first = {f"hit{s}": F.min(F.when((F.col("row") >= F.col(f"at{s}")) & (F.col("row") <= F.coalesce(f"at{e}", "top")) & hit(f"limit{s}"), F.col("row"))) for s, e in stages}
-    key = [*KEYS, "task", "side", "offset"]
-    seen = path.groupBy(*key).agg(*(c.alias(n) for n, c in first.items()), F.min(F.when(~F.col("legal"), F.col("t"))).alias("broken"))
-    x = o.join(seen, key, "left")
+
+    def hit(s: int) -> Column:
+        if s == 0 and not initial:
+            return F.expr("cast(null as struct<row:int,t:bigint,reach:double>)")
+        wanted = F.col("side") * F.col(f"limit{s}")
+        return F.get(F.filter(F.when(F.col("side") == 1, F.col(f"rec{s}_buy")).otherwise(F.col(f"rec{s}_sell")), lambda r: r["reach"] <= wanted), F.lit(0))
+
+    x = x.withColumns({f"hit{s}": hit(s) for s, _ in stages})
     # The first stage that ends the order, in order of time: a hit, a decision against it, at last the clock.
-    fill, stage, kind, price = None, None, None, None
+    pick: dict[str, Column] = {}
 
     def add(cond: Column, at: Column, name: Column, how: str, level: Column):
-        nonlocal fill, stage, kind, price
-        pick = lambda old, new: F.when(cond, new) if old is None else old.when(cond, new)
-        fill, stage, kind, price = pick(fill, at), pick(stage, name), pick(kind, F.lit(how)), pick(price, level)
+        for k, v in (("fill_t", at), ("stage", name), ("kind", F.lit(how)), ("_price", level)):
+            pick[k] = pick[k].when(cond, v) if k in pick else F.when(cond, v)
 
-    missing = F.lit(float("nan")).cast("double")
     same = F.lit("initial")
+    opposite = lambda e: F.when(F.col("side") == 1, F.col(f"row{e}.a")).otherwise(F.col(f"row{e}.b"))
     for n, (s, e) in enumerate(stages):
-        name = F.lit("initial") if s == 0 else F.when(F.col(f"limit{s}") == F.col(f"limit{marks[n - 1]}"), same).otherwise(F.lit("signal"))
-        add(F.col(f"hit{s}").isNotNull(), F.col(f"hit{s}"), name, "limit", F.col(f"limit{s}"))
+        if s == 0:
+            name = same
+        elif not initial and n == 1:
+            name = F.lit("signal")
+        else:
+            name = F.when(F.col(f"limit{s}") == F.col(f"limit{marks[n - 1]}"), same).otherwise(F.lit("signal"))
+        add(F.col(f"hit{s}").isNotNull(), F.col(f"hit{s}.t"), name, "limit", F.col(f"limit{s}"))
         same = name
         if e != FINAL:
-            add(F.col("side") * F.col(f"state{e}") > 0, F.col(f"at{e}"), F.lit("signal"), "market", missing)
-    add(F.col(f"at{FINAL}").isNotNull(), F.col(f"at{FINAL}"), F.lit("deadline"), "market", missing)
-    x = x.withColumns({"fill_row": fill, "stage": stage, "kind": kind, "_price": price})
-    market = q.select(*KEYS, F.col("rn").alias("fill_row"), F.col("t").alias("fill_t"), F.col("a").alias("_ask"), F.col("b").alias("_bid"))
-    x = x.join(market, [*KEYS, "fill_row"], "left")
+            add(F.col("side") * F.col(f"state{e}") > 0, F.col(f"row{e}.t"), F.lit("signal"), "market", opposite(e))
+    add(F.col(f"at{FINAL}").isNotNull(), F.col(f"row{FINAL}.t"), F.lit("deadline"), "market", opposite(FINAL))
+    x = x.withColumns(pick)
     # What ends the order badly, at twice its time, clocks one later than rows: the first of these before the fill (a bad row at the fill too).
     ends = {"broken_path": F.col("broken") * 2}
     against = F.lit(False)
@@ -92,17 +129,16 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
         if s not in early:
             ends["signal" if s != FINAL else "deadline", s] = F.when(F.col(f"why{s}").isNotNull() & ~F.coalesce(against, F.lit(False)), (F.col("task") + s * 1_000_000) * 2 + 1)
         against = against | F.coalesce(F.col("side") * F.col(f"state{s}") > 0, F.lit(False))
-    first_end = F.least(*ends.values())
+    first_end = F.least(*ends.values()) if len(ends) > 1 else next(iter(ends.values()))
     x = x.withColumn("_end", F.when(first_end <= F.coalesce(F.col("fill_t") * 2, F.lit(1 << 62)), first_end))
     reason = F.when(F.col("why0").isNotNull(), F.concat(F.lit("initial_"), "why0"))
     for name, when in ends.items():
         reason = reason.when(F.col("_end") == when, F.lit(name) if isinstance(name, str) else F.concat(F.lit(f"{name[0]}_"), f"why{name[1]}"))
-    reason = reason.when(F.col("fill_row").isNull(), "insufficient_arrival_tail")
+    reason = reason.when(F.col("fill_t").isNull(), "insufficient_arrival_tail")
     ok = F.col("reason").isNull()
-    paid = F.when(F.col("kind") == "limit", F.col("_price")).otherwise(F.when(F.col("side") == 1, F.col("_ask")).otherwise(F.col("_bid")))
-    x = x.withColumn("reason", reason).withColumn("price", F.when(ok, paid))
+    x = x.withColumn("reason", reason).withColumn("price", F.when(ok, F.col("_price")))
     cost = F.col("side") * (F.col("price") - F.col("p0")) / F.col("p0") * 1e4
-    return x.select(*key, F.when(ok, "filled").otherwise("invalid").alias("status"), "reason", *(F.when(ok, F.col(c)).alias(c) for c in ("stage", "kind", "fill_t")), "price", cost.alias("cost_bp"))
+    return x.select(*KEYS, "task", "side", "offset", "signal_offset", F.when(ok, "filled").otherwise("invalid").alias("status"), "reason", *(F.when(ok, F.col(c)).alias(c) for c in ("stage", "kind", "fill_t")), "price", cost.alias("cost_bp"))
 
 
 def market_orders(tasks: DataFrame, q: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def path(spark: SparkSession, d: str) -> DataFrame:
     return kept(rows(spark, d), "p", "b", "a", "qb", "qa", "dv", "qstate", "step", "edge_volume", "valid_price", "valid_book", "valid_queue", "valid_volume")
 
 
-def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool = False, early: tuple[int, ...] = ()) -> str:
+def replay_sql(decisions: tuple[int, ...], offsets: tuple, whole: bool = False, early: tuple[int, ...] = (), initial: bool = True) -> str:
     """Step by step over all rows of each order: what stands before each row, and the first row that ends the order."""
     cost = "side * (price - p0) / p0 * 1e4"
     marks = [0, *early, *decisions, 10]
@@ -31,12 +31,12 @@ def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool
     using = f"USING ({K}, task)"
     cols = ", ".join(f"s{s}.rn AS rn{s}, s{s}.p AS p{s}, {f'CASE WHEN s{s}.why IS NULL THEN s{s}.qstate END' if s in early else f's{s}.qstate'} AS q{s}, s{s}.why AS why{s}" for s in marks)
     top = f"(SELECT {K}, max(rn) AS top FROM q GROUP BY ALL)"
-    arr = ", ".join(f"CASE WHEN coalesce(rn{s}, 0) + 2 <= top THEN coalesce(rn{s}, 0) + 2 END AS at{s}, p{0 if s in early else s} - side * off AS limit{s}" for s in marks)
+    arr = ", ".join(f"CASE WHEN coalesce(rn{s}, 0) + 2 <= top THEN coalesce(rn{s}, 0) + 2 END AS at{s}, p{0 if s in early else s} - side * {'off' if s == 0 or s in early else 'soff'} AS limit{s}" for s in marks)
     stages = list(zip(marks[:-1], marks[1:]))
-    hits = ", ".join(f"min(r.rn) FILTER (WHERE r.rn BETWEEN at{s} AND coalesce(at{e}, top) AND CASE WHEN side = 1 THEN a <= limit{s} OR (dv > 0 AND r.p < limit{s}) ELSE b >= limit{s} OR (dv > 0 AND r.p > limit{s}) END) AS hit{s}" for s, e in stages)
+    hits = ", ".join("CAST(NULL AS BIGINT) AS hit0" if s == 0 and not initial else f"min(r.rn) FILTER (WHERE r.rn BETWEEN at{s} AND coalesce(at{e}, top) AND CASE WHEN side = 1 THEN a <= limit{s} OR (dv > 0 AND r.p < limit{s}) ELSE b >= limit{s} OR (dv > 0 AND r.p > limit{s}) END) AS hit{s}" for s, e in stages)
     fill, stage, kind, price, prev = [], [], [], [], "'initial'"
     for n, (s, e) in enumerate(stages):
-        prev = "'initial'" if s == 0 else f"CASE WHEN limit{s} = limit{marks[n - 1]} THEN {prev} ELSE 'signal' END"
+        prev = "'initial'" if s == 0 else "'signal'" if n == 1 and not initial else f"CASE WHEN limit{s} = limit{marks[n - 1]} THEN {prev} ELSE 'signal' END"
         fill.append(f"WHEN hit{s} IS NOT NULL THEN hit{s}"), stage.append(f"WHEN hit{s} IS NOT NULL THEN {prev}"), kind.append(f"WHEN hit{s} IS NOT NULL THEN 'limit'"), price.append(f"WHEN hit{s} IS NOT NULL THEN limit{s}")
         if e != 10:
             for lst, v in ((fill, f"at{e}"), (stage, "'signal'"), (kind, "'market'"), (price, "NULL")):
@@ -52,31 +52,47 @@ def replay_sql(decisions: tuple[int, ...], offsets: tuple[int, ...], whole: bool
     late = " ".join(f"WHEN fin = {e} THEN {n}" for n, e in ends)
     case = lambda x: f"CASE {' '.join(x)} END"
     return f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task FROM tasks), {LASTS}{src},
-    m AS (SELECT {K}, task, side, off, {cols}, top FROM s0 {' '.join(f'JOIN s{s} {using}' for s in marks[1:])} LEFT JOIN {top} USING ({K}), (VALUES (1), (-1)) v(side), (VALUES {', '.join(f'({k})' for k in offsets)}) w(off)),
+    m AS (SELECT {K}, task, side, off, soff, {cols}, top FROM s0 {' '.join(f'JOIN s{s} {using}' for s in marks[1:])} LEFT JOIN {top} USING ({K}), (VALUES (1), (-1)) v(side), (VALUES {', '.join(f'({k}, {k})' if isinstance(k, int) else f'({k[0]}, {k[1]})' for k in offsets)}) w(off, soff)),
     a AS (SELECT *, {arr} FROM m),
-    h AS (SELECT {', '.join('x.' + k for k in KEYS)}, task, side, off, {hits}, min(r.t) FILTER (WHERE NOT ({GOOD.replace('valid', 'r.valid')} AND r.step AND r.edge_volume)) AS broken
+    h AS (SELECT {', '.join('x.' + k for k in KEYS)}, task, side, off, soff, {hits}, min(r.t) FILTER (WHERE NOT ({GOOD.replace('valid', 'r.valid')} AND r.step AND r.edge_volume)) AS broken
         FROM a x JOIN q r ON {ON.replace('y.', 'r.')} AND r.rn > x.rn0 AND r.rn <= coalesce(at10, top) WHERE why0 IS NULL GROUP BY ALL),
-    f AS (SELECT a.*, h.* EXCLUDE ({K}, task, side, off), {case(fill)} AS fill_row, {case(stage)} AS stage, {case(kind)} AS kind, {case(price)} AS lim FROM a LEFT JOIN h USING ({K}, task, side, off)),
+    f AS (SELECT a.*, h.* EXCLUDE ({K}, task, side, off, soff), {case(fill)} AS fill_row, {case(stage)} AS stage, {case(kind)} AS kind, {case(price)} AS lim FROM a LEFT JOIN h USING ({K}, task, side, off, soff)),
     z AS (SELECT f.*, z.t AS fill_t, z.a AS ask, z.b AS bid, CASE WHEN {first_end} <= coalesce(z.t * 2, 4611686018427387904) THEN {first_end} END AS fin
         FROM f LEFT JOIN q z ON {' AND '.join(f'f.{k} = z.{k}' for k in KEYS)} AND f.fill_row = z.rn),
     y AS (SELECT *, CASE WHEN why0 IS NOT NULL THEN 'initial_' || why0 {late} WHEN fill_row IS NULL THEN 'insufficient_arrival_tail' END AS reason FROM z),
     e AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN kind = 'limit' THEN lim WHEN side = 1 THEN ask ELSE bid END END AS price FROM y)
-    SELECT {K}, task, side, off AS "offset", CASE WHEN reason IS NULL THEN 'filled' ELSE 'invalid' END AS status, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN kind END AS kind, CASE WHEN reason IS NULL THEN fill_t END AS fill_t, price, {cost if whole else R(cost)} AS cost_bp FROM e"""
+    SELECT {K}, task, side, off AS "offset", soff AS signal_offset, CASE WHEN reason IS NULL THEN 'filled' ELSE 'invalid' END AS status, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN kind END AS kind, CASE WHEN reason IS NULL THEN fill_t END AS fill_t, price, {cost if whole else R(cost)} AS cost_bp FROM e"""
 
 
-def _replay(name: str, decisions: tuple[int, ...], offsets: tuple[int, ...]):
+def _replay(name: str, decisions: tuple[int, ...], offsets: tuple):
     def run(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
         return out(rp.replay(tasks(spark, d, plan), path(spark, d), decisions, offsets))
 
-    run.__name__, run.__doc__ = name, f"Orders with decisions at {decisions} s and passive offsets {offsets}."
+    run.__name__, run.__doc__ = name, f"Orders with decisions at {decisions} s and {len(offsets)} choices of passive offsets."
     return run
 
 
-#: Every passive offset of the sweep, in ticks.
-OFFSETS = tuple(range(61))
-SPECS = {"exec_two_stage": ((3,), (0,)), "exec_offset_sweep": ((3,), OFFSETS), "exec_repeated": ((3, 6, 9), (1,))}
+#: Every passive offset of the sweep of initial limits, in ticks, and of that of the limits at 3 s; the other limit rests at ``FIXED``.
+OFFSETS, LATER, FIXED = tuple(range(61)), (*range(31), 40, 60), 19
+SPECS = {
+    "exec_two_stage": ((3,), (0,)),
+    "exec_offset_sweep": ((3,), tuple((k, FIXED) for k in OFFSETS)),
+    "exec_signal_sweep": ((3,), tuple((FIXED, k) for k in LATER)),
+    "exec_repeated": ((3, 6, 9), (1,)),
+}
 QUERIES = {n: _replay(n, *s) for n, s in SPECS.items()}
 SQL = {n: replay_sql(*s) for n, s in SPECS.items()}
+#: Policies: a limit at the last price until the end (A); none until a decision at 3 s (B); both (C), with further decisions (C36, C369).
+POLICIES = {"A": ((), True), "B": ((3,), False), "C": ((3,), True), "C36": ((3, 6), True), "C369": ((3, 6, 9), True)}
+
+
+def exec_policies(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    """Every task and side under each policy."""
+    t, q, x = tasks(spark, d, plan), path(spark, d), None
+    for name, (decisions, initial) in POLICIES.items():
+        one = rp.replay(t, q, decisions, (0,), (), initial).withColumn("policy", F.lit(name))
+        x = one if x is None else x.unionByName(one)
+    return out(x.drop("offset", "signal_offset"))
 
 
 def exec_market(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
@@ -99,7 +115,8 @@ def exec_early(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     return out(rp.replay(tasks(spark, d, plan), path(spark, d), (3,), (0,), (1,)))
 
 
-QUERIES |= {"exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
+QUERIES |= {"exec_policies": exec_policies, "exec_early": exec_early, "exec_market": exec_market, "exec_fill_mix": exec_fill_mix}
+SQL["exec_policies"] = " UNION ALL ".join(f"SELECT '{n}' AS policy, * EXCLUDE (\"offset\", signal_offset) FROM ({replay_sql(dec, (0,), initial=first)})" for n, (dec, first) in POLICIES.items())
 SQL["exec_early"] = replay_sql((3,), (0,), early=(1,))
 SQL["exec_market"] = f"""WITH {quotes_sql()}, {TASKS}, tk AS (SELECT DISTINCT {K}, task, task AS t FROM tasks), {LASTS}, s AS (SELECT x.*, y.rn, y.p AS p0 FROM tk x ASOF JOIN lasts y ON {ON} AND x.t >= y.t WHERE x.t - y.t <= 500000 AND {GOOD.replace('valid', 'y.valid')})
     SELECT {', '.join('s.' + k for k in KEYS)}, task, side, CASE WHEN side = 1 THEN n2.a ELSE n2.b END AS price, {R('side * (CASE WHEN side = 1 THEN n2.a ELSE n2.b END - p0) / p0 * 1e4')} AS cost_bp FROM s JOIN q n1 ON {' AND '.join(f's.{k} = n1.{k}' for k in KEYS)} AND n1.rn = s.rn + 1 JOIN q n2 ON {' AND '.join(f's.{k} = n2.{k}' for k in KEYS)} AND n2.rn = s.rn + 2, (VALUES (1), (-1)) v(side)

@@ -11,7 +11,7 @@ from tickweave.operators import statistics as st
 from tickweave.operators.asof import asof
 from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, ORDER
-from tickweave.plans.execution import OFFSETS, SPECS, path, replay_sql
+from tickweave.plans.execution import SPECS, path, replay_sql
 from tickweave.plans.features import kept, rows
 from tickweave.plans.fills import _D, _O, MAIN, orders, out
 from tickweave.plans.labels import _ALL, HORIZONS, PLAN, tasks, with_factors
@@ -94,7 +94,7 @@ def branch_gather(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFra
     return out(x.groupBy("side", "wanted").agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp")))
 
 
-def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN, offsets: tuple[int, ...] = OFFSETS) -> DataFrame:
+def offset_heat(spark: SparkSession, d: str, plan: Schedule = PLAN, offsets: tuple = SPECS["exec_offset_sweep"][1]) -> DataFrame:
     """Mean cost by bin of the queue imbalance at the task and passive offset."""
     t, q = tasks(spark, d, plan), path(spark, d)
     r = replay.replay(t, q, (3,), offsets).where("status = 'filled'")
@@ -159,7 +159,7 @@ SQL = {
     "trailing_accuracy": f"{_S}, sec AS (SELECT trade_date, task // 1000000 AS second, sum(CASE WHEN c = y THEN 1.0 ELSE 0 END) AS h, count(*) AS n FROM pr GROUP BY 1, 2), r AS (SELECT second, sum(h) OVER w / sum(n) OVER w AS a FROM sec WINDOW w AS (PARTITION BY trade_date ORDER BY second RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT second, {R('avg(a)')} AS accuracy, count(*) AS days FROM r GROUP BY 1",
     "horizon_accuracy": f"{_ALL}, h AS (SELECT o.trade_date, anchor, horizon, avg(CASE WHEN sign(y) = sign(F05_Momentum_h5s) THEN 1.0 ELSE 0 END) AS a FROM o JOIN fac ON fac.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok' AND laby.status = 'ok' AND F05_Momentum_h5s <> 0 GROUP BY 1, 2, 3) SELECT anchor, horizon, {R('avg(a)')} AS accuracy, count(*) AS days FROM h GROUP BY 1, 2",
     "three_action": f"{_S} SELECT side, {R('threshold')} AS threshold, CASE WHEN side * c > 0 THEN 'market' WHEN side * c < 0 AND side * (p_down - p_up) >= threshold THEN 'passive' ELSE 'lastprice' END AS action, count(*) AS tasks FROM pr, (VALUES (1), (-1)) a(side), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) b(threshold) GROUP BY 1, threshold, 3",
-    "branch_gather": f"{_HEAD} SELECT side, wanted, count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp FROM (SELECT r.*, CASE WHEN side * s.qstate < 0 THEN 1 ELSE 0 END AS wanted FROM ({_FILLED}) r JOIN {_POINT(0)} s USING ({K}, task)) WHERE \"offset\" = wanted GROUP BY 1, 2",
+    "branch_gather": f"{_HEAD} SELECT side, wanted, count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp FROM (SELECT r.*, CASE WHEN side * s.qstate < 0 THEN 1 ELSE 0 END AS wanted FROM (SELECT * FROM ({replay_sql((3,), (0, 1), True)}) WHERE status = 'filled') r JOIN {_POINT(0)} s USING ({K}, task)) WHERE \"offset\" = wanted GROUP BY 1, 2",
     "offset_heat": f"{_HEAD} SELECT side, CAST(least(floor(((qb - qa) / (qb + qa) + 1) * 5), 9) AS INTEGER) AS bin, \"offset\", count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp FROM ({_FILLED}) r JOIN {_POINT(0)} s USING ({K}, task) GROUP BY 1, 2, 3",
     "window_compression": f"""{_ALL.split(', fac AS')[0]}, f5 AS ({windowed_sql(_PAIR, 5)}), f10 AS ({windowed_sql(_PAIR, 10)}), w AS ({' UNION ALL '.join(f"SELECT snap_id, '{f}_{s}' AS factor, {f}_{s}_h5s AS a, {f}_{s}_h10s AS b FROM f5 JOIN f10 USING (snap_id)" for _, f, s in _PAIR)}),
         x AS (SELECT o.trade_date, factor, a, b, y FROM o JOIN w ON w.snap_id = o.s_snap_id JOIN laby USING ({K}, task, observation) WHERE source_status = 'ok' AND anchor = 'decision' AND horizon = 1 AND laby.status = 'ok' AND a IS NOT NULL AND b IS NOT NULL),
