@@ -15,16 +15,23 @@ def data(spark, n=600, seed=2):
     return spark.createDataFrame(rows, "a double, b double, c double, y int, day string"), x, y, days
 
 
-def test_gradient_and_hessian_by_differences():
+def loss(theta, x, y, w):
+    z = x @ theta.T
+    return float(w @ (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
+
+
+def test_curvature_by_differences():
     g = np.random.default_rng(0)
-    x, y, w, t = np.column_stack([g.normal(size=(30, 2)), np.ones(30)]), g.integers(0, 3, 30), g.random(30), g.normal(size=(3, 3))
-    loss, grad, hess = m.objective(t, x, y, w)
-    for k in range(9):
-        e = np.zeros(9)
+    x, y, w, phi = np.column_stack([g.normal(size=(30, 2)), np.ones(30)]), g.integers(0, 3, 30), g.random(30), g.normal(size=(2, 3))
+    sums = m.curvature(phi, x, y, w)
+    assert np.allclose(m.CONTRASTS.T @ m.CONTRASTS, np.eye(2)) and np.allclose(m.CONTRASTS.sum(axis=0), 0)
+    assert sums[0] == pytest.approx(loss(m.CONTRASTS @ phi, x, y, w)) and len(sums) == 1 + 6 + 36
+    for k in range(6):
+        e = np.zeros(6)
         e[k] = 1e-5
-        up, down = m.objective(t + e.reshape(3, 3), x, y, w), m.objective(t - e.reshape(3, 3), x, y, w)
-        assert (up[0] - down[0]) / 2e-5 == pytest.approx(grad.ravel()[k], abs=1e-6)
-        assert (up[1] - down[1]).ravel() / 2e-5 == pytest.approx(hess[k], abs=1e-5)
+        up, down = m.curvature(phi + e.reshape(2, 3), x, y, w), m.curvature(phi - e.reshape(2, 3), x, y, w)
+        assert (up[0] - down[0]) / 2e-5 == pytest.approx(sums[1 + k], abs=1e-6)
+        assert (up[1:7] - down[1:7]) / 2e-5 == pytest.approx(sums[7:].reshape(6, 6)[k], abs=1e-5)
 
 
 def test_fit_is_a_minimum_and_days_count_the_same(spark):
@@ -37,9 +44,11 @@ def test_fit_is_a_minimum_and_days_count_the_same(spark):
     scale = np.sqrt(w @ (x - mean) ** 2)
     design = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     theta = np.column_stack([model.coef, model.intercept])
-    _, grad, _ = m.objective(theta, design, y + 1, w)
-    grad[:, :-1] += theta[:, :-1] / len(x)
-    assert np.abs(grad).max() < 1e-7
+    full = lambda t: loss(t, design, y + 1, w) + (t[:, :-1] ** 2).sum() / 2 / len(x)
+    for k in range(12):
+        e = np.zeros(12)
+        e[k] = 1e-4
+        assert full(theta + e.reshape(3, 4)) > full(theta) - 1e-12 < full(theta - e.reshape(3, 4))
     p = df.dropna().withColumns(m.scores(model)).toPandas()
     assert np.allclose(p[["p_down", "p_flat", "p_up"]].sum(axis=1), 1) and (p[["p_down", "p_flat", "p_up"]].to_numpy().argmax(axis=1) - 1 == p.y).mean() > 0.5
     r = m.metrics(df.dropna().withColumns(m.scores(model))).first()
@@ -56,10 +65,33 @@ def test_missing_class_and_collinearity(spark):
     assert {r.feature: r.status for r in m.pool(z, ["a", "one"]).collect()} == {"a": "OK", "one": "LOW_COVERAGE_OR_CONSTANT"}
 
 
+def test_many_fits_at_once_equal_single_ones(spark):
+    df, *_ = data(spark, 400)
+    wanted = [(["a"], 1.0), (["b", "a"], 0.1), (["a", "b", "c"], 10.0)]
+    clean = m.prepared(df, ["a", "b", "c"], "y", "day")
+    for (names, c), model in zip(wanted, m.fit_many(clean, ["a", "b", "c"], wanted)):
+        alone = m.fit(df, names, "y", "day", c)
+        assert model.features == list(names) and np.allclose(model.coef, alone.coef, atol=1e-7) and np.allclose(model.intercept, alone.intercept, atol=1e-7)
+    assert isinstance(m.fit_many(clean.limit(0), ["a"], [(["a"], 1.0)])[0], str)
+
+
+def test_folds_pick_their_models_and_thresholds_stay(spark):
+    df, *_ = data(spark, 400)
+    a, b = m.fit(df, ["a"], "y", "day"), m.fit(df, ["a", "b"], "y", "day")
+    a.days, b.days = ["d00", "d01"], ["d02"]
+    x = m.by_fold(df, [a, b], "day").collect()
+    assert all((r.p_up is None) == (r.day not in ("d00", "d01", "d02") or r.a is None) for r in x)
+    one = next(r for r in x if r.day == "d02")
+    assert one.p_up == pytest.approx(df.where(F.col("a") == one.a).withColumns(m.scores(b)).first().p_up)
+    t = m.confidence_threshold(df.dropna().withColumns(m.scores(b)), 0.8)
+    assert 0.3 < t < 1
+
+
 def test_search_prefers_few_features(spark):
     df, *_ = data(spark, 300)
     z = df.withColumn("copy", F.col("a") * 3)
-    out = m.search(z, ["a"], ["copy", "b"], "y", "day", held=3, adds=1)
+    out = m.search(z, ["a"], ["copy", "b"], "y", "day", held=3, adds=2, width=1)
+    assert len(out["tried"]) == len({tuple(t["features"]) for t in out["tried"]}) == 4
     assert {tuple(t["features"]): t["status"] for t in out["tried"]}[("a", "copy")] == "REJECTED_COLLINEAR" and out["chosen"]["features"][0] == "a"
 
 

@@ -1,23 +1,25 @@
-"""Small date-weighted classification models, fitted by Newton steps over per-partition sums: no training rows reach the driver."""
+"""Small date-weighted classification models, fitted within trust regions over per-partition sums: no training rows reach the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.runtime import stored
+
 CLASSES = (-1, 0, 1)
 
 
 def folds(days: Sequence[str], train: int = 20, test: int = 5) -> list[tuple[list[str], list[str]]]:
     """Walk-forward splits: the first ``train`` days and those after, ``test`` at a time; the training part grows."""
-    days = sorted(set(days))
-    return [(days[:n], days[n : n + test]) for n in range(train, len(days), test)]
+    order = np.unique(np.asarray(days, dtype=object).astype(str)).tolist()
+    number = max(0, -(-(len(order) - train) // test))
+    return [(order[: train + k * test], order[train + k * test :][:test]) for k in range(number)]
 
 
 def day_weighted(df: DataFrame, day: str, name: str = "w") -> DataFrame:
@@ -43,23 +45,26 @@ def summed(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndar
     return np.array([r["v"] for r in rows])
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+#: Orthonormal contrasts of the three classes: coefficients that sum to 0 over classes are two numbers a feature, whose squares add up alike.
+CONTRASTS = np.array([[-1, 1], [0, -2], [1, 1]]) / np.sqrt([2, 6])
+
 
+def curvature(phi: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(1 + m + m m) sums over rows: weighted log loss of the softmax with contrast coefficients ``phi`` (2, d), its slope and its second derivatives, m = 2 d.
 
-def objective(theta: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weighted log loss of a softmax with its gradient and Hessian, without the penalty; y is the class number."""
-    p = softmax(x @ theta.T)
-    k, d = theta.shape
-    loss = float(-(w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
-    gradient = ((p - np.eye(k)[y]) * w[:, None]).T @ x
-    hessian = np.zeros((k * d, k * d))
-    for a in range(k):
-        for b in range(k):
-            v = w * p[:, a] * ((a == b) - p[:, b])
-            hessian[a * d : (a + 1) * d, b * d : (b + 1) * d] = x.T @ (v[:, None] * x)
-    return loss, gradient, hessian
+    ``y`` is the class number. One pass without a loop over classes: the scores' covariance is taken in the two contrasts.
+    """
+    z = x @ phi.T @ CONTRASTS.T
+    z -= z.max(axis=1, keepdims=True)
+    total = np.log(np.exp(z).sum(axis=1))
+    p = np.exp(z - total[:, None])
+    miss = p.copy()
+    miss[np.arange(len(y)), y] -= 1
+    q = p @ CONTRASTS
+    spread = np.einsum("nk,kc,ke->nce", p, CONTRASTS, CONTRASTS) - q[:, :, None] * q[:, None, :]
+    slope = np.einsum("n,nc,nd->cd", w, miss @ CONTRASTS, x)
+    second = np.einsum("nce,nd,nf->cdef", spread * w[:, None, None], x, x, optimize=True)
+    return np.concatenate([[w @ (total - z[np.arange(len(y)), y])], slope.ravel(), second.ravel()])
 
 
 @dataclass
@@ -80,55 +85,97 @@ def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, day: str, c: float = 1.0, tolerance: float = 1e-8) -> Model:
-    """Ridge softmax of classes -1, 0, 1 with equal days; the intercept is free, coefficients sum to 0 over classes, penalty 1 / (2 c rows).
+def prepared(df: DataFrame, features: Sequence[str], label: str, day: str) -> DataFrame:
+    """(features, _day, _y, _w) of the rows with all features and a label, written once; every day weighs the same."""
+    x = df.select(*features, F.col(label).cast("int").alias("_y"), F.col(day).alias("_day")).dropna().where("_y in (-1, 0, 1)")
+    return stored(day_weighted(x, "_day", "_w"), "training")
+
+
+class _Search:
+    """One fit under way: a trust region around contrast coefficients, in which the quadratic model of the loss is minimised."""
 
-    Rows with a missing feature or label are left out; all three classes must occur. Each Newton step is one pass that sums loss, gradient
-    and Hessian per partition; steps are halved while they do not lower the loss enough.
+    def __init__(self, columns: list[int], c: float):
+        self.columns, self.c = columns, c
+        self.phi = np.zeros((2, len(columns) + 1))
+        self.trial, self.damp, self.state, self.done, self.why = self.phi, 1e-3, None, False, ""
+
+    def told(self, sums: np.ndarray, rows: float, tolerance: float) -> None:
+        """Takes the sums at ``trial``, moves there if the loss fell as foreseen in part, and sets the next trial."""
+        m = self.phi.size
+        ridge = np.full(self.phi.shape, 1 / (self.c * rows))
+        ridge[:, -1] = 0
+        loss = sums[0] + (ridge * self.trial**2).sum() / 2
+        slope = sums[1 : m + 1] + (ridge * self.trial).ravel()
+        second = sums[m + 1 :].reshape(m, m) + np.diag(ridge.ravel())
+        if self.state is None or loss <= self.state[0] - 0.05 * self.gain or np.abs(slope).max() < tolerance:
+            self.damp = 0.0 if self.state is not None and self.damp < 1e-6 else self.damp / 10
+            self.phi, self.state = self.trial, (loss, slope, second)
+        else:
+            self.damp = max(self.damp * 8, 1e-6)
+        loss, slope, second = self.state
+        self.done = bool(np.abs(slope).max() < tolerance)
+        if self.done:
+            return
+        if self.damp > 1e12:
+            self.done, self.why = True, "no step lowers the loss"
+            return
+        step = np.linalg.lstsq(second + self.damp * np.eye(m), slope, rcond=None)[0]
+        self.gain = float(step @ slope - step @ second @ step / 2)
+        self.trial = self.phi - step.reshape(self.phi.shape)
+
+
+def fit_many(clean: DataFrame, features: Sequence[str], wanted: Sequence[tuple[Sequence[str], float]], tolerance: float = 1e-8, most: int = 100) -> list[Model | str]:
+    """The fitted model of each (features, c) on the same ``prepared`` rows, or why there is none: a pass serves all fits that are still under way.
+
+    Ridge softmax of classes -1, 0, 1 with equal days; the intercept is free, coefficients sum to 0 over classes, penalty 1 / (2 c rows).
+    Per pass and fit some (2 features)^2 sums reach the driver, rows never.
     """
     features = list(features)
-    clean = day_weighted(df.select(*features, F.col(label).cast("int").alias("_y"), F.col(day).alias("_day")).dropna().where("_y in (-1, 0, 1)"), "_day", "_w").select(*features, "_y", "_w")
     d = len(features)
-    first = summed(clean, lambda b: np.concatenate([[b.num_rows], (lambda w, x: np.concatenate([w @ x, w @ (x * x)]))(b.column("_w").to_numpy(), _matrix(b, features)), np.bincount(b.column("_y").to_numpy() + 1, minlength=3)]))
+
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        w, x = b.column("_w").to_numpy(), _matrix(b, features)
+        return np.concatenate([[b.num_rows], w @ x, np.bincount(b.column("_y").to_numpy() + 1, minlength=3)])
+
+    first = summed(clean, moments)
     if not len(first) or (first[-3:] == 0).any():
-        raise ValueError("the training rows must hold all three classes")
-    n, mean = first[0], first[1 : d + 1]
-    spread = summed(clean, lambda b: b.column("_w").to_numpy() @ (_matrix(b, features) - mean) ** 2)
-    scale = np.sqrt(spread)
+        return ["the training rows must hold all three classes"] * len(wanted)
+    rows, mean = first[0], first[1 : d + 1]
+    scale = np.sqrt(summed(clean, lambda b: b.column("_w").to_numpy() @ (_matrix(b, features) - mean) ** 2))
     scale[scale < 1e-12] = 1
-    penalty = np.ones((3, d + 1)) / (c * n)
-    penalty[:, -1] = 0
+    runs = [_Search([features.index(f) for f in names], c) for names, c in wanted]
+    for _ in range(most):
+        active = [r for r in runs if not r.done]
+        if not active:
+            break
+        jobs = [(r.columns, r.trial) for r in active]
 
-    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        def part(b: pa.RecordBatch) -> np.ndarray:
+        def part(b: pa.RecordBatch, jobs: list = jobs) -> np.ndarray:
             x = np.column_stack([(_matrix(b, features) - mean) / scale, np.ones(b.num_rows)])
-            loss, g, h = objective(theta, x, b.column("_y").to_numpy() + 1, b.column("_w").to_numpy())
-            return np.concatenate([[loss], g.ravel(), h.ravel()])
+            y, w = b.column("_y").to_numpy() + 1, b.column("_w").to_numpy()
+            return np.concatenate([curvature(phi, x[:, [*columns, d]], y, w) for columns, phi in jobs])
+
+        sums = summed(clean, part)
+        sizes = np.cumsum([0, *(1 + r.phi.size + r.phi.size**2 for r in active)])
+        for r, a, b in zip(active, sizes, sizes[1:]):
+            r.told(sums[a:b], rows, tolerance)
+    out: list[Model | str] = []
+    for r, (names, c) in zip(runs, wanted):
+        if not r.done or r.why:
+            out.append(r.why or "the fit did not converge")
+            continue
+        theta = CONTRASTS @ r.phi
+        out.append(Model(list(names), c, mean[r.columns].tolist(), scale[r.columns].tolist(), theta[:, :-1].tolist(), theta[:, -1].tolist(), float(np.abs(r.state[1]).max())))
+    return out
 
-        v = summed(clean, part)
-        k = theta.size
-        return v[0] + (penalty * theta**2).sum() / 2, v[1 : k + 1].reshape(theta.shape) + penalty * theta, v[k + 1 :].reshape(k, k) + np.diag(penalty.ravel())
 
-    theta = np.zeros((3, d + 1))
-    loss, g, h = at(theta)
-    for _ in range(100):
-        if np.abs(g).max() < tolerance:
-            break
-        step = np.linalg.solve(h + np.eye(len(h)) * 1e-10, g.ravel()).reshape(theta.shape)
-        rate = 1.0
-        for _ in range(40):
-            trial = theta - rate * step
-            trial -= trial.mean(axis=0, keepdims=True)
-            new = at(trial)
-            if new[0] <= loss - 1e-4 * rate * (g * step).sum() or np.abs(new[1]).max() < tolerance:
-                break
-            rate /= 2
-        else:
-            raise ValueError("no step lowers the loss")
-        theta, (loss, g, h) = trial, new
-    else:
-        raise ValueError("the fit did not converge")
-    return Model(features, c, mean.tolist(), scale.tolist(), theta[:, :-1].tolist(), theta[:, -1].tolist(), float(np.abs(g).max()))
+def fit(df: DataFrame, features: Sequence[str], label: str, day: str, c: float = 1.0, tolerance: float = 1e-8) -> Model:
+    """One model, see ``fit_many``. Rows with a missing feature or label are left out; all three classes must occur."""
+    features = list(features)
+    (model,) = fit_many(prepared(df, features, label, day), features, [(features, c)], tolerance)
+    if isinstance(model, str):
+        raise ValueError(model)
+    return model
 
 
 def scores(model: Model, prefix: str = "p") -> dict[str, Column]:
@@ -196,28 +243,40 @@ def class_prior(df: DataFrame, day: str, y: str = "y") -> DataFrame:
     return x.select("class", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("prior"))
 
 
-def design(df: DataFrame, features: Sequence[str], day: str, most_vif: float = 5.0, most_pair: float = 0.9) -> dict:
-    """Collinearity of date-weighted features from their summed products: VIF, condition number, greatest pair correlation, status.
-
-    CONSTANT, DEPENDENT, COLLINEAR or OK; the greatest VIF and pair decide. Sums go to the driver, rows do not.
-    """
+def cross_products(df: DataFrame, features: Sequence[str], day: str) -> np.ndarray:
+    """(d, d) date-weighted covariances of features over the rows that have all of them; empty without rows. Sums go to the driver, rows do not."""
     features = list(features)
-    clean = day_weighted(df.select(*features, F.col(day).alias("_day")).dropna(), "_day", "_w")
-    d = len(features)
+    clean = stored(day_weighted(df.select(*features, F.col(day).alias("_day")).dropna(), "_day", "_w"), "products")
     m = summed(clean, lambda b: b.column("_w").to_numpy() @ _matrix(b, features))
     if not len(m):
-        return {"status": "CONSTANT", "vif": float("inf"), "condition": float("inf"), "pair": float("nan")}
-    g = summed(clean, lambda b: ((_matrix(b, features) - m).T @ ((_matrix(b, features) - m) * b.column("_w").to_numpy()[:, None])).ravel()).reshape(d, d)
-    sd = np.sqrt(np.diag(g))
+        return np.empty((0, 0))
+    return summed(clean, lambda b: np.einsum("n,ni,nj->ij", b.column("_w").to_numpy(), _matrix(b, features) - m, _matrix(b, features) - m).ravel()).reshape(len(features), -1)
+
+
+def collinearity(g: np.ndarray, most_vif: float = 5.0, most_pair: float = 0.9) -> dict:
+    """VIF, condition number, greatest pair correlation and status of covariances: CONSTANT, DEPENDENT, COLLINEAR or OK.
+
+    All from one Cholesky factor of the correlations: a vanishing pivot is dependence, the inverse factor's columns give the VIF.
+    """
+    bad = lambda status, pair=float("nan"): {"status": status, "vif": float("inf"), "condition": float("inf"), "pair": pair}
+    sd = np.sqrt(np.diag(g)) if g.size else np.zeros(1)
     if (sd < 1e-12).any():
-        return {"status": "CONSTANT", "vif": float("inf"), "condition": float("inf"), "pair": float("nan")}
-    r = g / np.outer(sd, sd)
-    values = np.linalg.eigvalsh(r)
-    if values[0] <= 1e-10:
-        return {"status": "DEPENDENT", "vif": float("inf"), "condition": float("inf"), "pair": 1.0}
-    vif, pair = float(np.diag(np.linalg.inv(r)).max()), float(np.abs(r - np.eye(d)).max())
-    ok = vif <= most_vif + 1e-9 and pair < most_pair
-    return {"status": "OK" if ok else "COLLINEAR", "vif": vif, "condition": float(np.sqrt(values[-1] / values[0])), "pair": pair}
+        return bad("CONSTANT")
+    r = g / sd[:, None] / sd
+    try:
+        lower = np.linalg.cholesky(r)
+    except np.linalg.LinAlgError:
+        return bad("DEPENDENT", 1.0)
+    if lower.diagonal().min() ** 2 <= 1e-10:
+        return bad("DEPENDENT", 1.0)
+    vif = float((np.linalg.inv(lower) ** 2).sum(axis=0).max())
+    pair = float(np.abs(np.tril(r, -1)).max()) if len(r) > 1 else 0.0
+    return {"status": "OK" if vif <= most_vif + 1e-9 and pair < most_pair else "COLLINEAR", "vif": vif, "condition": float(np.linalg.cond(lower)), "pair": pair}
+
+
+def design(df: DataFrame, features: Sequence[str], day: str, most_vif: float = 5.0, most_pair: float = 0.9) -> dict:
+    """``collinearity`` of date-weighted features."""
+    return collinearity(cross_products(df, features, day), most_vif, most_pair)
 
 
 def explained(df: DataFrame, core: Sequence[str], feature: str, day: str) -> float:
@@ -250,36 +309,91 @@ def pool(df: DataFrame, features: Sequence[str], least: float = 0.9) -> DataFram
     return g.select("feature", "coverage", F.when(ok, "OK").otherwise("LOW_COVERAGE_OR_CONSTANT").alias("status"))
 
 
-def tune(df: DataFrame, features: Sequence[str], label: str, day: str, held: int = 5, cs: Sequence[float] = (0.1, 1.0, 10.0)) -> tuple[float, list[tuple[float, float]]]:
+CS = (0.1, 1.0, 10.0)
+
+
+def _daily_losses(rows: DataFrame, day: str, label: str, fitted: Sequence[Model | str]) -> list[float]:
+    """Mean over days of the days' mean log loss of each model, in one pass; infinity where there is no model."""
+    good = [(i, m) for i, m in enumerate(fitted) if isinstance(m, Model)]
+    out = [float("inf")] * len(fitted)
+    if good:
+        losses = []
+        for i, m in good:
+            p = list(scores(m).values())
+            losses.append(F.avg(-F.ln(F.greatest(F.least(F.element_at(F.array(*p), F.col(label) + 2), F.lit(1.0)), F.lit(1e-15)))).alias(f"l{i}"))
+        one = rows.where(F.col(label).isNotNull()).groupBy(day).agg(*losses).agg(*(F.avg(f"l{i}").alias(f"l{i}") for i, _ in good)).first()
+        for i, _ in good:
+            out[i] = float("inf") if one is None or one[f"l{i}"] is None else one[f"l{i}"]
+    return out
+
+
+def validated(df: DataFrame, wanted: Sequence[tuple[Sequence[str], float]], label: str, day: str, held: int = 5) -> list[tuple[Model | str, float]]:
+    """Each (features, c) fitted on all but the last ``held`` days, with its daily log loss on those; all on the rows that have every feature named."""
+    features = sorted({f for names, _ in wanted for f in names})
+    days = sorted(r[0] for r in df.select(day).where(F.col(day).isNotNull()).distinct().collect())
+    rows = df.dropna(subset=[*features, label])
+    fitted = fit_many(prepared(rows.where(F.col(day).isin(days[:-held])), features, label, day), features, wanted)
+    return list(zip(fitted, _daily_losses(rows.where(F.col(day).isin(days[-held:])), day, label, fitted)))
+
+
+def tune(df: DataFrame, features: Sequence[str], label: str, day: str, held: int = 5, cs: Sequence[float] = CS) -> tuple[float, list[tuple[float, float]]]:
     """The c of least daily log loss on the last ``held`` days, fitted on those before; and all trials (c, loss)."""
-    days = sorted(r[0] for r in df.select(day).distinct().collect())
-    a, b = df.where(F.col(day).isin(days[:-held])), df.where(F.col(day).isin(days[-held:])).dropna(subset=list(features))
-    trials = []
-    for c in cs:
-        m = fit(a, features, label, day, c)
-        trials.append((c, daily_log_loss(b.withColumns(scores(m)), day, label)))
-    return min(trials, key=lambda t: t[1])[0], trials
-
-
-def search(df: DataFrame, core: Sequence[str], more: Sequence[str], label: str, day: str, held: int = 5, adds: int = 2, tolerance: float = 0.002) -> dict:
-    """The core with up to ``adds`` of ``more``: candidates that pass the collinearity gate, by validation loss; within ``tolerance`` of the
-    best the fewest features win, then the loss, then the names."""
-    tried = []
-    for k in range(adds + 1):
-        for extra in combinations(sorted(more), k):
-            f = [*core, *extra]
-            gate = design(df, f, day) if len(f) > 1 else {"status": "OK"}
-            if gate["status"] != "OK":
-                tried.append({"features": f, "status": "REJECTED_COLLINEAR", "loss": float("inf"), "c": None})
-                continue
-            try:
-                c, trials = tune(df, f, label, day, held)
-                tried.append({"features": f, "status": "OK", "loss": min(t[1] for t in trials), "c": c})
-            except (ValueError, np.linalg.LinAlgError):
-                tried.append({"features": f, "status": "FIT_FAILED", "loss": float("inf"), "c": None})
+    trials = validated(df, [(list(features), c) for c in cs], label, day, held)
+    if not any(isinstance(m, Model) for m, _ in trials):
+        raise ValueError(str(trials[0][0]))
+    losses = [(c, loss) for c, (_, loss) in zip(cs, trials)]
+    return min(losses, key=lambda t: t[1])[0], losses
+
+
+def search(df: DataFrame, core: Sequence[str], more: Sequence[str], label: str, day: str, held: int = 5, adds: int = 2, tolerance: float = 0.002, width: int = 2, cs: Sequence[float] = CS) -> dict:
+    """The core with up to ``adds`` of ``more``, by a beam: of each size the ``width`` best go on to the next, with every feature they lack.
+
+    Candidates must pass the collinearity gate (from one table of products); those of a size are fitted together, with every c. Within
+    ``tolerance`` of the best validation loss the fewest features win, then the loss, then the names.
+    """
+    core, more = list(core), sorted(set(more) - set(core))
+    every = [*core, *more]
+    rows = df.dropna(subset=every)
+    g = cross_products(rows, every, day)
+    tried, beam = [], [()]
+    for size in range(adds + 1):
+        level = [()] if not size else sorted({tuple(sorted({*b, f})) for b in beam for f in more if f not in b})
+        fits = []
+        for extra in level:
+            names = [*core, *extra]
+            at = [every.index(f) for f in names]
+            gate = collinearity(g[np.ix_(at, at)])["status"] if len(names) > 1 and g.size else "OK"
+            (fits if gate == "OK" else tried).append({"features": names, "status": "OK" if gate == "OK" else "REJECTED_COLLINEAR", "loss": float("inf"), "c": None, "extra": extra})
+        results = validated(rows, [(f["features"], c) for f in fits for c in cs], label, day, held) if fits else []
+        for k, f in enumerate(fits):
+            mine = [(loss, c) for c, (m, loss) in zip(cs, results[k * len(cs) : (k + 1) * len(cs)]) if isinstance(m, Model)]
+            f["loss"], f["c"] = min(mine) if mine else (float("inf"), None)
+            f["status"] = "OK" if mine else "FIT_FAILED"
+        tried += fits
+        beam = [f["extra"] for f in sorted((f for f in fits if f["status"] == "OK"), key=lambda f: (f["loss"], f["features"]))[:width]]
+        if not beam:
+            break
+    tried = [{k: v for k, v in f.items() if k != "extra"} for f in tried]
     good = [t for t in tried if t["status"] == "OK"]
     if not good:
         raise ValueError("no candidate can be fitted")
     floor = min(t["loss"] for t in good)
     chosen = min((t for t in good if t["loss"] <= floor + tolerance), key=lambda t: (len(t["features"]), t["loss"], t["features"]))
     return {"chosen": chosen, "tried": tried}
+
+
+def confidence_threshold(rows: DataFrame, share: float, prefix: str = "p") -> float | None:
+    """The confidence that ``share`` of the rows fall below: fixed on validation rows, for use on later ones."""
+    return rows.select(F.expr(f"percentile(greatest({prefix}_up, {prefix}_down), {float(share)}D)")).first()[0]
+
+
+def by_fold(df: DataFrame, models_: Sequence[Model], day: str, prefix: str = "p") -> DataFrame:
+    """``df`` scored by the model whose ``days`` hold the row's day; rows of other days have no score. Models are few: the lookup is an expression."""
+    out = {}
+    each = [(F.col(day).isin(m.days), scores(m, prefix)) for m in models_]
+    for n in ("down", "flat", "up"):
+        c = F.lit(None).cast("double")
+        for when, s in each:
+            c = F.when(when, s[f"{prefix}_{n}"]).otherwise(c)
+        out[f"{prefix}_{n}"] = c
+    return df.withColumns(out)

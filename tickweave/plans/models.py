@@ -14,6 +14,7 @@ from tickweave.plans.labels import LABELS, LASTS, ORIGINS, PLAN, TASKS, tasks, w
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
 from tickweave.runtime import stored
+from tickweave.sources.tables import table
 
 FEATURES = ["F05_Momentum_h5s", "C01_PriceRV_h5s", "M01_MADeviation_h5s"]
 _KEYS = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV"), ("price", "M01", "MADeviation")]
@@ -75,11 +76,82 @@ def model_fit(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     return out(spark.createDataFrame(rows_, "class int, feature string, coefficient double"))
 
 
-QUERIES = {f.__name__: f for f in (softmax_score, confusion_metrics, coverage_curve, class_prior, feature_pool, model_fit)}
+def trading_days(spark: SparkSession, d: str) -> list[str]:
+    """The dates of the sessions, few by nature."""
+    return sorted(r[0] for r in table(spark, d, "sessions").select("trade_date").where("trade_date is not null").distinct().collect())
+
+
+TRAIN, TEST = 6, 2
+
+
+def model_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Walk-forward splits of the dates."""
+    rows_ = [(k, part, day) for k, f in enumerate(models.folds(trading_days(spark, d), TRAIN, TEST)) for part, days in zip(("train", "test"), f) for day in days]
+    return spark.createDataFrame(rows_, "fold int, part string, trade_date string")
+
+
+def model_tuning(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    """Validation loss of each penalty, and the one chosen."""
+    best, trials = models.tune(stored(examples(spark, d, plan), "examples"), FEATURES, "y", "trade_date", 3)
+    return out(spark.createDataFrame([(float(c), float(loss), c == best) for c, loss in trials], "c double, loss double, chosen boolean"))
+
+
+def model_search(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    """Every candidate of the search with its status, penalty and validation loss."""
+    r = models.search(stored(examples(spark, d, plan), "examples"), FEATURES[:1], FEATURES[1:], "y", "trade_date", 3)
+    rows_ = [(" + ".join(t["features"]), t["status"], t["c"], None if t["c"] is None else float(t["loss"]), t["features"] == r["chosen"]["features"]) for t in r["tried"]]
+    return out(spark.createDataFrame(rows_, "features string, status string, c double, loss double, chosen boolean"))
+
+
+def model_design(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    """Collinearity of the features."""
+    g = models.design(examples(spark, d, plan), FEATURES, "trade_date")
+    return out(spark.createDataFrame([(g["status"], float(g["vif"]), float(g["pair"]))], "status string, vif double, pair double"))
+
+
+def model_explained(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    """Share of the last feature's variance that the others explain."""
+    v = models.explained(examples(spark, d, plan), FEATURES[:2], FEATURES[2], "trade_date")
+    return out(spark.createDataFrame([(FEATURES[2], float(v))], "feature string, r2 double"))
+
+
+def model_walk(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+    """Each fold's model on its own test dates: accuracy, loss, and signals above the confidence that a fifth of its training rows reach."""
+    x, fitted = stored(examples(spark, d, plan), "examples"), []
+    rows_ = []
+    for train, test in models.folds(trading_days(spark, d), TRAIN, TEST):
+        part = x.where(F.col("trade_date").isin(train))
+        try:
+            model = models.fit(part, FEATURES, "y", "trade_date")
+        except ValueError:  # a class is missing: no model for these dates
+            continue
+        model.days = test
+        fitted.append(model)
+        rows_ += [(day, len(fitted), models.confidence_threshold(part.withColumns(models.scores(model)), 0.8)) for day in test]
+    limits = spark.createDataFrame(rows_, "trade_date string, fold int, least double")
+    y = models.by_fold(x, fitted, "trade_date").where("p_up is not null").join(F.broadcast(limits), "trade_date").withColumns({"c": models.predicted(), "l": models.log_loss()})
+    sure = F.greatest("p_up", "p_down") >= F.col("least")
+    hit = F.when(F.col("c") == F.col("y"), 1.0).otherwise(0.0)
+    return out(y.groupBy("fold", "least").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg("l").alias("logloss"), F.count_if(sure).alias("signals"), F.avg(F.when(sure, hit)).alias("sure_accuracy")))
+
+
+QUERIES = {f.__name__: f for f in (softmax_score, confusion_metrics, coverage_curve, class_prior, feature_pool, model_fit, model_folds, model_tuning, model_search, model_design, model_explained, model_walk)}
 _rec = lambda k, n: f"{R(f'sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y = {k} THEN 1.0 ELSE 0 END), 0)')} AS {n}_recall, {R(f'sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN c = {k} THEN 1.0 ELSE 0 END), 0)')} AS {n}_precision"
 _raw = lambda k: f"sum(CASE WHEN y = {k} AND c = {k} THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN y = {k} THEN 1.0 ELSE 0 END), 0)"
 _brier = "(p_down - CASE WHEN y = -1 THEN 1 ELSE 0 END) ** 2 + (p_flat - CASE WHEN y = 0 THEN 1 ELSE 0 END) ** 2 + (p_up - CASE WHEN y = 1 THEN 1 ELSE 0 END) ** 2"
+_F1, _F2, _F3 = FEATURES
+_MOMENTS = f"""{_EX}, dw AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY trade_date) / (SELECT count(DISTINCT trade_date) FROM ex) AS w FROM ex),
+    mu AS (SELECT {", ".join(f"sum(w * {f}) AS m{i}" for i, f in enumerate(FEATURES))} FROM dw),
+    cv AS (SELECT {", ".join(f"sum(w * ({FEATURES[i]} - m{i}) * ({FEATURES[j]} - m{j})) AS c{i}{j}" for i in range(3) for j in range(i, 3))} FROM dw, mu),
+    cr AS (SELECT c01 / sqrt(c00 * c11) AS r01, c02 / sqrt(c00 * c22) AS r02, c12 / sqrt(c11 * c22) AS r12 FROM cv),
+    dt AS (SELECT *, 1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12 AS det FROM cr)"""
 SQL = {
+    "model_folds": f"""WITH dd AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS k FROM (SELECT DISTINCT trade_date FROM sessions WHERE trade_date IS NOT NULL)),
+        fo AS (SELECT CAST(unnest(range(greatest(0, CAST(ceil(((SELECT count(*) FROM dd) - {TRAIN}) / {TEST}) AS INTEGER)))) AS INTEGER) AS fold)
+        SELECT fold, CASE WHEN k < {TRAIN} + fold * {TEST} THEN 'train' ELSE 'test' END AS part, trade_date FROM fo, dd WHERE k < {TRAIN} + (fold + 1) * {TEST}""",
+    "model_design": f"""{_MOMENTS}, vf AS (SELECT *, greatest((1 - r12 * r12) / det, (1 - r02 * r02) / det, (1 - r01 * r01) / det) AS vif, greatest(abs(r01), abs(r02), abs(r12)) AS pair FROM dt)
+        SELECT CASE WHEN vif <= 5 AND pair < 0.9 THEN 'OK' ELSE 'COLLINEAR' END AS status, {R('vif')} AS vif, {R('pair')} AS pair FROM vf""",
+    "model_explained": f"{_MOMENTS} SELECT '{_F3}' AS feature, {R('(r02 * r02 + r12 * r12 - 2 * r01 * r02 * r12) / (1 - r01 * r01)')} AS r2 FROM dt",
     "softmax_score": f"{_S} SELECT Contract, trade_date, session, task, observation, y, {R('p_down')} AS p_down, {R('p_flat')} AS p_flat, {R('p_up')} AS p_up, c AS predicted FROM pr",
     "confusion_metrics": f"""{_S} SELECT trade_date, count(*) AS n, {R('avg(CASE WHEN c = y THEN 1.0 ELSE 0 END)')} AS accuracy, {R('avg(l)')} AS logloss, {R(f'avg({_brier})')} AS brier, {R('avg(CASE WHEN y = 0 THEN 1.0 ELSE 0 END)')} AS flat_share, {', '.join(_rec(k, n) for k, n in ((-1, 'down'), (0, 'flat'), (1, 'up')))},
         {R(f"(coalesce({_raw(-1)}, 0) + coalesce({_raw(0)}, 0) + coalesce({_raw(1)}, 0)) / nullif(count(DISTINCT y), 0)")} AS balanced_accuracy FROM pr GROUP BY 1""",
