@@ -79,11 +79,71 @@ def history_percentiles(q: DataFrame, h: int = 5, most: int = 40_000) -> DataFra
     return map_groups(x, KEYS, ORDER, scan, ", ".join([*(f"{k} string" for k in KEYS), "snap_id bigint, t bigint", *(f"{n} double" for n in names)]), most=most)
 
 
+class Clock:
+    """Row numbers by time for some sessions laid end to end: times of a session follow those of the one before at a distance that no lookup spans."""
+
+    def __init__(self, table: pa.Table, seg: np.ndarray):
+        first = ~same_key(table, KEYS)
+        t = table.column("t").to_numpy()
+        self.far = int(t.max(initial=0)) + SPAN + HOLD + LATE + 1
+        self.key = (np.cumsum(first) - 1) * self.far + t
+        self.t, self.n = t, len(t)
+        at = np.arange(self.n)
+        self.new = first | np.r_[True, seg[1:] != seg[:-1]] if self.n else first
+        self.began = np.maximum.accumulate(np.where(self.new, at, 0)) if self.n else at
+        self.close = np.r_[np.flatnonzero(self.new)[1:], self.n][np.cumsum(self.new) - 1] if self.n else at
+        self.last = np.r_[np.flatnonzero(first)[1:], self.n][np.cumsum(first) - 1] if self.n else at
+
+    def after(self, i: np.ndarray, by: int) -> np.ndarray:
+        """The first row ``by`` or more after each of rows ``i``; the number of rows where its session has none."""
+        end = np.searchsorted(self.key, self.key[i] + by, side="left")
+        return np.where(end < self.last[i], end, self.n)
+
+    def start(self, i: np.ndarray, span: int) -> np.ndarray:
+        """The first row of the segment of each of rows ``i`` within ``span`` before it."""
+        return np.maximum(self.began[i], np.searchsorted(self.key, self.key[i] - span, side="left"))
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members, owners) of the ranges lo <= k < hi, laid end to end."""
+    n = np.maximum(hi - lo, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n), owner
+
+
+def _covered(clock: Clock, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, first rows of their windows) of the valid rows whose last ``SPAN`` is seen to four fifths at least."""
+    i = np.flatnonzero(valid)
+    s = clock.start(i, SPAN)
+    ok = (clock.t[i] - clock.t[s]) * 10 >= 8 * SPAN
+    return i[ok], s[ok]
+
+
+def _thinned(clock: Clock, drops: np.ndarray, lo: int, before: list[int]) -> np.ndarray:
+    """Drops that count: the first of a segment, and then the first at least ``HOLD`` after one that counts.
+
+    Each drop points to the one that would count next, so that one walk along the pointers finds them. ``before`` are the times of those that
+    counted among the rows before ``lo``.
+    """
+    old = drops[(drops < lo) & np.isin(clock.t[drops], before)] if lo else drops[:0]
+    new = drops[drops >= lo]
+    following = np.minimum(np.searchsorted(clock.key[new], clock.key[new] + HOLD, side="left"), np.searchsorted(new, clock.close[new], side="left")).tolist()
+    k = 0
+    if len(old):
+        k = int(min(np.searchsorted(clock.key[new], clock.key[old[-1]] + HOLD, side="left"), np.searchsorted(new, clock.close[old[-1]], side="left")))
+    walk = []
+    while k < len(new):
+        walk.append(k)
+        k = following[k]
+    return np.r_[old, new[walk]].astype(np.int64)
+
+
 def queue_recovery(q: DataFrame, most: int = 400_000) -> DataFrame:
     """(keys, snap_id, t, B09_*_h10s): how queues recover from drops of a tenth or more at an unchanged quote, over the last 10 s.
 
     A drop holds its side for 2 s (a break in the rows frees it). It is mature once a row 2 s later is seen; then it either left its quote,
-    or recovered some share of the drop. Means need three events. A session in parts hands on its drops, as each decides where the next may be.
+    or recovered some share of the drop. Means need three events. Whole arrays of drops and rows are looked up by time; a session in parts
+    hands on its drops, as each decides where the next may be.
     """
     sides = ("Bid", "Ask")
     counts = ("MatureCount", "SameCount", "ExitCount", "SuccessCount", "ImmatureCount", "GappedCount", "UnrecoveredCount")
@@ -91,66 +151,53 @@ def queue_recovery(q: DataFrame, most: int = 400_000) -> DataFrame:
     names = [f"B09_{s}{k}_h10s" for s in sides for k in (*counts, *means)]
     x = q.select(*KEYS, *ORDER, "qb", "qa", "b", "a", "edge_ofi", "valid_ofi", "seg_ofi")
 
-    def events(t, q_, p, edge, seg, new, known_drops):
-        out, free = [], -np.inf
-        for i in range(1, len(t)):  # a first row has no drop
-            if not edge[i]:
-                free = -np.inf
-            elif i in known_drops if i < new else t[i] >= free and p[i] == p[i - 1] and q_[i - 1] > q_[i] and (q_[i - 1] - q_[i]) / q_[i - 1] >= 0.1 - 1e-12:
-                free = t[i] + HOLD
-                end = int(np.searchsorted(t, t[i] + HOLD, side="left"))
-                known = end < len(t)
-                gapped = known and (t[end] - t[i] - HOLD > LATE or seg[end] != seg[i - 1])
-                left = known and not gapped and bool((p[i - 1 : end + 1] != p[i - 1]).any())
-                share = success = np.nan
-                if known and not gapped and not left:
-                    run = q_[i : end + 1]
-                    share = min(1.0, max(0.0, float(run.max() - q_[i])) / (q_[i - 1] - q_[i]))
-                    back = np.flatnonzero(run >= q_[i - 1])
-                    success = (t[i + back[0]] - t[i]) / 1e6 if len(back) else np.nan
-                out.append((i, end if known else len(t), gapped, left, share, success))
-        return out
+    def fates(clock: Clock, size: np.ndarray, quote: np.ndarray, seg: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        """What became of the drops at rows ``at``, as far as the table tells."""
+        end = clock.after(at, HOLD)
+        known = end < clock.n
+        to = np.where(known, end, at)
+        gapped = known & ((clock.t[to] - clock.t[at] - HOLD > LATE) | (seg[to] != seg[at]))
+        moved = np.cumsum(np.r_[True, quote[1:] != quote[:-1]])
+        left = known & ~gapped & (moved[to] != moved[at])
+        kept = np.flatnonzero(known & ~gapped & ~left)
+        share, success = np.full(len(at), np.nan), np.full(len(at), np.nan)
+        if len(kept):
+            k, owner = _spread(at[kept], to[kept] + 1)
+            edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            was, low = size[at[kept] - 1], size[at[kept]]
+            share[kept] = np.clip((np.maximum.reduceat(size[k], edge) - low) / (was - low), 0, 1)
+            back = np.minimum.reduceat(np.where(size[k] >= was[owner], k, clock.n), edge)
+            had = back < clock.n
+            success[kept[had]] = (clock.t[back[had]] - clock.t[at[kept[had]]]) / 1e6
+        return {"gapped": gapped, "left": left, "kept": ~np.isnan(share), "full": share == 1, "back": ~np.isnan(success), "share": share, "success": success}
 
     def scan(table: pa.Table, lo: int, hi: int, state: dict) -> pa.Table:
         c = _numbers(table, ("t", "qb", "qa", "b", "a", "edge_ofi", "valid_ofi", "seg_ofi"))
         out = {n: np.full(table.num_rows, np.nan) for n in names}
-        edges = _starts(table)
-        for a, z in zip(edges, edges[1:]):
-            t, edge, valid, seg = (c[k][a:z] for k in ("t", "edge_ofi", "valid_ofi", "seg_ofi"))
-            for side, qn, pn in zip(sides, ("qb", "qa"), ("b", "a")):
-                new = lo if a == 0 else 0
-                ev = events(t, c[qn][a:z], c[pn][a:z], edge, seg, new, {new - k for k in state.get(side, ())} if new else ())
-                at = np.array([e[0] for e in ev], dtype=int)
-                if hi < table.num_rows:  # the session goes on; places count back from where it does
-                    state[side] = [hi - k for k in at.tolist() if k < hi]
-                for i in np.flatnonzero(valid):
-                    s = int(np.searchsorted(t, t[i] - SPAN, side="left"))
-                    while seg[s] != seg[i] or not valid[s]:
-                        s += 1
-                    if (t[i] - t[s]) * 10 < 8 * SPAN or t[i] == t[s]:
-                        continue
-                    n = dict.fromkeys(counts, 0)
-                    shares, times = [], []
-                    for k in range(int(np.searchsorted(at, s, side="right")), int(np.searchsorted(at, i, side="right"))):
-                        e, end, gapped, left, share, success = ev[k]
-                        if t[e] + HOLD > t[i] or end > i:
-                            n["ImmatureCount"] += 1
-                        elif gapped:
-                            n["GappedCount"] += 1
-                        else:
-                            n["MatureCount"] += 1
-                            if left:
-                                n["ExitCount"] += 1
-                            else:
-                                shares.append(share)
-                                if not np.isnan(success):
-                                    times.append(success)
-                    n |= {"SameCount": len(shares), "SuccessCount": len(times), "UnrecoveredCount": len(shares) - len(times)}
-                    v = {"Recovery": np.mean(shares), "FullShare": np.mean(np.array(shares) == 1), "SuccessTime": np.mean(times) if times else np.nan} if len(shares) >= 3 else {}
-                    if n["MatureCount"] >= 3:
-                        v["ExitShare"] = n["ExitCount"] / n["MatureCount"]
-                    for k, x_ in {**n, **v}.items():
-                        out[f"B09_{side}{k}_h10s"][a + i] = x_
+        clock = Clock(table, c["seg_ofi"])
+        i, s = _covered(clock, c["valid_ofi"].astype(bool))
+        for side, size, quote in (("Bid", c["qb"], c["b"]), ("Ask", c["qa"], c["a"])):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                fell = c["edge_ofi"].astype(bool) & np.r_[False, (quote[1:] == quote[:-1]) & (size[1:] < size[:-1]) & ((size[:-1] - size[1:]) / size[:-1] >= 0.1 - 1e-12)]
+            at = _thinned(clock, np.flatnonzero(fell), lo, state.get(side, []))
+            if hi < table.num_rows:  # the session goes on
+                state[side] = clock.t[at[at < hi]].tolist()
+            fate = fates(clock, size, quote, c["seg_ofi"], at)
+            a, z = np.searchsorted(at, s, side="right"), np.searchsorted(at, i, side="right")
+            m = np.clip(np.searchsorted(clock.key[at], clock.key[i] - HOLD, side="right"), a, z)
+            number = {k: (lambda u: u[m] - u[a])(np.r_[0, np.cumsum(fate[k])]) for k in ("gapped", "left", "kept", "full", "back")}
+            k, owner = _spread(a, m)
+            total = lambda v: np.bincount(owner, np.nan_to_num(v[k]), len(i))
+            mature = m - a - number["gapped"]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                enough = np.where(number["kept"] >= 3, 1.0, np.nan)
+                found = {
+                    "MatureCount": mature, "SameCount": number["kept"], "ExitCount": number["left"], "SuccessCount": number["back"], "ImmatureCount": z - m, "GappedCount": number["gapped"], "UnrecoveredCount": number["kept"] - number["back"],
+                    "Recovery": enough * total(fate["share"]) / number["kept"], "FullShare": enough * number["full"] / number["kept"], "SuccessTime": enough * total(fate["success"]) / np.where(number["back"] > 0, number["back"], np.nan),
+                    "ExitShare": np.where(mature >= 3, number["left"] / mature, np.nan),
+                }
+            for n, v in found.items():
+                out[f"B09_{side}{n}_h10s"][i] = v
         cols = {k: table.column(k) for k in (*KEYS, "snap_id", "t")} | {k: pa.array(v, from_pandas=True) for k, v in out.items()}
         return pa.table(cols).slice(lo, hi - lo)
 
@@ -161,42 +208,47 @@ def queue_recovery(q: DataFrame, most: int = 400_000) -> DataFrame:
 def lagged_flow(q: DataFrame, most: int = 400_000) -> DataFrame:
     """(keys, snap_id, t, D09_Lag*): correlation over 10 s of order flow per depth and second with the price's speed over the 2 s after it.
 
-    Only pairs whose end has been seen count; eight at least, weighted by the step's duration.
+    Only pairs whose end has been seen count: a step 2 s back or more has its end by now. Eight at least, weighted by the step's duration.
     """
     names = ["D09_LagOFICorr_h10s_lag2s", "D09_LagPairCount_h10s_lag2s", "D09_LagAlignmentMax_h10s_lag2s"]
     x = q.select(*KEYS, *ORDER, "p", "ofi", "depth", "l_depth", "dt", "edge_full", "valid_full", "seg_full")
+    pairs = 2_000_000
 
     def scan(table: pa.Table, lo: int, hi: int, state: dict) -> pa.Table:
         c = _numbers(table, ("t", "p", "ofi", "depth", "l_depth", "dt", "edge_full", "valid_full", "seg_full"))
         out = {n: np.full(table.num_rows, np.nan) for n in names}
-        edges = _starts(table)
-        for a, z in zip(edges, edges[1:]):
-            t, p, ofi, depth, before, dt, edge, valid, seg = (c[k][a:z] for k in ("t", "p", "ofi", "depth", "l_depth", "dt", "edge_full", "valid_full", "seg_full"))
-            n = z - a
-            end = np.searchsorted(t, t + HOLD, side="left")
-            safe = np.minimum(end, n - 1)
-            late = t[safe] - t - HOLD
-            # the end must lie in the segment of the row before the step, which is the step's own
-            good = (end < n) & (late <= LATE) & valid[safe].astype(bool) & (seg[safe] == seg) & edge.astype(bool)
+        clock, seg, valid = Clock(table, c["seg_full"]), c["seg_full"], c["valid_full"].astype(bool)
+        step = np.flatnonzero(c["edge_full"])
+        end = clock.after(step, HOLD)
+        late = np.where(end < clock.n, clock.t[np.minimum(end, clock.n - 1)] - clock.t[step] - HOLD, LATE + 1) if clock.n else end
+        ok = (end < clock.n) & (late <= LATE)
+        step, end, late = step[ok], end[ok], late[ok]
+        ok = valid[end] & (seg[end] == seg[step])
+        step, end, late = step[ok], end[ok], late[ok]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            flow = c["ofi"][step] / ((c["l_depth"][step] + c["depth"][step]) / 2 * c["dt"][step])
+            speed = (c["p"][end] - c["p"][step]) / ((clock.t[end] - clock.t[step]) / 1e6)
+        i, s = _covered(clock, valid)
+        a = np.searchsorted(step, s, side="right")
+        b = np.maximum(a, np.minimum(np.searchsorted(clock.key[step], clock.key[i] - HOLD, side="right"), np.searchsorted(step, i, side="right")))
+        cut = np.searchsorted(np.cumsum(b - a), np.arange(0, (b - a).sum() + 1, pairs)) if len(i) else []
+        for u, v in zip(cut, np.r_[cut[1:], len(i)].astype(int) if len(i) else []):
+            k, owner = _spread(a[u:v], b[u:v])
+            n = v - u
+            add = lambda y: np.bincount(owner, y, n)
+            count, w = np.bincount(owner, minlength=n), c["dt"][step[k]]
             with np.errstate(invalid="ignore", divide="ignore"):
-                u, v = ofi / ((before + depth) / 2 * dt), (p[safe] - p) / ((t[safe] - t) / 1e6)
-            for i in np.flatnonzero(valid):
-                s = int(np.searchsorted(t, t[i] - SPAN, side="left"))
-                while seg[s] != seg[i] or not valid[s]:
-                    s += 1
-                if (t[i] - t[s]) * 10 < 8 * SPAN or t[i] == t[s]:
-                    continue
-                k = np.arange(s + 1, i + 1)
-                k = k[good[k] & (end[k] <= i)]
-                out[names[1]][a + i] = len(k)
-                if len(k):
-                    out[names[2]][a + i] = late[k].max() / 1e6
-                if len(k) >= 8:
-                    w = dt[k] / dt[k].sum()
-                    x_, y_ = u[k] - w @ u[k], v[k] - w @ v[k]
-                    scale = np.sqrt((w @ x_**2) * (w @ y_**2))
-                    if scale > 1e-12:
-                        out[names[0]][a + i] = min(1.0, max(-1.0, float(w @ (x_ * y_)) / scale))
+                total = add(w)
+                f = flow[k] - (add(w * flow[k]) / total)[owner]
+                g = speed[k] - (add(w * speed[k]) / total)[owner]
+                scale = np.sqrt(add(w * f * f) * add(w * g * g)) / total
+                value = np.where((count >= 8) & (scale > 1e-12), np.clip(add(w * f * g) / total / scale, -1, 1), np.nan)
+            worst = np.full(n, np.nan)
+            if len(k):
+                edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                worst[owner[edge]] = np.maximum.reduceat(late[k], edge) / 1e6
+            for name, y in zip(names, (value, count, worst)):
+                out[name][i[u:v]] = y
         cols = {k: table.column(k) for k in (*KEYS, "snap_id", "t")} | {k: pa.array(v, from_pandas=True) for k, v in out.items()}
         return pa.table(cols).slice(lo, hi - lo)
 

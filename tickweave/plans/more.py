@@ -162,3 +162,54 @@ SQL = {
     "hist_percentile": _hist_sql(),
     "factor_mean_gap": f"""WITH {quotes_sql()}, {_window('s', 'price', _M, 5, 'm')}, {_window('l', 'price', _M, 10, 'm')} SELECT snap_id, {rounded_sql('l.m - s.m')} AS M06_MeanGap_h10s_short5s, CASE WHEN valid_price THEN CASE WHEN s.c0 = l.c0 THEN 1e0 ELSE 0e0 END END AS M06_SameWindow_h10s_short5s FROM q LEFT JOIN s ON s.id = snap_id LEFT JOIN l ON l.id = snap_id""",
 }
+
+
+_K = ", ".join(KEYS)
+_ON = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in KEYS)
+
+
+def _windows(group: str) -> str:
+    """Rows whose last 10 s of their segment are seen to four fifths: i, and the first row s of the window."""
+    return f"""firsts AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY {_K}, t ORDER BY rn) = 1),
+    wi AS (SELECT {", ".join(f"i.{k}" for k in KEYS)}, i.rn, i.t, min(j.rn) AS s_rn, min(j.t) AS s_t FROM q i JOIN q j ON {_ON("i", "j")} AND i.seg_{group} = j.seg_{group} AND j.rn <= i.rn AND j.t >= i.t - 10000000
+        WHERE i.valid_{group} AND j.valid_{group} GROUP BY ALL HAVING (i.t - min(j.t)) * 10 >= 80000000)"""
+
+
+def _recovery_sql() -> str:
+    drop = lambda side, size, quote: f"SELECT '{side}' AS side, {_K}, seg_ofi AS seg, rn, t, l_{size} AS was, {size} AS low, {quote} AS quote FROM q WHERE edge_ofi AND {quote} = l_{quote} AND {size} < l_{size} AND (l_{size} - {size}) / l_{size} >= 0.1 - 1e-12"
+    key = ", ".join(f"c.{k}" for k in KEYS)
+    counts = {"MatureCount": "count(*) FILTER (WHERE mature AND NOT gapped)", "SameCount": "count(*) FILTER (WHERE mature AND kept)", "ExitCount": "count(*) FILTER (WHERE mature AND away)", "SuccessCount": "count(*) FILTER (WHERE mature AND kept AND back IS NOT NULL)", "ImmatureCount": "count(*) FILTER (WHERE NOT mature)", "GappedCount": "count(*) FILTER (WHERE mature AND gapped)", "UnrecoveredCount": "count(*) FILTER (WHERE mature AND kept AND back IS NULL)"}
+    cells = []
+    for side in ("Bid", "Ask"):
+        at = lambda e: e.replace("mature", f"(mature AND side = '{side}')").replace("WHERE NOT (mature", f"WHERE side = '{side}' AND NOT (mature")
+        same = at(counts["SameCount"])
+        cells += [f"CAST({at(e)} AS DOUBLE) AS B09_{side}{n}_h10s" for n, e in counts.items()]
+        for n, e in (("Recovery", "avg(share) FILTER (WHERE mature AND kept)"), ("FullShare", "avg(CASE WHEN share = 1 THEN 1.0 ELSE 0 END) FILTER (WHERE mature AND kept)"), ("SuccessTime", "avg(back) FILTER (WHERE mature AND kept)")):
+            cells.append(f"CASE WHEN {same} >= 3 THEN {at(e)} END AS B09_{side}{n}_h10s")
+        cells.append(f"CASE WHEN {at(counts['MatureCount'])} >= 3 THEN {at(counts['ExitCount'])} / {at(counts['MatureCount'])} END AS B09_{side}ExitShare_h10s")
+    names = [c.rsplit(" AS ", 1)[1] for c in cells]
+    more = [(f"B09_{k}Difference_h10s", f"B09_Bid{k}_h10s - B09_Ask{k}_h10s") for k in ("Recovery", "FullShare", "SuccessTime")]
+    return f"""WITH RECURSIVE {quotes_sql()}, {_windows("ofi")},
+    c AS ({drop("Bid", "qb", "b")} UNION ALL {drop("Ask", "qa", "a")}),
+    nx AS (SELECT c.side, {key}, c.seg, c.rn, min(d.rn) AS next FROM c JOIN c d ON {_ON("c", "d")} AND c.side = d.side AND c.seg = d.seg AND c.t + 2000000 <= d.t GROUP BY ALL),
+    ac AS (SELECT side, {_K}, seg, min(rn) AS rn FROM c GROUP BY ALL UNION ALL SELECT nx.side, {", ".join(f"nx.{k}" for k in KEYS)}, nx.seg, nx.next FROM ac JOIN nx USING (side, {_K}, seg, rn)),
+    ev AS (SELECT c.*, c.t + 2000000 AS due FROM ac JOIN c USING (side, {_K}, seg, rn)),
+    en AS (SELECT ev.*, f.rn AS e_rn, coalesce(f.t - due > 500000 OR f.seg_ofi <> seg, false) AS gapped FROM ev ASOF LEFT JOIN firsts f ON {_ON("ev", "f")} AND ev.due <= f.t),
+    ft AS (SELECT c.side, {key}, c.rn, bool_or(CASE WHEN c.side = 'Bid' THEN r.b ELSE r.a END IS DISTINCT FROM quote) AS away, max(CASE WHEN r.rn >= c.rn THEN CASE WHEN c.side = 'Bid' THEN r.qb ELSE r.qa END END) AS top,
+            min(CASE WHEN r.rn >= c.rn AND CASE WHEN c.side = 'Bid' THEN r.qb ELSE r.qa END >= was THEN r.t END) AS back_t
+        FROM en c JOIN q r ON {_ON("c", "r")} AND r.rn BETWEEN c.rn - 1 AND c.e_rn WHERE NOT gapped AND e_rn IS NOT NULL GROUP BY ALL),
+    fa AS (SELECT en.*, coalesce(away, false) AS away, ft.rn IS NOT NULL AND NOT away AS kept, least(1.0, greatest(0.0, (top - low) / (was - low))) AS share, CASE WHEN NOT away THEN (back_t - t) / 1e6 END AS back FROM en LEFT JOIN ft USING (side, {_K}, rn)),
+    vw AS (SELECT {", ".join(f"w.{k}" for k in KEYS)}, w.rn AS i_rn, fa.*  EXCLUDE ({_K}), fa.due <= w.t AS mature FROM wi w LEFT JOIN fa ON {_ON("w", "fa")} AND fa.rn > w.s_rn AND fa.rn <= w.rn),
+    ag AS (SELECT {_K}, i_rn AS rn, {", ".join(cells)} FROM vw GROUP BY {_K}, i_rn)
+    SELECT q.snap_id, {", ".join(f"{rounded_sql(n)} AS {n}" for n in names)}, {", ".join(f"{rounded_sql(e)} AS {n}" for n, e in more)} FROM q LEFT JOIN ag USING ({_K}, rn)"""
+
+
+SQL["queue_recovery"] = _recovery_sql()
+SQL["lag_corr"] = f"""WITH {quotes_sql()}, {_windows("full")},
+    st AS (SELECT *, t + 2000000 AS due FROM q WHERE edge_full),
+    en AS (SELECT {", ".join(f"st.{k}" for k in KEYS)}, st.rn, st.due, st.dt AS w, st.ofi / ((st.l_depth + st.depth) / 2 * st.dt) AS u, (f.p - st.p) / ((f.t - st.t) / 1e6) AS v, f.t - due AS late
+        FROM st ASOF JOIN firsts f ON {_ON("st", "f")} AND st.due <= f.t WHERE f.t - due <= 500000 AND f.valid_full AND f.seg_full = st.seg_full),
+    pr AS (SELECT {", ".join(f"i.{k}" for k in KEYS)}, i.rn, w, u, v, late FROM wi i LEFT JOIN en ON {_ON("i", "en")} AND en.rn > i.s_rn AND en.rn <= i.rn AND en.due <= i.t),
+    mu AS (SELECT *, sum(w * u) OVER g / sum(w) OVER g AS mu, sum(w * v) OVER g / sum(w) OVER g AS mv FROM pr WINDOW g AS (PARTITION BY {_K}, rn)),
+    ag AS (SELECT {_K}, rn, count(w) AS n, max(late) / 1e6 AS worst, sum(w * (u - mu) * (v - mv)) / sum(w) AS c, sqrt(sum(w * (u - mu) * (u - mu)) * sum(w * (v - mv) * (v - mv))) / sum(w) AS s FROM mu GROUP BY {_K}, rn)
+    SELECT q.snap_id, {rounded_sql("CASE WHEN n >= 8 AND s > 1e-12 THEN least(1.0, greatest(-1.0, c / s)) END")} AS D09_LagOFICorr_h10s_lag2s, {rounded_sql("CAST(n AS DOUBLE)")} AS D09_LagPairCount_h10s_lag2s, {rounded_sql("worst")} AS D09_LagAlignmentMax_h10s_lag2s FROM q LEFT JOIN ag USING ({_K}, rn)"""
