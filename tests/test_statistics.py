@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -138,7 +139,7 @@ def test_cube_equals_the_long_form(spark):
         for o in (1, 2):
             x = [None if g.random() < 0.1 else float(v) for v in (g.normal(), g.integers(0, 3), 7.0)]
             y = [None if g.random() < 0.1 else float(v) for v in g.integers(-3, 4, 8)]
-            data.append(("d", f"u{task}", o, x, y))
+            data.append(("d", task, o, x, y))
     full = {(u, j, c): 0 for _, u, *_ in data for j in range(3) for c in range(4)}
     for _, u, _, x, y in data:
         for j in range(3):
@@ -156,8 +157,8 @@ def test_cube_equals_the_long_form(spark):
                                 long.append((f"f{j}", o, *kinds[c], target, cohort, h + 1, x[j], v if v is None or target == "signed" else abs(v)))
     by = ["factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
     want = st.information(spark.createDataFrame(long, "factor string, observation bigint, anchor string, label string, target string, cohort string, horizon int, x double, y double"), by)
-    wide = spark.createDataFrame(data, "trade_date string, unit string, observation bigint, x array<double>, y array<double>")
-    got = st.information_cube(wide, ["f0", "f1", "f2"], (1, 2), 2, block=2)
+    wide = spark.createDataFrame(data, "trade_date string, task bigint, observation bigint, x array<double>, y array<double>")
+    got = st.information_cube(wide, ["f0", "f1", "f2"], (1, 2), 2, ["trade_date"], block=2)
     a, b = ({tuple(r[k] for k in by): (r.n, r.status, r.ic, r.rank_ic) for r in x.collect()} for x in (got, want))
     assert a.keys() == b.keys() and len(a) == 3 * 2 * 4 * 2 * 2 * 2
     for k in a:
@@ -175,3 +176,19 @@ def test_running_totals_with_null_groups_and_hot_ones(spark):
         mine = [v for g, i, v in rows if g == x.g]
         assert x.total_all == sum(mine) and x.total == sum(v for g, i, v in rows if g == x.g and i <= x.i)
     assert running_totals(spark.createDataFrame([], "g string, i long, v double"), ["g"], ["i"], "v").count() == 0
+
+
+def test_ranks_by_column():
+    import pandas as pd
+
+    g = np.random.default_rng(3)
+    for shape in ((1, 3), (40, 5), (7, 1)):
+        a = g.integers(0, 6, shape).astype(float)
+        assert np.array_equal(st.column_ranks(a), pd.DataFrame(a).rank().to_numpy())
+
+
+def test_flips_of_stretches():
+    v = [0.3, 0.1, -0.2, 0.5, 0.4, 0.2, 0.1, 0.6, -0.1]
+    parts = [sum(v[:3]), sum(v[3:5]), sum(v[5:7]), sum(v[7:])]
+    want = sum(abs(sum(s * p for s, p in zip(signs, parts))) >= abs(sum(parts)) - 1e-12 for signs in itertools.product((1, -1), repeat=4)) / 16
+    assert st.block_flip(v) == want and st.block_flip([1.0]) == 1.0

@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators.totals import running_totals
+from tickweave.runtime import stored
+
 
 def two_level_mean(df: DataFrame, day: str, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Mean per day, then the mean of the days: every day counts the same. With the days that had a value (``<metric>_days``)."""
@@ -25,25 +28,49 @@ def correlation(x: Column, y: Column, least: int = 20) -> dict[str, Column]:
     return {"n": n, "ic": F.when(status == "ok", F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0))), "status": status}
 
 
-def average_rank(value: str, by: Sequence[str]) -> Column:
-    """Rank with ties at their mean, as double; null for null (which must be alone in a group of its own, see ``information``)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return (F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0).cast("double")
+def _average_ranks(counts: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(by..., value, name): ranks with ties at their mean, from counts ``n`` per value, by running totals."""
+    c = running_totals(counts.groupBy(*by, value).agg(F.sum("n").alias("_n")), by, [value], "_n", "_t")
+    return c.select(*by, value, (F.col("_t") - (F.col("_n") - 1) / 2.0).alias(name))
 
 
 def information(pairs: DataFrame, by: Sequence[str], least: int = 20) -> DataFrame:
-    """(by..., n, ic, rank_ic, status) of factor ``x`` and label ``y``: Pearson, and Spearman with ranks on the joint sample."""
+    """(by..., n, ic, rank_ic, status) of factor ``x`` and label ``y``: Pearson, and Spearman with ranks on the joint sample.
+
+    For groups of any size: pairs are counted, values ranked by running totals over partitions, and moments taken about the means. Groups of
+    a bounded size and many columns go through ``information_cube``. Groups must not be null.
+    """
     by = list(by)
-    full = pairs.withColumn("_both", F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = full.withColumns({"_rx": F.when(F.col("_both"), average_rank("x", [*by, "_both"])), "_ry": F.when(F.col("_both"), average_rank("y", [*by, "_both"]))})
-    c = correlation(F.col("x"), F.col("y"), least)
-    r = correlation(F.col("_rx"), F.col("_ry"), least)
-    return ranked.groupBy(*by).agg(c["n"].alias("n"), c["ic"].alias("ic"), r["ic"].alias("rank_ic"), c["status"].alias("status"))
+    counts = stored(pairs.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("n")), "pairs")
+    ranked = counts.join(_average_ranks(counts, by, "x", "rx"), [*by, "x"]).join(_average_ranks(counts, by, "y", "ry"), [*by, "y"])
+    means = counts.groupBy(*by).agg(F.sum("n").alias("_n"), *((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"_{c}") for c in "xy"), *(f(c).alias(f"_{k}{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))))
+    m, n = ranked.join(means, by), F.col("n")
+    off = {"x": F.col("x") - F.col("_x"), "y": F.col("y") - F.col("_y"), "rx": F.col("rx") - (F.col("_n") + 1) / 2, "ry": F.col("ry") - (F.col("_n") + 1) / 2}
+    cosine = lambda a, b: F.try_divide(F.sum(n * off[a] * off[b]), F.sqrt(F.sum(n * off[a] * off[a])) * F.sqrt(F.sum(n * off[b] * off[b])))
+    found = m.groupBy(*by, "_n", "_lox", "_hix", "_loy", "_hiy").agg(cosine("x", "y").alias("_ic"), cosine("rx", "ry").alias("_rank"))
+    every = pairs.select(*by).distinct().join(found, by, "left")
+    status = F.when(F.coalesce("_n", F.lit(0)) < least, "NOT_ENOUGH_PAIRS").when(F.col("_lox") == F.col("_hix"), "CONSTANT_FACTOR").when(F.col("_loy") == F.col("_hiy"), "CONSTANT_LABEL").otherwise("ok")
+    within = lambda c: F.when(status == "ok", F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)))
+    return every.select(*by, F.coalesce("_n", F.lit(0)).alias("n"), within("_ic").alias("ic"), within("_rank").alias("rank_ic"), status.alias("status"))
+
+
+def column_ranks(a: np.ndarray) -> np.ndarray:
+    """Rank of each value in its column, ties at their mean."""
+    n, k = a.shape
+    order = np.argsort(a, axis=0, kind="stable")
+    s = np.take_along_axis(a, order, axis=0)
+    new = np.ones((n, k), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    run = (np.cumsum(new, axis=0) - 1 + np.arange(k) * n).ravel()
+    size = np.bincount(run, minlength=n * k).reshape(k, n)
+    middle = (np.cumsum(size, axis=1) - (size - 1) / 2).ravel()
+    out = np.empty((n, k))
+    np.put_along_axis(out, order, middle[run].reshape(n, k), axis=0)
+    return out
 
 
 def pair_matrix(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(n, ic, rank_ic, status) of every column of ``x`` with every column of ``y``, over the rows where both have a value; status by ``STATUS``."""
-    import pandas as pd
 
     def alike(mask: np.ndarray) -> list[np.ndarray]:
         _, group = np.unique(np.packbits(mask, axis=0), axis=1, return_inverse=True)
@@ -67,7 +94,7 @@ def pair_matrix(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarr
             state[np.ptp(a, axis=0) == 0] = 2
             status[at] = state
             ic[at] = np.where(state == 0, cosine(a, b), np.nan)
-            rank[at] = np.where(state == 0, cosine(pd.DataFrame(a).rank().to_numpy(), pd.DataFrame(b).rank().to_numpy()), np.nan)
+            rank[at] = np.where(state == 0, cosine(column_ranks(a), column_ranks(b)), np.nan)
     return n.astype(np.int64), ic, rank, status
 
 
@@ -110,12 +137,14 @@ def information_cube(wide: DataFrame, factors: Sequence[str], horizons: Sequence
                 rows = case == o
                 for cohort in cohorts:
                     xx = x[rows] if cohort == "own" else np.where(full[task[rows]], x[rows], np.nan)
-                    for target in targets:
-                        n, ic, rank, status = pair_matrix(xx, part[rows] if target == "signed" else np.abs(part[rows]), least)
+                    # both targets have the same missing labels: one matrix
+                    n, ic, rank, status = pair_matrix(xx, np.concatenate([part[rows] if target == "signed" else np.abs(part[rows]) for target in targets], axis=1), least)
+                    for i, target in enumerate(targets):
+                        at = slice(i * len(horizons), (i + 1) * len(horizons))
                         for k, v in zip(parts, (o, anchor, kind, target, cohort)):
-                            parts[k].append(np.full(n.size, v))
+                            parts[k].append(np.full(n[:, at].size, v))
                         for k, v in zip(("n", "status", "ic", "rank_ic"), (n, np.array(STATUS)[status], ic, rank)):
-                            parts[k].append(v.ravel())
+                            parts[k].append(v[:, at].ravel())
         each = len(parts["n"])
         out = {k: pa.array([table.column(k)[0].as_py()] * (each * len(names) * len(horizons)), pa.string()) for k in unit}
         out |= {"factor": pa.array(np.tile(np.repeat(names, len(horizons)), each)), "horizon": pa.array(np.tile(np.array(horizons, np.int32), len(names) * each))}
@@ -139,8 +168,7 @@ def information_summary(daily: DataFrame, by: Sequence[str]) -> DataFrame:
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, percents: Sequence[float]) -> DataFrame:
     """(by..., percent, value): the least value whose cumulative weight reaches the percent of the total (a left-continuous step)."""
     d = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, F.col(value).alias("_x")).agg(F.sum(weight).alias("_w"))
-    upto = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_c", F.sum("_w").over(upto) / F.sum("_w").over(Window.partitionBy(*by)))
+    d = running_totals(d, by, ["_x"], "_w", "_t").withColumn("_c", F.col("_t") / F.col("_t_all"))
     return d.groupBy(*by).agg(*(F.min(F.when(F.col("_c") >= p - 1e-12, F.col("_x"))).alias(f"p{round(p * 100)}") for p in percents))
 
 
@@ -162,11 +190,11 @@ def survival(df: DataFrame, by: Sequence[str], duration: str, event: str, weight
     """Weighted Kaplan-Meier curve at every time of an event; at ties events come before censoring."""
     by = list(by)
     d = df.where(F.col(duration).isNotNull()).groupBy(*by, F.col(duration).alias("time")).agg(F.sum(weight).alias("_all"), F.sum(F.when(F.col(event) == 1, F.col(weight)).otherwise(0.0)).alias("died"))
-    d = d.withColumn("at_risk", F.sum("_all").over(Window.partitionBy(*by).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0))).where("died > 0")
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    d = running_totals(d, by, ["time"], "_all", "_upto").withColumn("at_risk", F.col("_upto_all") - F.col("_upto") + F.col("_all")).where("died > 0")
     gone = F.col("died") >= F.col("at_risk") - 1e-12
-    log = F.sum(F.when(gone, 0.0).otherwise(F.log1p(-F.col("died") / F.col("at_risk")))).over(w)
-    return d.withColumn("survival", F.when(F.max(gone.cast("int")).over(w) == 1, 0.0).otherwise(F.exp(log))).select(*by, "time", "at_risk", "died", "survival")
+    d = d.withColumns({"_log": F.when(gone, 0.0).otherwise(F.log1p(-F.col("died") / F.col("at_risk"))), "_end": gone.cast("int")}).select(*by, "time", "at_risk", "died", "_log", "_end")
+    d = running_totals(running_totals(d, by, ["time"], "_log", "_sum"), by, ["time"], "_end", "_over")
+    return d.withColumn("survival", F.when(F.col("_over") > 0, 0.0).otherwise(F.exp("_sum"))).select(*by, "time", "at_risk", "died", "survival")
 
 
 def best(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -184,8 +212,7 @@ def leave_one_out(daily: DataFrame, by: Sequence[str], day: str, metric: str) ->
 def ecdf(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by..., value, share): share of rows up to each distinct value."""
     d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    return d.select(*by, value, (F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(w)).alias("share"))
+    return running_totals(d, by, [value], "_n", "_t").select(*by, value, (F.col("_t") / F.col("_t_all")).alias("share"))
 
 
 def holm(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -212,16 +239,33 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, weight: str, lo: flo
     return df.where(F.col(value).between(lo, hi)).groupBy(*by, k.alias("bin")).agg(F.sum(weight).alias("weight"))
 
 
-def block_draws(spark: SparkSession, days: Sequence[str], repeats: int = 1000, block: int = 5, seed: int = 20260928) -> DataFrame:
-    """(repeat, day, times): circular moving blocks of days, drawn from a fixed seed on the driver. Days are few by nature."""
+SEED = 20260928
+
+
+def block_draws(spark: SparkSession, days: Sequence[str], repeats: int = 5000, block: int = 5, seed: int = SEED) -> DataFrame:
+    """(repeat, day, times): circular moving blocks of days. Days are few by nature.
+
+    Where a block starts is the MD5 of seed, repeat and the block's number: the same in every engine, without a generator's state.
+    """
     n = len(days)
-    starts = np.random.default_rng(seed).integers(0, n, (repeats, -(-n // block)))
-    index = ((starts[..., None] + np.arange(block)) % n).reshape(repeats, -1)[:, :n]
-    rows = [(r, days[i], int(k)) for r in range(repeats) for i, k in zip(*np.unique(index[r], return_counts=True))]
-    return spark.createDataFrame(rows, "repeat int, day string, times int")
+    names = spark.createDataFrame(list(enumerate(days)), "_i bigint, day string")
+    if not n:
+        return spark.createDataFrame([], "repeat int, day string, times int")
+    blocks = spark.range(repeats).select(F.col("id").cast("int").alias("repeat"), F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1))).alias("_j"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "repeat", "_j").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    each = blocks.withColumn("_s", drawn % n).select("repeat", "_j", "_s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_k")).where(F.col("_j") * block + F.col("_k") < n)
+    times = each.groupBy("repeat", ((F.col("_s") + F.col("_k")) % n).alias("_i")).agg(F.count("*").cast("int").alias("times"))
+    return times.join(F.broadcast(names), "_i").select("repeat", "day", "times")
+
 
+def block_draws_sql(days: str, repeats: int = 5000, block: int = 5, seed: int = SEED) -> str:
+    """The same for DuckDB as ``dr`` (repeat, day, times); ``days`` is a query of one column ``day``."""
+    return f"""dd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM ({days}) WHERE day IS NOT NULL)), nn AS (SELECT count(*) AS n FROM dd),
+    bl AS (SELECT r, j, CAST('0x' || substr(md5('{seed}|' || r || '|' || j), 1, 15) AS BIGINT) % n AS s, n FROM range({repeats}) a(r), range(1000) b(j), nn WHERE j * {block} < n),
+    dr AS (SELECT r AS repeat, day, count(*) AS times FROM bl, range({block}) c(k), dd WHERE j * {block} + k < n AND dd.i = (s + k) % n GROUP BY ALL)"""
 
-def block_interval(daily: DataFrame, by: Sequence[str], day: str, metric: str, repeats: int = 1000, block: int = 5, seed: int = 20260928) -> DataFrame:
+
+def block_interval(daily: DataFrame, by: Sequence[str], day: str, metric: str, repeats: int = 5000, block: int = 5, seed: int = SEED) -> DataFrame:
     """(by..., mean, low, high): mean over days with the 2.5 and 97.5 percentiles of its resamples in blocks of days."""
     days = sorted(r[0] for r in daily.select(day).where(F.col(day).isNotNull()).distinct().collect())
     draws = block_draws(daily.sparkSession, days, repeats, block, seed)
@@ -231,7 +275,7 @@ def block_interval(daily: DataFrame, by: Sequence[str], day: str, metric: str, r
     return d.groupBy(*by).agg(F.avg("_m").alias("mean")).join(bounds, list(by))
 
 
-def block_ratio(daily: DataFrame, by: Sequence[str], day: str, top: str, bottom: str, repeats: int = 1000, block: int = 5, seed: int = 20260928) -> DataFrame:
+def block_ratio(daily: DataFrame, by: Sequence[str], day: str, top: str, bottom: str, repeats: int = 5000, block: int = 5, seed: int = SEED) -> DataFrame:
     """(by..., ratio, low, high): a ratio of sums over days with its block resamples, from the days' own sums."""
     days = sorted(r[0] for r in daily.select(day).where(F.col(day).isNotNull()).distinct().collect())
     draws = block_draws(daily.sparkSession, days, repeats, block, seed)
@@ -287,6 +331,11 @@ def sign_flip(values: Sequence[float]) -> float:
     return 2 * above / (len(a) * len(b))
 
 
+def block_flip(values: Sequence[float], blocks: int = 4) -> float:
+    """``sign_flip`` of whole stretches of days: days in order are cut into ``blocks`` parts whose sums keep or change their sign together."""
+    return sign_flip([float(p.sum()) for p in np.array_split(np.asarray(values, float), min(blocks, len(values)))])
+
+
 def kept_together(df: DataFrame, key: Sequence[str], what: str, values: int) -> DataFrame:
     """Keys that have all ``values`` different values of ``what``: the common sample."""
     return df.groupBy(*key).agg(F.count_distinct(what).alias("_n")).where(F.col("_n") == values).drop("_n")

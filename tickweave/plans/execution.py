@@ -80,8 +80,24 @@ SPECS = {
     "exec_signal_sweep": ((3,), tuple((FIXED, k) for k in LATER)),
     "exec_repeated": ((3, 6, 9), (1,)),
 }
-QUERIES = {n: _replay(n, *s) for n, s in SPECS.items()}
-SQL = {n: replay_sql(*s) for n, s in SPECS.items()}
+QUERIES = {n: _replay(n, *s) for n, s in SPECS.items() if "sweep" not in n}
+SQL = {n: replay_sql(*s) for n, s in SPECS.items() if "sweep" not in n}
+CURVE = ["trade_date", "side", "offset", "signal_offset", "status", "reason", "stage", "kind"]
+
+
+def _sweep(name: str):
+    def run(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
+        x = rp.replay(tasks(spark, d, plan), path(spark, d), *SPECS[name])
+        return out(x.groupBy(*CURVE).agg(F.count("*").alias("orders"), F.avg("cost_bp").alias("cost_bp"), F.avg(F.col("fill_t") - F.col("task")).alias("elapsed"), F.sum("price").alias("price")))
+
+    run.__name__, run.__doc__ = name, "Every order of the sweep, totalled per date, side, offsets and what became of it."
+    return run
+
+
+for _n in SPECS:
+    if "sweep" in _n:
+        QUERIES[_n] = _sweep(_n)
+        SQL[_n] = f"""SELECT trade_date, side, "offset", signal_offset, status, reason, stage, kind, count(*) AS orders, {R('avg(cost_bp)')} AS cost_bp, {R('avg(fill_t - task)')} AS elapsed, {R('sum(price)')} AS price FROM ({replay_sql(*SPECS[_n], True)}) GROUP BY ALL"""
 #: Policies: a limit at the last price until the end (A); none until a decision at 3 s (B); both (C), with further decisions (C36, C369).
 POLICIES = {"A": ((), True), "B": ((3,), False), "C": ((3,), True), "C36": ((3, 6), True), "C369": ((3, 6, 9), True)}
 

@@ -314,11 +314,13 @@ def circular_blocks(spark, d):
     return out(st.circular_blocks(daily, ["strategy"], "trade_date", "cost").withColumn("start", F.col("start").cast("bigint")))
 
 
-@query(None)
+@query(f"""WITH {_O}, {_D}, m AS (SELECT * FROM d WHERE strategy IN ({', '.join(repr(k) for k in MAIN)})), {st.block_draws_sql("SELECT trade_date AS day FROM m")},
+    me AS (SELECT strategy, repeat, sum(cost * times) / sum(times) AS v FROM m JOIN dr ON dr.day = m.trade_date WHERE cost IS NOT NULL GROUP BY 1, 2), lh AS (SELECT strategy, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM me GROUP BY 1)
+    SELECT strategy, {R('(SELECT avg(cost) FROM m WHERE m.strategy = lh.strategy)')} AS mean, {R('low')} AS low, {R('high')} AS high FROM lh""")
 def block_bootstrap(spark, d):
     """Mean cost per main strategy with a block bootstrap interval over dates."""
     daily = orders(spark, d).where(F.col("strategy").isin(*MAIN)).groupBy("trade_date", "strategy").agg(F.avg("cost").alias("cost"))
-    return out(st.block_interval(daily, ["strategy"], "trade_date", "cost", repeats=500))
+    return out(st.block_interval(daily, ["strategy"], "trade_date", "cost"))
 
 
 @query(f"WITH {_O}, {_D}, g AS (SELECT strategy, count(cost) AS n, 1.0 / (1 + abs(avg(cost))) AS p FROM d WHERE strategy IS NOT NULL GROUP BY 1 HAVING avg(cost) IS NOT NULL), k AS (SELECT strategy, p, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, strategy) + 1)) AS raw, row_number() OVER (ORDER BY p, strategy) AS i FROM g) SELECT strategy, {R('p')} AS p, {R('max(raw) OVER (ORDER BY i)')} AS adjusted FROM k")

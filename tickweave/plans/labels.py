@@ -77,8 +77,10 @@ def task_origins(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFram
 
 
 def label_grid(spark: SparkSession, d: str, plan: Schedule = PLAN, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Cumulative and incremental labels of both anchors over each horizon."""
+    """Cumulative and incremental labels of both anchors over each horizon, of every task: totals per session, case, anchor, horizon and status."""
     x = labels.labels(tasks(spark, d, plan), kept(rows(spark, d), "p", "seg_price", "valid_price"), horizons)
+    totals = [F.count("*").alias("labels"), *(f(c).alias(f"{c}_{n}") for c in ("y", "y_incremental") for n, f in (("sum", F.sum), ("least", F.min), ("most", F.max))), F.sum(F.abs("y")).alias("y_size")]
+    x = x.groupBy(*KEYS, "observation", "anchor", "horizon", "status", "incremental_status").agg(*totals, F.avg("late").alias("late"))
     return x.withColumn("late", F.expr(rounded_sql("late")))
 
 
@@ -120,7 +122,7 @@ def ic_summary(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
 
-CUBE = ["Contract", "factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
+CUBE = ["factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
 
 
 def catalogue(q: DataFrame, histories: tuple[int, ...] = (5, 10)) -> tuple[DataFrame, list[str]]:
@@ -153,12 +155,7 @@ def _cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ic_cube(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation per contract and date of every catalogued factor (histories 5 and 10 s) with every label over 1 to 30 s, by observation, anchor, label type, target and cohort. No SQL."""
-    return _cube(spark, d).withColumns({c: F.expr(rounded_sql(c)) for c in ("ic", "rank_ic")})
-
-
-def ic_cube_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Summary over dates of every factor and label."""
+    """Correlation per contract and date of every catalogued factor (histories 5 and 10 s) with every label over 1 to 30 s, summed up over contracts and dates by observation, anchor, label type, target and cohort. No SQL."""
     x = statistics.information_summary(_cube(spark, d), CUBE)
     return x.select(*(F.expr(rounded_sql(f"`{c}`")).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes))
 
@@ -176,7 +173,7 @@ PAIRS = f"""fac AS ({windowed_sql(FACTORS, 5)}),
 _ALL = f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, {PAIRS}"
 
 QUERIES = {f.__name__: f for f in (schedule_grid, asof_backward, asof_forward, nth_future, interval_counts, task_origins, label_grid, ic_daily, ic_summary)}
-QUERIES |= {f.__name__: f for f in (ic_cube, ic_cube_summary)}
+QUERIES |= {f.__name__: f for f in (ic_cube,)}
 SQL = {
     "schedule_grid": f"WITH {TASKS} SELECT * FROM tasks",
     "asof_backward": f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS} SELECT {K}, task, observation, s_snap_id AS snap_id, t - s_t AS age FROM src",
@@ -185,7 +182,7 @@ SQL = {
     "interval_counts": f"WITH {quotes_sql()}, {TASKS} SELECT {', '.join('x.' + k for k in KEYS)}, task, observation, count(*) AS rows, max(v) - min(v) AS volume FROM tasks x JOIN q y ON {ON} AND y.t BETWEEN x.t AND x.t + 3000000 GROUP BY ALL",
     "task_origins": f"WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS} SELECT {K}, task, observation, s_snap_id AS source, source_status, CASE WHEN arrival_status = 'ok' THEN a_snap_id END AS arrival, arrival_status FROM o",
     "label_grid": f"""WITH {quotes_sql()}, {TASKS}, {LASTS}, {ORIGINS}, {LABELS}, inc AS (SELECT *, CASE WHEN status <> 'ok' THEN status WHEN horizon = 1 OR lag(status) OVER w = 'ok' THEN 'ok' ELSE 'INVALID_PREVIOUS_ENDPOINT' END AS incremental_status, lag(y) OVER w AS ly
-        FROM laby WINDOW w AS (PARTITION BY {K}, task, observation, anchor ORDER BY horizon)) SELECT {K}, task, observation, anchor, horizon, y, status, {rounded_sql('late')} AS late, CASE WHEN incremental_status = 'ok' THEN y - coalesce(ly, 0) END AS y_incremental, incremental_status FROM inc""",
+        FROM laby WINDOW w AS (PARTITION BY {K}, task, observation, anchor ORDER BY horizon)) SELECT {K}, observation, anchor, horizon, status, incremental_status, count(*) AS labels, sum(y) AS y_sum, min(y) AS y_least, max(y) AS y_most, sum(yi) AS y_incremental_sum, min(yi) AS y_incremental_least, max(yi) AS y_incremental_most, sum(abs(y)) AS y_size, {rounded_sql('avg(late)')} AS late FROM (SELECT *, CASE WHEN incremental_status = 'ok' THEN y - coalesce(ly, 0) END AS yi FROM inc) GROUP BY ALL""",
     "ic_daily": f"{_ALL} SELECT {_BY}, n, status, {rounded_sql('ic')} AS ic, {rounded_sql('rank_ic')} AS rank_ic FROM ic",
     "ic_summary": f"""{_ALL} SELECT Contract, factor, observation, anchor, horizon, {", ".join(f"{rounded_sql(f'avg({c})')} AS {c}_mean, {rounded_sql(f'quantile_cont({c}, 0.5)')} AS {c}_median, {rounded_sql(f'stddev_samp({c})')} AS {c}_std, {rounded_sql(f'quantile_cont({c}, 0.1)')} AS {c}_p10, {rounded_sql(f'avg({c}) / nullif(stddev_samp({c}), 0)')} AS {c}_ir, count(*) FILTER (WHERE {c} > 1e-12) AS {c}_positive_days, count(*) FILTER (WHERE {c} < -1e-12) AS {c}_negative_days" for c in ("ic", "rank_ic"))},
         count(ic) AS days, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS days_{s.lower()}" for s in ("NOT_ENOUGH_PAIRS", "CONSTANT_FACTOR", "CONSTANT_LABEL"))} FROM ic GROUP BY 1, 2, 3, 4, 5""",

@@ -32,7 +32,7 @@ def retention_interval(spark: SparkSession, d: str) -> DataFrame:
     """Share of orders open after 3 s per main strategy, with block resamples of dates."""
     o = orders(spark, d).where(F.col("strategy").isin(*MAIN) & F.col("elapsed").isNotNull())
     daily = o.groupBy("trade_date", "strategy").agg(F.count_if(F.col("elapsed") > 3).alias("open"), F.count("*").alias("n"))
-    return out(st.block_ratio(daily, ["strategy"], "trade_date", "open", "n", repeats=300))
+    return out(st.block_ratio(daily, ["strategy"], "trade_date", "open", "n"))
 
 
 def forward_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -46,18 +46,19 @@ def switch_gate(spark: SparkSession, d: str) -> DataFrame:
     daily = orders(spark, d).where(F.col("strategy").isin("legacy_3s", "fixed_1s", "fixed_3s")).groupBy("trade_date", "strategy").agg(F.avg("cost").alias("cost"))
     old = daily.where("strategy = 'legacy_3s'").select("trade_date", F.col("cost").alias("old"))
     saving = daily.where("strategy <> 'legacy_3s'").join(old, "trade_date").select("trade_date", "strategy", (F.col("old") - F.col("cost")).alias("saving"))
-    x = st.block_interval(saving, ["strategy"], "trade_date", "saving", repeats=500)
+    x = st.block_interval(saving, ["strategy"], "trade_date", "saving")
     return out(x.withColumn("passes", (F.col("mean") > 0) & (F.col("low") > 0)))
 
 
 def sign_flips(spark: SparkSession, d: str) -> DataFrame:
-    """Exact sign-flip p value of each strategy's saving on the market order, over all its dates, with Holm's adjustment. Dates are few by nature."""
+    """Exact sign-flip p value of each strategy's saving on the market order, over all its dates, with Holm's adjustment, and of four stretches of dates. Dates are few by nature."""
     daily = orders(spark, d).where(F.col("strategy").isin(*MAIN)).groupBy("trade_date", "strategy").agg(F.avg("cost").alias("cost"))
     m = daily.where("strategy = 'M'").select("trade_date", F.col("cost").alias("m"))
     x = daily.where("strategy <> 'M'").join(m, "trade_date").where("m - cost is not null")
     lists = x.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("trade_date", (F.col("m") - F.col("cost")).alias("v")))).alias("v")).collect()
-    rows = [(r["strategy"], st.sign_flip([v["v"] for v in r["v"]])) for r in lists]
-    return st.holm(spark.createDataFrame(rows, "strategy string, p double"), "p")  # not rounded: the least p is 2 of 2^dates
+    values = [(r["strategy"], [v["v"] for v in r["v"]]) for r in lists]
+    rows = [(k, st.sign_flip(v), st.block_flip(v)) for k, v in values]
+    return st.holm(spark.createDataFrame(rows, "strategy string, p double, block_p double"), "p")  # not rounded: the least p is 2 of 2^dates
 
 
 def trailing_accuracy(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
@@ -153,7 +154,20 @@ _POINT = lambda s: f"(SELECT x.*, y.p, y.qstate, y.qb, y.qa FROM (SELECT *, task
 _HEAD = _ALL.split(", src AS")[0] + f", tk AS (SELECT DISTINCT {K}, task FROM tasks)"
 _PAIR = [("price", "F05", "Momentum"), ("price", "C01", "PriceRV")]
 _corr = lambda u, v: f"CASE WHEN count(*) >= 20 AND min({u}) < max({u}) AND min({v}) < max({v}) THEN greatest(least(covar_pop({u}, {v}) / nullif(stddev_pop({u}) * stddev_pop({v}), 0), 1.0), -1.0) END"
+_MAIN = ", ".join(repr(k) for k in MAIN)
+_SAVED = f"WITH {_O}, {_D}, sv AS (SELECT a.trade_date, a.strategy, b.cost - a.cost AS saving FROM d a JOIN d b ON a.trade_date = b.trade_date AND b.strategy = 'legacy_3s' WHERE a.strategy IN ('fixed_1s', 'fixed_3s'))"
+_FLIP = lambda src, out: f"""{out} AS (SELECT strategy, count(*) FILTER (WHERE abs(s) >= abs(total) - 1e-12) / count(*) AS p FROM (SELECT strategy, k, sum(CASE WHEN (k >> i) & 1 = 1 THEN v ELSE -v END) AS s, sum(v) AS total
+    FROM {src}, range(0, 1 << 20) g(k) WHERE k < (1 << n) GROUP BY strategy, k) GROUP BY 1)"""
 SQL = {
+    "sign_flips": f"""WITH {_O}, {_D}, mk AS (SELECT trade_date, cost AS m FROM d WHERE strategy = 'M'), df AS (SELECT a.strategy, a.trade_date, m - cost AS v FROM d a JOIN mk USING (trade_date) WHERE strategy IN ({_MAIN}) AND strategy <> 'M' AND m - cost IS NOT NULL),
+        f1 AS (SELECT strategy, v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM df WINDOW w AS (PARTITION BY strategy ORDER BY trade_date)),
+        f4 AS (SELECT strategy, b AS i, sum(v) AS v, CAST(least(4, any_value(n)) AS BIGINT) AS n FROM (SELECT *, CASE WHEN i < (n % 4) * (n // 4 + 1) THEN i // (n // 4 + 1) ELSE n % 4 + (i - (n % 4) * (n // 4 + 1)) // greatest(n // 4, 1) END AS b FROM f1) GROUP BY strategy, b),
+        {_FLIP('f1', 'p1')}, {_FLIP('f4', 'p4')}, h AS (SELECT strategy, p1.p, p4.p AS block_p, row_number() OVER (ORDER BY p1.p, strategy) AS k, count(*) OVER () AS c FROM p1 JOIN p4 USING (strategy))
+        SELECT strategy, p, block_p, max(least(1.0, p * (c - k + 1))) OVER (ORDER BY k) AS adjusted FROM h""",
+    "switch_gate": f"""{_SAVED}, {st.block_draws_sql("SELECT trade_date AS day FROM sv")}, me AS (SELECT strategy, repeat, sum(saving * times) / sum(times) AS v FROM sv JOIN dr ON dr.day = sv.trade_date WHERE saving IS NOT NULL GROUP BY 1, 2),
+        lh AS (SELECT strategy, (SELECT avg(saving) FROM sv s WHERE s.strategy = me.strategy) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM me GROUP BY 1) SELECT strategy, {R('mean')} AS mean, {R('low')} AS low, {R('high')} AS high, mean > 0 AND low > 0 AS passes FROM lh""",
+    "retention_interval": f"""WITH {_O}, dy AS (SELECT trade_date, strategy, count(*) FILTER (WHERE elapsed > 3) AS a, count(*) AS b FROM o WHERE strategy IN ({_MAIN}) AND elapsed IS NOT NULL GROUP BY 1, 2), {st.block_draws_sql("SELECT trade_date AS day FROM dy")},
+        me AS (SELECT strategy, repeat, sum(a * times) / sum(b * times) AS v FROM dy JOIN dr ON dr.day = dy.trade_date GROUP BY 1, 2) SELECT strategy, {R('(SELECT sum(a) / sum(b) FROM dy e WHERE e.strategy = me.strategy)')} AS ratio, {R('quantile_cont(v, 0.025)')} AS low, {R('quantile_cont(v, 0.975)')} AS high FROM me GROUP BY strategy""",
     "landmark_retention": f"WITH {_O} SELECT strategy, clock, count(*) FILTER (WHERE elapsed > clock) AS open, {R('count(*) FILTER (WHERE elapsed > clock) / count(*)')} AS share FROM o, (SELECT CAST(unnest([{', '.join(map(str, CLOCKS))}]) AS DOUBLE) AS clock) WHERE elapsed IS NOT NULL GROUP BY 1, 2",
     "forward_selection": f"WITH {_O}, {_D}, s AS (SELECT * FROM d WHERE strategy LIKE 'sweep%'), k AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM (SELECT DISTINCT trade_date FROM s)), g AS (SELECT strategy, avg(cost) FILTER (WHERE k <= 8) AS train, avg(cost) FILTER (WHERE k > 8) AS test FROM s JOIN k USING (trade_date) GROUP BY 1) SELECT strategy, {R('train')} AS train, {R('test')} AS test FROM g WHERE train IS NOT NULL ORDER BY g.train, strategy LIMIT 1",
     "trailing_accuracy": f"{_S}, sec AS (SELECT trade_date, task // 1000000 AS second, sum(CASE WHEN c = y THEN 1.0 ELSE 0 END) AS h, count(*) AS n FROM pr GROUP BY 1, 2), r AS (SELECT second, sum(h) OVER w / sum(n) OVER w AS a FROM sec WINDOW w AS (PARTITION BY trade_date ORDER BY second RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT second, {R('avg(a)')} AS accuracy, count(*) AS days FROM r GROUP BY 1",
