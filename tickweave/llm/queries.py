@@ -72,6 +72,19 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packing(spark, d), packing.capacities(table(spark, d, "pack_specs")))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """(spec_id, overfull, lost, cut, documents) of the packing: containers above their capacity, documents not packed once and whole, and shorter ones that were cut."""
+    sizes, specs = stored(packing.token_counts(table(spark, d, "documents")), "tokens"), packing.capacities(table(spark, d, "pack_specs"))
+    packed = stored(packing.pack(sizes, specs), "packed")
+    cap = F.create_map(*(x for k, v in specs.items() for x in (F.lit(k), F.lit(v))))[F.col("spec_id")]
+    full = packed.where("container_id is not null").groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("tokens")).groupBy("spec_id").agg(F.count_if(F.col("tokens") > cap).alias("overfull"))
+    pieces = packed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("got"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("places"))
+    wanted = sizes.withColumn("spec_id", F.explode(F.array(*(F.lit(k) for k in sorted(specs)))))
+    whole = wanted.join(pieces, ["spec_id", "doc_id"], "left").groupBy("spec_id").agg(
+        F.count_if(F.col("got").isNull() | (F.col("got") != F.col("tokens")) | (F.col("pieces") != F.col("places"))).alias("lost"), F.count_if((F.col("tokens") <= cap) & (F.col("pieces") > 1)).alias("cut"), F.count("*").alias("documents"))
+    return full.join(whole, "spec_id").select("spec_id", "overfull", "lost", "cut", "documents")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the test items in them."""
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id")
@@ -91,7 +104,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(graded, "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("grade"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p4_decisions": p4_decisions, "p4_shares": p4_shares, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p4_found": p4_found, "p4_splits": p4_splits, "p4_decisions": p4_decisions, "p4_shares": p4_shares, "p6_packing": p6_packing, "p6_report": p6_report, "p6_check": p6_check, "p7_found": p7_found, "p8_found": p8_found, "p8_profile": p8_profile}
 
 _PERCENTS = ", ".join(map(str, percentiles.PERCENTS))
 
@@ -130,6 +143,7 @@ _DEAL = f"""
 _SHARE = lambda t: f"SELECT '{t}' AS \"table\", split, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {t} JOIN dealt ON dealt.d = {_DATE(t + '.trade_date')} GROUP BY split"
 
 SQL = {
+    "p6_check": "SELECT spec_id, 0 AS overfull, 0 AS lost, 0 AS cut, (SELECT count(*) FROM documents) AS documents FROM pack_specs",
     "p4_splits": f"{_DEAL} SELECT fill_id, {_DATE('fills.trade_date')} AS trade_date, split FROM fills LEFT JOIN dealt ON dealt.d = {_DATE('fills.trade_date')}",
     "p4_decisions": f"{_DEAL} SELECT decision_id, {_DATE('decisions.trade_date')} AS trade_date, split FROM decisions LEFT JOIN dealt ON dealt.d = {_DATE('decisions.trade_date')}",
     "p4_shares": f"{_DEAL} {_SHARE('fills')} UNION ALL {_SHARE('decisions')}",
