@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.operators import statistics as st
+from tickweave.operators import summary
 from tickweave.plans.oracle import rounded_sql
 from tickweave.runtime import real
 from tickweave.sources.tables import table
@@ -378,3 +379,31 @@ def grouped_counts(spark, d):
     """Counts, distinct counts and firsts per group with a condition on the group."""
     c = table(spark, d, "customer").where("c_acctbal between 0 and 5000").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy("n_name").agg(F.count("*").alias("customers"), F.count_distinct("c_mktsegment").alias("segments"), F.min("c_name").alias("first_name")).where("customers > 1")
+
+
+TASK = ["Contract", "trade_date", "nominal_second"]
+_HOUR = {"first_minute": (0, 60), "first_hour": (0, 3600)}
+_MAIN = ", ".join(repr(k) for k in MAIN)
+_PAIRED = f"""WITH {_O}, oo AS (SELECT * FROM o WHERE strategy IN ({_MAIN})), tk AS (SELECT Contract, trade_date, nominal_second, count(*) AS k, count(DISTINCT (strategy, direction)) FILTER (WHERE direction IN (-1, 1)) AS n, count(*) FILTER (WHERE direction IN (-1, 1)) AS f FROM oo GROUP BY ALL),
+    pa AS (SELECT Contract, trade_date, nominal_second, CASE WHEN k <> f THEN 'UNEXPECTED' WHEN f <> n THEN 'REPEATED' WHEN n <> 8 THEN 'UNPAIRED' ELSE 'ok' END AS reason FROM tk)"""
+_FLAG = lambda s, k: f"CASE WHEN coalesce(fill_stage = '{s}' AND fill_kind = '{k}', false) THEN 1.0 ELSE 0.0 END"
+_MEASURES = ["cost", "elapsed", "early", *summary.FILLS, "other"]
+
+
+@query(f"{_PAIRED} SELECT trade_date, reason, count(*) AS tasks FROM pa GROUP BY 1, 2")
+def order_pairing(spark, d):
+    """How many tasks have every main strategy on both sides, and what the others lack."""
+    x = summary.pairing(orders(spark, d).where(F.col("strategy").isin(*MAIN)), TASK, MAIN)
+    return x.groupBy("trade_date", "reason").agg(F.count("*").alias("tasks"))
+
+
+@query(f"""{_PAIRED}, z AS (SELECT oo.*, CASE WHEN elapsed IS NOT NULL THEN CASE WHEN elapsed <= 3 + 1e-10 THEN 1.0 ELSE 0.0 END END AS early, {", ".join(f"{_FLAG(*v)} AS {k}" for k, v in summary.FILLS.items())} FROM oo JOIN pa USING (Contract, trade_date, nominal_second) WHERE reason = 'ok'),
+    z2 AS (SELECT *, 1.0 - {" - ".join(summary.FILLS)} AS other FROM z),
+    z3 AS (SELECT z2.*, scope, side FROM z2, (VALUES ('first_minute', 60), ('first_hour', 3600)) a(scope, upto), (VALUES ('both', 0), ('buy', 1), ('sell', -1)) b(side, dir) WHERE nominal_second >= 0 AND nominal_second < upto AND (dir = 0 OR direction = dir)),
+    dy AS (SELECT scope, side, trade_date, strategy, {", ".join(f"avg({m}) AS {m}" for m in _MEASURES)}, count(*) AS orders FROM z3 GROUP BY 1, 2, 3, 4),
+    rf AS (SELECT dy.*, a.cost AS c1, b.cost AS c2 FROM dy LEFT JOIN dy a ON a.scope = dy.scope AND a.side = dy.side AND a.trade_date = dy.trade_date AND a.strategy = 'M' LEFT JOIN dy b ON b.scope = dy.scope AND b.side = dy.side AND b.trade_date = dy.trade_date AND b.strategy = 'legacy_3s')
+    SELECT scope, side, strategy, count(*) AS days, CAST(sum(orders) AS BIGINT) AS orders, {", ".join(f"{R(f'avg({m})')} AS {m}" for m in _MEASURES)}, {R('avg(c1 - cost)')} AS "saving_on_M", count(*) FILTER (WHERE c1 - cost > 1e-12) AS "better_days_than_M", {R('avg(c2 - cost)')} AS saving_on_legacy_3s, count(*) FILTER (WHERE c2 - cost > 1e-12) AS better_days_than_legacy_3s,
+        CAST(sum(orders) / CASE WHEN side = 'both' THEN 2 ELSE 1 END AS BIGINT) AS tasks FROM rf GROUP BY 1, 2, 3""")
+def order_summary(spark, d):
+    """Cost, fills, early fills and savings of the main strategies on paired tasks, by scope and side."""
+    return out(summary.order_summary(orders(spark, d).where(F.col("strategy").isin(*MAIN)), TASK, MAIN, ("M", "legacy_3s"), _HOUR))
