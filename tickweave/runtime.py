@@ -29,12 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the shared folder: for small tables inside loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
@@ -47,6 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, for tables inside loops: a written table, as a checkpoint hands on constraints, which multiply from round to round."""
+    return stored(df, "cut")
+
+
 @atexit.register
 def release(keep: int = 0) -> None:
     """Drop the stored tables but the first ``keep`` of them: for callers that run many queries, once the results have been read."""
