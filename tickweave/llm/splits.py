@@ -32,7 +32,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Borůvka: in each round every component takes its least edge to another one (edges have a total order: hash, then ends), the chosen edges
     join the forest, components contract along them, and parallel edges keep the least. The number of components with edges at least
     halves each round. Of two components that chose the same edge the smaller name is the root; pointer jumping takes the others there.
-    Rounds are cut by checkpoints, the forest and the members are stored tables. Null ends, loops and repeated edges are ignored.
+    Rounds are cut by written tables, as are the forest and the members. Null ends, loops and repeated edges are ignored.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = cut(e.withColumn("w", F.struct(F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"), F.col("b").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y"), "w"))
