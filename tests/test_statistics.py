@@ -132,6 +132,35 @@ def test_sign_flips_query_uses_every_date(spark, tmp_path, monkeypatch):
     assert r.strategy == other and r.p == pytest.approx(st.sign_flip([cost["M", d] - cost[other, d] for d in range(20)]))
 
 
+def test_sign_flip_of_more_than_forty_days():
+    g = np.random.default_rng(6)
+    assert st.sign_flip_days(np.ones(60)) == 2 / 2**60
+    assert st.sign_flip_days([0.1] * 40 + [-0.1] * 21) == pytest.approx(2 * sum(math.comb(61, k) for k in range(40, 62)) / 2**61, rel=1e-12)
+    whole, count = g.integers(-1000, 1300, 100), {0: 1}
+    for v in whole.tolist():
+        new = {}
+        for s, n in count.items():
+            for t in (s + v, s - v):
+                new[t] = new.get(t, 0) + n
+        count = new
+    exact = sum(n for s, n in count.items() if abs(s) >= abs(int(whole.sum()))) / 2**100
+    assert st.sign_flip_days(whole / 7.0) == pytest.approx(exact, rel=1e-11)
+    assert st.sign_flip_days(whole / 7.0, most=1000) == pytest.approx(exact, rel=1e-3)  # a tie is shared out by the grid
+    v = g.normal(0.3, 1, 40)  # days of no size do not matter: the grid against the halves
+    assert st.sign_flip_days([*v, 0.0], most=1000) == pytest.approx(st.sign_flip(v), rel=1e-6)
+
+
+def test_sign_flips_query_takes_a_year(spark, tmp_path, monkeypatch):
+    from tickweave.plans import research
+
+    other = next(s for s in research.MAIN if s != "M")
+    orders = spark.createDataFrame([(f"2026-{d // 28 + 1:02d}-{d % 28 + 1:02d}", s, float(s == "M" and d % 3 > 0) - float(s == "M" and d % 3 == 0)) for d in range(250) for s in ("M", other)], "trade_date string, strategy string, cost double")
+    monkeypatch.setattr(research, "orders", lambda spark, d: orders)
+    (r,) = research.sign_flips(spark, str(tmp_path)).collect()
+    up = sum(d % 3 > 0 for d in range(250))
+    assert r.p == pytest.approx(2 * sum(math.comb(250, k) for k in range(up, 251)) / 2**250, rel=1e-10)
+
+
 def test_cube_equals_the_long_form(spark):
     g = np.random.default_rng(9)
     data, long = [], []

@@ -57,7 +57,7 @@ def sign_flips(spark: SparkSession, d: str) -> DataFrame:
     x = daily.where("strategy <> 'M'").join(m, "trade_date").where("m - cost is not null")
     lists = x.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("trade_date", (F.col("m") - F.col("cost")).alias("v")))).alias("v")).collect()
     values = [(r["strategy"], [v["v"] for v in r["v"]]) for r in lists]
-    rows = [(k, st.sign_flip(v), st.block_flip(v)) for k, v in values]
+    rows = [(k, st.sign_flip_days(v), st.block_flip(v)) for k, v in values]
     return st.holm(spark.createDataFrame(rows, "strategy string, p double, block_p double"), "p")  # not rounded: the least p is 2 of 2^dates
 
 
