@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.operators import statistics as st
-from tickweave.operators.asof import asof, following, interval_rows
+from tickweave.operators.asof import asof, following, interval_rows, interval_spread
 from tickweave.operators.labels import Schedule, labels, origins, schedule
 from tickweave.operators.lens import quotes
 from tests.data import frames, snap
@@ -30,6 +30,25 @@ def test_asof_by_brute_force(spark):
     assert asof(p, d.limit(0), ["k"], ["id"], prefix="s_").where("s_id is null").count() == 120
 
 
+def test_interval_spread_by_brute_force(spark):
+    r = random.Random(8)
+    rows = [(r.choice("ab"), r.randrange(60), r.choice([None, 1.0, 2.0, 5.0])) for _ in range(60)]
+    points = [(r.choice("abc"), r.randrange(-5, 70), i) for i in range(100)]
+    d, p = spark.createDataFrame(rows, "k string, t long, v double"), spark.createDataFrame(points, "k string, t long, pid long")
+    got = {x.pid: (x.rows, x.most, x.least) for x in interval_spread(p, d, ["k"], "v", 7).collect()}
+    near = {i: [v for g, a, v in rows if g == k and t <= a <= t + 7] for k, t, i in points}
+    assert got == {i: (len(v), *(f((x for x in v if x is not None), default=None) for f in (max, min))) for i, v in near.items() if v}
+
+
+def test_interval_queries_send_no_exploded_tasks(spark):
+    from tickweave.plans import labels as plans
+    from tests.oracle import SF
+
+    # the driver must not collect what was exploded from a small table
+    plan = plans.interval_counts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [part for part in plan.split("BroadcastExchange")[1:] if "Generate" in part.split("Exchange")[0]]
+
+
 def test_following(spark):
     d = spark.createDataFrame([("a", 10 * i, i + 1) for i in range(5)], "k string, t long, rn long")
     p = spark.createDataFrame([("a", -1), ("a", 0), ("a", 5), ("a", 35), ("b", 1)], "k string, t long")

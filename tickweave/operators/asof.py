@@ -43,3 +43,18 @@ def interval_rows(spans: DataFrame, rows: DataFrame, keys: Sequence[str], *, lo:
     s = spans.where(f"{lo} <= {hi}").withColumn("_bucket", F.explode(each))
     r = rows.withColumn("_bucket", F.floor(F.col(at) / bucket))
     return s.join(r, [*keys, "_bucket"]).where(f"{at} between {lo} and {hi}").drop("_bucket")
+
+
+def interval_spread(points: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, ahead: int, *, at: str = "t") -> DataFrame:
+    """``points`` with ``rows``, ``most`` and ``least`` of ``value`` over the rows with ``at`` from the point's to ``ahead`` later; those without any are left out.
+
+    Points at one time are one row beside the rows, and a range window looks ahead: one shuffle on ``keys``, no pair is formed and nothing sent
+    to every task. (A table of exploded points is planned by the size of what it was exploded from, which a join takes for small.)
+    """
+    keys = list(keys)
+    p = points.groupBy(*keys, F.col(at).alias("_at")).agg(F.collect_list(F.struct(*(c for c in points.columns if c not in keys))).alias("_points"))
+    both = rows.select(*keys, F.col(at).alias("_at"), F.col(value).alias("_v"), F.lit(1).alias("_row")).unionByName(p, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(0, ahead)
+    x = both.select(*keys, "_points", F.count("_row").over(w).alias("rows"), F.max("_v").over(w).alias("most"), F.min("_v").over(w).alias("least"))
+    x = x.where("_points is not null and rows > 0").withColumn("_point", F.explode("_points"))
+    return x.select(*(c if c in keys else f"_point.{c}" for c in points.columns), "rows", "most", "least")

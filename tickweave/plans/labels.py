@@ -64,10 +64,10 @@ def nth_future(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
 
 
 def interval_counts(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
-    """Rows and traded volume within 3 s after each task, by range join."""
-    spans = tasks(spark, d, plan).select(*KEYS, "task", "observation", F.col("t").alias("lo"), (F.col("t") + 3_000_000).alias("hi"))
-    x = joins.interval_rows(spans, rows(spark, d).select(*KEYS, "t", "v"), KEYS, lo="lo", hi="hi")
-    return x.groupBy(*KEYS, "task", "observation").agg(F.count("*").alias("rows"), (F.max("v") - F.min("v")).alias("volume"))
+    """Rows and traded volume within 3 s after each task, by a range window."""
+    x = joins.interval_spread(tasks(spark, d, plan), rows(spark, d), KEYS, "v", 3_000_000)
+    # what has the same keys counts together
+    return x.groupBy(*KEYS, "task", "observation").agg(F.sum("rows").alias("rows"), (F.max("most") - F.min("least")).alias("volume"))
 
 
 def task_origins(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
