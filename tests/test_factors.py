@@ -145,3 +145,18 @@ def test_repeats_and_empty(spark):
     assert twice.where("t = 2000000 and valid_price").count() == 0 and twice.where("t = 2000000").count() == 2
     empty = quotes(*(x.limit(0) for x in frames(spark, raw)))
     assert factors.row_factors(empty).count() == 0 and factors.opening_factors(empty).count() == 0
+
+
+def test_bounded_factors_do_not_depend_on_parts_and_send_no_tasks(spark):
+    from tickweave.operators import derived
+    from tickweave.plans.features import rows
+    from tickweave.plans.labels import tasks
+    from tests.oracle import SF
+
+    q, t = rows(spark, SF), tasks(spark, SF)
+    get = lambda most: {tuple(r[:4]): tuple(r[4:]) for r in derived.bounded_factors(q, t, most=most).collect()}
+    whole = derived.bounded_factors(q, t)
+    assert whole.count() > 1000 and get(100_000) == get(30) == get(7)
+    # the driver must not collect what was exploded from a small table
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert not [part for part in plan.split("BroadcastExchange")[1:] if "Generate" in part.split("Exchange")[0]]

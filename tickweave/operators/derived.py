@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.catalog import ROW, WINDOWED
 from tickweave.operators import factors
-from tickweave.operators.asof import interval_rows
 from tickweave.operators.labels import AGE
-from tickweave.operators.lens import GROUPS, JOINT, KEYS
+from tickweave.operators.lens import KEYS, ORDER
+from tickweave.runtime import map_parts, same_key
 
 #: name -> (inputs, formula over them); {h} is the history in seconds. A value needs all inputs.
 VARIANTS = {
@@ -83,29 +84,85 @@ BOUNDED = ["A03_QIMean", "A04_QIDeviation", "A02_DepthLogRatio", "A06_PositionDe
 CROSS = {"X_OFI_Volume": ("F03_OFI_latest", "D01_LogVolumeRate"), "X_Position_Volume": ("F07_QuotePosition", "D01_LogVolumeRate"), "X_OFI_Spread": ("F03_OFI_latest", "A01_Spread"), "X_Pressure_Path": ("A07_OFIDirection", "F06_PathEfficiency"), "X_QI_Volume": ("A03_QIMean", "D01_LogVolumeRate"), "X_Position_RV": ("F07_QuotePosition", "C01_PriceRV")}
 
 
-def bounded_factors(q: DataFrame, tasks: DataFrame, window: int = 3) -> DataFrame:
+def bounded_factors(q: DataFrame, tasks: DataFrame, window: int = 3, most: int = 100_000) -> DataFrame:
     """(keys, task, rows, source_age, factors) from the rows in [task, task + window] alone: 25 factors and 6 products.
 
     No step may cross the task's start, so that the first cumulative volume is no increment. The source is the last row, at most half a
     second old at the end; tasks without one have no factors. Windows must span 80 % of the task's.
     """
+    import numpy as np
+    import pyarrow as pa
+
     us = window * 1_000_000
-    spans = tasks.select(*KEYS, "task", F.col("task").alias("lo"), (F.col("task") + us).alias("hi")).distinct()
-    b = interval_rows(spans, q, KEYS, lo="lo", hi="hi")
-    inside = F.coalesce(F.col("l_t") >= F.col("lo"), F.lit(False))
-    b = b.withColumns({f"edge_{g}": F.col(f"edge_{g}") & inside for g in (*GROUPS, *JOINT)})
-    # Each task's rows stand as a session of their own, so that every window stays within them.
-    b = b.withColumn("_session", F.col("session")).withColumn("session", F.concat_ws("#", "session", F.col("task").cast("string")))
-    by_name = {f"{f}_{s}": (g, WINDOWED[g, f, s][0], window) for g, f, s in WINDOWED if f"{f}_{s}" in BOUNDED}
-    by_name |= {"F03_OFI_window": ("ofi", "{sum:ofi}", window), "D01_LogVolumeRate": ("volume", "ln(1 + {sum:dv} / nullif({cov}, 0))", window)}
-    x = factors.add_formulas(b, by_name)
+    forms = {f"{f}_{s}": (g, WINDOWED[g, f, s][0]) for g, f, s in WINDOWED if f"{f}_{s}" in BOUNDED}
+    forms |= {"F03_OFI_window": ("ofi", "{sum:ofi}"), "D01_LogVolumeRate": ("volume", "ln(1 + {sum:dv} / nullif({cov}, 0))")}
+    place: dict[tuple, str] = {}
+    cols = {}
+    for n, (g, formula) in forms.items():
+        cov = place.setdefault(("cov", None, g), f"_w{len(place)}")
+        text = factors.PRIMITIVE.sub(lambda m: place.setdefault((m[1], m[2], g), f"_w{len(place)}"), formula)  # noqa: B023
+        cols[n] = F.expr(f"CASE WHEN valid_{g} AND {cov} > 0 AND {cov} >= {0.8 * window} THEN {text} END")
+    if any(op not in ("cov", "first", "sum") for op, _, _ in place):
+        raise ValueError("formulas of bounded factors are made of cov, first and sum")
+    groups = list(dict.fromkeys(g for _, _, g in place))
+    # Values of single rows: of those of a step, only if it starts within the task.
     single = {"F03_OFI_latest": ("edge_ofi", "ofi"), "F04_QuoteShift": ("edge_book", "(a - l_a + b - l_b) / 2"), "F07_QuotePosition": ("valid_position", "position"), "F01_QI": ("valid_queue", "qi"), "A02_LogDepth": ("valid_queue", "ln(1 + depth)"), "F02_QIChange": ("edge_queue", "qi - l_qi"), "A01_Spread": ("valid_book", "spread")}
-    x = x.withColumns({n: F.expr(f"CASE WHEN {ok} THEN {e} END") for n, (ok, e) in single.items()})
-    w = Window.partitionBy(*KEYS)
-    x = x.withColumn("rows", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.col("rn").desc()))).where("_k = 1")
-    fresh = F.col("hi") - F.col("t") <= AGE
-    names = [*single, *by_name]
-    x = x.select("Contract", "trade_date", F.col("_session").alias("session"), "task", "rows", F.when(fresh, (F.col("hi") - F.col("t")) / 1e6).alias("source_age"), *(F.when(fresh, F.col(n)).alias(n) for n in names))
+    plain = {"p": "double", "qi": "double", "depth": "double", "position": "double", **{f"valid_{g}": "boolean" for g in groups}, **{n: "double" for n in single}}
+    values = {a: F.coalesce(F.expr(f"CAST({x} AS DOUBLE)"), F.lit(0.0)) if op == "sum" else F.expr(x) for (op, x, _), a in place.items() if op != "cov"}
+
+    # A session's tasks come with its first row: nothing but narrow lists is shuffled a second time.
+    listed = tasks.groupBy(*KEYS).agg(F.sort_array(F.collect_set("task")).alias("_tasks")).hint("merge")
+    b = q.withColumns({n: F.expr(f"CASE WHEN {ok} THEN {e} END") for n, (ok, e) in single.items()})
+    b = b.select(*KEYS, *ORDER, "rn", "l_t", *(f"seg_{g}" for g in groups), *plain, *(c.cast("double").alias(a) for a, c in values.items())).join(listed, list(KEYS))
+    b = b.withColumn("_tasks", F.when(F.col("rn") == 1, F.col("_tasks")))
+
+    def part(table: pa.Table, more: bool, state: dict) -> tuple[pa.Table | None, int]:
+        number = lambda c: table.column(c).to_numpy()
+        n, t = table.num_rows, number("t")
+        new = ~same_key(table, KEYS)
+        clock = (np.cumsum(new) << 44) + t  # sessions one after the other
+        own = table.column("_tasks").combine_chunks()
+        starts = own.flatten().to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(own), 0).to_numpy()
+        at = (np.repeat(np.cumsum(new), lengths) << 44) + starts
+        if "left" in state:  # the first session goes on
+            at = np.concatenate([(np.int64(1) << 44) + state.pop("left"), at[at >= np.int64(2) << 44]])
+        first = n
+        if more:  # one session: tasks whose rows aren't all here wait, with the rows from the first of them on
+            done = int(np.searchsorted(at, clock[-1] - us))
+            state["left"] = at[done:] - (np.int64(1) << 44)
+            first = int(np.searchsorted(clock, at[done])) if done < len(at) else n - 1
+            at = at[:done]
+        lo, last = np.searchsorted(clock, at), np.searchsorted(clock, at + us, side="right") - 1
+        some = last >= lo
+        at, lo, last = at[some], lo[some], last[some]
+        if not len(at):
+            return None, first
+        took = table.take(pa.array(last))
+        out = {k: took.column(k) for k in KEYS} | {"task": at & ((1 << 44) - 1), "rows": last - lo + 1, "t": took.column("t"), "l_t": took.column("l_t")} | {c: took.column(c) for c in plain}
+        begin = {}
+        for g in groups:
+            seg = number(f"seg_{g}")
+            starts_here = new.copy()
+            starts_here[1:] |= seg[1:] != seg[:-1]
+            begin[g] = np.maximum(lo, np.maximum.accumulate(np.where(starts_here, np.arange(n), 0))[last])
+        for (op, _, g), a in place.items():
+            if op == "cov":
+                out[a] = (t[last] - t[begin[g]]) / 1e6
+            elif op == "first":
+                out[a] = table.column(a).take(pa.array(begin[g]))
+            else:  # each task's own steps are added up; no running sum is taken off another
+                x, ends = np.append(number(a), 0.0), np.stack([begin[g] + 1, last + 1], axis=1)
+                out[a] = np.where(begin[g] < last, np.add.reduceat(x, ends.ravel())[::2], 0.0)
+        return pa.table(out), first
+
+    schema = ", ".join([*(f"{k} string" for k in KEYS), "task bigint, rows bigint, t bigint, l_t bigint", *(f"{c} {kind}" for c, kind in plain.items()), *(f"{a} double" for a in place.values())])
+    x = map_parts(b, KEYS, ORDER, part, schema, most=most, placed=True)
+    inside = F.coalesce(F.col("l_t") >= F.col("task"), F.lit(False))
+    x = x.withColumns({n: F.when(inside, F.col(n)) for n, (ok, _) in single.items() if ok.startswith("edge")}).withColumns(cols)
+    late = F.col("task") + us - F.col("t")
+    fresh = late <= AGE
+    x = x.select(*KEYS, "task", "rows", F.when(fresh, late / 1e6).alias("source_age"), *(F.when(fresh, F.col(n)).alias(n) for n in (*single, *forms)))
     return x.withColumns({n: F.col(a) * F.col(c) for n, (a, c) in CROSS.items()})
 
 
