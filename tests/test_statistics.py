@@ -240,3 +240,24 @@ def test_flips_of_stretches():
     parts = [sum(v[:3]), sum(v[3:5]), sum(v[5:7]), sum(v[7:])]
     want = sum(abs(sum(s * p for s, p in zip(signs, parts))) >= abs(sum(parts)) - 1e-12 for signs in itertools.product((1, -1), repeat=4)) / 16
     assert st.block_flip(v) == want and st.block_flip([1.0]) == 1.0
+
+
+def test_label_totals_equal_the_labels_and_do_not_depend_on_parts(spark):
+    from tickweave.operators.labels import label_totals
+    from tickweave.plans.features import rows
+    from tickweave.plans.labels import tasks
+    from tests.oracle import SF
+
+    t, q = tasks(spark, SF), rows(spark, SF)
+    some = q.select("Contract", "trade_date", "session").distinct().orderBy("Contract", "trade_date", "session").limit(6)
+    lone = spark.createDataFrame([("nothing", "2026-01-05", "0930", 12_000_000, 1_000_000, 13_000_000)], "Contract string, trade_date string, session string, task bigint, observation bigint, t bigint")
+    t, q = t.join(some, some.columns).select(*lone.columns).unionByName(lone).cache(), q.join(some, some.columns).cache()
+    by = ["Contract", "trade_date", "session", "observation", "anchor", "horizon", "status", "incremental_status"]
+    totals = [F.count("*").alias("labels"), *(f(c).alias(f"{c}_{n}") for c in ("y", "y_incremental") for n, f in (("sum", F.sum), ("least", F.min), ("most", F.max))), F.sum(F.abs("y")).alias("y_size"), F.avg("late").alias("late")]
+    near = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    want = {tuple(r[:8]): near(r[8:]) for r in labels(t, q, (1, 2, 5)).groupBy(*by).agg(*totals).collect()}
+    for most in (50_000, 40):
+        got = label_totals(t, q, (1, 2, 5), most)
+        found = got.select(*by, *(c for c in got.columns if c not in by)).collect()
+        assert len(found) == len(want) and {tuple(r[:8]): near(r[8:]) for r in found} == want
+    assert any(k[0] == "nothing" for k in want)

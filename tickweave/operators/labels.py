@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators.asof import asof
 from tickweave.operators.lens import KEYS, ORDER
+from tickweave.runtime import map_parts, same_key
 
 AGE = 500_000
 
@@ -113,3 +116,116 @@ def labels(tasks: DataFrame | None, q: DataFrame, horizons: Sequence[int] = (1,
     more = [c for c in x.columns if c not in ("decision", "arrival")]
     both = F.explode(F.array(*(F.struct(F.lit(a).alias("anchor"), F.col(a).alias("each")) for a in ("decision", "arrival"))))
     return x.select(*more, both.alias("x")).select(*more, "x.anchor", F.explode("x.each").alias("e")).select(*more, "anchor", "e.horizon", "e.y", "e.status", "e.late", "e.y_incremental", "e.incremental_status")
+
+
+#: What a label and its increment can be together.
+STATES = (("INVALID_ORIGIN",) * 2, ("NO_FUTURE",) * 2, ("LATE_FUTURE",) * 2, ("GAPPED_OR_INVALID_FUTURE",) * 2, ("ok", "ok"), ("ok", "INVALID_PREVIOUS_ENDPOINT"))
+TOTALS = {"labels": "sum", **{f"{c}_{n}": f for c in ("y", "y_incremental") for n, f in (("sum", "sum"), ("least", "min"), ("most", "max"))}, "y_size": "sum", "late_sum": "sum", "late_count": "sum"}
+
+
+def label_totals(tasks: DataFrame, q: DataFrame, horizons: Sequence[int], most: int = 50_000) -> DataFrame:
+    """(keys, observation, anchor, horizon, status, incremental_status, totals) of the labels that ``labels`` gives: their number, sum, least, most, size and mean lateness.
+
+    No label leaves the pass over its session's rows: the session's cases come with its first row, ends are looked up once for each start, and
+    only totals are given out. A session of over ``most`` rows comes in parts, whose totals are held until it ends.
+    """
+    import numpy as np
+
+    ahead = np.array(sorted(int(u) for u in horizons), np.int64)
+    listed = tasks.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("t", "observation"))).alias("_cases")).hint("merge")
+    rows = q.select(*KEYS, *ORDER, "rn", "p", "seg_price", "valid_price").join(listed, list(KEYS), "full").where("_cases is not null")
+    # A session without rows has one that is out of reach.
+    rows = rows.withColumns({"_cases": F.when(F.coalesce("rn", F.lit(1)) == 1, F.col("_cases")), "t": F.coalesce("t", F.lit(1 << 43)), "valid_price": F.coalesce("valid_price", F.lit(False)), "seg_price": F.coalesce("seg_price", F.lit(-1))})
+    by = [*KEYS, "observation", "anchor", "horizon", "status", "incremental_status"]
+
+    def totals(table: pa.Table, first: np.ndarray, case: np.ndarray, at: np.ndarray, unit: np.ndarray) -> list[pa.Table]:
+        """Of some cases, in order of session and observation: ``unit`` is the number of the session from 1, ``at`` the clock."""
+        number = lambda c: table.column(c).to_numpy()
+        n, t, p, seg, valid = table.num_rows, number("clock"), number("p"), number("seg_price"), number("valid_price")
+        sound = np.where(valid, seg, -2)
+        bounds = np.append(np.flatnonzero(first), n)
+        begin, end = bounds[unit - 1], bounds[unit]
+        s = np.searchsorted(t, at, side="right") - 1
+        has = s >= begin
+        arrival = np.where(has, s + 2, begin + 1)
+        there = arrival < end
+        s, arrival = np.where(has, s, 0), np.where(there, arrival, 0)
+        usable = has & (at - t[s] <= AGE) & valid[s]
+        starts = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (case[1:] != case[:-1])))
+        out = []
+        for anchor, good, start, row in (("decision", usable, at, s), ("arrival", usable & there & valid[arrival] & (seg[arrival] == seg[s]), t[arrival], arrival)):
+            different, place = np.unique(start, return_inverse=True)
+            e = np.searchsorted(t, different[:, None] + ahead * SECOND)[place]
+            future = e < end[:, None]
+            e = np.where(future, e, 0)
+            late = t[e] - start[:, None] - ahead * SECOND
+            state = np.full(e.shape, 4, np.int8)
+            state[sound[e] != seg[row][:, None]] = 3
+            state[late > AGE] = 2
+            state[~future] = 1
+            state[~good] = 0
+            ok = state == 4
+            y = np.where(ok, p[e] - p[row][:, None], 0.0)
+            step = y.copy()
+            step[:, 1:] -= y[:, :-1]
+            state[:, 1:][ok[:, 1:] & ~ok[:, :-1]] = 5
+            for k, (status, incremental) in enumerate(STATES):
+                here = state == k
+                if not here.any():
+                    continue
+                count = np.add.reduceat(here, starts, axis=0, dtype=np.int64)
+                i, j = np.nonzero(count)
+                summed = lambda v: np.add.reduceat(np.where(here, v, 0), starts, axis=0)[i, j]  # noqa: B023, E731
+                edge = lambda f, v, none: f.reduceat(np.where(here, v, none), starts, axis=0)[i, j]  # noqa: B023, E731
+                none = pa.nulls(len(i), pa.float64())
+                cells = {"labels": count[i, j]}
+                for c, v, known_here in (("y", y, k >= 4), ("y_incremental", step, k == 4)):
+                    cells |= {f"{c}_sum": summed(v), f"{c}_least": edge(np.minimum, v, np.inf), f"{c}_most": edge(np.maximum, v, -np.inf)} if known_here else {f"{c}_{m}": none for m in ("sum", "least", "most")}
+                none_late = np.zeros(len(i), np.int64)
+                cells |= {"y_size": summed(np.abs(y)) if k >= 4 else none, "late_sum": summed(late) if k >= 2 else none_late, "late_count": count[i, j] if k >= 2 else none_late}
+                keys = table.select(list(KEYS)).take(pa.array(begin[starts][i]))
+                name = lambda v: pa.repeat(v, len(i))  # noqa: B023, E731
+                out.append(pa.table({**{c: keys.column(c) for c in KEYS}, "observation": case[starts][i], "anchor": name(anchor), "horizon": ahead[j].astype(np.int32), "status": name(status), "incremental_status": name(incremental), **cells}))
+        return out
+
+    def part(table: pa.Table, more: bool, state: dict) -> tuple[pa.Table | None, int]:
+        first = ~same_key(table, KEYS)
+        session = np.cumsum(first)
+        t = (session << 44) + table.column("t").to_numpy()
+        own = table.column("_cases").combine_chunks()
+        each, unit = own.flatten(), np.repeat(session, pc.fill_null(pc.list_value_length(own), 0).to_numpy())
+        at, case = each.field("t").to_numpy() + (unit << 44), each.field("observation").to_numpy()
+        if "left" in state:  # the first session goes on
+            (left, left_case), later = state.pop("left"), unit > 1
+            at, case, unit = np.concatenate([left + (np.int64(1) << 44), at[later]]), np.concatenate([left_case, case[later]]), np.concatenate([np.ones(len(left), np.int64), unit[later]])
+        again = table.num_rows
+        if more:  # one session: cases whose last end isn't here yet wait, with the rows from their source on
+            s = np.searchsorted(t, at, side="right") - 1
+            ready = (s + 2 < len(t)) & (np.maximum(at, t[np.minimum(s + 2, len(t) - 1)]) + ahead[-1] * SECOND <= t[-1])
+            done = len(at) if ready.all() else int(np.argmin(ready))
+            state["left"] = at[done:] - (np.int64(1) << 44), case[done:]
+            again = max(0, int(s[done])) if done < len(at) else len(t) - 1
+            at, case, unit = at[:done], case[:done], unit[:done]
+        out = state.pop("held", [])
+        order, apart = np.lexsort((case, unit)), bool(out)
+        x, k, ends = table.append_column("clock", pa.array(t)), 0, np.append(np.flatnonzero(np.diff(unit)) + 1, len(unit))
+        while k < len(order):  # some 20,000 cases at a time, whole sessions if they are no longer
+            whole = ends[max(0, int(np.searchsorted(ends, k + 20_000, side="right")) - 1)]
+            apart |= bool(whole <= k)
+            upto = int(whole) if whole > k else k + 20_000
+            here = order[k:upto]
+            out += totals(x, first, case[here], at[here], unit[here])
+            k = upto
+        if not out:
+            return None, again
+        whole = pa.concat_tables(out)
+        if more or apart:
+            whole = whole.group_by(by).aggregate([(c, f) for c, f in TOTALS.items()]).rename_columns([*by, *TOTALS])
+        if more:
+            state["held"], whole = [whole], None
+        return whole, again
+
+    kinds = {"labels": "bigint", "late_sum": "bigint", "late_count": "bigint"}
+    schema = ", ".join([*(f"{k} string" for k in KEYS), "observation bigint, anchor string, horizon int, status string, incremental_status string", *(f"{c} {kinds.get(c, 'double')}" for c in TOTALS)])
+    x = map_parts(rows, KEYS, ORDER, part, schema, most=most, placed=True)
+    return x.withColumn("late", F.try_divide(F.col("late_sum") / 1e6, F.col("late_count"))).drop("late_sum", "late_count")

@@ -78,9 +78,7 @@ def task_origins(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFram
 
 def label_grid(spark: SparkSession, d: str, plan: Schedule = PLAN, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Cumulative and incremental labels of both anchors over each horizon, of every task: totals per session, case, anchor, horizon and status."""
-    x = labels.labels(tasks(spark, d, plan), kept(rows(spark, d), "p", "seg_price", "valid_price"), horizons)
-    totals = [F.count("*").alias("labels"), *(f(c).alias(f"{c}_{n}") for c in ("y", "y_incremental") for n, f in (("sum", F.sum), ("least", F.min), ("most", F.max))), F.sum(F.abs("y")).alias("y_size")]
-    x = x.groupBy(*KEYS, "observation", "anchor", "horizon", "status", "incremental_status").agg(*totals, F.avg("late").alias("late"))
+    x = labels.label_totals(tasks(spark, d, plan), rows(spark, d), horizons)
     return x.withColumn("late", F.expr(rounded_sql("late")))
 
 
