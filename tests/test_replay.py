@@ -7,7 +7,7 @@ import pytest
 from tests.data import frames, walk
 from tickweave.operators.labels import Schedule, schedule
 from tickweave.operators.lens import KEYS, quotes
-from tickweave.operators.replay import choose_action, market_orders, orders, replay
+from tickweave.operators.replay import choose_action, market_orders, orders, replay, replay_policies
 
 
 def loop(data, task, side, offset, decisions, early, later=None, initial=True):
@@ -92,6 +92,40 @@ def test_replay_equals_the_event_loop(spark, decisions, early, offsets, initial)
         assert {("limit", "signal"), ("market", "signal")} <= filled
 
 
+@pytest.mark.parametrize("most", [50_000, 40])
+def test_policies_equal_the_event_loop_however_a_session_is_cut(spark, most):
+    policies = {"A": ((), True), "B": ((3,), False), "C": ((3,), True), "C369": ((3, 6, 9), True)}
+    raw = [r for s in range(4) for r in walk(200, seed=40 + s, step=0.45, session=f"09{s}0", first=s * 100_000)]
+    sess = [(s, "A", "2026-01-05", f"09{s}0", raw[0][4].replace(minute=30, second=0, microsecond=0), 80, None) for s in range(5)]  # the last has no rows
+    snaps, sessions, contracts = frames(spark, raw, sess)
+    q = quotes(snaps, sessions, contracts).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = replay_policies(schedule(sessions, Schedule(0.0, 1.0, (0.0, 1.0))), q, policies, most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {"0940": []}
+    for r in q.orderBy("rn").collect():
+        by.setdefault(r.session, []).append(r.asDict())
+    for o in got:
+        decisions, initial = policies[o.policy]
+        want = loop(by[o.session], o.task, o.side, 0, decisions, (), None, initial)
+        if isinstance(want, str):
+            assert (o.status, o.reason, o.stage, o.kind, o.fill_t, o.price, o.cost_bp) == ("invalid", want, *[None] * 5), (o, want)
+        else:
+            assert (o.status, o.reason, o.kind, o.stage, o.price, o.fill_t) == ("filled", None, *want) and o.cost_bp is not None, (o, want)
+    assert len(got) == len({(o.session, o.task, o.side, o.policy) for o in got}) == 5 * 80 * 2 * 4
+    assert {"initial_no_source", "broken_path", "deadline_stale_source"} <= {o.reason for o in got if o.reason}
+
+
+def test_policies_move_their_rows_once(spark):
+    from tests.oracle import SF
+    from tickweave.plans.execution import exec_policies
+
+    plan = exec_policies(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(Contract") <= 3 and plan.count("MapInArrow") == 1
+
+
 def test_orders_and_market(spark):
     snaps, sessions, contracts = frames(spark, walk(100, seed=3))
     q = quotes(snaps, sessions, contracts)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators.asof import asof
-from tickweave.operators.labels import AGE
+from tickweave.operators.labels import AGE, SECOND
 from tickweave.operators.lens import KEYS, ORDER
+from tickweave.runtime import map_parts, same_key
 
 FINAL = 10
 
@@ -141,6 +144,137 @@ def replay(tasks: DataFrame, q: DataFrame, decisions: Sequence[int] = (3,), offs
     return x.select(*KEYS, "task", "side", "offset", "signal_offset", F.when(ok, "filled").otherwise("invalid").alias("status"), "reason", *(F.when(ok, F.col(c)).alias(c) for c in ("stage", "kind", "fill_t")), "price", cost.alias("cost_bp"))
 
 
+#: Why a source is of no use, why an order is invalid, how it ended and as what: text by number, 0 is null.
+WHY = ("no_source", "stale_source", "invalid_source")
+REASONS = (None, *(f"{k}_{w}" for k in ("initial", "signal", "deadline") for w in WHY), "broken_path", "insufficient_arrival_tail")
+STAGES = (None, "initial", "signal", "deadline")
+FILLS = (None, "limit", "market")
+
+
+def replay_policies(tasks: DataFrame, q: DataFrame, policies: Mapping[str, tuple[Sequence[int], bool]], most: int = 50_000) -> DataFrame:
+    """(keys, task, side, status, reason, stage, kind, fill_t, price, cost_bp, policy): ``replay`` at the last price under each of ``policies`` (decisions, initial).
+
+    One sorted pass over the rows answers them all: a session's tasks come with its first row, sources are looked up once for each clock, and the
+    first row that reaches a limit is found in minima over stretches of 1, 2, 4, ... rows, whatever the number of rows. A session of over ``most``
+    rows comes in parts; tasks whose last arrival isn't here yet wait for the next one.
+    """
+    import numpy as np
+
+    marks = sorted({0, FINAL, *(int(s) for decisions, _ in policies.values() for s in decisions)})
+    if marks[-1] != FINAL or any(list(decisions) != sorted({*decisions} - {0, FINAL}) for decisions, _ in policies.values()):
+        raise ValueError("decisions come before the end, in order of time")
+    listed = tasks.groupBy(*KEYS).agg(F.sort_array(F.collect_set("task")).alias("_tasks")).hint("merge")
+    legal = (_good() & F.col("step") & F.col("edge_volume")).alias("legal")
+    rows = q.select(*KEYS, "t", "rn", "p", "a", "b", reached(1).alias("buy"), reached(-1).alias("sell"), "qstate", _good().alias("good"), legal)
+    rows = rows.join(listed, list(KEYS), "full").where("_tasks is not null")
+    # A session without rows has one that is out of reach.
+    rows = rows.withColumns({"_tasks": F.when(F.coalesce("rn", F.lit(1)) == 1, F.col("_tasks")), "t": F.coalesce("t", F.lit(1 << 43)), "good": F.coalesce("good", F.lit(False)), "legal": F.coalesce("legal", F.lit(False))})
+    none, never = (1 << 62) + 1, 1 << 62
+
+    def part(table: pa.Table, more: bool, state: dict) -> tuple[pa.Table | None, int]:
+        first, n = ~same_key(table, KEYS), table.num_rows
+        session = np.cumsum(first)
+        number = lambda c: table.column(c).to_numpy()
+        raw, p, good, qstate = number("t"), number("p").astype(float), number("good"), number("qstate").astype(float)
+        t, bounds = (session << 44) + raw, np.append(np.flatnonzero(first), n)
+        own = table.column("_tasks").combine_chunks()
+        unit = np.repeat(session, pc.fill_null(pc.list_value_length(own), 0).to_numpy())
+        at = own.flatten().to_numpy() + (unit << 44)
+        if "left" in state:  # the first session goes on
+            left, later = state.pop("left"), unit > 1
+            at, unit = np.concatenate([left + (np.int64(1) << 44), at[later]]), np.concatenate([np.ones(len(left), np.int64), unit[later]])
+        again = n
+        if more:  # one session
+            ready = np.searchsorted(t, at + FINAL * SECOND, side="right") + 1 < n
+            done = len(at) if ready.all() else int(np.argmin(ready))
+            state["left"] = at[done:] - (np.int64(1) << 44)
+            again = max(0, int(np.searchsorted(t, at[done], side="right")) - 1) if done < len(at) else n - 1
+            at, unit = at[:done], unit[:done]
+        bad = np.append(np.where(number("legal"), n, np.arange(n)), n)
+        bad = np.minimum.accumulate(bad[::-1])[::-1]  # the next row that is not legal, itself included
+        least = {}
+        for side, c in ((1, "buy"), (-1, "sell")):
+            v = number(c).astype(float)
+            least[side] = [np.append(np.where(np.isnan(v), np.inf, v), np.inf)]
+        quote = {1: number("a").astype(float), -1: number("b").astype(float)}
+
+        def reach(side: int, start: np.ndarray, wanted: np.ndarray, levels: int) -> np.ndarray:
+            """The first row from ``start`` on that brings ``wanted`` within reach, if it is less than 2 ** levels rows away."""
+            low, i = least[side], np.minimum(start, n)
+            while len(low) < levels:
+                low.append(np.minimum(low[-1], low[-1][np.minimum(np.arange(n + 1) + (1 << len(low) - 1), n)]))
+            for k in range(levels - 1, -1, -1):
+                i = np.where(low[k][i] <= wanted, i, np.minimum(i + (1 << k), n))
+            return i
+
+        def orders_of(at: np.ndarray, unit: np.ndarray) -> pa.Table:
+            begin, end, task = bounds[unit - 1], bounds[unit], at - (unit << 44)
+            source, why, arrive = {}, {}, {}
+            for m in marks:
+                s = np.searchsorted(t, at + m * SECOND, side="right") - 1
+                lost = s < begin
+                arrive[m], s = np.where(lost, begin + 1, s + 2), np.where(lost, begin, s)
+                source[m], why[m] = s, np.where(lost, 1, np.where(at + m * SECOND - t[s] > AGE, 2, np.where(good[s], 0, 3)))
+            there = {m: arrive[m] < end for m in marks}
+            last = np.where(there[FINAL], arrive[FINAL], end - 1)
+            row = {m: np.where(there[m], arrive[m], 0) for m in marks}
+            limit, levels = {m: p[source[m]] for m in marks}, int(max(0, (last - arrive[0]).max() + 1)).bit_length()
+            broken = bad[source[0] + 1]
+            broken = np.where(broken <= last, raw[np.minimum(broken, n - 1)] * 2, none)
+            cells: dict[str, list] = {c: [] for c in ("side", "reason", "stage", "kind", "fill_t", "price", "policy")}
+            for side in (1, -1):
+                hits = {m: reach(side, arrive[m], side * limit[m], levels) for m in marks[:-1]}
+                against = {m: side * qstate[source[m]] > 0 for m in marks}
+                for k, (decisions, initial) in enumerate(policies.values()):
+                    mine = [0, *decisions, FINAL]
+                    open_, fill, price = np.ones(len(at), bool), np.full(len(at), -1), np.full(len(at), np.nan)
+                    stage, kind, name = np.zeros(len(at), np.int8), np.zeros(len(at), np.int8), np.ones(len(at), np.int8)
+
+                    def ends(where: np.ndarray, rows_: np.ndarray, how: int, as_: np.ndarray | int, level: np.ndarray) -> None:
+                        here = open_ & where  # noqa: B023
+                        for cell, v in ((fill, rows_), (kind, how), (stage, as_), (price, level)):  # noqa: B023
+                            np.copyto(cell, v, where=here, casting="unsafe")
+                        open_[here] = False  # noqa: B023
+
+                    for i, (s, e) in enumerate(zip(mine[:-1], mine[1:])):
+                        if s:
+                            name = np.full(len(at), 2, np.int8) if i == 1 and not initial else np.where(limit[s] == limit[mine[i - 1]], name, np.int8(2))
+                        if s or initial:
+                            ends(hits[s] <= np.where(there[e], arrive[e], last), hits[s], 1, name, limit[s])
+                        if e != FINAL:
+                            ends(against[e], np.where(there[e], arrive[e], -1), 2, 2, quote[side][row[e]])
+                    ends(there[FINAL], arrive[FINAL], 2, 3, quote[side][row[FINAL]])
+                    fill_t = raw[np.where(fill < 0, 0, fill)]
+                    over, reason, gone = broken.copy(), np.full(len(at), REASONS.index("broken_path"), np.int8), np.zeros(len(at), bool)
+                    for s in mine[1:]:  # a market order under way is not looked at again
+                        clock = np.where((why[s] > 0) & ~gone, (task + s * SECOND) * 2 + 1, none)
+                        reason = np.where(clock < over, why[s] + (6 if s == FINAL else 3), reason)
+                        over = np.minimum(over, clock)
+                        gone |= against[s]
+                    reason = np.where(over <= np.where(fill < 0, never, fill_t * 2), reason, np.where(fill < 0, REASONS.index("insufficient_arrival_tail"), 0))
+                    reason = np.where(why[0] > 0, why[0], reason)
+                    ok = reason == 0
+                    for c, v in (("side", np.full(len(at), side, np.int32)), ("reason", reason), ("stage", np.where(ok, stage, 0)), ("kind", np.where(ok, kind, 0)), ("fill_t", np.where(ok, fill_t, -1)), ("price", np.where(ok, price, np.nan)), ("policy", np.full(len(at), k, np.int8))):
+                        cells[c].append(v)
+            whole = {c: np.concatenate(v) for c, v in cells.items()}
+            times = len(cells["side"])
+            base = np.tile(p[source[0]], times)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cost = whole["side"] * (whole["price"] - base) / base * 1e4
+            text = lambda codes, names: pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int8)), pa.array(names, pa.string())).dictionary_decode()
+            keys = table.select(list(KEYS)).take(pa.array(np.tile(begin, times)))
+            out = {c: keys.column(c) for c in KEYS} | {"task": np.tile(task, times), "side": whole["side"], "status": text(whole["reason"] > 0, ["filled", "invalid"])}
+            out |= {c: text(whole[c], names) for c, names in (("reason", REASONS), ("stage", STAGES), ("kind", FILLS))}
+            out |= {"fill_t": pa.array(whole["fill_t"], mask=whole["reason"] > 0), "price": pa.array(whole["price"], from_pandas=True), "cost_bp": pa.array(cost, from_pandas=True), "policy": text(whole["policy"], list(policies))}
+            return pa.table(out)
+
+        out = [orders_of(at[k : k + 10_000], unit[k : k + 10_000]) for k in range(0, len(at), 10_000)]
+        return (pa.concat_tables(out) if out else None), again
+
+    schema = ", ".join([*(f"{k} string" for k in KEYS), "task bigint, side int, status string, reason string, stage string, kind string, fill_t bigint, price double, cost_bp double, policy string"])
+    return map_parts(rows, KEYS, ["rn"], part, schema, most=most, placed=True)
+
+
 def market_orders(tasks: DataFrame, q: DataFrame) -> DataFrame:
     """(keys, task, side, price, cost_bp): market orders given at the task, filled at the second row after it if the path is legal."""
     t = asof(tasks.select(*KEYS, F.col("task"), F.col("task").alias("t")).distinct(), q.withColumn("good", _good()), KEYS, ["rn", "p", "good"], order=ORDER[1:], prefix="s_")
