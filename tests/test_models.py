@@ -110,3 +110,57 @@ def test_explained_share(spark):
     z = df.withColumns({"mix": F.col("a") * 2 - F.col("b"), "one": F.lit(1.0)})
     assert m.explained(z, ["a", "b"], "mix", "day") == pytest.approx(1.0, abs=1e-6) and m.explained(z, ["a"], "c", "day") < 0.05
     assert np.isnan(m.explained(z, ["a"], "one", "day")) and len(days) == len(x)
+
+
+def test_folds_at_once_equal_single_fits(spark):
+    df, *_ = data(spark)
+    counted = df.groupBy("a", "b", "c", "y", "day").count().withColumnRenamed("count", "n").unionByName(df.where("day < 'd03'").withColumn("n", F.lit(2)))
+    plain = df.unionByName(df.where("day < 'd03'")).unionByName(df.where("day < 'd03'"))
+    parts = [[f"d{k:02d}" for k in range(n)] for n in (3, 6, 11)] + [["none"]]
+    found = m.fit_folds(counted.repartition(5), ["a", "b", "c"], "y", "day", parts)
+    for days, model in zip(parts[:-1], found):
+        alone = m.fit(plain.where(F.col("day").isin(days)), ["a", "b", "c"], "y", "day")
+        for c in ("mean", "scale", "coef", "intercept"):
+            assert np.allclose(getattr(model, c), getattr(alone, c), atol=1e-7)
+    assert isinstance(found[-1], str) and m.fit_folds(counted, ["a"], "y", "day", []) == []
+    fitted = [(model, days) for model, days in zip(found, parts) if isinstance(model, m.Model)]
+    counts = df.dropna().groupBy("a", "b", "c", "day").count().withColumnRenamed("count", "n")
+    least = {r.model: r.least for r in m.confidence_thresholds(m.scored_by_day(counts, "day", fitted), "model", 0.8).collect()}
+    assert least == {i + 1: m.confidence_threshold(df.dropna().where(F.col("day").isin(days)).withColumns(m.scores(model)), 0.8) for i, (model, days) in enumerate(fitted)}
+
+
+def test_walk_reads_its_rows_as_often_as_one_fit(spark, monkeypatch):
+    from tests.oracle import SF
+    from tickweave.plans import models as plans
+
+    calls, real = [], m.summed
+    monkeypatch.setattr(m, "summed", lambda *a: calls.append(1) or real(*a))
+    got = {r.fold: r for r in plans.model_walk(spark, SF).collect()}
+    passes, x = len(calls), plans.examples(spark, SF).cache()
+    single = []
+    for k, (train, test) in enumerate(m.folds(plans.trading_days(spark, SF), plans.TRAIN, plans.TEST), 1):
+        calls.clear()
+        part = x.where(F.col("trade_date").isin(train))
+        model = m.fit(part, plans.FEATURES, "y", "trade_date")
+        single.append(len(calls))
+        least = m.confidence_threshold(part.withColumns(m.scores(model)), 0.8)
+        y = x.where(F.col("trade_date").isin(test)).withColumns(m.scores(model)).withColumns({"c": m.predicted(), "l": m.log_loss(), "s": F.greatest("p_up", "p_down") >= least})
+        hit = F.when(F.col("c") == F.col("y"), 1.0).otherwise(0.0)
+        want = y.agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg("l").alias("logloss"), F.count_if("s").alias("signals"), F.avg(F.when(F.col("s"), hit)).alias("sure")).first()
+        assert (got[k].n, got[k].signals) == (want.n, want.signals)
+        assert (got[k].least, got[k].accuracy, got[k].logloss, got[k].sure_accuracy) == pytest.approx((least, want.accuracy, want.logloss, want.sure), abs=1e-6)
+    assert len(got) == len(single) > 1 and passes <= max(single) + 1
+
+
+def test_counted_signs_do_not_depend_on_parts(spark):
+    from tests.oracle import SF
+    from tickweave.operators.labels import counted_signs
+    from tickweave.plans import models as plans
+    from tickweave.plans.labels import factored, tasks
+
+    q, names = factored(spark, SF, plans._KEYS)
+    q, by = q.cache(), ["trade_date", *plans.FEATURES, "y"]
+    want = {tuple(r) for r in plans.examples(spark, SF).groupBy(*by).count().collect()}
+    for most in (50_000, 40):
+        assert {tuple(r) for r in counted_signs(tasks(spark, SF), q, names, most=most).select(*by, "n").collect()} == want
+    assert want

@@ -229,3 +229,50 @@ def label_totals(tasks: DataFrame, q: DataFrame, horizons: Sequence[int], most:
     schema = ", ".join([*(f"{k} string" for k in KEYS), "observation bigint, anchor string, horizon int, status string, incremental_status string", *(f"{c} {kinds.get(c, 'double')}" for c in TOTALS)])
     x = map_parts(rows, KEYS, ORDER, part, schema, most=most, placed=True)
     return x.withColumn("late", F.try_divide(F.col("late_sum") / 1e6, F.col("late_count"))).drop("late_sum", "late_count")
+
+
+def counted_signs(tasks: DataFrame, q: DataFrame, features: Sequence[str], horizon: int = 1, most: int = 50_000) -> DataFrame:
+    """(trade_date, features, y, n): the sign of the decision's label over ``horizon`` seconds and the source row's features, with the number of cases alike.
+
+    Of all cases with a source and a label in order and no feature missing. Cases of one decision time share both: each time is looked up once, in
+    one pass over its session's rows, and counts as often as there are cases. A session of over ``most`` rows comes in parts.
+    """
+    import numpy as np
+
+    features, ahead = list(features), int(horizon) * SECOND
+    listed = tasks.groupBy(*KEYS).agg(F.sort_array(F.collect_list("t")).alias("_times")).hint("merge")
+    rows = q.select(*KEYS, "t", "rn", "p", "seg_price", "valid_price", *features).join(listed, list(KEYS), "full").where("_times is not null")
+    # A session without rows has one that is out of reach.
+    rows = rows.withColumns({"_times": F.when(F.coalesce("rn", F.lit(1)) == 1, F.col("_times")), "t": F.coalesce("t", F.lit(1 << 43)), "valid_price": F.coalesce("valid_price", F.lit(False)), "seg_price": F.coalesce("seg_price", F.lit(-1))})
+    by = ["trade_date", *features, "y"]
+
+    def part(table: pa.Table, more: bool, state: dict) -> tuple[pa.Table | None, int]:
+        first, n = ~same_key(table, KEYS), table.num_rows
+        session = np.cumsum(first)
+        number = lambda c: table.column(c).to_numpy()
+        t, p, seg, valid = (session << 44) + number("t"), number("p").astype(float), number("seg_price"), number("valid_price")
+        own = table.column("_times").combine_chunks()
+        at = own.flatten().to_numpy() + (np.repeat(session, pc.fill_null(pc.list_value_length(own), 0).to_numpy()) << 44)
+        if "left" in state:  # the first session goes on
+            at = np.concatenate([state.pop("left") + (np.int64(1) << 44), at[at >> 44 > 1]])
+        again = n
+        if more:  # one session: times whose end isn't here yet wait, with the rows from their source on
+            done = int(np.searchsorted(at, t[-1] - ahead, side="right"))
+            state["left"] = at[done:] - (np.int64(1) << 44)
+            again = max(0, int(np.searchsorted(t, at[done], side="right")) - 1) if done < len(at) else n - 1
+            at = at[:done]
+        at, times = np.unique(at, return_counts=True)
+        s, e = np.searchsorted(t, at, side="right") - 1, np.searchsorted(t, at + ahead)
+        fits = (s >= 0) & (e < n)
+        s, e, at, times = s[fits], e[fits], at[fits], times[fits]
+        x = np.column_stack([number(c)[s].astype(float) for c in features])
+        # rows of another session are years away
+        good = valid[s] & (at - t[s] <= AGE) & valid[e] & (t[e] - at - ahead <= AGE) & (seg[e] == seg[s]) & ~np.isnan(x).any(axis=1)
+        if not good.any():
+            return None, again
+        out = {"trade_date": table.column("trade_date").take(pa.array(s[good]))} | {c: x[good, i] for i, c in enumerate(features)} | {"y": np.sign(p[e] - p[s])[good].astype(np.int32), "n": times[good]}
+        alike = pa.table(out).group_by(by).aggregate([("n", "sum")])
+        return alike.select([*by, "n_sum"]).rename_columns([*by, "n"]), again
+
+    schema = ", ".join(["trade_date string", *(f"`{c}` double" for c in features), "y int, n bigint"])
+    return map_parts(rows, KEYS, ["rn"], part, schema, most=most, placed=True).groupBy(*by).agg(F.sum("n").alias("n"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators.totals import running_totals
 from tickweave.runtime import stored
 
 CLASSES = (-1, 0, 1)
@@ -54,17 +55,20 @@ def curvature(phi: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> n
 
     ``y`` is the class number. One pass without a loop over classes: the scores' covariance is taken in the two contrasts.
     """
-    z = x @ phi.T @ CONTRASTS.T
-    z -= z.max(axis=1, keepdims=True)
-    total = np.log(np.exp(z).sum(axis=1))
-    p = np.exp(z - total[:, None])
-    miss = p.copy()
-    miss[np.arange(len(y)), y] -= 1
-    q = p @ CONTRASTS
-    spread = np.einsum("nk,kc,ke->nce", p, CONTRASTS, CONTRASTS) - q[:, :, None] * q[:, None, :]
-    slope = np.einsum("n,nc,nd->cd", w, miss @ CONTRASTS, x)
-    second = np.einsum("nce,nd,nf->cdef", spread * w[:, None, None], x, x, optimize=True)
-    return np.concatenate([[w @ (total - z[np.arange(len(y)), y])], slope.ravel(), second.ravel()])
+    x = np.ascontiguousarray(x.T)
+    z = CONTRASTS @ phi @ x
+    z -= z.max(axis=0)
+    p = np.exp(z)
+    total = p.sum(axis=0)
+    p /= total
+    loss = w @ (np.log(total) - z[y, np.arange(len(y))])
+    q = CONTRASTS.T @ p
+    slope = ((q - CONTRASTS.T[:, y]) * w) @ x.T
+    second = np.empty((*phi.shape, *phi.shape))
+    for c, e in ((0, 0), (0, 1), (1, 1)):
+        spread = ((CONTRASTS[:, c] * CONTRASTS[:, e]) @ p - q[c] * q[e]) * w
+        second[c, :, e] = second[e, :, c] = (x * spread) @ x.T
+    return np.concatenate([[loss], slope.ravel(), second.ravel()])
 
 
 @dataclass
@@ -169,6 +173,66 @@ def fit_many(clean: DataFrame, features: Sequence[str], wanted: Sequence[tuple[S
     return out
 
 
+def fit_folds(counted: DataFrame, features: Sequence[str], label: str, day: str, parts: Sequence[Sequence[str]], c: float = 1.0, tolerance: float = 1e-8, most: int = 100) -> list[Model | str]:
+    """``fit`` on the days of each of ``parts``, or why there is no model: a pass over ``counted`` rows (each stands for ``n`` alike) serves all that are under way."""
+    features, names = list(features), sorted({k for p in parts for k in p})
+    d, number = len(features), {k: i for i, k in enumerate(names)}
+    x = counted.select(*features, F.col(label).cast("int").alias("_y"), F.col(day).alias("_day"), "n").dropna().where(F.col("_y").isin(*CLASSES) & F.col("_day").isin(names))
+    rows = {r[0]: r[1] for r in x.groupBy("_day").agg(F.sum("n")).collect()}
+    if not rows:
+        return ["the training rows must hold all three classes"] * len(parts)
+    places = F.create_map(*(F.lit(v) for k in rows for v in (k, number[k])))
+    share = F.create_map(*(F.lit(v) for k, r in rows.items() for v in (k, float(r))))
+    clean = stored(x.select(*features, "_y", places[F.col("_day")].alias("_at"), "n", (F.col("n") / share[F.col("_day")]).alias("_w")), "training")
+    member = np.array([[k in set(p) and k in rows for k in names] for p in parts])
+
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        at, w, x, y = b.column("_at").to_numpy(), b.column("_w").to_numpy(), _matrix(b, features), b.column("_y").to_numpy()
+        cells = [np.bincount(at, v, len(names)) for v in (*(w * f for f in x.T), *((y == k).astype(float) for k in CLASSES))]
+        return np.concatenate(cells)
+
+    first = summed(clean, moments).reshape(d + 3, len(names))
+    days = np.maximum(member.sum(axis=1), 1)
+    mean = member @ first[:d].T / days[:, None]
+    whole = (member @ first[d:].T > 0).all(axis=1)
+
+    def spread(b: pa.RecordBatch) -> np.ndarray:
+        at, w, x = b.column("_at").to_numpy(), b.column("_w").to_numpy(), _matrix(b, features)
+        return np.concatenate([np.where(member[f][at], w, 0) @ (x - mean[f]) ** 2 for f in range(len(parts))])
+
+    scale = np.sqrt(summed(clean, spread).reshape(len(parts), d) / days[:, None])
+    scale[scale < 1e-12] = 1
+    total = [float(sum(rows.get(k, 0) for k in set(p))) for p in parts]
+    runs = [_Search(list(range(d)), c) for _ in parts]
+    for _ in range(most):
+        active = [f for f, r in enumerate(runs) if whole[f] and not r.done]
+        if not active:
+            break
+        jobs = [(f, runs[f].trial) for f in active]
+
+        def part(b: pa.RecordBatch, jobs: list = jobs) -> np.ndarray:
+            at, w, x, y = b.column("_at").to_numpy(), b.column("_w").to_numpy(), _matrix(b, features), b.column("_y").to_numpy() + 1
+            out = []
+            for f, phi in jobs:
+                own = np.flatnonzero(member[f][at])
+                out.append(curvature(phi, np.column_stack([(x[own] - mean[f]) / scale[f], np.ones(len(own))]), y[own], w[own] / days[f]))
+            return np.concatenate(out)
+
+        sums = summed(clean, part).reshape(len(active), -1)
+        for f, v in zip(active, sums):
+            runs[f].told(v, total[f], tolerance)
+    out: list[Model | str] = []
+    for f, r in enumerate(runs):
+        if not whole[f]:
+            out.append("the training rows must hold all three classes")
+        elif not r.done or r.why:
+            out.append(r.why or "the fit did not converge")
+        else:
+            theta = CONTRASTS @ r.phi
+            out.append(Model(features, c, mean[f].tolist(), scale[f].tolist(), theta[:, :-1].tolist(), theta[:, -1].tolist(), float(np.abs(r.state[1]).max())))
+    return out
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, day: str, c: float = 1.0, tolerance: float = 1e-8) -> Model:
     """One model, see ``fit_many``. Rows with a missing feature or label are left out; all three classes must occur."""
     features = list(features)
@@ -180,17 +244,31 @@ def fit(df: DataFrame, features: Sequence[str], label: str, day: str, c: float =
 
 def scores(model: Model, prefix: str = "p") -> dict[str, Column]:
     """Columns of the class probabilities of a frozen model: expressions only, so that scoring stays in the JVM."""
+    number = lambda v: F.lit(float(v))
+    return _softmax([(number(i), [(f, number(m), number(s), number(b)) for f, m, s, b in zip(model.features, model.mean, model.scale, coef)]) for coef, i in zip(model.coef, model.intercept)], prefix)
+
+
+def _softmax(classes: Sequence[tuple[Column, Sequence[tuple[str, Column, Column, Column]]]], prefix: str) -> dict[str, Column]:
+    """Probabilities by each class's intercept and (feature, mean, scale, coefficient)."""
     z = []
-    for coef, intercept in zip(model.coef, model.intercept):
-        e = F.lit(float(intercept))
-        for f, m, s, b in zip(model.features, model.mean, model.scale, coef):
-            e = e + (F.col(f) - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(b))
+    for e, terms in classes:
+        for f, m, s, b in terms:
+            e = e + (F.col(f) - m) / s * b
         z.append(e)
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     return {f"{prefix}_{n}": F.exp(x - top) / total for n, x in zip(("down", "flat", "up"), z)}
 
 
+def scored_by_day(df: DataFrame, day: str, models_: Sequence[tuple[Model, Sequence[str]]], prefix: str = "p") -> DataFrame:
+    """``df`` with ``model`` (numbers from 1) and its probabilities, a row for each of ``models_`` (same features) whose days hold the row's: ``scores`` with its numbers looked up."""
+    features = models_[0][0].features if models_ else []
+    rows = [(k, i + 1, [float(v) for v in m.mean], [float(v) for v in m.scale], [[float(v) for v in c] for c in m.coef], [float(v) for v in m.intercept]) for i, (m, days) in enumerate(models_) for k in days]
+    by = df.sparkSession.createDataFrame(rows, f"`{day}` string, model int, _mean array<double>, _scale array<double>, _coef array<array<double>>, _intercept array<double>")
+    p = _softmax([(F.col("_intercept")[k], [(f, F.col("_mean")[j], F.col("_scale")[j], F.col("_coef")[k][j]) for j, f in enumerate(features)]) for k in range(3)], prefix)
+    return df.join(F.broadcast(by), day).withColumns(p).drop("_mean", "_scale", "_coef", "_intercept")
+
+
 def predicted(prefix: str = "p") -> Column:
     """The likeliest class, the lower one of equals."""
     d, f, u = (F.col(f"{prefix}_{n}") for n in ("down", "flat", "up"))
@@ -387,6 +465,16 @@ def confidence_threshold(rows: DataFrame, share: float, prefix: str = "p") -> fl
     return rows.select(F.expr(f"percentile(greatest({prefix}_up, {prefix}_down), {float(share)}D)")).first()[0]
 
 
+def confidence_thresholds(rows: DataFrame, by: str, share: float, n: str = "n", prefix: str = "p") -> DataFrame:
+    """(by, least): ``confidence_threshold`` of each group of rows that stand for ``n`` alike, by running totals instead of one sort a group."""
+    counts = rows.groupBy(by, F.greatest(f"{prefix}_up", f"{prefix}_down").alias("_s")).agg(F.sum(n).alias("_n"))
+    t = running_totals(counts, [by], ["_s"], "_n", "_t").withColumn("_at", (F.col("_t_all") - 1) * float(share))
+    first = lambda rank: F.min(F.when(F.col("_t") > rank, F.col("_s")))
+    g = t.groupBy(by).agg(F.first("_at").alias("_at"), first(F.floor("_at")).alias("_lo"), first(F.ceil("_at")).alias("_hi"))
+    between = (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
+    return g.select(by, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("least"))
+
+
 def by_fold(df: DataFrame, models_: Sequence[Model], day: str, prefix: str = "p") -> DataFrame:
     """``df`` scored by the model whose ``days`` hold the row's day; rows of other days have no score. Models are few: the lookup is an expression."""
     out = {}

@@ -82,11 +82,16 @@ def label_grid(spark: SparkSession, d: str, plan: Schedule = PLAN, horizons: tup
     return x.withColumn("late", F.expr(rounded_sql("late")))
 
 
-def with_factors(spark: SparkSession, d: str, keys: list[tuple[str, str, str]], h: int = 5) -> tuple[DataFrame, list[str]]:
-    """The lens with rounded factors in it, written once, and their names: the as-of join then carries them along."""
+def factored(spark: SparkSession, d: str, keys: list[tuple[str, str, str]], h: int = 5) -> tuple[DataFrame, list[str]]:
+    """The lens with rounded factors in it, and their names."""
     names = [f"{f}_{s}_h{h}s" for _, f, s in keys]
     q = factors.add_formulas(rows(spark, d), {n: (g, WINDOWED[g, f, s][0], h) for n, (g, f, s) in zip(names, keys)})
-    q = q.withColumns({n: F.expr(rounded_sql(n)) for n in names})
+    return q.withColumns({n: F.expr(rounded_sql(n)) for n in names}), names
+
+
+def with_factors(spark: SparkSession, d: str, keys: list[tuple[str, str, str]], h: int = 5) -> tuple[DataFrame, list[str]]:
+    """``factored``, written once: the as-of join then carries the factors along."""
+    q, names = factored(spark, d, keys, h)
     return kept(q, "p", "seg_price", "valid_price", *names), names
 
 

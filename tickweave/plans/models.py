@@ -10,7 +10,7 @@ from tickweave.operators.labels import Schedule
 from tickweave.operators.lens import KEYS, quotes_sql
 from tickweave.plans.features import rounded, rows
 from tickweave.plans.fills import out
-from tickweave.plans.labels import LABELS, LASTS, ORIGINS, PLAN, TASKS, tasks, with_factors
+from tickweave.plans.labels import LABELS, LASTS, ORIGINS, PLAN, TASKS, factored, tasks, with_factors
 from tickweave.plans.oracle import rounded_sql as R
 from tickweave.plans.oracle import windowed_sql
 from tickweave.runtime import stored
@@ -117,22 +117,17 @@ def model_explained(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataF
 
 def model_walk(spark: SparkSession, d: str, plan: Schedule = PLAN) -> DataFrame:
     """Each fold's model on its own test dates: accuracy, loss, and signals above the confidence that a fifth of its training rows reach."""
-    x, fitted = stored(examples(spark, d, plan), "examples"), []
-    rows_ = []
-    for train, test in models.folds(trading_days(spark, d), TRAIN, TEST):
-        part = x.where(F.col("trade_date").isin(train))
-        try:
-            model = models.fit(part, FEATURES, "y", "trade_date")
-        except ValueError:  # a class is missing: no model for these dates
-            continue
-        model.days = test
-        fitted.append(model)
-        rows_ += [(day, len(fitted), models.confidence_threshold(part.withColumns(models.scores(model)), 0.8)) for day in test]
-    limits = spark.createDataFrame(rows_, "trade_date string, fold int, least double")
-    y = models.by_fold(x, fitted, "trade_date").where("p_up is not null").join(F.broadcast(limits), "trade_date").withColumns({"c": models.predicted(), "l": models.log_loss()})
-    sure = F.greatest("p_up", "p_down") >= F.col("least")
-    hit = F.when(F.col("c") == F.col("y"), 1.0).otherwise(0.0)
-    return out(y.groupBy("fold", "least").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg("l").alias("logloss"), F.count_if(sure).alias("signals"), F.avg(F.when(sure, hit)).alias("sure_accuracy")))
+    q, names = factored(spark, d, _KEYS)
+    x = stored(labels.counted_signs(tasks(spark, d, plan), q, names), "examples")
+    parts = models.folds(trading_days(spark, d), TRAIN, TEST)
+    # where a class is missing there is no model for these dates
+    fitted = [(m, *days) for m, days in zip(models.fit_folds(x, FEATURES, "y", "trade_date", [train for train, _ in parts]), parts) if isinstance(m, models.Model)]
+    limits = models.confidence_thresholds(models.scored_by_day(x, "trade_date", [(m, train) for m, train, _ in fitted]), "model", 0.8)
+    y = models.scored_by_day(x, "trade_date", [(m, test) for m, _, test in fitted]).join(F.broadcast(limits), "model").withColumns({"c": models.predicted(), "l": models.log_loss()})
+    n, sure = F.col("n"), F.greatest("p_up", "p_down") >= F.col("least")
+    hit = F.when(F.col("c") == F.col("y"), n).otherwise(0)
+    of = lambda v: F.sum(F.when(sure, v).otherwise(0))
+    return out(y.groupBy(F.col("model").alias("fold"), "least").agg(F.sum("n").alias("n"), (F.sum(hit) / F.sum("n")).alias("accuracy"), (F.sum(n * F.col("l")) / F.sum("n")).alias("logloss"), of(n).alias("signals"), F.try_divide(of(hit), of(n)).alias("sure_accuracy")))
 
 
 QUERIES = {f.__name__: f for f in (softmax_score, confusion_metrics, coverage_curve, class_prior, feature_pool, model_fit, model_folds, model_tuning, model_search, model_design, model_explained, model_walk)}
