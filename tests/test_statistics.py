@@ -213,6 +213,62 @@ def test_cube_equals_the_long_form(spark):
         assert a[k][:2] == b[k][:2] and a[k][2:] == pytest.approx(b[k][2:], abs=1e-9), k
 
 
+def test_pairs_equal_plain_loops():
+    g = np.random.default_rng(12)
+    x = np.column_stack([g.normal(size=60), g.integers(0, 3, 60), np.full(60, 7.0), 1e10 + g.normal(size=60), np.where(np.arange(60) < 4, 1e10, g.normal(size=60)), np.where(np.arange(60) < 31, 0.0, 5 + 1e-7 * g.integers(0, 9, 60)), g.normal(size=60)])
+    y = g.integers(-2, 3, (60, 4)).astype(float)
+    y[:, 2] = np.where(np.arange(60) < 5, np.nan, 3.0)
+    x[g.random(x.shape) < 0.05] = np.nan
+    x[g.random(60) < 0.8, 6] = np.nan
+    y[g.random(y.shape) < 0.05] = np.nan
+    y[:31, 3] = np.nan
+    ranks = lambda v: np.array([(v < a).sum() + ((v == a).sum() - 1) / 2 for a in v])
+    seen = set()
+    for own in (y, np.repeat(np.where(np.isnan(y).any(axis=1), np.nan, y[:, 0])[:, None], 3, axis=1)):
+        for which, (n, ic, rank, status) in zip((own, np.abs(own)), st.pair_matrix(x, [own, np.abs(own)], 20)):
+            for j in range(x.shape[1]):
+                for k in range(which.shape[1]):
+                    rows = ~np.isnan(x[:, j]) & ~np.isnan(which[:, k])
+                    a, b = x[rows, j], which[rows, k]
+                    want = "NOT_ENOUGH_PAIRS" if len(a) < 20 else "CONSTANT_FACTOR" if a.min() == a.max() else "CONSTANT_LABEL" if b.min() == b.max() else "ok"
+                    assert n[j, k] == len(a) and st.STATUS[status[j, k]] == want
+                    seen.add(want)
+                    if want == "ok":
+                        assert ic[j, k] == pytest.approx(np.corrcoef(a - a[0], b)[0, 1], abs=1e-7 if j == 3 else 1e-9) and rank[j, k] == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1], abs=1e-12)
+                    else:
+                        assert np.isnan(ic[j, k]) and np.isnan(rank[j, k])
+    assert seen == set(st.STATUS)
+
+
+def test_cube_summary_tells_sessions_apart_and_equals_the_summed_rows(spark):
+    g = np.random.default_rng(10)
+    data = []
+    for day in ("d", "e", "f", "g"):
+        for session in ("0930", "1330") if day != "f" else ("0930",):
+            for task in range(60 if day != "g" else 12):
+                for o in (1, 2):
+                    v = int(g.integers(0, 9))
+                    data.append((day, session, task, o, [None if v == 0 else float(g.normal()), float(g.integers(0, 3)), 7.0], [None if v == 1 else float(a) for a in g.integers(-3, 4, 8)]))
+    wide = spark.createDataFrame(data, "trade_date string, session string, task bigint, observation bigint, x array<double>, y array<double>")
+    rows = (["f0", "f1", "f2"], (1, 2), 2, ["trade_date"])
+    cube = st.information_cube(wide, *rows, block=2, task=("session", "task")).cache()
+    # a task of its own for each session: what is common does not mix them
+    alone = [tuple([*r[:1], r[2] + 1000 * (r[1] == "1330"), *r[3:]]) for r in data]
+    want = st.information_cube(spark.createDataFrame(alone, "trade_date string, task bigint, observation bigint, x array<double>, y array<double>"), *rows)
+    by = ["factor", "observation", "anchor", "label", "target", "cohort", "horizon"]
+    every = lambda x, k: {tuple(r[c] for c in k): tuple(r) for r in x.select(*sorted(x.columns)).collect()}
+    assert every(cube, ["trade_date", *by]) == every(want, ["trade_date", *by])
+    assert min(r.n for r in cube.where("trade_date = 'd' and cohort = 'common' and factor = 'f1'").collect()) > 60
+    total = every(st.information_summary(cube, by), by)
+    for most in (20_000, 2):
+        x = st.cube_summary(wide, *rows, block=2, task=("session", "task"), most=most)
+        assert x.columns == st.information_summary(cube, by).columns
+        got = every(x, by)
+        assert got.keys() == total.keys() and len(got) == 3 * 2 * 4 * 2 * 2 * 2
+        for k in got:
+            assert got[k] == pytest.approx(total[k], abs=1e-9), k
+
+
 def test_running_totals_with_null_groups_and_hot_ones(spark):
     from tickweave.operators.totals import running_totals
 
