@@ -248,6 +248,9 @@ def test_cube_summary_tells_sessions_apart_and_equals_the_summed_rows(spark):
             for task in range(60 if day != "g" else 12):
                 for o in (1, 2):
                     v = int(g.integers(0, 9))
+                    if o == 2 and v > 5:
+                        data.append((day, session, task, o, *data[-1][4:]))
+                        continue
                     data.append((day, session, task, o, [None if v == 0 else float(g.normal()), float(g.integers(0, 3)), 7.0], [None if v == 1 else float(a) for a in g.integers(-3, 4, 8)]))
     wide = spark.createDataFrame(data, "trade_date string, session string, task bigint, observation bigint, x array<double>, y array<double>")
     rows = (["f0", "f1", "f2"], (1, 2), 2, ["trade_date"])
@@ -259,6 +262,10 @@ def test_cube_summary_tells_sessions_apart_and_equals_the_summed_rows(spark):
     every = lambda x, k: {tuple(r[c] for c in k): tuple(r) for r in x.select(*sorted(x.columns)).collect()}
     assert every(cube, ["trade_date", *by]) == every(want, ["trade_date", *by])
     assert min(r.n for r in cube.where("trade_date = 'd' and cohort = 'common' and factor = 'f1'").collect()) > 60
+    # cases of the same values in one row
+    shared = wide.groupBy("trade_date", "session", "x", "y").agg(F.collect_list(F.struct("task", "observation")).alias("cases"))
+    got, own = every(st.information_cube(shared, *rows, task=("session", "task")), ["trade_date", *by]), every(cube, ["trade_date", *by])
+    assert shared.count() < len(data) and got.keys() == own.keys() and all(got[k] == pytest.approx(own[k], abs=1e-9) for k in own)
     total = every(st.information_summary(cube, by), by)
     for most in (20_000, 2):
         x = st.cube_summary(wide, *rows, block=2, task=("session", "task"), most=most)
